@@ -138,3 +138,122 @@ def q_traffic_stats(spark, sf):
 SELECT count(*) AS total_count FROM gold WHERE booking_status = 'Completed' AND vehicle_type = 'Bike'"""))
 def q_filtered_count(spark, sf):
     return R.filtered_count(FL.ride_filter(gold(spark, sf), status="Completed", vehicle="Bike"))
+
+
+# --- exploratory profile ----------------------------------------------------
+
+from farebox.operators import profile as P  # noqa: E402
+
+_BRONZE_COLS = ["_id", "_batch_id", "ride_date", "ride_time", "booking_id", "booking_status",
+                "customer_id", "vehicle_type", "cancelled_by_customer", "reason_customer",
+                "cancelled_by_driver", "driver_reason", "incomplete_rides", "incomplete_reason",
+                "booking_value", "ride_distance", "driver_ratings", "customer_rating",
+                "payment_method"]
+_BRONZE_TYPES = {"_id": "bigint", "ride_date": "date", "cancelled_by_customer": "boolean",
+                 "cancelled_by_driver": "boolean", "incomplete_rides": "boolean",
+                 "booking_value": "double", "ride_distance": "double",
+                 "driver_ratings": "double", "customer_rating": "double"}
+_NA_LIST = ", ".join("'" + t.replace("'", "''") + "'" for t in P.PANDAS_NA_TEXTS)
+_EDA = "SELECT " + ", ".join(
+    c if c in _BRONZE_TYPES else f"CASE WHEN {c} IN ({_NA_LIST}) THEN NULL ELSE {c} END AS {c}"
+    for c in _BRONZE_COLS) + " FROM bronze"
+
+
+def eda(spark, sf):
+    return P.eda_view(X.ride_bronze(spark, sf))
+
+
+def _eda_sql(body: str, **extra) -> str:
+    return O.with_layers(body, extra={"eda": _EDA, **extra})
+
+
+@register("eda_csv_scan", _eda_sql("SELECT * FROM eda"))
+def q_eda_csv_scan(spark, sf):
+    return eda(spark, sf)
+
+
+@register("null_counts", _eda_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM eda"
+    for c in _BRONZE_COLS)))
+def q_null_counts(spark, sf):
+    return P.null_counts(eda(spark, sf))
+
+
+@register("column_profile", _eda_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{_BRONZE_TYPES.get(c, 'string')}' AS dtype, count({c}) AS non_null,"
+    f" count(*) AS rows FROM eda" for c in _BRONZE_COLS)))
+def q_column_profile(spark, sf):
+    return P.column_profile(eda(spark, sf))
+
+
+@register("distinct_count", _eda_sql("SELECT count(DISTINCT booking_id) AS distinct_count FROM eda"))
+def q_distinct_count(spark, sf):
+    return P.distinct_count(eda(spark, sf))
+
+
+def _long_union(cols, src="eda", cast="VARCHAR"):
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS {cast}) AS value FROM {src}"
+                              for c in cols)
+
+
+@register("value_distribution", _eda_sql(f"""
+SELECT column_name, value, count, {O.half_up_pct("count", "sum(count) OVER (PARTITION BY column_name)", 2)} AS pct
+FROM (SELECT column_name, value, count(*) AS count FROM lv GROUP BY column_name, value) c""",
+    lv=_long_union(P.KEY_COLUMNS)))
+def q_value_distribution(spark, sf):
+    return P.value_distribution(eda(spark, sf))
+
+
+@register("reason_counts", _eda_sql("""
+SELECT column_name, value, count(*) AS count FROM lv WHERE value IS NOT NULL GROUP BY column_name, value""",
+    lv=_long_union(P.REASON_COLUMNS)))
+def q_reason_counts(spark, sf):
+    return P.reason_counts(eda(spark, sf))
+
+
+@register("ordered_counts", _eda_sql(f"""
+SELECT value, count, {O.half_up_pct("count", "sum(count) OVER ()", 1)} AS pct,
+       row_number() OVER (ORDER BY count DESC, value) AS rank
+FROM (SELECT vehicle_type AS value, count(*) AS count FROM eda WHERE vehicle_type IS NOT NULL GROUP BY 1) c"""))
+def q_ordered_counts(spark, sf):
+    return P.ordered_counts(eda(spark, sf), "vehicle_type")
+
+
+@register("numeric_describe", _eda_sql("""
+SELECT column_name, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+       quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+       quantile_cont(value, 0.75) AS p75, max(value) AS max
+FROM lv WHERE value IS NOT NULL GROUP BY column_name""", lv=_long_union(P.NUMERIC_COLUMNS, cast="DOUBLE")))
+def q_numeric_describe(spark, sf):
+    return P.numeric_describe(eda(spark, sf))
+
+
+@register("histogram", _eda_sql("""
+SELECT b.bin AS bin, mm.lo + b.bin * ((mm.hi - mm.lo) / 40.0) AS lower,
+       CASE WHEN b.bin = 39 THEN mm.hi ELSE mm.lo + (b.bin + 1) * ((mm.hi - mm.lo) / 40.0) END AS upper,
+       coalesce(c.count, 0) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(40)) b CROSS JOIN mm
+LEFT JOIN (SELECT CAST(least(floor((booking_value - (SELECT lo FROM mm)) * 40.0 / ((SELECT hi FROM mm) - (SELECT lo FROM mm))), 39) AS INTEGER) AS bin,
+                  count(*) AS count FROM eda WHERE booking_value IS NOT NULL GROUP BY 1) c ON c.bin = b.bin""",
+    mm="SELECT min(booking_value) AS lo, max(booking_value) AS hi FROM eda WHERE booking_value IS NOT NULL"))
+def q_histogram(spark, sf):
+    return P.histogram(eda(spark, sf), "booking_value", 40)
+
+
+@register("kde_curve", _eda_sql("""
+SELECT g.point AS point, st.lo + g.point * st.step AS x,
+       sum(exp(-0.5 * pow((st.lo + g.point * st.step - e.booking_value) / st.bw, 2)))
+         / (st.n * st.bw * sqrt(2 * pi())) AS density
+FROM (SELECT CAST(range AS INTEGER) AS point FROM range(200)) g CROSS JOIN st
+CROSS JOIN (SELECT booking_value FROM eda WHERE booking_value IS NOT NULL) e
+GROUP BY g.point, st.lo, st.step, st.n, st.bw""",
+    st0="SELECT count(booking_value) AS n, stddev_samp(booking_value) * pow(count(booking_value), -0.2) AS bw,"
+        " min(booking_value) AS mn, max(booking_value) AS mx FROM eda WHERE booking_value IS NOT NULL",
+    st="SELECT n, bw, mn - 3 * bw AS lo, ((mx + 3 * bw) - (mn - 3 * bw)) / 199.0 AS step FROM st0"))
+def q_kde_curve(spark, sf):
+    return P.kde_curve(eda(spark, sf), "booking_value")
+
+
+@register("head", _eda_sql("SELECT * FROM eda ORDER BY _id LIMIT 3"))
+def q_head(spark, sf):
+    return P.head(eda(spark, sf), 3)

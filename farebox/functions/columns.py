@@ -146,6 +146,13 @@ def round_half_up(c: ColumnOrName, places: int = 2) -> Column:
     return F.round(_c(c).cast("decimal(38,10)"), places).cast("double")
 
 
+def pct_half_up(num: ColumnOrName, den: ColumnOrName, places: int = 2) -> Column:
+    """num / den * 100 in exact decimal arithmetic, rounded half up; double."""
+    num, den = _c(num), _c(den)
+    q = num.cast("decimal(20,0)") * F.lit(100) / den.cast("decimal(20,0)")
+    return F.round(q, places).cast("double")
+
+
 def as_utc(c: ColumnOrName) -> Column:
     """Timestamp text; no zone given means UTC, a Z or offset is kept."""
     c = _c(c)

@@ -127,8 +127,7 @@ def split_summary(summary: DataFrame) -> dict[str, DataFrame]:
 def share_of_total(counts: DataFrame, count_col: str = "count", places: int = 1) -> DataFrame:
     """Count / sum(count) * 100, rounded half up. Runs on grouped rows."""
     w = Window.partitionBy()
-    pct = F.col(count_col).cast("double") * 100.0 / F.sum(count_col).over(w)
-    return counts.withColumn("pct", C.round_half_up(pct, places))
+    return counts.withColumn("pct", C.pct_half_up(F.col(count_col), F.sum(count_col).over(w), places))
 
 
 def share_of_max(counts: DataFrame, count_col: str = "count") -> DataFrame:
