@@ -257,3 +257,149 @@ def q_kde_curve(spark, sf):
 @register("head", _eda_sql("SELECT * FROM eda ORDER BY _id LIMIT 3"))
 def q_head(spark, sf):
     return P.head(eda(spark, sf), 3)
+
+
+# --- lookups, top-n and paging ------------------------------------------------
+
+from farebox.functions import columns as C  # noqa: E402
+from farebox.operators import adhoc as Q  # noqa: E402
+from farebox.operators import corpus as K  # noqa: E402
+from farebox.operators import lookup as L  # noqa: E402
+
+_GOLD_API = ", ".join(f"{k} AS {v}" for k, v in C.GOLD_API_NAMES.items())
+_NEWEST = "ride_timestamp DESC NULLS FIRST, booking_id ASC NULLS LAST"
+
+
+@register("rides_page", O.with_layers(f"""
+SELECT {", ".join(C.GOLD_API_NAMES)}, (SELECT count(*) FROM gold WHERE booking_status = 'Completed') AS total_count
+FROM gold WHERE booking_status = 'Completed' ORDER BY {_NEWEST} LIMIT 20 OFFSET 20"""))
+def q_rides_page(spark, sf):
+    return L.rides_page(gold(spark, sf), status="Completed", page=2, size=20)
+
+
+@register("project_rename", O.with_layers(f"SELECT {_GOLD_API} FROM gold"))
+def q_project_rename(spark, sf):
+    return gold(spark, sf).select(*C.project_rename(C.GOLD_API_NAMES))
+
+
+@register("top_n", O.with_layers("""
+SELECT * FROM gold ORDER BY customer_rating DESC NULLS FIRST, booking_id LIMIT 7"""))
+def q_top_n(spark, sf):
+    return L.top_n(gold(spark, sf), "customer_rating", 7)
+
+
+@register("page_count", O.with_layers("""
+SELECT vehicle_type, count(*) AS total_count, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages
+FROM gold GROUP BY vehicle_type"""))
+def q_page_count(spark, sf):
+    counts = gold(spark, sf).groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("total_count"))
+    return counts.withColumn("pages", L.page_count(F.col("total_count"), 20))
+
+
+_CHANGE_DELETES = ("SELECT booking_id FROM gold WHERE "
+                   "CAST(regexp_extract(booking_id, '([0-9]+)', 1) AS BIGINT) % 101 = 0")
+
+
+@register("id_semi_join", O.with_layers(f"SELECT * FROM gold WHERE booking_id IN ({_CHANGE_DELETES})"))
+def q_id_semi_join(spark, sf):
+    ids = X.change_set(spark, sf).where(F.col("op") == "delete").select("booking_id")
+    return L.id_semi_join(gold(spark, sf), ids)
+
+
+# --- example questions (DataFrame API) -----------------------------------------
+
+_CORPUS_SQL = {
+    "q_latest": f"SELECT * FROM gold ORDER BY {_NEWEST} LIMIT 5",
+    "q_total_revenue": "SELECT sum(booking_value) AS total_revenue FROM gold",
+    "q_completed": "SELECT count(*) AS count FROM gold WHERE booking_status = 'Completed'",
+    "q_rating_by_vehicle": "SELECT vehicle_type, avg(customer_rating) AS avg_rating FROM gold GROUP BY vehicle_type",
+    "q_top_reasons": ("SELECT unified_cancellation_reason, count(*) AS count FROM gold "
+                      "WHERE unified_cancellation_reason <> 'Not Cancelled' GROUP BY 1 "
+                      "ORDER BY count DESC, unified_cancellation_reason LIMIT 3"),
+    "q_revenue_by_payment": ("SELECT payment_method, sum(booking_value) AS revenue FROM gold "
+                             "WHERE payment_method <> 'Not Specified' GROUP BY payment_method"),
+    "q_long_recent": (f"SELECT * FROM gold WHERE ride_distance > 10 AND ride_timestamp >= "
+                      f"(SELECT max(ride_timestamp) FROM gold) - INTERVAL 1 MONTH ORDER BY {_NEWEST} LIMIT 10"),
+    "q_distance_by_vehicle": ("SELECT vehicle_type, avg(ride_distance) AS avg_distance FROM gold "
+                              "GROUP BY vehicle_type ORDER BY avg_distance DESC NULLS FIRST, vehicle_type LIMIT 10"),
+    "q_most_expensive": ("SELECT booking_id, booking_value, vehicle_type, ride_timestamp FROM gold "
+                         "ORDER BY booking_value DESC NULLS FIRST, booking_id LIMIT 5"),
+    "q_bike_cancelled": (f"SELECT * FROM gold WHERE vehicle_type = 'Bike' AND booking_status = "
+                         f"'Cancelled by Customer' ORDER BY {_NEWEST} LIMIT 10"),
+    "q_by_hour": ("SELECT CAST(hour(ride_timestamp) AS INTEGER) AS hour, count(*) AS ride_count FROM gold "
+                  "GROUP BY 1 ORDER BY 1 NULLS LAST LIMIT 24"),
+    "q_upi_completed": ("SELECT sum(booking_value) AS sum FROM gold WHERE booking_status = 'Completed' "
+                        "AND payment_method = 'UPI'"),
+    "q_top_rated": ("SELECT booking_id, driver_ratings, vehicle_type FROM gold WHERE driver_ratings IS NOT NULL "
+                    "ORDER BY driver_ratings DESC NULLS FIRST, booking_id LIMIT 5"),
+    "q_ui_latest_completed": f"SELECT * FROM gold WHERE booking_status = 'Completed' ORDER BY {_NEWEST} LIMIT 10",
+    "q_ui_total_revenue": "SELECT sum(booking_value) AS total_revenue FROM gold",
+    "q_ui_avg_rating_go_mini": "SELECT avg(customer_rating) AS avg_rating FROM gold WHERE vehicle_type = 'Go Mini'",
+    "q_ui_top_customer_reasons": ("SELECT unified_cancellation_reason, count(*) AS count FROM gold "
+                                  "WHERE booking_status = 'Cancelled by Customer' AND "
+                                  "unified_cancellation_reason <> 'Not Cancelled' GROUP BY 1 "
+                                  "ORDER BY count DESC, unified_cancellation_reason LIMIT 5"),
+    "q_ui_upi_count": "SELECT count(*) AS count FROM gold WHERE payment_method = 'UPI'",
+}
+_CORPUS_FN = {
+    "q_latest": K.latest, "q_total_revenue": K.total_revenue, "q_completed": K.completed_count,
+    "q_rating_by_vehicle": K.rating_by_vehicle, "q_top_reasons": K.top_reasons,
+    "q_revenue_by_payment": K.revenue_by_payment, "q_long_recent": K.long_recent,
+    "q_distance_by_vehicle": K.distance_by_vehicle, "q_most_expensive": K.most_expensive,
+    "q_bike_cancelled": K.bike_cancelled, "q_by_hour": K.by_hour,
+    "q_upi_completed": K.upi_completed, "q_top_rated": K.top_rated,
+    "q_ui_latest_completed": K.latest_completed, "q_ui_total_revenue": K.total_revenue,
+    "q_ui_avg_rating_go_mini": K.avg_rating_of,
+    "q_ui_top_customer_reasons": lambda g: K.top_reasons(g, 5, "Cancelled by Customer"),
+    "q_ui_upi_count": K.count_by_payment,
+}
+
+
+def _corpus_query(fn):
+    return lambda spark, sf: fn(gold(spark, sf))
+
+
+for _name, _fn in _CORPUS_FN.items():
+    register(_name, O.with_layers(_CORPUS_SQL[_name]))(_corpus_query(_fn))
+
+
+# --- guarded ad-hoc SQL ---------------------------------------------------------
+
+def _duck_word(col: str, word: str) -> str:
+    return f"regexp_matches({col}, '(?i)\\b{word}\\b')"
+
+
+def _guard_oracle() -> str:
+    clean = r"regexp_replace(replace(replace(sql, '```sql', ''), '```', ''), '^\s+|\s+$', '', 'g')"
+    reason = "CASE WHEN c IS NULL OR upper(substring(c, 1, 6)) <> 'SELECT' THEN 'not_select' "
+    for w in Q.FORBIDDEN_WORDS:
+        reason += f"WHEN {_duck_word('c', w)} THEN 'forbidden:{w}' "
+    reason += "END"
+    limited = (f"CASE WHEN {_duck_word('c', 'LIMIT')} THEN c "
+               f"ELSE concat(regexp_replace(c, ';+$', ''), ' LIMIT {Q.DEFAULT_LIMIT};') END")
+    log = X.STATEMENT_LOG_SQL.replace("{conversations}", "conversations").replace("{gold}", "gold") \
+        .replace("AS STRING", "AS VARCHAR")
+    return O.with_layers(f"""
+SELECT stmt_id, sql, reason IS NULL AS is_valid, reason,
+       CASE WHEN reason IS NULL THEN {limited} ELSE '' END AS sanitized_sql
+FROM (SELECT stmt_id, sql, c, {reason} AS reason FROM (SELECT stmt_id, sql, {clean} AS c FROM log) a) b""",
+                         extra={"log": log})
+
+
+@register("guard_sql", _guard_oracle())
+def q_guard_sql(spark, sf):
+    return Q.guard_sql(X.statement_log(spark, sf))
+
+
+@register("run_guarded_sql", O.with_layers(_CORPUS_SQL["q_top_reasons"]))
+def q_run_guarded_sql(spark, sf):
+    return Q.run_guarded_sql(spark, K.STATEMENTS["q_top_reasons"].replace(
+        "ORDER BY count DESC", "ORDER BY count DESC, unified_cancellation_reason"), gold(spark, sf))
+
+
+@register("query_result_sink", O.with_layers(
+    "SELECT to_json({'vehicle_type': vehicle_type, 'total_rides': count(*)}) AS record "
+    "FROM gold GROUP BY vehicle_type"))
+def q_query_result_sink(spark, sf):
+    g = gold(spark, sf).groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("total_rides"))
+    return Q.query_records(g)

@@ -159,3 +159,30 @@ def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ride_timestamp", "customer_id", "vehicle_type", "booking_value",
         "ride_distance", "driver_ratings", "customer_rating", "payment_method")
     return dels.unionByName(upd, allowMissingColumns=True).unionByName(ins, allowMissingColumns=True)
+
+
+# A statement log for the SQL guard: every conversation turn as it stands,
+# plus one lookup statement per gold ride in one of eight shapes (fenced,
+# WITH, a forbidden word inside a literal, pg_sleep, LIMIT in a subquery,
+# DELETE, padded with a trailing semicolon). One SQL text for both engines.
+STATEMENT_LOG_SQL = """
+SELECT concat('conv-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS stmt_id, text AS sql FROM {conversations}
+UNION ALL
+SELECT concat('ride-', booking_id) AS stmt_id,
+ CASE CAST(regexp_extract(booking_id, '([0-9]+)', 1) AS BIGINT) % 8
+  WHEN 0 THEN concat('SELECT * FROM gold.dataset WHERE booking_id = ''', booking_id, '''')
+  WHEN 1 THEN concat('```sql', chr(10), 'SELECT booking_value FROM gold.dataset WHERE booking_id = ''', booking_id, ''';', chr(10), '```')
+  WHEN 2 THEN concat('WITH x AS (SELECT * FROM gold.dataset) SELECT * FROM x WHERE booking_id = ''', booking_id, '''')
+  WHEN 3 THEN concat('SELECT * FROM gold.dataset WHERE unified_cancellation_reason = ''drop'' AND booking_id = ''', booking_id, '''')
+  WHEN 4 THEN concat('select pg_sleep(1), booking_id from gold.dataset where booking_id = ''', booking_id, ''';;')
+  WHEN 5 THEN concat('SELECT * FROM (SELECT * FROM gold.dataset LIMIT 5) t WHERE booking_id = ''', booking_id, '''')
+  WHEN 6 THEN concat('DELETE FROM gold.dataset WHERE booking_id = ''', booking_id, '''')
+  ELSE concat('  SELECT count(*) FROM gold.dataset WHERE customer_id = ''', customer_id, ''' ; ')
+ END AS sql
+FROM {gold}
+"""
+
+
+def statement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(STATEMENT_LOG_SQL, conversations=table(spark, sf_dir, "conversations"),
+                     gold=ride_gold(spark, sf_dir))
