@@ -403,3 +403,143 @@ def q_run_guarded_sql(spark, sf):
 def q_query_result_sink(spark, sf):
     g = gold(spark, sf).groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("total_rides"))
     return Q.query_records(g)
+
+
+# --- change sets, pipeline status -------------------------------------------------
+
+from farebox.operators import changes as CH  # noqa: E402
+
+_EVENTS = """SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS batch_id,
+ CASE WHEN o_orderstatus = 'P' THEN 'Bronze' WHEN o_orderstatus = 'O' THEN 'Silver' ELSE 'Gold' END AS step,
+ CASE WHEN substring(o_orderpriority, 1, 1) IN ('1', '2') THEN 'Failed'
+      WHEN substring(o_orderpriority, 1, 1) = '3' THEN 'Processing' ELSE 'Success' END AS status,
+ o_orderdate AS event_time, CAST(round(o_totalprice) AS BIGINT) AS rows,
+ CASE WHEN substring(o_orderpriority, 1, 1) IN ('1', '2')
+      THEN concat('error in order ', CAST(o_orderkey AS VARCHAR)) END AS error
+FROM orders"""
+_STATUS = """SELECT l.batch_id AS batch_id, l.step AS step, l.status AS status, s.start_time AS start_time,
+ d.event_time AS end_time, d.rows AS rows_imported, l.error AS error_message
+FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY event_time DESC, seq DESC) AS rn FROM ev) l
+JOIN (SELECT batch_id, min(event_time) AS start_time FROM ev GROUP BY batch_id) s ON s.batch_id = l.batch_id
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY event_time DESC, seq DESC) AS rn
+           FROM ev WHERE status IN ('Success', 'Failed')) WHERE rn = 1) d ON d.batch_id = l.batch_id
+WHERE l.rn = 1"""
+
+
+def _status_sql(body: str) -> str:
+    return f"WITH ev AS ({_EVENTS}), sv AS ({_STATUS})\n{body}"
+
+
+def status_view(spark, sf):
+    return CH.step_status(X.step_events(spark, sf))
+
+
+@register("step_status", _status_sql("SELECT * FROM sv"))
+def q_step_status(spark, sf):
+    return status_view(spark, sf)
+
+
+@register("latest_status", _status_sql("SELECT batch_id, step, status FROM sv"))
+def q_latest_status(spark, sf):
+    return CH.latest_status(X.step_events(spark, sf))
+
+
+@register("resumable_runs", _status_sql(
+    "SELECT batch_id, step AS resume_step FROM sv WHERE status = 'Failed' AND step IN ('Silver', 'Gold')"))
+def q_resumable_runs(spark, sf):
+    return CH.resumable_runs(status_view(spark, sf))
+
+
+@register("runs_page", _status_sql(
+    "SELECT *, (SELECT count(*) FROM sv) AS total_count FROM sv "
+    "ORDER BY start_time DESC NULLS FIRST, batch_id LIMIT 20 OFFSET 40"))
+def q_runs_page(spark, sf):
+    return L.runs_page(status_view(spark, sf), page=3, size=20)
+
+
+def _duck_digits(x: str) -> str:
+    return f"translate(CAST({x} AS VARCHAR), '0123456789', '{C.DISPLAY_DIGITS}')"
+
+
+def _duck_secs(ms: str) -> str:
+    cs = f"(({ms} + 5) // 10)"
+    return f"concat({_duck_digits(f'{cs} // 100')}, ',', {_duck_digits(f'lpad(CAST({cs} % 100 AS VARCHAR), 2, chr(48))')})"
+
+
+_DIFF = ("greatest(epoch_ms(coalesce(end_time, (SELECT max(event_time) FROM ev))) - epoch_ms(start_time), 0)")
+
+
+@register("duration_text", _status_sql(f"""
+SELECT *, CASE WHEN d < 1000 THEN concat({_duck_digits('d')}, ',', '{C.DISPLAY_DIGITS[0] * 2}', ' م.ث')
+               WHEN d < 60000 THEN concat({_duck_secs('d')}, ' ث')
+               ELSE concat({_duck_digits('d // 60000')}, 'د ', {_duck_secs('d % 60000')}, 'ث') END AS duration,
+       status = 'Failed' AND step IN ('Silver', 'Gold') AS can_resume
+FROM (SELECT *, {_DIFF} AS d FROM sv) t""".replace("SELECT *, CASE", "SELECT * EXCLUDE (d), CASE")))
+def q_duration_text(spark, sf):
+    ev = X.step_events(spark, sf)
+    now = ev.select(F.max("event_time")).scalar()
+    return CH.with_run_flags(CH.step_status(ev), now)
+
+
+_DIGITS = "CAST(regexp_extract(booking_id, '([0-9]+)', 1) AS BIGINT)"
+_CS = {
+    "dels": f"SELECT booking_id FROM gold WHERE {_DIGITS} % 101 = 0",
+    "upds": f"SELECT booking_id FROM gold WHERE {_DIGITS} % 97 = 0 AND {_DIGITS} % 101 <> 0",
+    "ins": (f"SELECT * FROM gold WHERE {_DIGITS} % 89 = 0 AND {_DIGITS} % 97 <> 0 "
+            f"AND {_DIGITS} % 101 <> 0"),
+}
+_NEW_ROWS = """SELECT {key} AS booking_id, CAST(NULL AS VARCHAR) AS _batch_id, ride_timestamp,
+ 'Completed' AS booking_status, customer_id, vehicle_type, 'Not Cancelled' AS unified_cancellation_reason,
+ booking_value, ride_distance, CASE WHEN ride_distance > 0 THEN booking_value / ride_distance ELSE CAST(0 AS DOUBLE) END AS revenue_per_km,
+ driver_ratings, customer_rating, payment_method FROM ins"""
+_UPDATED = """SELECT g.booking_id, g._batch_id, g.ride_timestamp,
+ CASE WHEN u.booking_id IS NOT NULL THEN 'Cancelled by Driver' ELSE g.booking_status END AS booking_status,
+ g.customer_id, g.vehicle_type,
+ CASE WHEN u.booking_id IS NOT NULL THEN 'Other Issue' ELSE g.unified_cancellation_reason END AS unified_cancellation_reason,
+ g.booking_value, g.ride_distance, g.revenue_per_km, g.driver_ratings, g.customer_rating, g.payment_method
+FROM gold g LEFT JOIN upds u ON u.booking_id = g.booking_id"""
+
+
+def _cs_sql(body: str) -> str:
+    return O.with_layers(body, extra=_CS)
+
+
+def _cs(spark, sf):
+    return X.change_set(spark, sf)
+
+
+@register("add_rides", _cs_sql(_NEW_ROWS.format(
+    key="concat('BOK-', upper(substring(md5(concat('NEW-', booking_id)), 1, 10)))")))
+def q_add_rides(spark, sf):
+    ins = _cs(spark, sf).where(F.col("op") == "insert")
+    return CH.add_rides(ins, key_seed="booking_id")
+
+
+@register("update_status", _cs_sql(_UPDATED))
+def q_update_status(spark, sf):
+    upd = _cs(spark, sf).where(F.col("op") == "update")
+    return CH.update_status(gold(spark, sf), upd)
+
+
+@register("delete_rides", _cs_sql("SELECT * FROM gold WHERE booking_id NOT IN (SELECT booking_id FROM dels)"))
+def q_delete_rides(spark, sf):
+    dels = _cs(spark, sf).where(F.col("op") == "delete")
+    return CH.delete_rides(gold(spark, sf), dels)
+
+
+_APPLIED = (f"SELECT * FROM ({_UPDATED}) x WHERE booking_id NOT IN (SELECT booking_id FROM dels) "
+            f"UNION ALL {_NEW_ROWS.format(key=chr(39) + 'NEW-' + chr(39) + ' || booking_id')}")
+
+
+@register("apply_changes", _cs_sql(_APPLIED))
+def q_apply_changes(spark, sf):
+    return CH.apply_changes(gold(spark, sf), _cs(spark, sf))
+
+
+@register("snapshot_diff", O.with_layers("""
+SELECT booking_id, 'deleted' AS change FROM dels
+UNION ALL SELECT booking_id, 'changed' FROM upds
+UNION ALL SELECT 'NEW-' || booking_id, 'inserted' FROM ins""", extra=_CS))
+def q_snapshot_diff(spark, sf):
+    g = gold(spark, sf)
+    return CH.snapshot_diff(g, CH.apply_changes(g, _cs(spark, sf)), "booking_id")

@@ -22,7 +22,7 @@ def _c(c: ColumnOrName) -> Column:
 
 
 # Blank (any whitespace) or the text ``null`` in any case, with blanks around.
-NULLISH_PATTERN = r"^\s*((?i)null)?\s*$"
+NULLISH_PATTERN = r"^\s*(?i:null)?\s*$"
 
 
 def is_nullish(c: ColumnOrName) -> Column:
@@ -191,21 +191,27 @@ def duration_text(start: ColumnOrName, end: ColumnOrName, now: Column | None = N
     negative spans count as 0; under 1 s in ms, under 60 s in s, otherwise
     whole minutes + seconds, both with two decimals."""
     start, end = _c(start), _c(end)
-    now = now if now is not None else F.current_timestamp()
-    end_ = F.coalesce(end.cast("timestamp"), now.cast("timestamp"))
-    diff_ms = F.greatest(
-        (F.unix_micros(end_) - F.unix_micros(start.cast("timestamp"))) / F.lit(1000.0),
-        F.lit(0.0))
-
-    def fx(x: Column) -> Column:
-        return F.translate(F.format_string("%.2f", x), "0123456789.", digits + ",")
-
-    minutes = F.floor(diff_ms / 60000).cast("long")
-    rem_s = (diff_ms - minutes * 60000) / 1000.0
-    return (F.when(diff_ms < 1000, F.concat(fx(diff_ms), F.lit(ms_unit)))
-            .when(diff_ms < 60000, F.concat(fx(diff_ms / 1000.0), F.lit(s_unit)))
-            .otherwise(F.concat(F.translate(minutes.cast("string"), "0123456789", digits),
-                                F.lit(min_unit), fx(rem_s), F.lit(min_s_unit))))
+    now = now if now is not None else F.localtimestamp()
+    # Whole milliseconds, as a browser clock has them.
+    end_ms = F.unix_millis(F.coalesce(end, now).cast("timestamp_ntz").cast("timestamp"))
+    start_ms = F.unix_millis(start.cast("timestamp_ntz").cast("timestamp"))
+    diff = F.greatest(end_ms - start_ms, F.lit(0))
+
+    def digits_of(x: Column) -> Column:
+        return F.translate(x.cast("string"), "0123456789", digits)
+
+    def ms_as_seconds(ms: Column) -> Column:
+        # ms / 1000 with two decimals, half up, in integers: "s,cc".
+        cs = F.floor((ms + 5) / 10).cast("long")
+        return F.concat(digits_of(F.floor(cs / 100).cast("long")), F.lit(","),
+                        digits_of(F.lpad((cs % 100).cast("string"), 2, "0")))
+
+    minutes = F.floor(diff / 60000).cast("long")
+    return (F.when(diff < 1000, F.concat(digits_of(diff), F.lit(","), F.lit(digits[0] * 2),
+                                         F.lit(ms_unit)))
+            .when(diff < 60000, F.concat(ms_as_seconds(diff), F.lit(s_unit)))
+            .otherwise(F.concat(digits_of(minutes), F.lit(min_unit),
+                                ms_as_seconds(diff % 60000), F.lit(min_s_unit))))
 
 
 RESUMABLE_STEPS = ("Silver", "Gold")
