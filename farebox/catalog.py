@@ -543,3 +543,256 @@ UNION ALL SELECT 'NEW-' || booking_id, 'inserted' FROM ins""", extra=_CS))
 def q_snapshot_diff(spark, sf):
     g = gold(spark, sf)
     return CH.snapshot_diff(g, CH.apply_changes(g, _cs(spark, sf)), "booking_id")
+
+
+# --- scalar functions (P) over the layers ------------------------------------------
+
+from farebox.functions import labels as LB  # noqa: E402
+
+
+def raw(spark, sf):
+    return X.ride_raw_text(spark, sf)
+
+
+def _raw_sql(body: str) -> str:
+    return O.with_layers(body.replace("AS STRING", "AS VARCHAR"), raw=True)
+
+
+_DUCK_NULLISH = "({c} IS NULL OR regexp_matches({c}, '^\\s*(?i:null)?\\s*$'))"
+
+
+def _dn(c: str) -> str:
+    return _DUCK_NULLISH.format(c=c)
+
+
+@register("parse_flag", _raw_sql(", ".join(
+    ["SELECT _id"] + [f"CASE WHEN {_dn(c)} THEN NULL ELSE {c} = '1' END AS {c}"
+                      for c in ("cancelled_by_customer", "cancelled_by_driver", "incomplete_rides")])
+    + " FROM raw"))
+def q_parse_flag(spark, sf):
+    return raw(spark, sf).select("_id", *[C.parse_flag(c).alias(c) for c in
+                                          ("cancelled_by_customer", "cancelled_by_driver", "incomplete_rides")])
+
+
+_NUM_BAD = ("(regexp_matches(trim({c}), '[dDfF]$') OR regexp_matches(trim({c}), '\\..*,') "
+            "OR regexp_matches(trim({c}), '^[+-]?,'))")
+
+
+def _duck_number(c: str) -> str:
+    return (f"CASE WHEN {_dn(c)} OR {_NUM_BAD.format(c=c)} THEN NULL "
+            f"ELSE TRY_CAST(replace(trim({c}), ',', '') AS DOUBLE) END")
+
+
+@register("parse_number", _raw_sql(
+    "SELECT _id, " + ", ".join(f"{_duck_number(c)} AS {c}" for c in
+                               ("booking_value", "ride_distance", "driver_ratings", "customer_rating"))
+    + " FROM raw"))
+def q_parse_number(spark, sf):
+    return raw(spark, sf).select("_id", *[C.parse_number(c).alias(c) for c in
+                                          ("booking_value", "ride_distance", "driver_ratings", "customer_rating")])
+
+
+@register("parse_date", _raw_sql("""
+SELECT _id, CASE WHEN {n} THEN NULL ELSE CAST(coalesce(try_strptime(trim(ride_date), '%Y-%m-%d'),
+  try_strptime(trim(ride_date), '%m/%d/%Y'), try_strptime(trim(ride_date), '%Y/%m/%d'),
+  try_strptime(trim(ride_date), '%d %b %Y')) AS DATE) END AS ride_date FROM raw""".replace("{n}", _dn("ride_date"))))
+def q_parse_date(spark, sf):
+    return raw(spark, sf).select("_id", C.parse_date("ride_date").alias("ride_date"))
+
+
+@register("null_literal", _raw_sql(
+    "SELECT _id, " + ", ".join(f"{_dn(c)} AS {c}" for c in ("ride_date", "cancelled_by_customer",
+                                                             "booking_value", "payment_method"))
+    + " FROM raw"))
+def q_null_literal(spark, sf):
+    return raw(spark, sf).select("_id", *[C.is_nullish(c).alias(c) for c in
+                                          ("ride_date", "cancelled_by_customer", "booking_value", "payment_method")])
+
+
+@register("combine_timestamp", O.with_layers(
+    "SELECT _id, CAST(concat(CAST(ride_date AS VARCHAR), ' ', trim(ride_time)) AS TIMESTAMP) AS ride_timestamp FROM bronze"))
+def q_combine_timestamp(spark, sf):
+    return X.ride_bronze(spark, sf).select("_id", C.combine_timestamp("ride_date", "ride_time").alias("ride_timestamp"))
+
+
+_TRIMMED = ("booking_id", "booking_status", "customer_id", "vehicle_type")
+
+
+@register("trim_columns", O.with_layers(
+    "SELECT _id, " + ", ".join(f"trim({c}) AS {c}" for c in _TRIMMED) + " FROM bronze"))
+def q_trim_columns(spark, sf):
+    return X.ride_bronze(spark, sf).select("_id", *[C.trim_spaces(c).alias(c) for c in _TRIMMED])
+
+
+@register("unify_reason", O.with_layers("""
+SELECT _id, CASE WHEN booking_status = 'Cancelled by Customer' THEN reason_customer
+ WHEN booking_status = 'Cancelled by Driver' THEN driver_reason
+ WHEN booking_status = 'Incomplete' THEN incomplete_reason ELSE 'Not Cancelled' END AS unified_cancellation_reason
+FROM bronze"""))
+def q_unify_reason(spark, sf):
+    return X.ride_bronze(spark, sf).select("_id", C.unify_reason(
+        "booking_status", "reason_customer", "driver_reason", "incomplete_reason")
+        .alias("unified_cancellation_reason"))
+
+
+@register("fill_measures", O.with_layers(
+    "SELECT _id, coalesce(booking_value, 0) AS booking_value, coalesce(ride_distance, 0) AS ride_distance FROM bronze"))
+def q_fill_measures(spark, sf):
+    return X.ride_bronze(spark, sf).select("_id", C.fill_zero("booking_value").alias("booking_value"),
+                                           C.fill_zero("ride_distance").alias("ride_distance"))
+
+
+@register("default_payment", O.with_layers("""
+SELECT _id, CASE WHEN payment_method IS NULL OR lower(trim(payment_method)) = 'null' THEN 'Not Specified'
+ ELSE trim(payment_method) END AS payment_method FROM bronze"""))
+def q_default_payment(spark, sf):
+    return X.ride_bronze(spark, sf).select("_id", C.default_payment("payment_method").alias("payment_method"))
+
+
+_QUOTED = ("booking_id", "booking_status", "customer_id", "vehicle_type", "payment_method")
+
+
+@register("strip_quotes", O.with_layers(
+    "SELECT _id, " + ", ".join(f"trim(trim({c}), '\"') AS {c}" for c in _QUOTED) + " FROM silver"))
+def q_strip_quotes(spark, sf):
+    return X.ride_silver(spark, sf).select("_id", *[C.strip_quotes(c).alias(c) for c in _QUOTED])
+
+
+@register("safe_ratio", O.with_layers(
+    "SELECT _id, CASE WHEN ride_distance > 0 THEN booking_value / ride_distance ELSE CAST(0 AS DOUBLE) END "
+    "AS revenue_per_km FROM silver"))
+def q_safe_ratio(spark, sf):
+    return X.ride_silver(spark, sf).select("_id", C.safe_ratio("booking_value", "ride_distance")
+                                           .alias("revenue_per_km"))
+
+
+@register("hash_uuid", O.with_layers(
+    "SELECT booking_id, regexp_replace(md5(booking_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', "
+    "'\\1-\\2-\\3-\\4-\\5') AS point_id FROM gold"))
+def q_hash_uuid(spark, sf):
+    return gold(spark, sf).select("booking_id", C.hash_uuid("booking_id").alias("point_id"))
+
+
+@register("generate_key", O.with_layers(
+    "SELECT booking_id, concat('BOK-', upper(substring(md5(booking_id), 1, 10))) AS new_key FROM gold"))
+def q_generate_key(spark, sf):
+    return gold(spark, sf).select("booking_id", C.generate_key("booking_id").alias("new_key"))
+
+
+@register("hour_of_day", O.with_layers(
+    "SELECT booking_id, CAST(hour(ride_timestamp) AS INTEGER) AS hour FROM gold"))
+def q_hour_of_day(spark, sf):
+    return gold(spark, sf).select("booking_id", C.hour_of_day("ride_timestamp").alias("hour"))
+
+
+@register("round2", O.with_layers(
+    "SELECT booking_id, CAST(round(CAST(revenue_per_km AS DECIMAL(38,10)), 2) AS DOUBLE) AS revenue_per_km FROM gold"))
+def q_round2(spark, sf):
+    return gold(spark, sf).select("booking_id", C.round_half_up("revenue_per_km", 2).alias("revenue_per_km"))
+
+
+_TS_TEXT = ("CASE {d} % 3 WHEN 0 THEN strftime(ride_timestamp, '%Y-%m-%dT%H:%M:%S') "
+            "WHEN 1 THEN concat(strftime(ride_timestamp, '%Y-%m-%dT%H:%M:%S'), 'Z') "
+            "ELSE concat(strftime(ride_timestamp, '%Y-%m-%dT%H:%M:%S'), '+03:30') END")
+
+
+@register("as_utc", O.with_layers(
+    "SELECT booking_id, epoch_ms(CAST(CASE WHEN regexp_matches(t, '[Zz]') OR regexp_matches(t, '[+-]\\d{2}:?\\d{2}$') "
+    "THEN t ELSE concat(t, 'Z') END AS TIMESTAMPTZ)) AS utc_ms FROM (SELECT booking_id, "
+    + _TS_TEXT.format(d=_DIGITS) + " AS t FROM gold) x"))
+def q_as_utc(spark, sf):
+    g = gold(spark, sf)
+    base = F.date_format("ride_timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    d = X.key_digits() % 3
+    text = F.when(d == 0, base).when(d == 1, F.concat(base, F.lit("Z"))) \
+        .otherwise(F.concat(base, F.lit("+03:30")))
+    return g.select("booking_id", F.unix_millis(C.as_utc(text)).alias("utc_ms"))
+
+
+@register("code_label", O.with_layers(f"""
+SELECT g.*, coalesce(s.label, g.booking_status) AS status_label, coalesce(v.label, g.vehicle_type) AS vehicle_label,
+ coalesce(p.label, coalesce(g.payment_method, '')) AS payment_label,
+ CASE WHEN g.unified_cancellation_reason IS NULL OR g.unified_cancellation_reason = '' THEN ''
+      ELSE coalesce(r.label, g.unified_cancellation_reason) END AS reason_label
+FROM gold g
+LEFT JOIN lab s ON s.kind = 'status' AND s.code = g.booking_status
+LEFT JOIN lab v ON v.kind = 'vehicle' AND v.code = g.vehicle_type
+LEFT JOIN lab p ON p.kind = 'payment' AND p.code = coalesce(g.payment_method, '')
+LEFT JOIN lab r ON r.kind = 'reason' AND r.code = g.unified_cancellation_reason AND r.status = g.booking_status""",
+    extra={"lab": f"SELECT * FROM (VALUES {LB.labels_sql_values()}) t(kind, status, code, label)"}))
+def q_code_label(spark, sf):
+    return LB.label_rides(gold(spark, sf))
+
+
+@register("format_number_text", O.with_layers(
+    f"SELECT booking_id, coalesce(translate(printf('%.2f', booking_value), '0123456789.', "
+    f"'{C.DISPLAY_DIGITS},'), '{C.DISPLAY_DIGITS[0]}') AS value_text FROM gold"))
+def q_format_number_text(spark, sf):
+    return gold(spark, sf).select("booking_id", C.format_number_text("booking_value", 2).alias("value_text"))
+
+
+@register("calc_flags", _status_sql(
+    "SELECT batch_id, status = 'Failed' AND step IN ('Silver', 'Gold') AS can_resume FROM sv"))
+def q_calc_flags(spark, sf):
+    return status_view(spark, sf).select("batch_id", C.can_resume("status", "step").alias("can_resume"))
+
+
+# --- filters (F) -----------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+_F1_START, _F1_END = _dt.datetime(2024, 1, 10), _dt.datetime(2024, 1, 20, 12, 0)
+
+
+@register("dashboard_filter", O.with_layers(
+    "SELECT * FROM gold WHERE vehicle_type = 'Go Mini' AND ride_timestamp >= TIMESTAMP '2024-01-10 00:00:00' "
+    "AND ride_timestamp <= TIMESTAMP '2024-01-20 12:00:00'"))
+def q_dashboard_filter(spark, sf):
+    return FL.dashboard_filter(gold(spark, sf), "Go Mini", _F1_START, _F1_END)
+
+
+@register("ride_filter", O.with_layers(
+    "SELECT * FROM gold WHERE booking_status = 'Cancelled by Driver' AND vehicle_type = 'Auto'"))
+def q_ride_filter(spark, sf):
+    return FL.ride_filter(gold(spark, sf), status="Cancelled by Driver", vehicle="Auto")
+
+
+@register("valid_key", O.with_layers("SELECT * FROM bronze WHERE booking_id IS NOT NULL AND booking_id <> 'null'"))
+def q_valid_key(spark, sf):
+    return X.ride_bronze(spark, sf).where(FL.valid_key("booking_id"))
+
+
+@register("exclude_value", O.with_layers("SELECT * FROM gold WHERE unified_cancellation_reason <> 'Not Cancelled'"))
+def q_exclude_value(spark, sf):
+    return gold(spark, sf).where(FL.exclude_value())
+
+
+@register("in_list", O.with_layers("SELECT * FROM gold WHERE vehicle_type IN ('Uber XL', 'Premier Sedan', 'Go Sedan')"))
+def q_in_list(spark, sf):
+    return gold(spark, sf).where(FL.in_list("vehicle_type", R.SEGMENT_VEHICLES))
+
+
+@register("range_predicates", O.with_layers(
+    "SELECT * FROM gold WHERE booking_value > 300 AND ride_distance BETWEEN 5 AND 50"))
+def q_range_predicates(spark, sf):
+    return gold(spark, sf).where((F.col("booking_value") > 300) & FL.between("ride_distance", 5, 50))
+
+
+@register("not_null", O.with_layers("SELECT * FROM gold WHERE driver_ratings IS NOT NULL"))
+def q_not_null(spark, sf):
+    return gold(spark, sf).where(FL.not_null("driver_ratings"))
+
+
+@register("recent_interval", O.with_layers(
+    "SELECT * FROM gold WHERE ride_timestamp >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 1 MONTH"))
+def q_recent_interval(spark, sf):
+    return gold(spark, sf).where(FL.recent_interval("ride_timestamp", _dt.datetime(2024, 2, 10)))
+
+
+@register("rating_check", O.with_layers("""
+SELECT count(*) AS rows_checked,
+ count(*) FILTER (WHERE NOT (driver_ratings IS NULL OR (driver_ratings >= 0 AND driver_ratings <= 5 AND NOT isnan(driver_ratings)))) AS bad_driver_ratings,
+ count(*) FILTER (WHERE NOT (customer_rating IS NULL OR (customer_rating >= 0 AND customer_rating <= 5 AND NOT isnan(customer_rating)))) AS bad_customer_rating
+FROM gold"""))
+def q_rating_check(spark, sf):
+    return M.quality_report(gold(spark, sf))
