@@ -796,3 +796,128 @@ SELECT count(*) AS rows_checked,
 FROM gold"""))
 def q_rating_check(spark, sf):
     return M.quality_report(gold(spark, sf))
+
+
+# --- CSV sources, layer tables and the medallion run -------------------------------
+
+from farebox.operators import pipeline as PL  # noqa: E402
+from farebox.session import work_path  # noqa: E402
+from farebox.sources import csv as CSV  # noqa: E402
+from farebox.sources import layers as LY  # noqa: E402
+
+_CSV_TEXT = ", ".join(f"coalesce({c}, '') AS {c}" for c in (
+    "ride_date", "ride_time", "booking_id", "booking_status", "customer_id", "vehicle_type",
+    "cancelled_by_customer", "reason_customer", "cancelled_by_driver", "driver_reason",
+    "incomplete_rides", "incomplete_reason", "booking_value", "ride_distance", "driver_ratings",
+    "customer_rating", "payment_method"))
+
+
+def _duck_date(c: str) -> str:
+    return (f"CASE WHEN {_dn(c)} THEN NULL ELSE CAST(coalesce(try_strptime(trim({c}), '%Y-%m-%d'), "
+            f"try_strptime(trim({c}), '%m/%d/%Y'), try_strptime(trim({c}), '%Y/%m/%d'), "
+            f"try_strptime(trim({c}), '%d %b %Y')) AS DATE) END")
+
+
+def _duck_flag(c: str) -> str:
+    return f"CASE WHEN {_dn(c)} THEN NULL ELSE {c} = '1' END"
+
+
+_PARSED = ("SELECT _id, _batch_id, " + _duck_date("ride_date") + " AS ride_date, ride_time, booking_id, "
+           "booking_status, customer_id, vehicle_type, "
+           + ", ".join(f"{_duck_flag(c)} AS {c}" if c.startswith(("cancelled", "incomplete_rides"))
+                       else c for c in ("cancelled_by_customer", "reason_customer", "cancelled_by_driver",
+                                        "driver_reason", "incomplete_rides", "incomplete_reason"))
+           + ", " + ", ".join(f"{_duck_number(c)} AS {c}" for c in
+                              ("booking_value", "ride_distance", "driver_ratings", "customer_rating"))
+           + ", payment_method FROM csvt")
+_P_SILVER = O.SILVER.replace("FROM bronze", "FROM pb").replace(
+    "CAST(concat(CAST(ride_date AS VARCHAR),' ',ride_time) AS TIMESTAMP)",
+    "CASE WHEN ride_date IS NULL THEN NULL ELSE CAST(concat(CAST(ride_date AS VARCHAR),' ',trim(ride_time)) AS TIMESTAMP) END")
+_P_GOLD = O.GOLD.replace("FROM silver", "FROM ps")
+_PIPE = {"csvt": f"SELECT _id, _batch_id, {_CSV_TEXT} FROM raw", "pb": _PARSED, "ps": _P_SILVER,
+         "pg": _P_GOLD}
+
+
+def _pipe_sql(body: str) -> str:
+    return O.with_layers(body.replace("AS STRING", "AS VARCHAR"), raw=True, extra=_PIPE)
+
+
+def _folder(spark, sf):
+    return X.ride_csv_folder(spark, sf)
+
+
+@register("csv_scan", _pipe_sql(f"SELECT {_CSV_TEXT} FROM raw"))
+def q_csv_scan(spark, sf):
+    base, _ = _folder(spark, sf)
+    return CSV.csv_scan(spark, f"{base}/*")
+
+
+@register("csv_source_filter", _pipe_sql("SELECT _batch_id AS batch_folder, count(*) AS rows FROM raw GROUP BY 1"))
+def q_csv_source_filter(spark, sf):
+    base, _ = _folder(spark, sf)
+    df = CSV.csv_scan(spark, f"{base}/*", with_file=True)
+    return df.groupBy(F.regexp_extract("_file", r"/(batch-[0-9]+)/[^/]*$", 1).alias("batch_folder")) \
+        .agg(F.count(F.lit(1)).alias("rows"))
+
+
+_BRONZE_OUT = ["_batch_id", "ride_date", "ride_time", "booking_id", "booking_status", "customer_id",
+               "vehicle_type", "cancelled_by_customer", "reason_customer", "cancelled_by_driver",
+               "driver_reason", "incomplete_rides", "incomplete_reason", "booking_value", "ride_distance",
+               "driver_ratings", "customer_rating", "payment_method"]
+
+
+@register("to_bronze", _pipe_sql(f"SELECT {', '.join(_BRONZE_OUT)} FROM pb"))
+def q_to_bronze(spark, sf):
+    base, batches = _folder(spark, sf)
+    parts = [M.to_bronze(CSV.csv_scan(spark, f"{base}/{b}"), b) for b in batches]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*_BRONZE_OUT)
+
+
+def _pipeline(spark, sf, steps=("Bronze", "Silver", "Gold")) -> PL.Pipeline:
+    base, batches = _folder(spark, sf)
+    pipe = PL.Pipeline(spark, work_path(spark, "layers"))
+    for b in batches:
+        ok = pipe.to_bronze(b, f"{base}/{b}") >= 0
+        if ok and "Silver" in steps:
+            pipe.to_silver(b)
+        if ok and "Gold" in steps:
+            pipe.to_gold(b)
+    return pipe
+
+
+@register("bronze_load", _pipe_sql(f"SELECT {', '.join(_BRONZE_OUT)} FROM pb"))
+def q_bronze_load(spark, sf):
+    pipe = _pipeline(spark, sf, ("Bronze",))
+    return LY.layer_scan(spark, pipe.bronze_path).select(*_BRONZE_OUT)
+
+
+_SILVER_OUT = [
+    "_batch_id", "ride_timestamp", "booking_id", "booking_status", "customer_id", "vehicle_type",
+    "unified_cancellation_reason", "booking_value", "ride_distance", "driver_ratings",
+    "customer_rating", "payment_method"]
+
+
+@register("layer_scan", _pipe_sql(f"SELECT {', '.join(_SILVER_OUT)} FROM ps WHERE _batch_id = 'batch-1'"))
+def q_layer_scan(spark, sf):
+    pipe = _pipeline(spark, sf, ("Bronze", "Silver"))
+    return LY.layer_scan(spark, pipe.silver_path, "batch-1").select(*_SILVER_OUT)
+
+
+@register("batch_replace_sink", _pipe_sql(f"SELECT {', '.join(_SILVER_OUT)} FROM ps"))
+def q_batch_replace_sink(spark, sf):
+    pipe = _pipeline(spark, sf, ("Bronze", "Silver"))
+    pipe.to_silver("batch-1")  # a rerun replaces the batch, it does not add to it
+    return LY.layer_scan(spark, pipe.silver_path).select(*_SILVER_OUT)
+
+
+@register("run_pipeline", _pipe_sql("SELECT * FROM pg"))
+def q_run_pipeline(spark, sf):
+    base, batches = _folder(spark, sf)
+    pipe = PL.Pipeline(spark, work_path(spark, "layers"))
+    for b in batches:
+        if not pipe.run(b, f"{base}/{b}"):
+            raise RuntimeError(pipe.status().where(F.col("batch_id") == b).first()["error_message"])
+    return pipe.gold().select(*M.sch.GOLD_COLUMNS)

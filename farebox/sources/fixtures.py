@@ -186,3 +186,31 @@ FROM {gold}
 def statement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(STATEMENT_LOG_SQL, conversations=table(spark, sf_dir, "conversations"),
                      gold=ride_gold(spark, sf_dir))
+
+
+def _put_file(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    if text:
+        out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def ride_csv_folder(spark: SparkSession, sf_dir: str, base: str | None = None) -> tuple[str, list[str]]:
+    """Write the raw ride text as a drop folder: one CSV per batch in load
+    order, plus an empty ``.CSV`` and a ``.txt`` file that the source must
+    skip. Returns (folder, batch ids in name order)."""
+    from farebox.session import work_path
+    from farebox.sources.csv import write_csv
+    base = base or work_path(spark, "ride-csv")
+    raw = ride_raw_text(spark, sf_dir)
+    # The batch ids: three by construction of the fixture.
+    batches = [r[0] for r in raw.select("_batch_id").distinct().orderBy("_batch_id").collect()]
+    for b in batches:
+        rows = raw.where(F.col("_batch_id") == b).orderBy("_id").drop("_id", "_batch_id").coalesce(1)
+        write_csv(rows, f"{base}/{b}")
+        _put_file(spark, f"{base}/{b}/empty.CSV", "")
+        _put_file(spark, f"{base}/{b}/notes.txt", "not,a,ride\n1,2,3\n")
+    return base, batches
