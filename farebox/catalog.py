@@ -921,3 +921,129 @@ def q_run_pipeline(spark, sf):
         if not pipe.run(b, f"{base}/{b}"):
             raise RuntimeError(pipe.status().where(F.col("batch_id") == b).first()["error_message"])
     return pipe.gold().select(*M.sch.GOLD_COLUMNS)
+
+
+# --- vectors: embed, sync, search -------------------------------------------------
+
+from farebox.operators import vectors as V  # noqa: E402
+
+
+def _duck_embedding_sql(src: str, col: str, dims: int = V.DEFAULT_DIMS) -> str:
+    """DuckDB text of the token-hash embedder over ``src``: adds ``embedding``."""
+    toks = f"list_filter(string_split_regex(lower({col}), '[^a-z0-9]+'), lambda x: length(x) > 0)"
+    marks = (f"list_transform({toks}, lambda t: {{'b': CAST(CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % {dims} AS INTEGER), "
+             f"'s': CASE WHEN CAST('0x' || substring(md5(t), 9, 1) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END}})")
+    raw_v = (f"list_transform(range({dims}), lambda i: coalesce(list_sum(list_transform(mk, "
+             f"lambda m: CASE WHEN m.b = i THEN m.s ELSE 0.0::DOUBLE END)), 0.0::DOUBLE))")
+    return (f"SELECT * EXCLUDE (mk, rv, nv), list_transform(rv, lambda x: CAST(CASE WHEN nv > 0 THEN x / nv ELSE 0.0 END AS FLOAT)) AS embedding "
+            f"FROM (SELECT *, sqrt(list_sum(list_transform(rv, lambda y: y * y))) AS nv FROM "
+            f"(SELECT *, {raw_v} AS rv FROM (SELECT *, {marks} AS mk FROM {src}) a) b) c")
+
+
+_UUID = "regexp_replace(md5(booking_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+_VEC = {
+    "g2": f"SELECT *, {_DIGITS} AS _d FROM gold",
+    "src": f"SELECT {_UUID} AS id, booking_id, unified_cancellation_reason AS reason FROM gold "
+           f"WHERE unified_cancellation_reason <> 'Not Cancelled'",
+    "idx": (f"SELECT {_UUID} AS id, unified_cancellation_reason AS reason, booking_id FROM g2 "
+            f"WHERE unified_cancellation_reason <> 'Not Cancelled' AND _d % 5 <> 0 "
+            f"UNION ALL SELECT {_UUID}, unified_cancellation_reason, booking_id FROM g2 "
+            f"WHERE unified_cancellation_reason = 'Not Cancelled' AND _d % 97 = 0 "
+            f"UNION ALL SELECT 'legacy-' || booking_id, unified_cancellation_reason, booking_id FROM g2 "
+            f"WHERE unified_cancellation_reason <> 'Not Cancelled' AND _d % 53 = 0"),
+    "ids": f"SELECT id FROM idx WHERE regexp_matches(id, '{V.UUID_PATTERN}')",
+    "orph": "SELECT id FROM ids WHERE id NOT IN (SELECT id FROM src)",
+    "miss": "SELECT * FROM src WHERE id NOT IN (SELECT id FROM ids)",
+}
+
+
+def _vec_sql(body: str) -> str:
+    return O.with_layers(body, extra=_VEC)
+
+
+def _sync(spark, sf):
+    return X.vector_sync_fixture(spark, sf)
+
+
+@register("embed_text", O.with_layers(
+    "SELECT reason, embedding FROM emb", extra={
+        "rs": "SELECT DISTINCT unified_cancellation_reason AS reason FROM gold "
+              "WHERE unified_cancellation_reason <> 'Not Cancelled'",
+        "emb": _duck_embedding_sql("rs", "reason")}))
+def q_embed_text(spark, sf):
+    r = gold(spark, sf).where(FL.exclude_value()).select(
+        F.col("unified_cancellation_reason").alias("reason")).distinct()
+    return r.select("reason", V.hashed_embedding("reason").alias("embedding"))
+
+
+@register("vector_ids_scan", _vec_sql("SELECT id FROM ids"))
+def q_vector_ids_scan(spark, sf):
+    return V.index_ids(_sync(spark, sf)[1])
+
+
+@register("orphan_ids", _vec_sql("SELECT id FROM orph"))
+def q_orphan_ids(spark, sf):
+    src, idx = _sync(spark, sf)
+    return V.orphan_ids(idx, src)
+
+
+@register("missing_ids", _vec_sql("SELECT id, booking_id, reason FROM miss"))
+def q_missing_ids(spark, sf):
+    src, idx = _sync(spark, sf)
+    return V.missing_ids(src, idx)
+
+
+@register("sync_plan", _vec_sql(
+    "SELECT id, CAST(NULL AS VARCHAR) AS booking_id, CAST(NULL AS VARCHAR) AS reason, 'delete' AS action FROM orph "
+    "UNION ALL SELECT id, booking_id, reason, 'insert' FROM miss"))
+def q_sync_plan(spark, sf):
+    src, idx = _sync(spark, sf)
+    return V.sync_plan(src, idx)
+
+
+@register("delete_guard", _vec_sql("""
+SELECT i.n AS index_count, d.n AS delete_count, s.n AS source_count,
+       d.n > 0 AND NOT (d.n = i.n AND s.n > 0) AS apply_deletes
+FROM (SELECT count(*) AS n FROM ids) i, (SELECT count(*) AS n FROM orph) d, (SELECT count(*) AS n FROM src) s"""))
+def q_delete_guard(spark, sf):
+    src, idx = _sync(spark, sf)
+    return V.delete_guard(src, idx)
+
+
+@register("apply_sync", _vec_sql("""
+SELECT id, reason, booking_id, true AS has_vector FROM idx WHERE id NOT IN (SELECT id FROM orph)
+UNION ALL SELECT id, reason, booking_id, true FROM miss"""))
+def q_apply_sync(spark, sf):
+    src, idx = _sync(spark, sf)
+    out = V.apply_sync(src, idx)
+    return out.select("id", "reason", "booking_id", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@register("vector_table_sink", _vec_sql("SELECT id, reason, booking_id FROM src"))
+def q_vector_table_sink(spark, sf):
+    src, idx = _sync(spark, sf)
+    pts = src.withColumn("embedding", V.hashed_embedding("reason"))
+    empty = idx.limit(0)
+    once = V.upsert(empty, pts)
+    return V.upsert(once, pts).select("id", "reason", "booking_id")
+
+
+@register("cosine_topk", """
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 5),
+ ix AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ s AS (SELECT q.query_id, ix.id,
+         list_inner_product(q.qv, ix.v) / (sqrt(list_inner_product(q.qv, q.qv)) * sqrt(list_inner_product(ix.v, ix.v))) AS score
+       FROM q CROSS JOIN ix)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) t WHERE rank <= 5""")
+def q_cosine_topk(spark, sf):
+    idx = X.embedding_index(spark, sf)
+    out = V.cosine_topk(idx, X.embedding_queries(spark, sf), 5)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("semantic_rides")
+def q_semantic_rides(spark, sf):
+    src, idx = _sync(spark, sf)
+    index = V.apply_sync(src, idx)
+    return V.semantic_rides(gold(spark, sf), index, "driver asked me to cancel the ride")

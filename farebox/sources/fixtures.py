@@ -214,3 +214,28 @@ def ride_csv_folder(spark: SparkSession, sf_dir: str, base: str | None = None) -
         _put_file(spark, f"{base}/{b}/empty.CSV", "")
         _put_file(spark, f"{base}/{b}/notes.txt", "not,a,ride\n1,2,3\n")
     return base, batches
+
+
+def vector_sync_fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(source, index) for the vector sync, both derived from gold.
+
+    source = cancelled rides; index = cancelled rides whose key digits mod 5
+    are not 0 (the rest are missing), rides that are not cancelled and whose
+    digits mod 97 are 0 (orphans), and non-UUID legacy ids for digits mod 53
+    = 0 (skipped by the id scan).
+    """
+    from farebox.functions import columns as C
+    from farebox.operators import vectors as V
+    g = ride_gold(spark, sf_dir).withColumn("_d", key_digits())
+    source = V.sync_source(g)
+    reason = F.col("unified_cancellation_reason")
+    point = [F.col("id"), F.col("embedding"), reason.alias("reason"), F.col("booking_id")]
+    g = V.embed_distinct(g, "unified_cancellation_reason")
+    cancelled = g.where(reason != "Not Cancelled")
+    kept = cancelled.where(F.col("_d") % 5 != 0).withColumn("id", C.hash_uuid("booking_id"))
+    orphans = g.where((reason == "Not Cancelled") & (F.col("_d") % 97 == 0)) \
+        .withColumn("id", C.hash_uuid("booking_id"))
+    legacy = cancelled.where(F.col("_d") % 53 == 0).withColumn(
+        "id", F.concat(F.lit("legacy-"), F.col("booking_id")))
+    index = kept.select(*point).unionByName(orphans.select(*point)).unionByName(legacy.select(*point))
+    return source, index
