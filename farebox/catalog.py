@@ -1047,3 +1047,43 @@ def q_semantic_rides(spark, sf):
     src, idx = _sync(spark, sf)
     index = V.apply_sync(src, idx)
     return V.semantic_rides(gold(spark, sf), index, "driver asked me to cancel the ride")
+
+
+# --- streams --------------------------------------------------------------------
+
+from farebox.streaming import streams as ST  # noqa: E402
+
+
+@register("stream_ingest", _pipe_sql("SELECT * FROM pg"))
+def q_stream_ingest(spark, sf):
+    base, _ = _folder(spark, sf)
+    pipe = PL.Pipeline(spark, work_path(spark, "layers"))
+    ST.stream_ingest(spark, f"{base}/*", pipe, available_now=True).awaitTermination()
+    return pipe.gold().select(*M.sch.GOLD_COLUMNS)
+
+
+@register("stream_vector_sync", _vec_sql("""
+SELECT id, reason, booking_id, true AS has_vector FROM idx WHERE id NOT IN (SELECT id FROM orph)
+UNION ALL SELECT id, reason, booking_id, true FROM miss"""))
+def q_stream_vector_sync(spark, sf):
+    src, idx = _sync(spark, sf)
+    gold_path = work_path(spark, "gold")
+    gold(spark, sf).write.parquet(gold_path)
+    index = ST.VectorIndex(spark, work_path(spark, "index"))
+    index.write(idx)
+    ST.stream_vector_sync(spark, gold_path, index, available_now=True).awaitTermination()
+    return index.current().select("id", "reason", "booking_id",
+                                  F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@register("stream_dashboard", O.with_layers("""
+SELECT CAST(epoch(date_trunc('hour', ride_timestamp)) AS BIGINT) AS window_start, vehicle_type,
+       count(*) AS total, count(*) FILTER (WHERE booking_status = 'Completed') AS completed,
+       sum(booking_value) AS revenue
+FROM gold WHERE ride_timestamp IS NOT NULL GROUP BY 1, 2"""))
+def q_stream_dashboard(spark, sf):
+    gold_path = work_path(spark, "gold")
+    gold(spark, sf).write.parquet(gold_path)
+    out = ST.run_to_memory(ST.dashboard_stream(spark, gold_path), "complete")
+    return out.select(F.unix_seconds(F.col("window.start")).alias("window_start"), "vehicle_type",
+                      "total", "completed", "revenue")

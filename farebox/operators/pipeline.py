@@ -71,9 +71,10 @@ class Pipeline:
 
     # -- steps ------------------------------------------------------------------
 
-    def to_bronze(self, batch_id: str, csv_path: str) -> int:
-        """G1: CSV -> typed bronze rows of the batch."""
-        raw = CSV.csv_scan(self.spark, csv_path)
+    def to_bronze(self, batch_id: str, csv_path: str | None = None,
+                  raw: DataFrame | None = None) -> int:
+        """G1: CSV (a path, or rows already read) -> typed bronze rows."""
+        raw = raw if raw is not None else CSV.csv_scan(self.spark, csv_path)
         return LY.batch_replace(M.to_bronze(raw, batch_id), self.bronze_path, batch_id)
 
     def to_silver(self, batch_id: str) -> int:
@@ -92,7 +93,8 @@ class Pipeline:
 
     STEPS = ("Bronze", "Silver", "Gold")
 
-    def run(self, batch_id: str, csv_path: str | None = None, start: str = "Bronze") -> bool:
+    def run(self, batch_id: str, csv_path: str | None = None, start: str = "Bronze",
+            raw: DataFrame | None = None) -> bool:
         """The steps from ``start`` on, each only after the previous one
         succeeded; every failure is recorded and stops the run."""
         steps = self.STEPS[self.STEPS.index(start):]
@@ -100,7 +102,7 @@ class Pipeline:
             self.record(batch_id, step, "Processing")
             try:
                 if step == "Bronze":
-                    rows = self.to_bronze(batch_id, csv_path)
+                    rows = self.to_bronze(batch_id, csv_path, raw)
                 elif step == "Silver":
                     rows = self.to_silver(batch_id)
                 else:

@@ -33,6 +33,18 @@ def short_row_guard(last_field: Column, corrupt: Column) -> Column:
                   F.raise_error(F.concat(F.lit("CSV row has too few fields: "), corrupt)))
 
 
+def clean_csv_rows(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
+    """The 17 text columns of raw CSV rows: empty field -> '', and a row with
+    too few fields fails the job. Shared by the batch and streaming scans."""
+    last = sch.CSV_COLUMNS[-1]
+    # The guard is NULL unless it raises; folded into the last field so it is
+    # evaluated on every row that is read.
+    guard = short_row_guard(F.col(last), F.col(sch.CORRUPT_COLUMN)).cast("string")
+    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in sch.CSV_COLUMNS[:-1]]
+    cols.append(F.coalesce(guard, F.col(last), F.lit("")).alias(last))
+    return df.select(*cols, *(extra or []))
+
+
 def csv_scan(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_BYTES,
              with_file: bool = False) -> DataFrame:
     """S1 + S3: 17 text columns by position (header names ignored), RFC 4180
@@ -48,17 +60,23 @@ def csv_scan(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_
     if max_bytes is not None:
         keep = keep & (size <= max_bytes)
     df = df.where(keep)
-    last = sch.CSV_COLUMNS[-1]
-    # The guard is NULL unless it raises; folded into the last field so it is
-    # evaluated on every row that is read.
-    guard = short_row_guard(F.col(last), F.col(sch.CORRUPT_COLUMN)).cast("string")
-    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in sch.CSV_COLUMNS[:-1]]
-    cols.append(F.coalesce(guard, F.col(last), F.lit("")).alias(last))
     extra = []
     if with_file:
         extra = [F.col("_metadata.file_path").alias("_file"),
                  F.col("_metadata.file_block_start").alias("_block")]
-    return df.select(*cols, *extra)
+    return clean_csv_rows(df, extra)
+
+
+def csv_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """T1 source: the drop folder as a stream, one file per micro-batch by
+    default, with the file path kept (it names the batch)."""
+    df = (spark.readStream.schema(sch.CSV_SCHEMA_WITH_CORRUPT)
+          .option("header", True).option("enforceSchema", True)
+          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", sch.CORRUPT_COLUMN)
+          .option("pathGlobFilter", CSV_GLOB)
+          .option("maxFilesPerTrigger", files_per_trigger).csv(path))
+    return clean_csv_rows(df, [F.col("_metadata.file_path").alias("_file")])
 
 
 def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None) -> DataFrame:

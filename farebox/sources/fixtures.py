@@ -208,11 +208,17 @@ def ride_csv_folder(spark: SparkSession, sf_dir: str, base: str | None = None) -
     raw = ride_raw_text(spark, sf_dir)
     # The batch ids: three by construction of the fixture.
     batches = [r[0] for r in raw.select("_batch_id").distinct().orderBy("_batch_id").collect()]
-    for b in batches:
+    jvm = spark.sparkContext._jvm
+    for i, b in enumerate(batches):
         rows = raw.where(F.col("_batch_id") == b).orderBy("_id").drop("_id", "_batch_id").coalesce(1)
         write_csv(rows, f"{base}/{b}")
         _put_file(spark, f"{base}/{b}/empty.CSV", "")
         _put_file(spark, f"{base}/{b}/notes.txt", "not,a,ride\n1,2,3\n")
+        # Arrival order = batch order (a file stream takes files by time).
+        folder = jvm.org.apache.hadoop.fs.Path(f"{base}/{b}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for st in fs.listStatus(folder):
+            fs.setTimes(st.getPath(), 1_700_000_000_000 + i * 60_000, -1)
     return base, batches
 
 
