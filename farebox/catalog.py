@@ -1087,3 +1087,33 @@ def q_stream_dashboard(spark, sf):
     out = ST.run_to_memory(ST.dashboard_stream(spark, gold_path), "complete")
     return out.select(F.unix_seconds(F.col("window.start")).alias("window_start"), "vehicle_type",
                       "total", "completed", "revenue")
+
+
+# --- physical layout ---------------------------------------------------------------
+
+from farebox.plans import layout as LO  # noqa: E402
+
+_SEGMENT_SQL = ORACLES["segment_report"]
+_PASS = ("booking_status = 'Completed' AND vehicle_type IN ('Uber XL', 'Premier Sedan', 'Go Sedan') "
+         "AND booking_value > 300 AND ride_distance BETWEEN 5 AND 50")
+
+
+@register("clustered_gold", _SEGMENT_SQL)
+def q_clustered_gold(spark, sf):
+    path = LO.write_clustered(gold(spark, sf), work_path(spark, "gold-clustered"))
+    return R.segment_report(LO.read_clustered(spark, path))
+
+
+@register("plan_report", O.with_layers(f"""
+SELECT 'plain' AS layout, count(*) AS rows_read, count(*) FILTER (WHERE NOT ({_PASS})) AS rows_removed,
+       count(*) FILTER (WHERE {_PASS}) AS rows_aggregated,
+       (SELECT count(*) FROM (SELECT DISTINCT vehicle_type, payment_method FROM gold WHERE {_PASS}) d) AS groups_out
+FROM gold
+UNION ALL
+SELECT 'clustered', count(*), count(*) FILTER (WHERE NOT ({_PASS})), count(*) FILTER (WHERE {_PASS}),
+       (SELECT count(*) FROM (SELECT DISTINCT vehicle_type, payment_method FROM gold WHERE {_PASS}) d)
+FROM gold WHERE booking_status = 'Completed'"""))
+def q_plan_report(spark, sf):
+    g = gold(spark, sf)
+    path = LO.write_clustered(g, work_path(spark, "gold-clustered"))
+    return LO.plan_report(g, LO.read_clustered(spark, path))

@@ -87,9 +87,12 @@ def delete_rides(gold: DataFrame, keys: DataFrame) -> DataFrame:
 
 # --- mixed change set -------------------------------------------------------
 
-CHANGE_FIELDS = ["booking_status", "unified_cancellation_reason", "ride_timestamp",
-                 "customer_id", "vehicle_type", "booking_value", "ride_distance",
-                 "driver_ratings", "customer_rating", "payment_method"]
+CHANGE_FIELD_TYPES = {
+    "booking_status": "string", "unified_cancellation_reason": "string",
+    "ride_timestamp": "timestamp_ntz", "customer_id": "string", "vehicle_type": "string",
+    "booking_value": "double", "ride_distance": "double", "driver_ratings": "double",
+    "customer_rating": "double", "payment_method": "string"}
+CHANGE_FIELDS = list(CHANGE_FIELD_TYPES)
 
 
 def last_change(changes: DataFrame) -> DataFrame:
@@ -105,6 +108,9 @@ def last_change(changes: DataFrame) -> DataFrame:
 def apply_changes(gold: DataFrame, changes: DataFrame) -> DataFrame:
     """M4: insert / update / delete rows in sequence order, last change per
     key wins. Inserts take the M1 defaults but keep the change's key."""
+    for c, t in CHANGE_FIELD_TYPES.items():
+        if c not in changes.columns:
+            changes = changes.withColumn(c, F.lit(None).cast(t))
     last = last_change(changes)
     ups = last.where(F.col("op") == "update").select(
         "booking_id", "booking_status", "unified_cancellation_reason")
