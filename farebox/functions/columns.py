@@ -177,7 +177,8 @@ def format_number_text(c: ColumnOrName, places: int | None = None,
     elif grouping:
         text = F.format_number(c, places)
     else:
-        text = F.format_string(f"%.{places}f", c)
+        # format_string renders NULL as the text "null": format non-NULL only.
+        text = F.when(c.isNotNull(), F.format_string(f"%.{places}f", c))
     out = F.translate(text, "0123456789.", digits + ",")
     if null_as_zero:
         out = F.coalesce(out, F.lit(digits[0]))
