@@ -14,7 +14,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,7 +40,7 @@ def main() -> None:
         extra["spark.checkpoint.dir"] = os.environ["BENCH_CHECKPOINT_DIR"]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="farebox-bench",
                           extra=extra)
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="farebox-bench-")
+    base = spark.sparkContext.getCheckpointDir()  # the shared folder (set when unset)
     root = f"{base.rstrip('/')}/bench-{int(time.time() * 1000)}"
 
     build: dict[str, float] = {}

@@ -193,10 +193,11 @@ def duration_text(start: ColumnOrName, end: ColumnOrName, now: Column | None = N
     whole minutes + seconds, both with two decimals."""
     start, end = _c(start), _c(end)
     now = now if now is not None else F.localtimestamp()
-    # Whole milliseconds, as a browser clock has them.
-    end_ms = F.unix_millis(F.coalesce(end, now).cast("timestamp_ntz").cast("timestamp"))
-    start_ms = F.unix_millis(start.cast("timestamp_ntz").cast("timestamp"))
-    diff = F.greatest(end_ms - start_ms, F.lit(0))
+    # Whole milliseconds (as a browser clock has them) between zone-less
+    # times: no session zone, so no daylight-saving shift.
+    span = F.timestamp_diff("MILLISECOND", start.cast("timestamp_ntz"),
+                            F.coalesce(end, now).cast("timestamp_ntz"))
+    diff = F.greatest(span, F.lit(0))
 
     def digits_of(x: Column) -> Column:
         return F.translate(x.cast("string"), "0123456789", digits)

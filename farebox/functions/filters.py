@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from farebox import schemas as sch
 
 
+def ntz_lit(value: dt.datetime | dt.date) -> Column:
+    """A zone-less timestamp literal, the same whatever the session zone
+    (a Python datetime literal would pass through the session zone)."""
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ")
+    else:
+        text = f"{value.isoformat()} 00:00:00"
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def dashboard_filter(df: DataFrame, vehicle: str | None = None,
                      start: dt.datetime | None = None, end: dt.datetime | None = None,
                      ts_col: str = "ride_timestamp") -> DataFrame:
@@ -20,9 +30,9 @@ def dashboard_filter(df: DataFrame, vehicle: str | None = None,
     if vehicle:
         df = df.where(F.col("vehicle_type") == F.lit(vehicle))
     if start is not None:
-        df = df.where(F.col(ts_col) >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col(ts_col) >= ntz_lit(start))
     if end is not None:
-        df = df.where(F.col(ts_col) <= F.lit(end).cast("timestamp_ntz"))
+        df = df.where(F.col(ts_col) <= ntz_lit(end))
     return df
 
 
@@ -71,7 +81,7 @@ def not_null(c: str | Column) -> Column:
 def recent_interval(c: str | Column, as_of: dt.datetime, months: int = 1) -> Column:
     """F8: ``c >= as_of - INTERVAL 'months' month`` (calendar months)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c >= (F.lit(as_of).cast("timestamp_ntz") - F.make_ym_interval(F.lit(0), F.lit(months)))
+    return c >= (ntz_lit(as_of) - F.make_ym_interval(F.lit(0), F.lit(months)))
 
 
 RATING_COLUMNS = ("driver_ratings", "customer_rating")

@@ -87,7 +87,7 @@ def long_recent(gold: DataFrame, as_of: dt.datetime | Column | None = None,
     the newest ride time, so runs repeat)."""
     if as_of is None:
         as_of = gold.select(F.max("ride_timestamp")).scalar()
-    start = (as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")) \
+    start = (as_of if isinstance(as_of, Column) else FL.ntz_lit(as_of)) \
         - F.make_ym_interval(F.lit(0), F.lit(1))
     df = gold.where((F.col("ride_distance") > min_distance) & (F.col("ride_timestamp") >= start))
     return _newest(df, n)

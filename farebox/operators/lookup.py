@@ -72,7 +72,7 @@ def rides_after(gold: DataFrame, last_ts: dt.datetime | None, last_id: str | Non
         if last_ts is None:
             after = (ts.isNull() & (key > F.lit(last_id))) | ts.isNotNull()
         else:
-            lt = F.lit(last_ts).cast("timestamp_ntz")
+            lt = FL.ntz_lit(last_ts)
             after = ts.isNotNull() & ((ts < lt) | ((ts == lt) & (key > F.lit(last_id))))
         df = df.where(after)
     return df.orderBy(*newest_first()).limit(size)
