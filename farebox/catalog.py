@@ -167,8 +167,8 @@ def _eda_sql(body: str, **extra) -> str:
     return O.with_layers(body, extra={"eda": _EDA, **extra})
 
 
-@register("eda_csv_scan", _eda_sql("SELECT * FROM eda"))
-def q_eda_csv_scan(spark, sf):
+@register("eda_view", _eda_sql("SELECT * FROM eda"))
+def q_eda_view(spark, sf):
     return eda(spark, sf)
 
 
@@ -1117,3 +1117,44 @@ def q_plan_report(spark, sf):
     g = gold(spark, sf)
     path = LO.write_clustered(g, work_path(spark, "gold-clustered"))
     return LO.plan_report(g, LO.read_clustered(spark, path))
+
+
+# --- S8 CSV with inferred types; J2 / W2 first-row-wins -------------------------------
+
+_RAW17 = ("ride_date", "ride_time", "booking_id", "booking_status", "customer_id", "vehicle_type",
+          "cancelled_by_customer", "reason_customer", "cancelled_by_driver", "driver_reason",
+          "incomplete_rides", "incomplete_reason", "booking_value", "ride_distance", "driver_ratings",
+          "customer_rating", "payment_method")
+
+
+def _eda_csv_col(c: str) -> str:
+    if c == "incomplete_rides":      # the one column every value of which is an integer
+        return f"CAST({c} AS INTEGER) AS {c}"
+    return f"CASE WHEN coalesce({c}, '') IN ({_NA_LIST}) THEN NULL ELSE {c} END AS {c}"
+
+
+@register("eda_csv_scan", _pipe_sql("SELECT " + ", ".join(_eda_csv_col(c) for c in _RAW17) + " FROM raw"))
+def q_eda_csv_scan(spark, sf):
+    base, _ = _folder(spark, sf)
+    return CSV.eda_csv_scan(spark, f"{base}/*")
+
+
+_G01 = O.GOLD.replace("FROM silver", "FROM s01")
+_B2 = O.GOLD.replace("FROM silver", "FROM s2")
+_FIRST = {"s01": "SELECT * FROM silver WHERE _batch_id IN ('batch-0', 'batch-1')",
+          "s2": "SELECT * FROM silver WHERE _batch_id = 'batch-2'",
+          "g01": _G01, "b2": _B2}
+
+
+@register("insert_if_absent", O.with_layers(
+    "SELECT * FROM b2 WHERE booking_id NOT IN (SELECT booking_id FROM g01)", extra=_FIRST))
+def q_insert_if_absent(spark, sf):
+    silver = X.ride_silver(spark, sf)
+    g01 = M.gold_from_silver(silver.where(F.col("_batch_id").isin("batch-0", "batch-1")))
+    return M.to_gold(silver.where(F.col("_batch_id") == "batch-2"), g01, "batch-2")
+
+
+@register("first_wins_dedup", O.with_layers("SELECT * FROM b2", extra=_FIRST))
+def q_first_wins_dedup(spark, sf):
+    silver = X.ride_silver(spark, sf).where(F.col("_batch_id") == "batch-2")
+    return M.to_gold(silver, None, "batch-2")

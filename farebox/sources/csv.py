@@ -79,10 +79,14 @@ def csv_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Da
     return clean_csv_rows(df, [F.col("_metadata.file_path").alias("_file")])
 
 
-def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None) -> DataFrame:
-    """Header CSV with inferred types; the reader's NA texts become NULL."""
+def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None,
+                 sampling_ratio: float = 1.0) -> DataFrame:
+    """Header CSV (``.csv`` files only) with inferred types; the reader's
+    NA texts become NULL. Type inference reads the input once more: on large
+    inputs pass a ``sampling_ratio`` below 1 (or give a schema and use S1)."""
     from farebox.operators.profile import PANDAS_NA_TEXTS
     df = (spark.read.option("header", True).option("inferSchema", True)
+          .option("samplingRatio", sampling_ratio).option("pathGlobFilter", CSV_GLOB)
           .option("quote", '"').option("escape", '"').csv(path))
     na = na_texts if na_texts is not None else PANDAS_NA_TEXTS
     string_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]

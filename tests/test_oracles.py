@@ -16,6 +16,8 @@ def test_every_query_is_registered_with_a_callable():
     missing = sorted(set(QUERIES) - set(ORACLES))
     # Only the vector ride lookup (embedding + search + page) has no SQL twin.
     assert missing == ["semantic_rides"]
+    for key in ("insert_if_absent", "first_wins_dedup", "eda_csv_scan", "eda_view"):
+        assert key in QUERIES
 
 
 def test_entry_runs(spark):
