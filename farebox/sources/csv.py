@@ -87,6 +87,10 @@ def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = No
     from farebox.operators.profile import PANDAS_NA_TEXTS
     df = (spark.read.option("header", True).option("inferSchema", True)
           .option("samplingRatio", sampling_ratio).option("pathGlobFilter", CSV_GLOB)
+          # Only full date-times may become timestamps: a bare clock time
+          # would otherwise be read as today's date at that time.
+          .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
           .option("quote", '"').option("escape", '"').csv(path))
     na = na_texts if na_texts is not None else PANDAS_NA_TEXTS
     string_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
