@@ -19,8 +19,12 @@ from farebox.session import bounded_rows
 BROADCAST_CHANGES_MAX = 2_000_000
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_CHANGES_MAX) -> DataFrame:
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
+def _maybe_broadcast(df: DataFrame, small: bool | None = None,
+                     max_rows: int = BROADCAST_CHANGES_MAX) -> DataFrame:
+    """Broadcast ``df`` when it is known (``small``) or checked to be bounded."""
+    if small is None:
+        small = bounded_rows(df, max_rows)
+    return F.broadcast(df) if small else df
 
 
 # --- single-kind changes --------------------------------------------------
@@ -55,14 +59,14 @@ def add_rides(new: DataFrame, key_seed: str | None = None, now: Column | None =
     return out
 
 
-def update_status(gold: DataFrame, updates: DataFrame) -> DataFrame:
+def update_status(gold: DataFrame, updates: DataFrame, small: bool | None = None) -> DataFrame:
     """M2: set status and reason (reason may become NULL) of matching keys;
     nothing else is recomputed. ``updates``: (booking_id, booking_status,
     unified_cancellation_reason), one row per key."""
     u = updates.select("booking_id", F.col("booking_status").alias("_new_status"),
                        F.col("unified_cancellation_reason").alias("_new_reason"),
                        F.lit(True).alias("_hit"))
-    j = gold.join(_maybe_broadcast(u), "booking_id", "left")
+    j = gold.join(_maybe_broadcast(u, small), "booking_id", "left")
     hit = F.col("_hit").isNotNull()
     return j.select(*[
         F.when(hit, F.col("_new_status")).otherwise(F.col(c)).alias(c) if c == "booking_status"
@@ -80,9 +84,9 @@ def matched_keys(gold: DataFrame, keys: DataFrame) -> DataFrame:
         "booking_id", F.coalesce(F.col("matched"), F.lit(False)).alias("matched"))
 
 
-def delete_rides(gold: DataFrame, keys: DataFrame) -> DataFrame:
+def delete_rides(gold: DataFrame, keys: DataFrame, small: bool | None = None) -> DataFrame:
     """M3: drop rows whose key is listed."""
-    return gold.join(_maybe_broadcast(keys.select("booking_id")), "booking_id", "left_anti")
+    return gold.join(_maybe_broadcast(keys.select("booking_id"), small), "booking_id", "left_anti")
 
 
 # --- mixed change set -------------------------------------------------------
@@ -111,12 +115,14 @@ def apply_changes(gold: DataFrame, changes: DataFrame) -> DataFrame:
     for c, t in CHANGE_FIELD_TYPES.items():
         if c not in changes.columns:
             changes = changes.withColumn(c, F.lit(None).cast(t))
+    # One cheap bound on the raw change rows covers every derived key set.
+    small = bounded_rows(changes, BROADCAST_CHANGES_MAX)
     last = last_change(changes)
     ups = last.where(F.col("op") == "update").select(
         "booking_id", "booking_status", "unified_cancellation_reason")
     dels = last.where(F.col("op") == "delete").select("booking_id")
     ins = last.where(F.col("op") == "insert")
-    kept = delete_rides(update_status(gold, ups), dels)
+    kept = delete_rides(update_status(gold, ups, small), dels, small)
     new = ins.select(
         "booking_id", F.lit(None).cast("string").alias("_batch_id"),
         F.col("ride_timestamp").cast("timestamp_ntz").alias("ride_timestamp"),
@@ -129,8 +135,8 @@ def apply_changes(gold: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("customer_rating").cast("double").alias("customer_rating"),
         F.col("payment_method").cast("string").alias("payment_method"))
     # An insert under a key already in gold is skipped (the key is unique).
-    new = new.join(gold.select("booking_id").join(
-        _maybe_broadcast(ins.select("booking_id")), "booking_id", "left_semi"),
+    new = new.join(_maybe_broadcast(gold.select("booking_id").join(
+        _maybe_broadcast(ins.select("booking_id"), small), "booking_id", "left_semi"), small),
         "booking_id", "left_anti")
     return kept.unionByName(new.select(*gold.columns))
 

@@ -163,8 +163,10 @@ def to_gold(silver_batch: DataFrame, gold: DataFrame | None, batch_id: str) -> D
         return batch.select(*sch.GOLD_COLUMNS)
     others = gold.where(F.col("_batch_id") != F.lit(batch_id)).select("booking_id")
     keys = batch.select("booking_id")
-    if bounded_rows(keys, BROADCAST_KEYS_MAX):
+    # The batch has no more keys than rows: bound the rows (a limit pushed
+    # into the scan, cheap) rather than the aggregated key set.
+    if bounded_rows(silver_batch, BROADCAST_KEYS_MAX):
         taken = others.join(F.broadcast(keys), "booking_id", "left_semi")
-    else:
-        taken = others.join(keys, "booking_id", "left_semi")
-    return batch.join(taken.distinct(), "booking_id", "left_anti").select(*sch.GOLD_COLUMNS)
+        return batch.join(F.broadcast(taken), "booking_id", "left_anti").select(*sch.GOLD_COLUMNS)
+    taken = others.join(keys, "booking_id", "left_semi")
+    return batch.join(taken, "booking_id", "left_anti").select(*sch.GOLD_COLUMNS)
