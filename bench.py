@@ -94,6 +94,11 @@ def main() -> None:
     for make in queries.values():   # warm-up
         run(make)
     timings = {name: round(run(make), 4) for name, make in queries.items()}
+    # Rows read / removed / aggregated by the segment report on both layouts
+    # (the figures the source's captured plans give).
+    layouts = {r["layout"]: {k: r[k] for k in ("rows_read", "rows_removed", "rows_aggregated",
+                                               "groups_out")}
+               for r in LO.plan_report(gold, clustered).collect()}
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -101,6 +106,7 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "build": {k: round(v, 4) for k, v in build.items()},
+        "segment_report_layouts": layouts,
         "sf": float(sf.group(1)) if sf else sf_dir,
         "cpus": cpus,
     }))

@@ -1042,11 +1042,33 @@ def q_cosine_topk(spark, sf):
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("semantic_rides")
+_SEARCH_TEXT = "driver asked me to cancel the ride"
+
+
+def _dcos(a: str, b: str) -> str:
+    a, b = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    return (f"list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * "
+            f"sqrt(list_inner_product({b}, {b})))")
+
+
+@register("semantic_rides", O.with_layers(f"""
+SELECT {", ".join(C.GOLD_API_NAMES)}, (SELECT count(*) FROM hit) AS total_count
+FROM hit ORDER BY {_NEWEST} LIMIT 20""", extra={
+    **_VEC,
+    "ix": ("SELECT id, reason, booking_id FROM idx WHERE id NOT IN (SELECT id FROM orph) "
+           "UNION ALL SELECT id, reason, booking_id FROM miss"),
+    "rs": "SELECT DISTINCT reason FROM ix",
+    "emb": _duck_embedding_sql("rs", "reason"),
+    "qt": f"SELECT '{_SEARCH_TEXT}' AS reason",
+    "qe": _duck_embedding_sql("qt", "reason"),
+    "sc": (f"SELECT ix.id, ix.booking_id, {_dcos('e.embedding', 'q.embedding')} AS score "
+           f"FROM ix JOIN emb e ON e.reason = ix.reason CROSS JOIN qe q"),
+    "top": "SELECT booking_id FROM sc ORDER BY score DESC, id LIMIT 5",
+    "hit": "SELECT * FROM gold WHERE booking_id IN (SELECT booking_id FROM top)"}))
 def q_semantic_rides(spark, sf):
     src, idx = _sync(spark, sf)
     index = V.apply_sync(src, idx)
-    return V.semantic_rides(gold(spark, sf), index, "driver asked me to cancel the ride")
+    return V.semantic_rides(gold(spark, sf), index, _SEARCH_TEXT)
 
 
 # --- streams --------------------------------------------------------------------
