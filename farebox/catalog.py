@@ -398,7 +398,7 @@ def q_run_guarded_sql(spark, sf):
 
 
 @register("query_result_sink", O.with_layers(
-    "SELECT to_json({'vehicle_type': vehicle_type, 'total_rides': count(*)}) AS record "
+    "SELECT CAST(to_json({'vehicle_type': vehicle_type, 'total_rides': count(*)}) AS VARCHAR) AS record "
     "FROM gold GROUP BY vehicle_type"))
 def q_query_result_sink(spark, sf):
     g = gold(spark, sf).groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("total_rides"))

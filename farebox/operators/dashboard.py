@@ -125,16 +125,16 @@ def split_summary(summary: DataFrame) -> dict[str, DataFrame]:
 
 
 def share_of_total(counts: DataFrame, count_col: str = "count", places: int = 1) -> DataFrame:
-    """Count / sum(count) * 100, rounded half up. Runs on grouped rows."""
-    w = Window.partitionBy()
-    return counts.withColumn("pct", C.pct_half_up(F.col(count_col), F.sum(count_col).over(w), places))
+    """Count / sum(count) * 100, rounded half up. The total is a scalar
+    subquery (a partial+final aggregate), so no task holds all groups."""
+    total = counts.select(F.sum(count_col)).scalar()
+    return counts.withColumn("pct", C.pct_half_up(F.col(count_col), total, places))
 
 
 def share_of_max(counts: DataFrame, count_col: str = "count") -> DataFrame:
-    """Count / max(count) * 100 (bar width). Runs on grouped rows."""
-    w = Window.partitionBy()
-    return counts.withColumn("pct_of_max", F.col(count_col).cast("double") * 100.0
-                             / F.max(count_col).over(w))
+    """Count / max(count) * 100 (bar width); the max as a scalar subquery."""
+    top = counts.select(F.max(count_col)).scalar()
+    return counts.withColumn("pct_of_max", F.col(count_col).cast("double") * 100.0 / top)
 
 
 def traffic_stats(hourly: DataFrame) -> DataFrame:

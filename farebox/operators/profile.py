@@ -84,8 +84,11 @@ def value_distribution(df: DataFrame, cols: Sequence[str] = KEY_COLUMNS,
     several columns in one aggregate; sorted by column, count desc."""
     counts = _long_values(df, cols).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy("column_name"))
-    return (counts.withColumn("pct", C.pct_half_up(F.col("count"), total, places))
+    # Per-column totals: one row per profiled column, broadcast by construction.
+    totals = counts.groupBy("column_name").agg(F.sum("count").alias("_total"))
+    counts = counts.join(F.broadcast(totals), "column_name")
+    return (counts.withColumn("pct", C.pct_half_up(F.col("count"), F.col("_total"), places))
+            .drop("_total")
             .orderBy("column_name", F.desc("count"), F.asc_nulls_first("value")))
 
 
@@ -100,10 +103,27 @@ def ordered_counts(df: DataFrame, col: str, places: int = 1) -> DataFrame:
     """Bars by frequency (desc) with the pie share to ``places``."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return (counts.withColumn("pct", C.pct_half_up(F.col("count"), total, places))
-            .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "value")))
-            .orderBy("rank"))
+    total = counts.select(F.sum("count")).scalar()
+    out = counts.withColumn("pct", C.pct_half_up(F.col("count"), total, places))
+    return global_row_number(out, [F.desc("count"), F.asc("value")], "rank").orderBy("rank")
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number",
+                      partitions: int | None = None) -> DataFrame:
+    """1-based position of each row in a total order, without a global
+    window: rows are range-partitioned on the order, numbered inside their
+    partition, and offset by the sizes of the partitions before (a few rows,
+    broadcast). Partition ids are pinned by a reliable checkpoint."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return (ranged.withColumn("_in", inside).join(F.broadcast(before), "_pid")
+            .withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
+            .drop("_pid", "_in", "_before"))
 
 
 # --- numeric summary ------------------------------------------------------

@@ -238,7 +238,7 @@ def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 5,
     cands = index.select("id", "embedding").where(F.col("embedding").isNotNull()) \
         .mapInPandas(partial_topk, TOPK_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def search_text(index: DataFrame, text: str, k: int = 5,

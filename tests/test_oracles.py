@@ -4,7 +4,7 @@ gate runs the same comparison at sf0.01)."""
 import pytest
 
 import __spark_entry__ as E
-from scripts.check_oracle import digest
+from scripts.check_oracle import digest, type_mismatches
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
@@ -32,6 +32,7 @@ def test_query_matches_oracle(spark, sf, duck, name):
     res = duck.sql(ORACLES[name])
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(res.columns)
+    assert type_mismatches(df, res) == {}
     assert len(srows) == len(drows)
     hs, ls = digest(df.columns, srows)
     hd, ld = digest(res.columns, drows)
