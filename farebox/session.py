@@ -64,6 +64,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/farebox-work/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Zip this package into the shared folder and add it to every executor's
+    Python path (cluster runs; local mode already sees it)."""
+    import shutil
+    import tempfile
+    here = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="farebox-zip-")
+    archive = shutil.make_archive(os.path.join(staging, "farebox"), "zip",
+                                  root_dir=os.path.dirname(here), base_dir="farebox")
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 

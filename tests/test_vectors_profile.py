@@ -60,3 +60,38 @@ def test_kde_matches_direct_sum(spark):
     for r in out:
         want = np.exp(-0.5 * ((r["x"] - vals) / bw) ** 2).sum() / (len(vals) * bw * np.sqrt(2 * np.pi))
         assert abs(r["density"] - want) < 1e-12
+
+
+def _toy_model_factory():
+    """A stand-in model: letter counts; fails on texts containing 'boom'.
+    Built in a closure so it is pickled by value to the Python workers."""
+    def load():
+        def embed(texts):
+            out = []
+            for t in texts:
+                if "boom" in t:
+                    raise ValueError("model error")
+                v = np.zeros(26, dtype=np.float32)
+                for ch in t.lower():
+                    if "a" <= ch <= "z":
+                        v[ord(ch) - 97] += 1
+                out.append(v)
+            return out
+        return embed
+    return load
+
+
+def test_pandas_embedder_skips_failed_texts(spark):
+    embed = V.pandas_embedder(_toy_model_factory(), dims=26)
+    df = spark.createDataFrame([("abc",), ("boom",), ("zz",)], "t string")
+    got = {r["t"]: r["e"] for r in df.select("t", embed("t").alias("e")).collect()}
+    assert got["boom"] is None
+    assert got["abc"][:3] == [1.0, 1.0, 1.0] and got["zz"][25] == 2.0
+
+
+def test_apply_sync_with_a_model_embedder(spark, sf):
+    src, idx = X.vector_sync_fixture(spark, sf)
+    embed = V.pandas_embedder(_toy_model_factory(), dims=26)
+    new = V.apply_sync(src, idx.limit(0), embedder=lambda c: embed(c), persist=False)
+    assert new.count() == src.count()
+    assert new.where(F.size("embedding") != 26).count() == 0
