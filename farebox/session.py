@@ -65,16 +65,27 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> str:
-    """Zip this package into the shared folder and add it to every executor's
-    Python path (cluster runs; local mode already sees it)."""
-    import shutil
-    import tempfile
+    """Zip this package (in memory) into the shared checkpoint folder and add
+    it to every executor's Python path (cluster runs; local mode already sees
+    it). No machine-local temporary folder is used."""
+    import io
+    import zipfile
     here = os.path.dirname(os.path.abspath(__file__))
-    staging = tempfile.mkdtemp(prefix="farebox-zip-")
-    archive = shutil.make_archive(os.path.join(staging, "farebox"), "zip",
-                                  root_dir=os.path.dirname(here), base_dir="farebox")
-    spark.sparkContext.addPyFile(archive)
-    return archive
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(here)))
+    target = work_path(spark, "pyfiles") + "/farebox.zip"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target)
+    return target
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
