@@ -29,6 +29,20 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+
+def _xsum(x: str) -> str:
+    """DuckDB text of ``columns.exact_sum``: a fixed-point (1/1000) long sum."""
+    fin = f"(NOT isnan({x}) AND abs({x}) < 9e12)"
+    fixed = (f"CAST(sum(CASE WHEN {fin} THEN CAST(trunc({x} * 1000.0 + CASE WHEN {x} >= 0 THEN 0.5 "
+             f"ELSE -0.5 END) AS BIGINT) END) AS DOUBLE) / 1000.0")
+    return (f"CASE WHEN count({x}) > 0 THEN coalesce({fixed}, 0.0) + "
+            f"coalesce(sum(CASE WHEN NOT {fin} THEN {x} END), 0.0) END")
+
+
+def _xavg(x: str) -> str:
+    return f"(({_xsum(x)}) / count({x}))"
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     return X.ride_gold(spark, sf)
 
@@ -47,9 +61,9 @@ def q_to_gold(spark, sf):
 
 # --- report and dashboard -------------------------------------------------
 
-@register("segment_report", O.with_layers("""
-SELECT vehicle_type, payment_method, count(*) AS total_rides, avg(booking_value) AS avg_value,
-       sum(ride_distance) AS total_distance
+@register("segment_report", O.with_layers(f"""
+SELECT vehicle_type, payment_method, count(*) AS total_rides, {_xavg('booking_value')} AS avg_value,
+       {_xsum('ride_distance')} AS total_distance
 FROM gold
 WHERE booking_status = 'Completed' AND vehicle_type IN ('Uber XL', 'Premier Sedan', 'Go Sedan')
   AND booking_value > 300 AND ride_distance BETWEEN 5 AND 50
@@ -60,7 +74,7 @@ def q_segment_report(spark, sf):
 
 @register("kpi_summary", O.with_layers(f"""
 SELECT count(*) AS total_bookings, count(*) FILTER (WHERE booking_status = 'Completed') AS successful_bookings,
-       coalesce(sum(booking_value), 0) AS total_revenue,
+       coalesce({_xsum('booking_value')}, 0) AS total_revenue,
        {O.half_up_pct("count(*) FILTER (WHERE booking_status = 'Completed')", "count(*)")} AS success_rate
 FROM gold"""))
 def q_kpi_summary(spark, sf):
@@ -74,8 +88,8 @@ def q_cancellation_counts(spark, sf):
     return D.cancellation_counts(gold(spark, sf))
 
 
-@register("vehicle_performance", O.with_layers("""
-SELECT vehicle_type, count(*) AS total_rides, round(avg(customer_rating), 2) AS avg_rating
+@register("vehicle_performance", O.with_layers(f"""
+SELECT vehicle_type, count(*) AS total_rides, round({_xavg('customer_rating')}, 2) AS avg_rating
 FROM gold GROUP BY vehicle_type"""))
 def q_vehicle_performance(spark, sf):
     return D.vehicle_performance(gold(spark, sf))
@@ -91,7 +105,7 @@ def q_hourly_traffic(spark, sf):
 @register("dashboard_summary", O.with_layers(f"""
 SELECT 'kpi' AS part, CAST(NULL AS VARCHAR) AS key, count(*) AS total,
        count(*) FILTER (WHERE booking_status = 'Completed') AS completed,
-       coalesce(sum(booking_value), 0) AS revenue,
+       coalesce({_xsum('booking_value')}, 0) AS revenue,
        {O.half_up_pct("count(*) FILTER (WHERE booking_status = 'Completed')", "count(*)")} AS success_rate,
        CAST(NULL AS DOUBLE) AS avg_rating FROM gold
 UNION ALL
@@ -99,7 +113,7 @@ SELECT 'reason', unified_cancellation_reason, count(*), count(*) FILTER (WHERE b
        NULL, NULL, NULL FROM gold WHERE unified_cancellation_reason <> 'Not Cancelled' GROUP BY 2
 UNION ALL
 SELECT 'vehicle', vehicle_type, count(*), count(*) FILTER (WHERE booking_status = 'Completed'),
-       NULL, NULL, round(avg(customer_rating), 2) FROM gold GROUP BY 2
+       NULL, NULL, round({_xavg('customer_rating')}, 2) FROM gold GROUP BY 2
 UNION ALL
 SELECT 'hour', CAST(hour(ride_timestamp) AS VARCHAR), count(*), count(*) FILTER (WHERE booking_status = 'Completed'),
        NULL, NULL, NULL FROM gold GROUP BY 2"""))
@@ -310,17 +324,17 @@ def q_id_semi_join(spark, sf):
 
 _CORPUS_SQL = {
     "q_latest": f"SELECT * FROM gold ORDER BY {_NEWEST} LIMIT 5",
-    "q_total_revenue": "SELECT sum(booking_value) AS total_revenue FROM gold",
+    "q_total_revenue": f"SELECT {_xsum('booking_value')} AS total_revenue FROM gold",
     "q_completed": "SELECT count(*) AS count FROM gold WHERE booking_status = 'Completed'",
-    "q_rating_by_vehicle": "SELECT vehicle_type, avg(customer_rating) AS avg_rating FROM gold GROUP BY vehicle_type",
+    "q_rating_by_vehicle": f"SELECT vehicle_type, {_xavg('customer_rating')} AS avg_rating FROM gold GROUP BY vehicle_type",
     "q_top_reasons": ("SELECT unified_cancellation_reason, count(*) AS count FROM gold "
                       "WHERE unified_cancellation_reason <> 'Not Cancelled' GROUP BY 1 "
                       "ORDER BY count DESC, unified_cancellation_reason LIMIT 3"),
-    "q_revenue_by_payment": ("SELECT payment_method, sum(booking_value) AS revenue FROM gold "
+    "q_revenue_by_payment": (f"SELECT payment_method, {_xsum('booking_value')} AS revenue FROM gold "
                              "WHERE payment_method <> 'Not Specified' GROUP BY payment_method"),
     "q_long_recent": (f"SELECT * FROM gold WHERE ride_distance > 10 AND ride_timestamp >= "
                       f"(SELECT max(ride_timestamp) FROM gold) - INTERVAL 1 MONTH ORDER BY {_NEWEST} LIMIT 10"),
-    "q_distance_by_vehicle": ("SELECT vehicle_type, avg(ride_distance) AS avg_distance FROM gold "
+    "q_distance_by_vehicle": (f"SELECT vehicle_type, {_xavg('ride_distance')} AS avg_distance FROM gold "
                               "GROUP BY vehicle_type ORDER BY avg_distance DESC NULLS FIRST, vehicle_type LIMIT 10"),
     "q_most_expensive": ("SELECT booking_id, booking_value, vehicle_type, ride_timestamp FROM gold "
                          "ORDER BY booking_value DESC NULLS FIRST, booking_id LIMIT 5"),
@@ -328,13 +342,13 @@ _CORPUS_SQL = {
                          f"'Cancelled by Customer' ORDER BY {_NEWEST} LIMIT 10"),
     "q_by_hour": ("SELECT CAST(hour(ride_timestamp) AS INTEGER) AS hour, count(*) AS ride_count FROM gold "
                   "GROUP BY 1 ORDER BY 1 NULLS LAST LIMIT 24"),
-    "q_upi_completed": ("SELECT sum(booking_value) AS sum FROM gold WHERE booking_status = 'Completed' "
+    "q_upi_completed": (f"SELECT {_xsum('booking_value')} AS sum FROM gold WHERE booking_status = 'Completed' "
                         "AND payment_method = 'UPI'"),
     "q_top_rated": ("SELECT booking_id, driver_ratings, vehicle_type FROM gold WHERE driver_ratings IS NOT NULL "
                     "ORDER BY driver_ratings DESC NULLS FIRST, booking_id LIMIT 5"),
     "q_ui_latest_completed": f"SELECT * FROM gold WHERE booking_status = 'Completed' ORDER BY {_NEWEST} LIMIT 10",
-    "q_ui_total_revenue": "SELECT sum(booking_value) AS total_revenue FROM gold",
-    "q_ui_avg_rating_go_mini": "SELECT avg(customer_rating) AS avg_rating FROM gold WHERE vehicle_type = 'Go Mini'",
+    "q_ui_total_revenue": f"SELECT {_xsum('booking_value')} AS total_revenue FROM gold",
+    "q_ui_avg_rating_go_mini": f"SELECT {_xavg('customer_rating')} AS avg_rating FROM gold WHERE vehicle_type = 'Go Mini'",
     "q_ui_top_customer_reasons": ("SELECT unified_cancellation_reason, count(*) AS count FROM gold "
                                   "WHERE booking_status = 'Cancelled by Customer' AND "
                                   "unified_cancellation_reason <> 'Not Cancelled' GROUP BY 1 "
@@ -1098,10 +1112,10 @@ def q_stream_vector_sync(spark, sf):
                                   F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@register("stream_dashboard", O.with_layers("""
+@register("stream_dashboard", O.with_layers(f"""
 SELECT CAST(epoch(date_trunc('hour', ride_timestamp)) AS BIGINT) AS window_start, vehicle_type,
        count(*) AS total, count(*) FILTER (WHERE booking_status = 'Completed') AS completed,
-       sum(booking_value) AS revenue
+       {_xsum('booking_value')} AS revenue
 FROM gold WHERE ride_timestamp IS NOT NULL GROUP BY 1, 2"""))
 def q_stream_dashboard(spark, sf):
     gold_path = work_path(spark, "gold")

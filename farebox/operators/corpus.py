@@ -57,7 +57,7 @@ def latest(gold: DataFrame, n: int = 5) -> DataFrame:
 
 
 def total_revenue(gold: DataFrame) -> DataFrame:
-    return gold.agg(F.sum("booking_value").alias("total_revenue"))
+    return gold.agg(C.exact_sum("booking_value").alias("total_revenue"))
 
 
 def completed_count(gold: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def completed_count(gold: DataFrame) -> DataFrame:
 
 
 def rating_by_vehicle(gold: DataFrame) -> DataFrame:
-    return gold.groupBy("vehicle_type").agg(F.avg("customer_rating").alias("avg_rating"))
+    return gold.groupBy("vehicle_type").agg(C.exact_avg("customer_rating").alias("avg_rating"))
 
 
 def top_reasons(gold: DataFrame, n: int = 3, status: str | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def top_reasons(gold: DataFrame, n: int = 3, status: str | None = None) -> DataF
 
 def revenue_by_payment(gold: DataFrame) -> DataFrame:
     return (gold.where(FL.exclude_value("payment_method", sch.NOT_SPECIFIED))
-            .groupBy("payment_method").agg(F.sum("booking_value").alias("revenue")))
+            .groupBy("payment_method").agg(C.exact_sum("booking_value").alias("revenue")))
 
 
 def long_recent(gold: DataFrame, as_of: dt.datetime | Column | None = None,
@@ -94,7 +94,7 @@ def long_recent(gold: DataFrame, as_of: dt.datetime | Column | None = None,
 
 
 def distance_by_vehicle(gold: DataFrame) -> DataFrame:
-    return (gold.groupBy("vehicle_type").agg(F.avg("ride_distance").alias("avg_distance"))
+    return (gold.groupBy("vehicle_type").agg(C.exact_avg("ride_distance").alias("avg_distance"))
             .orderBy(F.desc_nulls_first("avg_distance"), "vehicle_type").limit(10))
 
 
@@ -116,7 +116,7 @@ def by_hour(gold: DataFrame) -> DataFrame:
 def upi_completed(gold: DataFrame) -> DataFrame:
     return (FL.ride_filter(gold, status=sch.STATUS_COMPLETED)
             .where(F.col("payment_method") == "UPI")
-            .agg(F.sum("booking_value").alias("sum")))
+            .agg(C.exact_sum("booking_value").alias("sum")))
 
 
 def top_rated(gold: DataFrame, n: int = 5) -> DataFrame:
@@ -131,7 +131,7 @@ def latest_completed(gold: DataFrame, n: int = 10) -> DataFrame:
 
 
 def avg_rating_of(gold: DataFrame, vehicle: str = "Go Mini") -> DataFrame:
-    return FL.ride_filter(gold, vehicle=vehicle).agg(F.avg("customer_rating").alias("avg_rating"))
+    return FL.ride_filter(gold, vehicle=vehicle).agg(C.exact_avg("customer_rating").alias("avg_rating"))
 
 
 def count_by_payment(gold: DataFrame, method: str = "UPI") -> DataFrame:

@@ -33,9 +33,9 @@ def kpi_summary(gold: DataFrame, vehicle: str | None = None, start: dt.datetime
     df = FL.dashboard_filter(gold, vehicle, start, end)
     aggs = [F.count(F.lit(1)).alias("total_bookings"),
             F.count_if(_completed()).alias("successful_bookings"),
-            F.coalesce(F.sum("booking_value"), F.lit(0.0)).alias("total_revenue")]
+            F.coalesce(C.exact_sum("booking_value"), F.lit(0.0)).alias("total_revenue")]
     if with_avg_rating:
-        aggs.append(C.round_half_up(F.avg("customer_rating"), 2).alias("avg_rating"))
+        aggs.append(C.round_half_up(C.exact_avg("customer_rating"), 2).alias("avg_rating"))
     out = df.agg(*aggs)
     return out.withColumn("success_rate",
                           success_rate(F.col("successful_bookings"), F.col("total_bookings")))
@@ -55,7 +55,7 @@ def vehicle_performance(gold: DataFrame, vehicle: str | None = None,
     df = FL.dashboard_filter(gold, vehicle, start, end)
     return df.groupBy("vehicle_type").agg(
         F.count(F.lit(1)).alias("total_rides"),
-        C.round_half_up(F.avg("customer_rating"), 2).alias("avg_rating"))
+        C.round_half_up(C.exact_avg("customer_rating"), 2).alias("avg_rating"))
 
 
 def hourly_traffic(gold: DataFrame, vehicle: str | None = None,
@@ -87,8 +87,8 @@ def dashboard_summary(gold: DataFrame, vehicle: str | None = None,
         F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("total"),
         F.count_if(_completed()).alias("completed"),
-        F.sum("booking_value").alias("revenue"),
-        F.avg("customer_rating").alias("avg_rating_raw"))
+        C.exact_sum("booking_value").alias("revenue"),
+        C.exact_avg("customer_rating").alias("avg_rating_raw"))
     # gid bits (reason, vehicle_type, hour): 7 = grand total, 3 = by reason,
     # 5 = by vehicle, 6 = by hour.
     part = (F.when(F.col("gid") == 7, "kpi").when(F.col("gid") == 3, "reason")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farebox.functions import columns as C
+
 # --- Fixed values: the benchmark query's constants. ---
 SEGMENT_STATUS = "Completed"
 SEGMENT_VEHICLES = ("Uber XL", "Premier Sedan", "Go Sedan")
@@ -33,8 +35,8 @@ def segment_report(gold: DataFrame, status: str = SEGMENT_STATUS,
                     & F.col("ride_distance").between(lo, hi))
     return (df.groupBy("vehicle_type", "payment_method")
             .agg(F.count(F.lit(1)).alias("total_rides"),
-                 F.avg("booking_value").alias("avg_value"),
-                 F.sum("ride_distance").alias("total_distance"))
+                 C.exact_avg("booking_value").alias("avg_value"),
+                 C.exact_sum("ride_distance").alias("total_distance"))
             .orderBy(F.desc_nulls_first("total_distance")))
 
 

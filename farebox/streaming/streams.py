@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farebox import schemas as sch
+from farebox.functions import columns as C
 from farebox.operators import pipeline as PL
 from farebox.operators import vectors as V
 from farebox.session import work_path
@@ -124,7 +125,7 @@ def dashboard_stream(spark: SparkSession, gold_path: str, window: str = "1 hour"
     return ev.groupBy(F.window("event_time", window), "vehicle_type").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("booking_status") == sch.STATUS_COMPLETED).alias("completed"),
-        F.sum("booking_value").alias("revenue"))
+        C.exact_sum("booking_value").alias("revenue"))
 
 
 def run_to_memory(df: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:

@@ -129,3 +129,20 @@ def test_filters(spark):
     assert FL.dashboard_filter(df, vehicle="").count() == 3      # empty vehicle = no filter
     nan = spark.createDataFrame([(float("nan"),), (5.0,), (None,), (5.1,)], "r double")
     assert [r[0] for r in nan.select(FL.rating_ok("r")).collect()] == [False, True, True, False]
+
+
+def test_exact_sum_is_order_free_and_keeps_sql_semantics(spark):
+    vals = [0.1 * i for i in range(1, 2001)] + [200.39999999999998, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    a = df.repartition(7).agg(C.exact_sum("v")).first()[0]
+    b = df.repartition(3).agg(C.exact_sum("v")).first()[0]
+    assert a == b == round(sum(round(v * 1000) for v in vals if v is not None)) / 1000
+    assert df.agg(C.exact_avg("v")).first()[0] == a / 2001
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert empty.agg(C.exact_sum("v"), C.exact_avg("v")).first() == (None, None)
+    nan = spark.createDataFrame([(1.0,), (float("nan"),)], "v double").agg(C.exact_sum("v")).first()[0]
+    assert nan != nan
+    inf = spark.createDataFrame([(1.0,), (float("inf"),)], "v double").agg(C.exact_sum("v")).first()[0]
+    assert inf == float("inf")
+    neg = spark.createDataFrame([(-1.2345,), (2.0005,)], "v double").agg(C.exact_sum("v")).first()[0]
+    assert neg == (-1235 + 2001) / 1000
