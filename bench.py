@@ -28,7 +28,7 @@ from farebox.operators import profile as P  # noqa: E402
 from farebox.operators import report as R  # noqa: E402
 from farebox.operators import vectors as V  # noqa: E402
 from farebox.plans import layout as LO  # noqa: E402
-from farebox.session import build_session  # noqa: E402
+from farebox.session import build_session, tune_for_input  # noqa: E402
 from farebox.sources import fixtures as X  # noqa: E402
 
 
@@ -36,10 +36,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
-    if not os.environ.get("BENCH_CHECKPOINT_DIR") is None:
+    if os.environ.get("BENCH_CHECKPOINT_DIR"):
         extra["spark.checkpoint.dir"] = os.environ["BENCH_CHECKPOINT_DIR"]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="farebox-bench",
                           extra=extra)
+    input_bytes = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir)
+                      if f.endswith(".parquet"))
+    tune_for_input(spark, input_bytes)
     base = spark.sparkContext.getCheckpointDir()  # the shared folder (set when unset)
     root = f"{base.rstrip('/')}/bench-{int(time.time() * 1000)}"
 

@@ -36,6 +36,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+# Target bytes per task, for input splits and for shuffle partitions.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, expansion: float = 3.0,
+                   target: int = TARGET_PARTITION_BYTES) -> int:
+    """Size shuffles so each partition fits in executor memory at the target
+    scale: input splits of ``target`` bytes, and ``input x expansion``
+    (Parquet decompresses) over ``target`` shuffle partitions, at least one
+    per core; AQE then coalesces small ones and splits skewed ones. Returns
+    the shuffle partition count."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, int(input_bytes * expansion // target) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target))
+    return parts
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

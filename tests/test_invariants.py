@@ -126,3 +126,26 @@ def test_shares_and_hours_add_up(spark, sf):
     parts = D.split_summary(D.dashboard_summary(g))
     assert rows(parts["vehicle"]) == rows(D.vehicle_performance(g))
     assert rows(parts["hour"]) == rows(D.hourly_traffic(g))
+
+
+def test_hot_key_dedup_and_changes(spark, sf):
+    """One key holding a third of all rows: first row wins and last change
+    wins stay exact, and the plan pre-aggregates before the shuffle."""
+    from farebox.plans.layout import explain_text
+    silver = X.ride_silver(spark, sf)
+    hot = silver.withColumn("booking_id", F.when(F.col("_id") % 3 == 0, F.lit('"HOT"'))
+                            .otherwise(F.col("booking_id")))
+    gold = M.gold_from_silver(hot)
+    plan = explain_text(gold)
+    assert "partial_min" in plan
+    first = hot.where(F.col("booking_id") == '"HOT"').orderBy("_batch_id", "_id").first()
+    row = gold.where(F.col("booking_id") == "HOT").collect()
+    assert len(row) == 1 and row[0]["_batch_id"] == first["_batch_id"]
+    assert row[0]["ride_timestamp"] == first["ride_timestamp"]
+    assert gold.count() == gold.select("booking_id").distinct().count()
+    changes = hot.select(F.col("_id").alias("seq"), F.lit("update").alias("op"),
+                         F.lit("HOT").alias("booking_id"), F.col("booking_status"),
+                         F.concat(F.lit("r"), F.col("_id").cast("string"))
+                         .alias("unified_cancellation_reason"))
+    last = CH.last_change(changes).collect()
+    assert len(last) == 1 and last[0]["seq"] == hot.agg(F.max("_id")).first()[0]
