@@ -1120,9 +1120,10 @@ FROM gold WHERE ride_timestamp IS NOT NULL GROUP BY 1, 2"""))
 def q_stream_dashboard(spark, sf):
     gold_path = work_path(spark, "gold")
     gold(spark, sf).write.parquet(gold_path)
-    out = ST.run_to_memory(ST.dashboard_stream(spark, gold_path), "complete")
-    return out.select(F.unix_seconds(F.col("window.start")).alias("window_start"), "vehicle_type",
-                      "total", "completed", "revenue")
+    table = ST.VersionedTable(spark, work_path(spark, "dashboard"), ST.DASHBOARD_SCHEMA)
+    ST.dashboard_refresh(spark, gold_path, table, available_now=True).awaitTermination()
+    return table.current().select(F.unix_seconds("window_start").alias("window_start"), "vehicle_type",
+                                  "total", "completed", "revenue")
 
 
 # --- physical layout ---------------------------------------------------------------

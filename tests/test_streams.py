@@ -27,3 +27,26 @@ def test_dashboard_stream_totals_equal_batch(spark, sf):
     g.write.parquet(gold_path)
     out = ST.run_to_memory(ST.dashboard_stream(spark, gold_path))
     assert out.groupBy().sum("total").first()[0] == g.count()
+
+
+def test_dashboard_refresh_upserts_changed_windows_incrementally(spark, sf):
+    from pyspark.sql import functions as F
+    from farebox.functions import columns as C
+    gold_path = work_path(spark, "dash-inc-gold")
+    g = X.ride_gold(spark, sf)
+    first, later = g.where(F.col("_batch_id") != "batch-2"), g.where(F.col("_batch_id") == "batch-2")
+    first.write.parquet(gold_path)
+    table = ST.VersionedTable(spark, work_path(spark, "dash-inc"), ST.DASHBOARD_SCHEMA)
+    ckpt = work_path(spark, "dash-inc-ckpt")
+    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
+    v1 = table.next_version()
+    later.write.mode("append").parquet(gold_path)
+    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
+    assert table.next_version() == v1 + 1           # one more micro-batch, one new version
+    got = sorted((r["window_start"].timestamp(), r["vehicle_type"], r["total"], r["revenue"])
+                 for r in table.current().collect())
+    want = (g.withColumn("ws", F.window(ST.utc_instant("ride_timestamp"), "1 hour").start)
+            .groupBy("ws", "vehicle_type").agg(F.count(F.lit(1)).alias("total"),
+                                               C.exact_sum("booking_value").alias("revenue")))
+    assert got == sorted((r["ws"].timestamp(), r["vehicle_type"], r["total"], r["revenue"])
+                         for r in want.collect())
