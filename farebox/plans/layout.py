@@ -53,6 +53,19 @@ def read_clustered(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bucketed(gold: DataFrame, table: str, path: str, buckets: int | None = None,
+                   key: str = "booking_id") -> str:
+    """Gold bucketed (and sorted) by key, as an external table whose files
+    live in the shared folder ``path``. Joins on the key with a side too big
+    to broadcast (change sets, batch key sets) then shuffle only that side:
+    the gold side is already hash-partitioned into the buckets."""
+    spark = gold.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (gold.write.mode("overwrite").option("path", path)
+     .bucketBy(n, key).sortBy(key).saveAsTable(table))
+    return table
+
+
 def explain_text(df: DataFrame, mode: str = "formatted") -> str:
     """L2 helper: the physical plan as text."""
     buf = io.StringIO()

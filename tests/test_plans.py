@@ -75,3 +75,23 @@ def test_label_lookup_matches_the_join(spark, sf):
     joined = LB.label_rides(g).select("booking_id", "vehicle_label")
     inline = g.select("booking_id", LB.label_expr("vehicle", F.col("vehicle_type")).alias("vehicle_label"))
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, inline.collect()))
+
+
+def test_bucketed_gold_joins_shuffle_only_the_change_side(spark, sf):
+    from farebox.operators import changes as CH
+    plain = stored_gold(spark, sf)
+    table = LO.write_bucketed(plain, "gold_bucketed_test", work_path(spark, "gold-bucketed"), buckets=8)
+    bg = spark.table(table)
+    ups = plain.where(F.col("vehicle_type") == "Bike").select(
+        "booking_id", F.lit("Cancelled by Driver").alias("booking_status"),
+        F.lit("Other Issue").alias("unified_cancellation_reason"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # take the shuffled path
+    try:
+        out = CH.update_status(bg, ups, small=False)
+        plan = LO.explain_text(out)
+        assert out.where(F.col("booking_status") == "Cancelled by Driver").count() >= ups.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchanges = [l for l in plan.splitlines() if l.startswith("(") and "Exchange" in l]
+    assert "SortMergeJoin" in plan and len(exchanges) == 1   # only the change side moves
