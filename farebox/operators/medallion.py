@@ -53,7 +53,11 @@ def to_bronze(raw: DataFrame, batch_id: str | Column, load_order: Column | None
 
 # --- silver -------------------------------------------------------------
 
-def silver_columns() -> list[Column]:
+def silver_columns(clean_first: bool = False) -> list[Column]:
+    """The silver projection. The source picks the reason by the *untrimmed*
+    status, so a padded 'Cancelled ...' row keeps 'Not Cancelled';
+    ``clean_first`` picks it by the trimmed status instead."""
+    status = F.trim(F.col("booking_status")) if clean_first else F.col("booking_status")
     return [
         F.col("_id"), F.col("_batch_id"),
         C.combine_timestamp("ride_date", "ride_time").alias("ride_timestamp"),
@@ -61,7 +65,7 @@ def silver_columns() -> list[Column]:
         C.trim_spaces("booking_status").alias("booking_status"),
         C.trim_spaces("customer_id").alias("customer_id"),
         C.trim_spaces("vehicle_type").alias("vehicle_type"),
-        C.unify_reason("booking_status", "reason_customer", "driver_reason",
+        C.unify_reason(status, "reason_customer", "driver_reason",
                        "incomplete_reason").alias("unified_cancellation_reason"),
         C.fill_zero("booking_value").alias("booking_value"),
         C.fill_zero("ride_distance").alias("ride_distance"),
@@ -70,9 +74,9 @@ def silver_columns() -> list[Column]:
     ]
 
 
-def to_silver(bronze: DataFrame) -> DataFrame:
+def to_silver(bronze: DataFrame, clean_first: bool = False) -> DataFrame:
     """F3 key filter + P5-P9 cleaning, one projection."""
-    return bronze.where(FL.valid_key("booking_id")).select(*silver_columns())
+    return bronze.where(FL.valid_key("booking_id")).select(*silver_columns(clean_first))
 
 
 # --- gold ---------------------------------------------------------------

@@ -149,3 +149,13 @@ def test_hot_key_dedup_and_changes(spark, sf):
                          .alias("unified_cancellation_reason"))
     last = CH.last_change(changes).collect()
     assert len(last) == 1 and last[0]["seq"] == hot.agg(F.max("_id")).first()[0]
+
+
+def test_clean_first_picks_reason_by_trimmed_status(spark, sf):
+    b = X.ride_bronze(spark, sf)
+    padded = F.col("booking_status").startswith("  Cancelled by Customer")
+    raw = M.to_silver(b).join(b.where(padded).select("_id"), "_id")
+    clean = M.to_silver(b, clean_first=True).join(b.where(padded).select("_id"), "_id")
+    assert raw.count() > 0
+    assert raw.where(F.col("unified_cancellation_reason") != "Not Cancelled").count() == 0
+    assert clean.where(F.col("unified_cancellation_reason") == "Not Cancelled").count() == 0
