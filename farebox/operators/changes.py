@@ -118,11 +118,19 @@ def apply_changes(gold: DataFrame, changes: DataFrame) -> DataFrame:
     # One cheap bound on the raw change rows covers every derived key set.
     small = bounded_rows(changes, BROADCAST_CHANGES_MAX)
     last = last_change(changes)
-    ups = last.where(F.col("op") == "update").select(
-        "booking_id", "booking_status", "unified_cancellation_reason")
-    dels = last.where(F.col("op") == "delete").select("booking_id")
+    # Updates and deletes in one left join over gold (one pass, one broadcast).
+    mods = last.where(F.col("op").isin("update", "delete")).select(
+        "booking_id", F.col("op").alias("_op"), F.col("booking_status").alias("_new_status"),
+        F.col("unified_cancellation_reason").alias("_new_reason"))
+    j = gold.join(_maybe_broadcast(mods, small), "booking_id", "left") \
+        .where(F.col("_op").isNull() | (F.col("_op") != "delete"))
+    upd = F.col("_op") == "update"
+    kept = j.select(*[
+        F.when(upd, F.col("_new_status")).otherwise(F.col(c)).alias(c) if c == "booking_status"
+        else F.when(upd, F.col("_new_reason")).otherwise(F.col(c)).alias(c)
+        if c == "unified_cancellation_reason" else F.col(c)
+        for c in gold.columns])
     ins = last.where(F.col("op") == "insert")
-    kept = delete_rides(update_status(gold, ups, small), dels, small)
     new = ins.select(
         "booking_id", F.lit(None).cast("string").alias("_batch_id"),
         F.col("ride_timestamp").cast("timestamp_ntz").alias("ride_timestamp"),
