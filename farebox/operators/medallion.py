@@ -7,7 +7,7 @@ partial+final aggregate so a hot key is pre-reduced on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farebox import schemas as sch
@@ -35,15 +35,49 @@ def parse_text_columns(raw: DataFrame) -> list[Column]:
     return out
 
 
+# Bits for the position inside one file (16 TiB), below the file's rank.
+FILE_POSITION_BITS = 44
+# Splits (or files) of one batch up to this many are broadcast; beyond, joined.
+BROADCAST_SPLITS_MAX = 1_000_000
+
+
+def with_load_order(raw: DataFrame) -> DataFrame:
+    """Adds ``_id``: each row's place in load order (files by path, then
+    position in the file), from the ``_file`` / ``_block`` columns of the scan.
+
+    Spark packs file splits into partitions by size, so partition order is not
+    file order. The position is the split's start byte plus the row's index
+    within its split: strictly increasing through a file, since a row takes at
+    least one byte. Split starts and file ranks are one row per split / file,
+    broadcast when bounded. Deterministic under task retries.
+    """
+    d = raw.withColumn("_mono", F.monotonically_increasing_id())
+    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"))
+    files = d.select("_file").distinct()
+    # Rank files by path on the (few) distinct paths.
+    ranks = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    if bounded_rows(splits, BROADCAST_SPLITS_MAX):
+        splits, ranks = F.broadcast(splits), F.broadcast(ranks)
+    pos = F.col("_block") + (F.col("_mono") - F.col("_first"))
+    order = F.shiftleft(F.col("_rank").cast("long"), FILE_POSITION_BITS) + pos
+    return (d.join(splits, ["_file", "_block"]).join(ranks, "_file")
+            .withColumn("_id", order).drop("_mono", "_first", "_rank"))
+
+
 def to_bronze(raw: DataFrame, batch_id: str | Column, load_order: Column | None = None,
               ingested_at: Column | None = None) -> DataFrame:
     """G1: typed bronze rows of one batch of CSV text.
 
-    ``_id`` fixes the load order for first-row-wins; by default it is the file
-    position (path, block start) plus the row's position in its partition.
+    ``_id`` fixes the load order for first-row-wins: with the scan's ``_file``
+    and ``_block`` columns it is the exact file order (``with_load_order``);
+    otherwise the row's position in the scan (one file per batch).
     """
     if load_order is None:
-        load_order = F.monotonically_increasing_id()
+        if "_file" in raw.columns and "_block" in raw.columns:
+            raw = with_load_order(raw)
+            load_order = F.col("_id")
+        else:
+            load_order = F.monotonically_increasing_id()
     bid = F.lit(batch_id) if isinstance(batch_id, str) else batch_id
     ts = ingested_at if ingested_at is not None else F.localtimestamp()
     return raw.select(load_order.cast("long").alias("_id"), bid.alias("_batch_id"),

@@ -74,7 +74,7 @@ class Pipeline:
     def to_bronze(self, batch_id: str, csv_path: str | None = None,
                   raw: DataFrame | None = None) -> int:
         """G1: CSV (a path, or rows already read) -> typed bronze rows."""
-        raw = raw if raw is not None else CSV.csv_scan(self.spark, csv_path)
+        raw = raw if raw is not None else CSV.csv_scan(self.spark, csv_path, with_file=True)
         return LY.batch_replace(M.to_bronze(raw, batch_id), self.bronze_path, batch_id)
 
     def to_silver(self, batch_id: str) -> int:

@@ -76,7 +76,8 @@ def csv_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Da
           .option("columnNameOfCorruptRecord", sch.CORRUPT_COLUMN)
           .option("pathGlobFilter", CSV_GLOB)
           .option("maxFilesPerTrigger", files_per_trigger).csv(path))
-    return clean_csv_rows(df, [F.col("_metadata.file_path").alias("_file")])
+    return clean_csv_rows(df, [F.col("_metadata.file_path").alias("_file"),
+                               F.col("_metadata.file_block_start").alias("_block")])
 
 
 def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None,

@@ -53,7 +53,7 @@ def stream_ingest(spark: SparkSession, drop_folder: str, pipeline: PL.Pipeline,
         files = df.select(F.regexp_extract("_file", BATCH_FROM_PATH, 1).alias("b")).distinct()
         # At most maxFilesPerTrigger (one) value: bounded.
         for r in files.orderBy("b").collect():
-            raw = df.where(F.regexp_extract("_file", BATCH_FROM_PATH, 1) == r["b"]).drop("_file")
+            raw = df.where(F.regexp_extract("_file", BATCH_FROM_PATH, 1) == r["b"])
             pipeline.run(r["b"], raw=raw)
 
     w = rows.writeStream.foreachBatch(run_batch).option(

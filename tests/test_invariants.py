@@ -159,3 +159,27 @@ def test_clean_first_picks_reason_by_trimmed_status(spark, sf):
     assert raw.count() > 0
     assert raw.where(F.col("unified_cancellation_reason") != "Not Cancelled").count() == 0
     assert clean.where(F.col("unified_cancellation_reason") == "Not Cancelled").count() == 0
+
+
+def test_load_order_follows_files_and_positions(spark, tmp_path):
+    """Several files in one batch, each in several splits: _id follows file
+    path order, then position in the file (split packing is by size)."""
+    from farebox.sources import csv as CSV
+    header = ",".join(f"c{i}" for i in range(17))
+    expected = []
+    for name, n in (("a.csv", 40), ("b.csv", 5), ("c.csv", 300)):     # largest last by name
+        lines = [header]
+        for i in range(n):
+            key = f"{name[0]}{i:04d}"
+            lines.append(",".join(["2024-01-01", "10:00:00", key] + ["x"] * 14))
+            expected.append(key)
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")       # many splits per file
+    try:
+        raw = CSV.csv_scan(spark, str(tmp_path), with_file=True)
+        assert raw.select("_file", "_block").distinct().count() > 3
+        got = [r["booking_id"] for r in M.to_bronze(raw, "b1").orderBy("_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == expected
