@@ -95,3 +95,16 @@ def test_apply_sync_with_a_model_embedder(spark, sf):
     new = V.apply_sync(src, idx.limit(0), embedder=lambda c: embed(c), persist=False)
     assert new.count() == src.count()
     assert new.where(F.size("embedding") != 26).count() == 0
+
+
+def test_approximate_options_stay_close(spark, sf):
+    g = X.ride_gold(spark, sf)
+    exact = {r["column_name"]: r for r in P.numeric_describe(g).collect()}
+    approx = {r["column_name"]: r for r in P.numeric_describe(g, exact=False).collect()}
+    for col, r in exact.items():
+        span = (r["max"] - r["min"]) or 1.0
+        for q in ("p25", "p50", "p75"):
+            assert abs(approx[col][q] - r[q]) <= 0.02 * span
+    d = P.distinct_count(g).first()[0]
+    a = P.distinct_count(g, approx=True).first()[0]
+    assert abs(a - d) <= 0.05 * d
