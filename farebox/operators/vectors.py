@@ -259,4 +259,7 @@ def semantic_rides(gold: DataFrame, index: DataFrame, text: str, k: int = 5,
     from farebox.operators import lookup as L
     hits = search_text(index, text, k, embedder).join(
         index.select("id", "booking_id"), "id").select("booking_id")
+    # At most k rows, used by the page and by its total: search the index
+    # once and keep the hits in the shared checkpoint folder.
+    hits = cut_lineage(hits)
     return L.rides_page(gold, ids=hits, page=page, size=size, **filters)
