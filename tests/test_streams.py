@@ -50,3 +50,21 @@ def test_dashboard_refresh_upserts_changed_windows_incrementally(spark, sf):
                                                C.exact_sum("booking_value").alias("revenue")))
     assert got == sorted((r["ws"].timestamp(), r["vehicle_type"], r["total"], r["revenue"])
                          for r in want.collect())
+
+
+def test_vector_sync_stream_survives_a_failing_sync(spark, sf):
+    from pyspark.sql import functions as F
+    gold_path = work_path(spark, "sync-fail-gold")
+    X.ride_gold(spark, sf).write.parquet(gold_path)
+    _, idx = X.vector_sync_fixture(spark, sf)
+    index = ST.VectorIndex(spark, work_path(spark, "sync-fail-index"))
+    index.write(idx)
+    before = index.next_version()
+
+    def broken(col):                      # an embedder whose every call fails the job
+        return F.raise_error(F.lit("model down")).cast("array<float>")
+
+    q = ST.stream_vector_sync(spark, gold_path, index, available_now=True, embedder=broken)
+    q.awaitTermination()
+    assert q.exception() is None          # the stream goes on
+    assert index.next_version() == before  # nothing half-written
