@@ -1,15 +1,16 @@
 """Dashboard aggregates (KPIs, cancellations, vehicles, hourly traffic) and the
 shares and stats the charts derive from them.
 
-All four dashboard parts come from one scan (grouping sets); the share and
-stat windows run only on the handful of grouped rows, never on ride rows.
+All four dashboard parts come from one scan (grouping sets); shares take
+their totals from scalar-subquery aggregates, and the traffic stats aggregate
+the grouped rows, never ride rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox import schemas as sch
@@ -67,9 +68,6 @@ def hourly_traffic(gold: DataFrame, vehicle: str | None = None,
             .orderBy(F.asc_nulls_last("hour")))
 
 
-PARTS = {0: "kpi", 1: "reason", 2: "vehicle", 3: "hour"}
-
-
 def dashboard_summary(gold: DataFrame, vehicle: str | None = None,
                       start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
     """A5: A1-A4 under one filter in a single scan.

@@ -147,12 +147,6 @@ def first_wins(df: DataFrame, key: str | list[str], order: list[str],
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in keep])
 
 
-def rating_violations(df: DataFrame) -> Column:
-    """F9 as one count: rows with a rating outside NULL-or-[0,5]."""
-    bad = ~(FL.rating_ok("driver_ratings") & FL.rating_ok("customer_rating"))
-    return F.count_if(bad)
-
-
 def check_ratings(df: DataFrame) -> None:
     """fail the batch when any rating is outside [0, 5]."""
     bad = df.where(~(FL.rating_ok("driver_ratings") & FL.rating_ok("customer_rating")))

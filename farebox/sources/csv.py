@@ -13,10 +13,6 @@ CSV_GLOB = "*.[cC][sS][vV]"
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 
 
-class MalformedCsvError(RuntimeError):
-    pass
-
-
 def _reader(spark: SparkSession):
     return (spark.read.schema(sch.CSV_SCHEMA_WITH_CORRUPT)
             .option("header", True).option("enforceSchema", True)
