@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from farebox import schemas as sch
 from farebox.functions import columns as C
 from farebox.functions import filters as FL
-from farebox.session import bounded_rows
+from farebox.session import bounded_rows, cut_lineage
 
 
 class QualityError(RuntimeError):
@@ -52,8 +52,10 @@ def with_load_order(raw: DataFrame) -> DataFrame:
     broadcast when bounded. Deterministic under task retries.
     """
     d = raw.withColumn("_mono", F.monotonically_increasing_id())
-    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"))
-    files = d.select("_file").distinct()
+    # One row per split, computed once (one pass over the batch) and kept in
+    # the shared checkpoint folder; the size check and the join reuse it.
+    splits = cut_lineage(d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first")))
+    files = splits.select("_file").distinct()
     # Rank files by path on the (few) distinct paths.
     ranks = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
     if bounded_rows(splits, BROADCAST_SPLITS_MAX):

@@ -98,7 +98,9 @@ def embed_distinct(df: DataFrame, text_col: str, embedder: Callable[[Column], Co
     texts are few (a closed set of reasons); the join broadcasts them only
     when their number is bounded."""
     embedder = embedder or hashed_embedding
-    texts = df.select(text_col).distinct()
+    # The distinct texts once (a partial aggregate over one column), kept in
+    # the shared checkpoint folder: the size check and the join reuse them.
+    texts = cut_lineage(df.select(text_col).distinct())
     vecs = texts.select(text_col, embedder(F.col(text_col)).alias(out_col))
     if bounded_rows(texts, 100_000):
         vecs = F.broadcast(vecs)
