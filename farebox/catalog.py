@@ -405,6 +405,14 @@ def q_guard_sql(spark, sf):
     return Q.guard_sql(X.statement_log(spark, sf))
 
 
+@register("q_refused", f"""SELECT stmt_id, reason, '{Q.REFUSAL_TEXT}' AS message FROM ({_guard_oracle()}) g
+WHERE NOT is_valid""")
+def q_q_refused(spark, sf):
+    """Q3 refusals: every statement of the log the guard refuses (writes,
+    WITH, forbidden words, non-SQL text), with the refusal message."""
+    return Q.refusals(Q.guard_sql(X.statement_log(spark, sf)))
+
+
 @register("run_guarded_sql", O.with_layers(_CORPUS_SQL["q_top_reasons"]))
 def q_run_guarded_sql(spark, sf):
     return Q.run_guarded_sql(spark, K.STATEMENTS["q_top_reasons"].replace(

@@ -57,6 +57,13 @@ def guard_sql(statements: DataFrame, col: str = "sql", limit: int = DEFAULT_LIMI
                        .otherwise(F.lit("")).alias("sanitized_sql"))
 
 
+def refusals(verdicts: DataFrame) -> DataFrame:
+    """Q3 refusals: the refused statements of a guard result, each with the
+    constant refusal message the assistant answers with."""
+    return verdicts.where(~F.col("is_valid")).select(
+        "stmt_id", "reason", F.lit(REFUSAL_TEXT).alias("message"))
+
+
 GOLD_TABLE_PATTERN = re.compile(r"\bgold\.dataset\b", re.IGNORECASE)
 
 
