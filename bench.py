@@ -25,6 +25,7 @@ from farebox.operators import adhoc as Q  # noqa: E402
 from farebox.operators import changes as CH  # noqa: E402
 from farebox.operators import dashboard as D  # noqa: E402
 from farebox.operators import lookup as L  # noqa: E402
+from farebox.operators import pipeline as PL  # noqa: E402
 from farebox.operators import profile as P  # noqa: E402
 from farebox.operators import report as R  # noqa: E402
 from farebox.operators import vectors as V  # noqa: E402
@@ -59,6 +60,15 @@ def main() -> None:
     LO.write_clustered(gold, f"{root}/gold_clustered")
     build["build_clustered"] = time.perf_counter() - t
     clustered = spark.read.parquet(f"{root}/gold_clustered")
+    # Ingestion as the source runs it: each batch's CSV through bronze,
+    # silver and gold with batch replacement and step events.
+    folder, batches = X.ride_csv_folder(spark, sf_dir, f"{root}/drop")
+    pipe = PL.Pipeline(spark, f"{root}/layers")
+    t = time.perf_counter()
+    for b in batches:
+        if not pipe.run(b, f"{folder}/{b}"):
+            raise RuntimeError(f"batch {b} failed")
+    build["pipeline_csv_to_gold"] = time.perf_counter() - t
 
     conversations = X.table(spark, sf_dir, "conversations")
     statements = spark.sql(X.STATEMENT_LOG_SQL, conversations=conversations, gold=gold)
