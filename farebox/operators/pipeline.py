@@ -7,6 +7,7 @@ or a resume is idempotent and a failed job leaves the old rows in place.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from dataclasses import dataclass
 
@@ -57,8 +58,9 @@ class Pipeline:
 
     def record(self, batch_id: str, step: str, status: str, rows: int | None = None,
                error: str | None = None) -> None:
-        """M5: one step event (a single metadata row)."""
-        now = self.spark.sql("SELECT localtimestamp() AS t").first()["t"]
+        """M5: one step event (a single metadata row), stamped with the
+        driver's UTC clock as the source stamps its status rows."""
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         ev = self.spark.createDataFrame(
             [(time.time_ns(), batch_id, step, status, now, rows, error)], sch.STEP_EVENT_SCHEMA)
         LY.append_rows(ev, self.events_path)
