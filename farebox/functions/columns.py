@@ -193,8 +193,15 @@ def as_utc(c: ColumnOrName) -> Column:
         F.try_to_timestamp(text))
 
 
-# Digits used by the display formatter (other-script digits, zero to nine).
+# --- Fixed values: display formats of the ride front end. ---
+# Digits zero to nine of the display script; the decimal point shows as ','.
 DISPLAY_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+# Duration units: milliseconds, seconds, minutes, and seconds after minutes.
+UNIT_MS = " م.ث"
+UNIT_S = " ث"
+UNIT_MIN = "د "
+UNIT_MIN_S = "ث"
+# --- end of fixed values ---
 
 
 def format_number_text(c: ColumnOrName, places: int | None = None,
@@ -217,8 +224,9 @@ def format_number_text(c: ColumnOrName, places: int | None = None,
 
 
 def duration_text(start: ColumnOrName, end: ColumnOrName, now: Column | None = None,
-                  digits: str = DISPLAY_DIGITS, ms_unit: str = " م.ث",
-                  s_unit: str = " ث", min_unit: str = "د ", min_s_unit: str = "ث") -> Column:
+                  digits: str = DISPLAY_DIGITS, ms_unit: str = UNIT_MS,
+                  s_unit: str = UNIT_S, min_unit: str = UNIT_MIN,
+                  min_s_unit: str = UNIT_MIN_S) -> Column:
     """Run duration text. Open runs (NULL end) measure up to ``now``;
     negative spans count as 0; under 1 s in ms, under 60 s in s, otherwise
     whole minutes + seconds, both with two decimals."""
