@@ -492,9 +492,9 @@ _DIFF = ("greatest(epoch_ms(coalesce(end_time, (SELECT max(event_time) FROM ev))
 
 
 @register("duration_text", _status_sql(f"""
-SELECT *, CASE WHEN d < 1000 THEN concat({_duck_digits('d')}, ',', '{C.DISPLAY_DIGITS[0] * 2}', ' م.ث')
-               WHEN d < 60000 THEN concat({_duck_secs('d')}, ' ث')
-               ELSE concat({_duck_digits('d // 60000')}, 'د ', {_duck_secs('d % 60000')}, 'ث') END AS duration,
+SELECT *, CASE WHEN d < 1000 THEN concat({_duck_digits('d')}, ',', '{C.DISPLAY_DIGITS[0] * 2}', '{C.UNIT_MS}')
+               WHEN d < 60000 THEN concat({_duck_secs('d')}, '{C.UNIT_S}')
+               ELSE concat({_duck_digits('d // 60000')}, '{C.UNIT_MIN}', {_duck_secs('d % 60000')}, '{C.UNIT_MIN_S}') END AS duration,
        status = 'Failed' AND step IN ('Silver', 'Gold') AS can_resume
 FROM (SELECT *, {_DIFF} AS d FROM sv) t""".replace("SELECT *, CASE", "SELECT * EXCLUDE (d), CASE")))
 def q_duration_text(spark, sf):
