@@ -1,0 +1 @@
+"""Column expressions: parsing, cleaning, predicates and display labels."""

@@ -1,0 +1 @@
+"""Data operators: medallion steps, aggregates, lookups, changes, vectors, SQL guard."""

@@ -1,0 +1 @@
+"""Physical layouts of gold (clustered, bucketed) and plan reports."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs: ingestion, vector sync, dashboard refresh."""
