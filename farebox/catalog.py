@@ -1203,3 +1203,15 @@ def q_insert_if_absent(spark, sf):
 def q_first_wins_dedup(spark, sf):
     silver = X.ride_silver(spark, sf).where(F.col("_batch_id") == "batch-2")
     return M.to_gold(silver, None, "batch-2")
+
+
+@register("stream_changes", _cs_sql(_APPLIED))
+def q_stream_changes(spark, sf):
+    """M4 as a stream: the change set arrives as files, gold is versioned."""
+    cs = _cs(spark, sf)
+    path = work_path(spark, "change-files")
+    cs.write.parquet(path)
+    table = ST.VersionedTable(spark, work_path(spark, "gold-versions"), M.sch.GOLD_SCHEMA)
+    table.write(gold(spark, sf))
+    ST.stream_changes(spark, path, table, cs.schema, available_now=True).awaitTermination()
+    return table.current().select(*M.sch.GOLD_COLUMNS)

@@ -68,3 +68,23 @@ def test_vector_sync_stream_survives_a_failing_sync(spark, sf):
     q.awaitTermination()
     assert q.exception() is None          # the stream goes on
     assert index.next_version() == before  # nothing half-written
+
+
+def test_change_stream_equals_batch_apply(spark, sf):
+    from pyspark.sql import functions as F
+    from farebox.operators import changes as CH
+    from farebox.schemas import GOLD_SCHEMA
+    g = X.ride_gold(spark, sf)
+    cs = X.change_set(spark, sf)
+    first, later = cs.where(F.col("seq") % 2 == 0), cs.where(F.col("seq") % 2 == 1)
+    path = work_path(spark, "change-files")
+    first.write.parquet(path)
+    gold = ST.VersionedTable(spark, work_path(spark, "gold-versions"), GOLD_SCHEMA)
+    gold.write(g)
+    ckpt = work_path(spark, "change-ckpt")
+    ST.stream_changes(spark, path, gold, cs.schema, checkpoint=ckpt, available_now=True).awaitTermination()
+    later.write.mode("append").parquet(path)
+    ST.stream_changes(spark, path, gold, cs.schema, checkpoint=ckpt, available_now=True).awaitTermination()
+    want = sorted(map(tuple, CH.apply_changes(g, cs).select(*GOLD_SCHEMA.fieldNames()).collect()))
+    got = sorted(map(tuple, gold.current().select(*GOLD_SCHEMA.fieldNames()).collect()))
+    assert got == want and gold.next_version() == 3
