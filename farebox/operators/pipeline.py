@@ -8,7 +8,9 @@ or a resume is idempotent and a failed job leaves the old rows in place.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ from farebox.operators import medallion as M
 from farebox.sources import csv as CSV
 from farebox.sources import layers as LY
 
+log = logging.getLogger(__name__)
+
 
 def rating_guarded(df: DataFrame) -> DataFrame:
     """F9 inside the write: a rating outside [0, 5] fails the job (so the
@@ -37,6 +41,9 @@ def rating_guarded(df: DataFrame) -> DataFrame:
 class Pipeline:
     spark: SparkSession
     root: str
+    # Called with the batch id after its gold step succeeded (e.g. to refresh
+    # the dashboard's per-batch contributions); its failure is logged only.
+    after_gold: Callable[[str], None] | None = None
 
     @property
     def bronze_path(self) -> str:
@@ -113,6 +120,11 @@ class Pipeline:
                 self.record(batch_id, step, "Failed", 0, str(e)[:2000])
                 return False
             self.record(batch_id, step, "Success", rows)
+        if self.after_gold is not None:
+            try:
+                self.after_gold(batch_id)
+            except Exception:  # noqa: BLE001 - the batch itself succeeded
+                log.exception("after-gold hook failed for batch %s", batch_id)
         return True
 
     def resume(self, batch_id: str) -> bool:

@@ -88,3 +88,21 @@ def test_change_stream_equals_batch_apply(spark, sf):
     want = sorted(map(tuple, CH.apply_changes(g, cs).select(*GOLD_SCHEMA.fieldNames()).collect()))
     got = sorted(map(tuple, gold.current().select(*GOLD_SCHEMA.fieldNames()).collect()))
     assert got == want and gold.next_version() == 3
+
+
+def test_batch_contributions_survive_a_rerun(spark, sf):
+    """Dashboard by batch contributions: a rerun replaces its batch's share,
+    so the result equals a fresh aggregate over gold (no double counting)."""
+    from pyspark.sql import functions as F
+    base, batches = X.ride_csv_folder(spark, sf)
+    contrib = ST.VersionedTable(spark, work_path(spark, "contrib"), ST.CONTRIB_SCHEMA)
+    pipe = PL.Pipeline(spark, work_path(spark, "contrib-layers"))
+    pipe.after_gold = lambda b: ST.refresh_batch(spark, pipe.gold_path, b, contrib)
+    for b in batches:
+        assert pipe.run(b, f"{base}/{b}")
+    assert pipe.run(batches[0], f"{base}/{batches[0]}")          # a rerun
+    got = sorted(map(tuple, ST.dashboard_from_contributions(contrib.current()).collect()))
+    fresh = ST.dashboard_from_contributions(ST.batch_contributions(pipe.gold()))
+    assert got == sorted(map(tuple, fresh.collect()))
+    total = sum(r[2] for r in got)
+    assert total == pipe.gold().where(F.col("ride_timestamp").isNotNull()).count()
