@@ -25,6 +25,7 @@ from farebox.operators import adhoc as Q  # noqa: E402
 from farebox.operators import changes as CH  # noqa: E402
 from farebox.operators import dashboard as D  # noqa: E402
 from farebox.operators import lookup as L  # noqa: E402
+from farebox.operators import medallion as M  # noqa: E402
 from farebox.operators import pipeline as PL  # noqa: E402
 from farebox.operators import profile as P  # noqa: E402
 from farebox.operators import report as R  # noqa: E402
@@ -69,6 +70,15 @@ def main() -> None:
         if not pipe.run(b, f"{folder}/{b}"):
             raise RuntimeError(f"batch {b} failed")
     build["pipeline_csv_to_gold"] = time.perf_counter() - t
+    # Skew: the same dedup with a third of all rows under one key.
+    silver = X.ride_silver(spark, sf_dir)
+    hot = silver.withColumn("booking_id", F.when(F.col("_id") % 3 == 0, F.lit("HOT"))
+                            .otherwise(F.col("booking_id")))
+    for name, src in (("dedup", silver), ("dedup_hot_key_third", hot)):
+        M.gold_from_silver(src).write.format("noop").mode("overwrite").save()   # warm
+        t = time.perf_counter()
+        M.gold_from_silver(src).write.format("noop").mode("overwrite").save()
+        build[name] = time.perf_counter() - t
 
     conversations = X.table(spark, sf_dir, "conversations")
     statements = spark.sql(X.STATEMENT_LOG_SQL, conversations=conversations, gold=gold)
