@@ -246,8 +246,8 @@ def q_ordered_counts(spark, sf):
     return P.ordered_counts(eda(spark, sf), "vehicle_type")
 
 
-@register("numeric_describe", _eda_sql("""
-SELECT column_name, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+@register("numeric_describe", _eda_sql(f"""
+SELECT column_name, count(value) AS count, {_xavg('value')} AS mean, stddev_samp(value) AS std, min(value) AS min,
        quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
        quantile_cont(value, 0.75) AS p75, max(value) AS max
 FROM lv WHERE value IS NOT NULL GROUP BY column_name""", lv=_long_union(P.NUMERIC_COLUMNS, cast="DOUBLE")))

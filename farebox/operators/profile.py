@@ -198,7 +198,7 @@ def numeric_describe(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS,
     """
     long = _long_values_num(df, cols).where(F.col("v").isNotNull())
     stats = long.groupBy("column_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"),
+        F.count("v").alias("count"), C.exact_avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
     if exact:
         q = exact_quantiles(df, cols)
