@@ -128,9 +128,13 @@ class Pipeline:
         return True
 
     def resume(self, batch_id: str) -> bool:
-        """M6: rerun a batch whose latest status is Failed at Silver or Gold."""
-        todo = CH.resumable_runs(self.status()).where(F.col("batch_id") == batch_id).first()
+        """M6: rerun a batch whose latest status is Failed at Silver or Gold;
+        any other known batch is left as is (False); an unknown one raises."""
+        st = self.status().where(F.col("batch_id") == batch_id)
+        todo = CH.resumable_runs(st).first()
         if todo is None:
+            if st.isEmpty():
+                raise LookupError(f"pipeline not found: {batch_id}")
             return False
         return self.run(batch_id, start=todo["resume_step"])
 

@@ -183,3 +183,10 @@ def test_load_order_follows_files_and_positions(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == expected
+
+
+def test_resume_of_unknown_or_finished_batch(spark, ran):
+    pipe, _, batches = ran
+    assert pipe.resume(batches[0]) is False          # succeeded: nothing to resume
+    with pytest.raises(LookupError):
+        pipe.resume("no-such-batch")

@@ -95,3 +95,22 @@ def test_bucketed_gold_joins_shuffle_only_the_change_side(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     exchanges = [l for l in plan.splitlines() if l.startswith("(") and "Exchange" in l]
     assert "SortMergeJoin" in plan and len(exchanges) == 1   # only the change side moves
+
+
+def test_incremental_gold_probes_gold_without_shuffling_it(spark, sf):
+    from farebox.operators import medallion as M
+    g = stored_gold(spark, sf)
+    silver = X.ride_silver(spark, sf).where(F.col("_batch_id") == "batch-2")
+    plan = LO.explain_text(M.to_gold(silver, g, "batch-2"))
+    gold_scans = [b for b in plan.split("\n\n") if "Scan parquet" in b and "_batch_id" in b
+                  and "Not(EqualTo(_batch_id,batch-2))" in b]
+    assert gold_scans                                      # other batches only, pushed down
+    assert "ReadSchema: struct<booking_id:string,_batch_id:string>" in plan
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan and "LeftAnti" in plan
+
+
+def test_api_names_page(spark, sf):
+    from farebox.functions import columns as C
+    page = L.rides_page(stored_gold(spark, sf), vehicle="Bike", page=1, size=5, api_names=True)
+    assert page.columns == list(C.GOLD_API_NAMES.values()) + ["total_count"]
+    assert page.count() == 5
