@@ -223,8 +223,14 @@ def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 5,
             m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
             scores = qm @ m.T                          # queries x batch rows
             ids = pdf["id"].to_numpy()
+            n = scores.shape[1]
+            # k-th largest score per query in linear time; every row at or
+            # above it is a candidate (ties included, so the order stays exact).
+            kth = (np.partition(scores, n - k, axis=1)[:, n - k] if n > k
+                   else np.full(len(qids_), -np.inf))
             for qi in range(len(qids_)):
-                order = np.lexsort((ids, -scores[qi]))[:k]
+                cand = np.nonzero(scores[qi] >= kth[qi])[0]
+                order = cand[np.lexsort((ids[cand], -scores[qi][cand]))][:k]
                 best.append(pd.DataFrame({"query_id": qids_[qi], "id": ids[order],
                                           "score": scores[qi][order]}))
             # Keep the running candidates small: re-cut to k per query.
