@@ -23,11 +23,14 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "farebox", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "farebox", extra: dict | None = None,
+                  ui: bool = False) -> SparkSession:
+    """A session with the engine's defaults; the web UI is off unless asked
+    for (local runs and tests)."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.enabled"] = str(ui).lower()
     conf["spark.ui.showConsoleProgress"] = "false"
     conf.update(extra or {})
     for k, v in conf.items():
