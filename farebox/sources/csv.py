@@ -41,14 +41,16 @@ def clean_csv_rows(df: DataFrame, extra: list[Column] | None = None) -> DataFram
     return df.select(*cols, *(extra or []))
 
 
-def csv_scan(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_BYTES,
+def csv_scan(spark: SparkSession, path: str, max_bytes: int | None = None,
              with_file: bool = False) -> DataFrame:
     """S1 + S3: 17 text columns by position (header names ignored), RFC 4180
     quoting with doubled quotes, blank lines skipped, empty field -> ''.
 
-    Only non-empty ``.csv`` files (any case) no larger than ``max_bytes`` are
-    read. ``with_file`` keeps the file path and block start, which fix the
-    load order together with the row's position.
+    Only non-empty ``.csv`` files (any case) are read. The upload size cap of
+    the front end (``MAX_UPLOAD_BYTES``) applies only when passed as
+    ``max_bytes``: the server side takes files of any size, and a silent skip
+    would lose rows. ``with_file`` keeps the file path and block start, which
+    fix the load order together with the row's position.
     """
     df = _reader(spark).csv(path)
     size = F.col("_metadata.file_size")
