@@ -62,7 +62,12 @@ def with_load_order(raw: DataFrame) -> DataFrame:
         splits, ranks = F.broadcast(splits), F.broadcast(ranks)
     pos = F.col("_block") + (F.col("_mono") - F.col("_first"))
     order = F.shiftleft(F.col("_rank").cast("long"), FILE_POSITION_BITS) + pos
-    return (d.join(splits, ["_file", "_block"]).join(ranks, "_file")
+    # Left joins plus a guard: a row whose split was not seen by the first
+    # read (input changed in between) fails the job instead of vanishing.
+    order = F.when(F.col("_first").isNull() | F.col("_rank").isNull(),
+                   F.raise_error(F.lit("input files changed while loading the batch"))
+                   .cast("long")).otherwise(order)
+    return (d.join(splits, ["_file", "_block"], "left").join(ranks, "_file", "left")
             .withColumn("_id", order).drop("_mono", "_first", "_rank"))
 
 
