@@ -940,8 +940,8 @@ def q_batch_replace_sink(spark, sf):
 def q_run_pipeline(spark, sf):
     base, batches = _folder(spark, sf)
     pipe = PL.Pipeline(spark, work_path(spark, "layers"))
-    for b in batches:
-        if not pipe.run(b, f"{base}/{b}"):
+    for b, ok in pipe.run_folder(base, batches).items():
+        if not ok:
             raise RuntimeError(pipe.status().where(F.col("batch_id") == b).first()["error_message"])
     return pipe.gold().select(*M.sch.GOLD_COLUMNS)
 

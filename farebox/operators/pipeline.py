@@ -127,6 +127,12 @@ class Pipeline:
                 log.exception("after-gold hook failed for batch %s", batch_id)
         return True
 
+    def run_folder(self, folder: str, batches: list[str]) -> dict[str, bool]:
+        """G4 over several uploads: each batch folder under ``folder`` in name
+        order (the load order first-row-wins depends on); a failed batch is
+        recorded and the next one still runs. Returns success per batch."""
+        return {b: self.run(b, f"{folder.rstrip('/')}/{b}") for b in sorted(batches)}
+
     def resume(self, batch_id: str) -> bool:
         """M6: rerun a batch whose latest status is Failed at Silver or Gold;
         any other known batch is left as is (False); an unknown one raises."""
