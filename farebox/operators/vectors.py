@@ -88,7 +88,8 @@ def pandas_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
                         out.append(np.asarray(model([text])[0], dtype=np.float32))
                     except Exception:  # noqa: BLE001
                         out.append(None)
-            yield pd.Series(out)
+            # A vector of the wrong size counts as a failed embedding.
+            yield pd.Series([v if v is not None and v.shape == (dims,) else None for v in out])
     return embed
 
 
