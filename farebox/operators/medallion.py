@@ -22,7 +22,7 @@ class QualityError(RuntimeError):
 
 # --- bronze -------------------------------------------------------------
 
-def parse_text_columns(raw: DataFrame) -> list[Column]:
+def parse_text_columns() -> list[Column]:
     """P1-P4 over the 17 CSV text columns -> typed bronze columns."""
     out = [C.parse_date("ride_date").alias("ride_date")]
     for c in sch.CSV_COLUMNS[1:]:
@@ -89,7 +89,7 @@ def to_bronze(raw: DataFrame, batch_id: str | Column, load_order: Column | None
     ts = ingested_at if ingested_at is not None else F.localtimestamp()
     return raw.select(load_order.cast("long").alias("_id"), bid.alias("_batch_id"),
                       ts.cast("timestamp_ntz").alias("_ingested_at"),
-                      *parse_text_columns(raw))
+                      *parse_text_columns())
 
 
 # --- silver -------------------------------------------------------------
