@@ -61,6 +61,48 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFrame,
+                           batch_col: str = BATCH_COL) -> list[str | None]:
+    """M4 on a batch-partitioned gold table, rewriting only the partitions
+    that hold a changed key (plus the no-batch partition new rides go to):
+    the work is proportional to the touched batches, not to all of gold.
+
+    Each rewritten partition is swapped at commit (dynamic overwrite); one
+    left empty by deletes is removed, as a batch replacement does. Returns
+    the batch ids rewritten.
+    """
+    from farebox.operators import changes as CH
+    from farebox.session import bounded_rows, cut_lineage
+    gold = spark.read.parquet(gold_path)
+    keys = changes.select("booking_id").distinct()
+    if bounded_rows(changes, CH.BROADCAST_CHANGES_MAX):
+        keys = F.broadcast(keys)
+    # The touched batches: one row per batch, kept so both uses agree.
+    touched = cut_lineage(gold.join(keys, "booking_id", "left_semi").select(batch_col).distinct())
+    batches = [r[0] for r in touched.collect()]            # bounded by the number of batches
+    has_inserts = not changes.where(F.col("op") == "insert").isEmpty()
+    if has_inserts:                                        # new rides go to the no-batch partition
+        batches.append(None)
+    batches = sorted(set(batches), key=lambda b: (b is None, b or ""))
+    part = gold.where(F.col(batch_col).isin([b for b in batches if b is not None])
+                      | (F.col(batch_col).isNull() if None in batches else F.lit(False)))
+    out = cut_lineage(CH.apply_changes(part.select(*gold.columns), changes))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(batch_col).parquet(gold_path))
+    # Partitions that lost all their rows: dynamic overwrite keeps them, remove.
+    left = {r[0] for r in out.select(batch_col).distinct().collect()}
+    for b in batches:
+        if b not in left:
+            fs, p = _fs_path(spark, _partition_dir(gold_path, batch_col,
+                                                   NULL_PARTITION if b is None else b))
+            if fs.exists(p):
+                fs.delete(p, True)
+    return batches
+
+
 def write_versioned(df: DataFrame, base: str, version: int) -> str:
     """Write a whole-table rewrite (a change set over gold) to a new version
     folder; readers switch by reading the newest complete version, so none

@@ -198,3 +198,34 @@ def test_size_cap_is_opt_in(spark, tmp_path):
     p.write_text("h\n" + "\n".join(",".join(["a"] * 17) for _ in range(50)) + "\n")
     assert CSV.csv_scan(spark, str(p)).count() == 50                 # no silent skip
     assert CSV.csv_scan(spark, str(p), max_bytes=100).count() == 0    # the front end's rule
+
+
+def test_apply_changes_in_place_rewrites_only_touched_batches(spark, sf):
+    import os
+    g = X.ride_gold(spark, sf)
+    path = work_path(spark, "inplace-gold")
+    g.write.partitionBy("_batch_id").parquet(path)
+    cs = X.change_set(spark, sf).where(F.col("op") != "insert")
+    only_b1 = cs.join(g.where(F.col("_batch_id") == "batch-1").select("booking_id"), "booking_id",
+                      "left_semi")
+    local = path.replace("file:", "")
+    before = {d: os.listdir(f"{local}/{d}") for d in os.listdir(local) if d.startswith("_batch_id=")}
+    touched = LY.apply_changes_in_place(spark, path, only_b1)
+    assert touched == ["batch-1"]
+    after = {d: os.listdir(f"{local}/{d}") for d in os.listdir(local) if d.startswith("_batch_id=")}
+    assert after["_batch_id=batch-0"] == before["_batch_id=batch-0"]      # untouched files
+    assert after["_batch_id=batch-1"] != before["_batch_id=batch-1"]
+    want = CH.apply_changes(g, only_b1)
+    got = spark.read.parquet(path).select(*g.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*g.columns).collect()))
+
+
+def test_apply_changes_in_place_with_inserts(spark, sf):
+    g = X.ride_gold(spark, sf)
+    path = work_path(spark, "inplace-gold-ins")
+    g.write.partitionBy("_batch_id").parquet(path)
+    cs = X.change_set(spark, sf)
+    LY.apply_changes_in_place(spark, path, cs)
+    want = CH.apply_changes(g, cs).select(*g.columns)
+    got = spark.read.parquet(path).select(*g.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
