@@ -89,6 +89,21 @@ class VersionedTable:
         cols = self.schema.fieldNames() if self.schema is not None else df.columns
         return LY.write_versioned(df.select(*cols), self.base, self.next_version())
 
+    def prune(self, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` versions (readers of an older
+        version must be done); returns how many were removed."""
+        jvm = self.spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(base):
+            return 0
+        versions = sorted(str(s.getPath().getName()) for s in fs.listStatus(base)
+                          if str(s.getPath().getName()).startswith("v="))
+        old = versions[:-keep] if keep > 0 else versions
+        for v in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base.rstrip('/')}/{v}"), True)
+        return len(old)
+
     def upsert(self, rows: DataFrame, keys: list[str]) -> str:
         """Rows replace the rows of the same keys; others are kept."""
         cur = self.current()

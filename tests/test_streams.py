@@ -106,3 +106,11 @@ def test_batch_contributions_survive_a_rerun(spark, sf):
     assert got == sorted(map(tuple, fresh.collect()))
     total = sum(r[2] for r in got)
     assert total == pipe.gold().where(F.col("ride_timestamp").isNotNull()).count()
+
+
+def test_versioned_table_prune_keeps_newest(spark):
+    t = ST.VersionedTable(spark, work_path(spark, "prune"), "k long, v string")
+    for i in range(4):
+        t.write(spark.createDataFrame([(i, f"v{i}")], "k long, v string"))
+    assert t.prune(keep=2) == 2
+    assert t.current().collect()[0]["k"] == 3 and t.next_version() == 4
