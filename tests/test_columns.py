@@ -146,3 +146,25 @@ def test_exact_sum_is_order_free_and_keeps_sql_semantics(spark):
     assert inf == float("inf")
     neg = spark.createDataFrame([(-1.2345,), (2.0005,)], "v double").agg(C.exact_sum("v")).first()[0]
     assert neg == (-1235 + 2001) / 1000
+
+
+def test_traffic_stats_ties_and_mean(spark):
+    from farebox.operators import dashboard as D
+    hourly = spark.createDataFrame([(3, 10), (7, 10), (1, 2), (9, 2), (5, 5)], "hour int, ride_count long")
+    r = D.traffic_stats(hourly).first()
+    assert (r["peak_count"], r["peak_hour"]) == (10, 3)          # earliest hour on a tie
+    assert (r["min_count"], r["min_hour"]) == (2, 1)
+    assert r["mean_count"] == 6                                   # 29 / 5 = 5.8 -> 6
+    half = spark.createDataFrame([(0, 1), (1, 2)], "hour int, ride_count long")
+    assert D.traffic_stats(half).first()["mean_count"] == 2       # 1.5 rounds half up
+
+
+def test_page_count_and_shares(spark):
+    from farebox.operators import dashboard as D
+    from farebox.operators import lookup as L
+    df = spark.createDataFrame([(41,), (40,), (0,)], "n long")
+    assert [r[0] for r in df.select(L.page_count(F.col("n"), 20)).collect()] == [3, 2, 0]
+    counts = spark.createDataFrame([("a", 1), ("b", 2)], "reason string, count long")
+    got = {r["reason"]: (r["pct"], r["pct_of_max"]) for r in
+           D.share_of_max(D.share_of_total(counts)).collect()}
+    assert got == {"a": (33.3, 50.0), "b": (66.7, 100.0)}
