@@ -62,3 +62,9 @@ def test_corpus_statement_equals_dataframe_twin(spark, sf, name):
         g = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in got.collect())
         w = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in want.collect())
         assert g == w
+
+
+def test_guard_refuses_null_and_blank(spark):
+    df = spark.createDataFrame([(None,), ("   ",), ("```sql```",)], "sql string")
+    got = [(r["is_valid"], r["reason"]) for r in Q.guard_sql(df).collect()]
+    assert got == [(False, "not_select")] * 3

@@ -168,3 +168,9 @@ def test_page_count_and_shares(spark):
     got = {r["reason"]: (r["pct"], r["pct_of_max"]) for r in
            D.share_of_max(D.share_of_total(counts)).collect()}
     assert got == {"a": (33.3, 50.0), "b": (66.7, 100.0)}
+
+
+def test_strip_quotes_edges(spark):
+    assert one(spark, C.strip_quotes, '""') == ""
+    assert one(spark, C.strip_quotes, ' "a"b" ') == 'a"b'
+    assert one(spark, C.strip_quotes, None) is None
