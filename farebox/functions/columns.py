@@ -188,7 +188,8 @@ def as_utc(c: ColumnOrName) -> Column:
     """Timestamp text; no zone given means UTC, a Z or offset is kept."""
     c = _c(c)
     zoned = c.rlike(r"[Zz]") | c.rlike(r"[+-]\d{2}:?\d{2}$")
-    text = F.when(zoned, c).otherwise(F.concat(c, F.lit("Z")))
+    # A lowercase UTC designator is accepted like 'Z' (Spark's parser wants 'Z').
+    text = F.when(zoned, F.regexp_replace(c, "z$", "Z")).otherwise(F.concat(c, F.lit("Z")))
     return F.when(c.isNull() | (c == ""), F.lit(None).cast("timestamp")).otherwise(
         F.try_to_timestamp(text))
 

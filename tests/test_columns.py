@@ -88,7 +88,8 @@ def test_hash_uuid_and_key(spark):
 
 @pytest.mark.parametrize("text,expected_ms", [
     ("2024-01-01T00:00:00", 1704067200000), ("2024-01-01T00:00:00Z", 1704067200000),
-    ("2024-01-01T03:30:00+03:30", 1704067200000), ("2024-01-01T03:30:00+0330", 1704067200000)])
+    ("2024-01-01T03:30:00+03:30", 1704067200000), ("2024-01-01T03:30:00+0330", 1704067200000),
+    ("2024-01-01T00:00:00z", 1704067200000)])
 def test_as_utc(spark, text, expected_ms):
     assert one(spark, lambda c: F.unix_millis(C.as_utc(c)), text) == expected_ms
 
