@@ -212,7 +212,9 @@ def format_number_text(c: ColumnOrName, places: int | None = None,
     for ``digits``, decimal point as comma; NULL -> the zero digit."""
     c = _c(c)
     if places is None:
-        text = c.cast("string")
+        # As the page prints a number: an integral value without '.0'.
+        integral = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
+        text = F.when(integral, c.cast("long").cast("string")).otherwise(c.cast("string"))
     elif grouping:
         text = F.format_number(c, places)
     else:

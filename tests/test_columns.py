@@ -175,3 +175,9 @@ def test_strip_quotes_edges(spark):
     assert one(spark, C.strip_quotes, '""') == ""
     assert one(spark, C.strip_quotes, ' "a"b" ') == 'a"b'
     assert one(spark, C.strip_quotes, None) is None
+
+
+def test_format_number_text_as_printed(spark):
+    assert one(spark, lambda c: C.format_number_text(c), 1234.0, "v double") == "۱۲۳۴"
+    assert one(spark, lambda c: C.format_number_text(c), 12.5, "v double") == "۱۲,۵"
+    assert one(spark, lambda c: C.format_number_text(c), 7, "v long") == "۷"
