@@ -1,10 +1,11 @@
 """Exploratory profile of a ride table: nulls, types, distinct keys, value
 distributions, numeric summary, histogram and density curve.
 
-Every profile is one or two passes of partial+final aggregates. Anything
-per-column is unpivoted *after* aggregation (a handful of rows), and the exact
-quartiles use a distributed prefix sum over range partitions, so no column is
-ever gathered into a single task.
+Every profile is one or two passes of partial+final aggregates. Null counts
+and column types aggregate wide and unpivot the single result row; value
+distributions stack the few profiled columns and aggregate them in one
+shuffle; the exact quartiles and ranks use a distributed prefix sum over
+range partitions, so no column is ever gathered into a single task.
 """
 
 from __future__ import annotations
