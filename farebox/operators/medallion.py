@@ -1,8 +1,9 @@
 """Bronze -> silver -> gold steps of the ride pipeline.
 
 Each layer is one projection (a single whole-stage-codegen span over the
-scan); the only shuffle is the first-row-wins key dedup of gold, done as a
-partial+final aggregate so a hot key is pre-reduced on the map side.
+scan). The shuffles are the first-row-wins key dedup of gold, done as a
+partial+final aggregate so a hot key is pre-reduced on the map side, and, for
+bronze's exact load order, a one-row-per-split aggregate.
 """
 
 from __future__ import annotations
