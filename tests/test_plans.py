@@ -114,3 +114,11 @@ def test_api_names_page(spark, sf):
     page = L.rides_page(stored_gold(spark, sf), vehicle="Bike", page=1, size=5, api_names=True)
     assert page.columns == list(C.GOLD_API_NAMES.values()) + ["total_count"]
     assert page.count() == 5
+
+
+def test_no_registered_query_plans_a_cross_join(spark, sf):
+    import __spark_entry__ as E
+    bad = [name for name, fn in E.queries().items()
+           if any(k in LO.explain_text(fn(spark, sf), "simple")
+                  for k in ("CartesianProduct", "BroadcastNestedLoopJoin"))]
+    assert bad == []
