@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
-from farebox.llm import language, quality, toxicity
+from farebox.llm import language, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,9 +39,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", C.in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24, law="bytes")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
