@@ -131,6 +131,22 @@ class Powers:
 
 _POWERS = Powers()
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the rolling hash: ``len(data) + 1`` values."""
+    up, _ = _POWERS.upto(len(data) + 1)
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[1:], out=out[1:])
+    return out
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray,
+                sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, wherever it stands."""
+    sums = prefix_sums(data) if sums is None else sums
+    _, down = _POWERS.upto(len(data) + 1)
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 SPACE, WORD, MARK = 0, 1, 2
 #: Byte classes: ASCII white space, letters/digits/non-ASCII, other marks.
 CLASSES = np.full(256, MARK, np.uint8)
@@ -165,13 +181,10 @@ class Tokens:
 
     def hashes(self, upto: int | None = None) -> np.ndarray:
         """A 64-bit hash of each token, or of its first ``upto`` bytes."""
-        n = len(self.data) + 1
-        up, down = _POWERS.upto(n)
         if self._sum is None:
-            self._sum = np.zeros(n, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[1:], out=self._sum[1:])
+            self._sum = prefix_sums(self.data)
         end = self.end if upto is None else np.minimum(self.end, self.start + upto)
-        return mix((self._sum[end] - self._sum[self.start]) * down[self.start])
+        return span_hashes(self.data, self.start, end, self._sum)
 
     def doc(self) -> np.ndarray:
         """The text each token is in."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
-from farebox.llm import language, quality, sharding, toxicity
+from farebox.llm import language, orc_ids, packing, quality, sharding, toxicity
+from farebox.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", C.in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; every machine has them at the same place."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-orc")
+    orc_ids.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return orc_ids.digest(orc_ids.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~C.in_fold("_id", 3, 1))
@@ -45,6 +64,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
+    "op3_token_orc": op3_token_orc,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
