@@ -92,13 +92,13 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of ``arr`` of about ``limit`` bytes of text each (a longer
-    text is a range of its own)."""
+    """Row ranges of ``arr`` of about ``limit`` bytes of text and at most 32,768
+    rows each (a longer text is a range of its own)."""
     _, off = utf8(arr)
     n, lo = len(off) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + (1 << 15))
         yield lo, hi
         lo = hi
 
@@ -205,7 +205,7 @@ def shingles(h: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
             rolled[:n - k + 1] += h[j:n - k + 1 + j] * salt[j]
     for d in np.flatnonzero((count > 0) & (count < k)):
         a, b = of[d], of[d + 1]
-        rolled[a] = (h[a:b] * salt[:b - a]).sum(dtype=np.uint64) + salt[k] * np.uint64(b - a)
+        rolled[a] = np.sum(np.append(h[a:b] * salt[:b - a], salt[k:k + 1] * np.uint64(b - a)), dtype=np.uint64)
     made = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     off = np.zeros(len(of), np.int64)
     np.cumsum(made, out=off[1:])
