@@ -8,7 +8,7 @@ signatures are read batch by batch, and the pair is dropped as soon as the
 posterior chance of a similarity at the threshold falls below the miss
 probability; survivors are verified exactly on the full shingle sets. Links form
 components. Members of a bucket that are still in different components are then
-compared too, so a link is lost only where every band misses it, or the pruning
+compared too, if their rare shingles and packed signatures allow a link; so a link is lost only where every band misses it, or the pruning
 does: at the defaults a pair at similarity 0.8 is missed with a chance under
 4e-6, plus 1e-7 by pruning.
 
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
@@ -47,6 +47,7 @@ class Config:
     batch: int = 28             # signature values compared between prunings
     miss: float = 1e-7          # posterior chance at which a pair is dropped
     broadcast_ids: int = 1_000_000  # ids sent to every task at most (8 bytes each)
+    rare: int = 8               # a shingle of at most so many documents is rare
     seed: int = 6
 
     @property
@@ -93,6 +94,28 @@ def signatures(shingle: np.ndarray, of: np.ndarray, cfg: Config) -> np.ndarray:
     return out
 
 
+#: Columns of the packed signature: four bits of each value, 16 values a column.
+PACKED = [f"p{i}" for i in range(16)]
+
+
+def packed(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each of up to 256 signature values, as 16 integers a row."""
+    nibble = np.zeros((len(sig), 256), np.uint8)
+    nibble[:, :sig.shape[1]] = sig >> 12
+    return (nibble[:, ::2] | (nibble[:, 1::2] << 4)).view("<i8")
+
+
+def agreeing(x: str, y: str) -> Column:
+    """How many of the 256 packed values of two rows agree (a zero nibble of
+    their xor), counted on whole integers."""
+    total = F.lit(0)
+    for c in PACKED:
+        d = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        some = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
+        total = total + (16 - F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111))))
+    return total
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, cfg: Config) -> DataFrame:
     """doc_id, the hash pair of the word sequence, n_shingles and signature."""
     C.ready(docs.sparkSession)
@@ -105,28 +128,31 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: Config) -> DataFrame:
                 yield pa.record_batch([
                     batch.column("doc_id").slice(lo, hi - lo), pa.array(seq.view(np.int64)),
                     pa.array(np.diff(of).astype(np.int64)),
-                    pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "seq", "n_shingles", "sig"])
+                    pa.array([r.tobytes() for r in sig], pa.binary()),
+                    *[pa.array(c) for c in np.ascontiguousarray(packed(sig).T)]],
+                    names=["doc_id", "seq", "n_shingles", "sig", *PACKED])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, seq long, n_shingles long, sig binary"))
+            .mapInArrow(run, "doc_id long, seq long, n_shingles long, sig binary, " + ", ".join(f"{p} long" for p in PACKED)))
 
 
 # --- verification -----------------------------------------------------------
 
+def least_matches(n: int, t: float, miss: float) -> int:
+    """The fewest of ``n`` values that must agree: below it, the posterior chance
+    (uniform prior) that they agree with a probability of ``t`` is under ``miss``."""
+    chance = 0.0
+    for m in range(n + 1):
+        chance += math.comb(n + 1, m) * t ** m * (1 - t) ** (n + 1 - m)
+        if chance >= miss:
+            return m
+    return n
+
+
 def fewest(cfg: Config) -> list[tuple[int, int]]:
-    """(values read, fewest matches to go on): below it, the posterior chance
-    (uniform prior) of a similarity at the threshold is under ``miss``."""
-    t, out = cfg.percent / 100, []
-    for n in [*range(cfg.batch, cfg.hashes, cfg.batch), cfg.hashes]:
-        chance, m = 0.0, 0
-        while m <= n:
-            chance += math.comb(n + 1, m) * t ** m * (1 - t) ** (n + 1 - m)
-            if chance >= cfg.miss:
-                break
-            m += 1
-        out.append((n, m))
-    return out
+    """(values read, fewest matches to go on) after each batch."""
+    return [(n, least_matches(n, cfg.percent / 100, cfg.miss))
+            for n in [*range(cfg.batch, cfg.hashes, cfg.batch), cfg.hashes]]
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
@@ -180,6 +206,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, n_ids: int, cfg:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shingle_rows(docs: DataFrame, ids: DataFrame, n_ids: int, cfg: Config) -> DataFrame:
+    """(rep, shingle) of the documents ``ids``."""
+    C.ready(docs.sparkSession)
+    few = F.broadcast(ids) if n_ids <= cfg.broadcast_ids else ids
+    texts = docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for lo, hi, shingle, of, _ in sets(batch.column("text"), cfg.words):
+                yield pa.record_batch([pa.array(np.repeat(rep[lo:hi], np.diff(of))), pa.array(shingle.astype(np.int64))],
+                                      names=["rep", "shingle"])
+
+    return texts.mapInArrow(run, "rep long, shingle long")
+
+
 # --- components -------------------------------------------------------------
 
 def components(links: DataFrame, keep) -> DataFrame:
@@ -210,9 +252,9 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     same = ["seq", "n_shingles"]
     reps = keep(signed.filter(F.col("n_shingles") > 0).groupBy(*same, F.md5("sig").alias("sm"))
                 .agg(F.min("doc_id").alias("rep")), "classes")
-    sigs = keep(signed.select("doc_id", "n_shingles", "sig")
+    sigs = keep(signed.select("doc_id", "n_shingles", "sig", *PACKED)
                 .join(reps.select(F.col("rep").alias("doc_id")).filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
-                .groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "sigs")
+                .groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(c).alias(c) for c in ("n_shingles", "sig", *PACKED)]), "sigs")
     width = 2 * cfg.rows
     banded = sigs.select("rep", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(cfg.bands - 1)),
@@ -249,12 +291,29 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
             .filter("parts > 1").select("bucket", F.col("main.label").alias("main")))
     apart = keep(marked.join(main, "bucket"), "apart")
     if not apart.isEmpty():
-        sized = apart.join(sigs.select("rep", "n_shingles"), "rep")
-        stray = sized.filter("label != main").select("bucket", F.col("rep").alias("s"), F.col("label").alias("ls"), F.col("n_shingles").alias("ns"))
-        third = (stray.join(sized.filter("rep != head").select("bucket", "rep", "label", "n_shingles"), "bucket")
-                 .filter((F.col("ls") != F.col("label")) & (F.col("s") != F.col("rep"))
-                         & (100 * F.least("ns", "n_shingles") >= cfg.percent * F.greatest("ns", "n_shingles")))
-                 .groupBy(F.least("s", "rep").alias("a"), F.greatest("s", "rep").alias("b")).agg(F.lit(1)).select("a", "b"))
+        # Pairs that share a rare shingle are listed by it, a few for each. In any
+        # other pair the rare shingles of u are outside v, and a link needs
+        # (100 + p) * rare(u) <= 100 * |u| - p * |v|, and the same for v.
+        ids = keep(apart.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        rows = keep(shingle_rows(texts, ids, ids.count(), cfg), "shingles")
+        rare = keep(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= cfg.rare), "shingle"), "rare")
+        alone = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+        shared = rare.filter("n > 1").select("shingle", "rep")
+        shared = (shared.select("shingle", F.col("rep").alias("a")).join(shared.select("shingle", F.col("rep").alias("b")), "shingle")
+                  .filter("a < b").select("a", "b"))
+        p, t = cfg.percent, cfg.percent / 100
+        spare = keep(apart.join(sigs.drop("sig"), "rep").join(alone, "rep", "left")
+                     .select("bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED,
+                             (100 * F.col("n_shingles") - (100 + p) * F.coalesce("alone", F.lit(0))).alias("room"))
+                     .filter(F.col("room") * 100 >= p * p * F.col("n")), "spare")
+        # and their packed signatures must agree as often as pruning asks for
+        agree = least_matches(cfg.hashes, t + (1 - t) / 16, cfg.miss) + 256 - cfg.hashes
+        u, v = spare.filter("label != main").alias("u"), spare.filter("rep != head").alias("v")
+        third = (u.join(v, "bucket")
+                 .filter((F.col("u.label") != F.col("v.label")) & (F.col("u.room") >= p * F.col("v.n")) & (F.col("v.room") >= p * F.col("u.n"))
+                         & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree))
+                 .groupBy(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).agg(F.lit(1)).select("a", "b"))
+        third = third.union(labelled(labelled(shared, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")).distinct()
         third = keep(third.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
         found = verified(third)
         if not found.isEmpty():
