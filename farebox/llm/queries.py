@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
-from farebox.llm import fingerprints, language, neardup, orc_ids, packing, quality, sharding, toxicity
+from farebox.llm import fingerprints, html_text, language, neardup, orc_ids, packing, quality, sharding, toxicity
 from farebox.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.digest(orc_ids.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages.select("page_id", "url", "html"), html_text.fit(pages)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
+    "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
