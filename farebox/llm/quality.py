@@ -90,7 +90,9 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
                                   names=["block", "sums"])
 
     schema = "block int, sums binary"
-    parts = (docs.select(text_col).mapInArrow(partial, schema)
+    # merged tasks, so the records' number follows the cluster, not the input
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    parts = (docs.select(text_col).coalesce(tasks).mapInArrow(partial, schema)
              .repartition(cfg.rows // cfg.block, "block").mapInArrow(merge, schema))
     total = np.zeros((cfg.rows // cfg.block, cfg.block * cfg.dims), np.int64)
     for r in parts.collect():               # a fixed number of rows: the model

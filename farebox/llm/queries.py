@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
-from farebox.llm import fingerprints, html_text, language, neardup, orc_ids, packing, quality, sharding, toxicity
+from farebox.llm import decontam, fingerprints, html_text, language, neardup, orc_ids, packing, quality, sharding, toxicity
 from farebox.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", C.in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24, law="bytes")
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}

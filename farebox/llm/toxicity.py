@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ class Config:
     seed: int = 8
 
 
-#: Lower-casing by byte class is ASCII only; marks split words.
+#: Marks split words.
 _WORDS = np.where(C.CLASSES == C.WORD, C.WORD, C.SPACE).astype(np.uint8)
 
 
@@ -48,8 +49,7 @@ def term_sets(col: pa.Array, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of each text and their offsets, over whole texts."""
     found, counts = [], np.zeros(len(col), np.int64)
     for lo, hi in C.slices(col):
-        data, offsets = C.utf8(col.slice(lo, hi - lo))
-        tokens = C.Tokens(C.LOWER[data], offsets, _WORDS)
+        tokens = C.Tokens(*C.utf8(pc.utf8_lower(col.slice(lo, hi - lo))), _WORDS)
         doc = tokens.doc()
         size = tokens.end - tokens.start
         keys = [(tokens.hashes(), doc)]
