@@ -256,9 +256,9 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
                 .join(reps.select(F.col("rep").alias("doc_id")).filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
                 .groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(c).alias(c) for c in ("n_shingles", "sig", *PACKED)]), "sigs")
     width = 2 * cfg.rows
-    banded = sigs.select("rep", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(cfg.bands - 1)),
-        lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))).alias("bucket"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)),
+                        lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
+    banded = sigs.select("rep", F.posexplode(bands).alias("band", "bucket"))
     met = keep(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head"))
                .filter(F.col("size") > 1), "buckets")
     members = keep(banded.join(met, "bucket"), "members")
@@ -302,8 +302,10 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         shared = (shared.select("shingle", F.col("rep").alias("a")).join(shared.select("shingle", F.col("rep").alias("b")), "shingle")
                   .filter("a < b").select("a", "b"))
         p, t = cfg.percent, cfg.percent / 100
-        spare = keep(apart.join(sigs.drop("sig"), "rep").join(alone, "rep", "left")
+        # a pair is compared in the first bucket that it shares
+        spare = keep(apart.join(sigs.withColumn("bands", bands).drop("sig"), "rep").join(alone, "rep", "left")
                      .select("bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED,
+                             F.slice("bands", F.lit(1), F.col("band")).alias("before"),
                              (100 * F.col("n_shingles") - (100 + p) * F.coalesce("alone", F.lit(0))).alias("room"))
                      .filter(F.col("room") * 100 >= p * p * F.col("n")), "spare")
         # and their packed signatures must agree as often as pruning asks for
@@ -311,8 +313,9 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         u, v = spare.filter("label != main").alias("u"), spare.filter("rep != head").alias("v")
         third = (u.join(v, "bucket")
                  .filter((F.col("u.label") != F.col("v.label")) & (F.col("u.room") >= p * F.col("v.n")) & (F.col("v.room") >= p * F.col("u.n"))
-                         & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree))
-                 .groupBy(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).agg(F.lit(1)).select("a", "b"))
+                         & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree)
+                         & ~F.arrays_overlap("u.before", "v.before"))
+                 .select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")))
         third = third.union(labelled(labelled(shared, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")).distinct()
         third = keep(third.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
         found = verified(third)
