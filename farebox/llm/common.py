@@ -222,6 +222,30 @@ def segment_sum(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def cut(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces of ``size`` words of all texts, and their texts."""
+    n = np.diff(of)
+    parts = -(-n // size)
+    doc = np.repeat(np.arange(len(n)), parts)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return of[:-1][doc] + k * size, doc
+
+
+def piece_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Sums of table rows over pieces of at most ``size`` words, a word of every
+    piece at a time."""
+    end = np.append(start[1:], len(term))
+    out = np.zeros((len(start), table.shape[1]), np.float32)
+    for j in range(size):
+        on = start + j
+        if j and (on >= end).any():
+            live = np.flatnonzero(on < end)
+            out[live] += table[term[on[live]]]
+        else:
+            out += table[term[on]]
+    return out
+
+
 def pick_bucket(value: Column, bounds: Column, n: int) -> Column:
     """How many of the ``n`` ascending ``bounds`` are <= ``value``: a binary
     search as a fold, so a lookup takes log2(n) steps."""

@@ -117,7 +117,7 @@ def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -
 def document_frequency(docs: DataFrame, text_col: str, cfg: Config) -> tuple[np.ndarray, int]:
     """In how many passages of the corpus each hashed term is, and how many there are."""
     def count(total: np.ndarray, h: np.ndarray, of: np.ndarray) -> int:
-        start, _ = cut(of, cfg.passage)
+        start, _ = C.cut(of, cfg.passage)
         p = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
         both = np.sort(p * cfg.terms + (h % np.uint64(cfg.terms)).astype(np.int64))
         new = np.append(True, both[1:] != both[:-1])
@@ -132,38 +132,14 @@ def test_matrix(cfg: Config) -> np.ndarray:
     return np.random.default_rng(cfg.seed).normal(size=(cfg.terms, cfg.corpus_rank + cfg.extra)).astype(np.float32)
 
 
-def cut(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the pieces of ``size`` words of all texts, and their texts."""
-    n = np.diff(of)
-    parts = -(-n // size)
-    doc = np.repeat(np.arange(len(n)), parts)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return of[:-1][doc] + k * size, doc
-
-
-def piece_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """Sums of table rows over pieces of at most ``size`` words, a word of every
-    piece at a time."""
-    end = np.append(start[1:], len(term))
-    out = np.zeros((len(start), table.shape[1]), np.float32)
-    for j in range(size):
-        on = start + j
-        if j and (on >= end).any():
-            live = np.flatnonzero(on < end)
-            out[live] += table[term[on[live]]]
-        else:
-            out += table[term[on]]
-    return out
-
-
 def sketch(total: np.ndarray, h: np.ndarray, of: np.ndarray, idf: np.ndarray, g: np.ndarray, cfg: Config) -> None:
     """Adds A' (A G) of some texts' passages to ``total`` (``g``: G times idf).
     A word adds its idf to its passage's vector, whose scale is one over the root
     of the summed squares of its words."""
-    start, _ = cut(of, cfg.passage)
+    start, _ = C.cut(of, cfg.passage)
     term = (h % np.uint64(cfg.terms)).astype(np.int64)
     scale = np.add.reduceat(idf[term] ** 2, start)
-    y = piece_sums(g, term, start, cfg.passage) / scale[:, None].astype(np.float32)
+    y = C.piece_sums(g, term, start, cfg.passage) / scale[:, None].astype(np.float32)
     p = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
     order = np.argsort(term.astype(np.uint16 if cfg.terms <= 1 << 16 else np.int64), kind="stable")
     t = term[order]
@@ -269,8 +245,8 @@ def search(h: np.ndarray, of: np.ndarray, index: Index) -> list[tuple[int, int,
     if not len(h):
         return []
     term = (h % np.uint64(cfg.terms)).astype(np.int64)
-    start, doc = cut(of, cfg.half)
-    z = piece_sums(index.table, term, start, cfg.half)
+    start, doc = C.cut(of, cfg.half)
+    z = C.piece_sums(index.table, term, start, cfg.half)
     square = np.add.reduceat(index.idf[term] ** 2, start)
     on = np.flatnonzero(doc[1:] == doc[:-1])          # a window is a piece and the next of its text
     z[on] += z[on + 1]

@@ -62,7 +62,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """A worker's encoder of one vocabulary file."""
 
-    def __init__(self, path: str, slots: int = 1 << 22) -> None:
+    def __init__(self, path: str, slots: int = 1 << 21) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)

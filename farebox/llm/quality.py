@@ -113,42 +113,42 @@ def n_features(cfg: Config) -> int:
     return cfg.dims + 8
 
 
-def features(col: pa.Array, vectors: np.ndarray, index: np.ndarray, cfg: Config) -> np.ndarray:
+def features(col: pa.Array, vectors: np.ndarray, cfg: Config) -> np.ndarray:
     """Pooled features of each text of ``col``, over its whole length."""
     out = np.zeros((len(col), n_features(cfg)), np.float32)
-    for lo, hi in C.slices(col):
+    for lo, hi in C.slices(col, C.SLICE_BYTES // 2):
         tokens = C.Tokens(*C.utf8(col.slice(lo, hi - lo)), C.CLASSES)
         n = np.diff(tokens.of)
         if not len(tokens.start):
             continue
         row, doc = _rows_of(tokens, cfg), tokens.doc()
         per = np.maximum(n, 1)[:, None].astype(np.float32)
-        pooled = C.segment_sum(vectors[row], tokens.of) / per
-        mean_index = C.segment_sum(index[row], tokens.of) / per
-        seen = np.zeros((9, len(row)), np.float32)
+        start, piece_doc = C.cut(tokens.of, 16)
+        sums = C.piece_sums(vectors, row, start, 16)
+        pooled = C.segment_sum(sums, np.searchsorted(piece_doc, np.arange(len(n) + 1))) / per
+        # how concentrated the tokens are: the chance that two are the same
+        both = np.sort(doc * cfg.rows + row)
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        times = np.diff(np.append(first, len(both)))
+        same_two = np.bincount(both[first] // cfg.rows, times.astype(float) ** 2, len(n)) / np.maximum(n, 1) ** 2
+        again, last = np.zeros(len(row), bool), np.zeros(len(row), bool)
         for d in range(1, 9):
             same = (row[d:] == row[:-d]) & (doc[d:] == doc[:-d])
-            seen[d, d:] = same
-        again = seen.max(axis=0)
+            again[d:] |= same
+            if d == 1:
+                last[1:] = same
         upper = (tokens.data[tokens.start] >= 0x41) & (tokens.data[tokens.start] <= 0x5A)
         size = (tokens.end - tokens.start).astype(np.float32)
-        extra = np.stack([again, seen[1], tokens.cls == C.MARK, upper, size], axis=1).astype(np.float32)
+        extra = np.stack([again, last, tokens.cls == C.MARK, upper, size], axis=1).astype(np.float32)
         f = out[lo:hi]
         f[:, :cfg.dims] = pooled
         f[:, cfg.dims:cfg.dims + 5] = C.segment_sum(extra, tokens.of) / per
         f[:, cfg.dims + 5] = np.linalg.norm(pooled, axis=1)
-        f[:, cfg.dims + 6] = np.linalg.norm(mean_index, axis=1)
+        f[:, cfg.dims + 6] = np.sqrt(same_two)
         f[:, cfg.dims + 7] = np.log1p(n)
     return out
 
 
-def dense_index(cfg: Config) -> np.ndarray:
-    pos, sign = index_vectors(cfg)
-    out = np.zeros((cfg.rows, cfg.dims), np.float32)
-    np.put_along_axis(out, pos, (sign / np.sqrt(cfg.nonzero)).astype(np.float32), axis=1)
-    return out
-
-
 @dataclass
 class Model:
     """Vectors, feature scaling, the two layers and the temperature."""
@@ -218,11 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     chosen = C.bounded_labels(labels, id_col, label_col, learn, cfg.sample, cfg.seed)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
              .join(F.broadcast(chosen), "_id"))
-    index, vectors = dense_index(cfg), model.vectors
+    vectors = model.vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column("_text"), vectors, index, cfg)
+            x = features(batch.column("_text"), vectors, cfg)
             yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"),
                                    pa.array([r.tobytes() for r in x], pa.binary())],
                                   names=["_id", "_y", "x"])
@@ -241,11 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted`` (score >= 0.5)."""
     C.ready(docs.sparkSession)
-    cfg, index = model.cfg, dense_index(model.cfg)
+    cfg = model.cfg
 
     @F.arrow_udf("double")
     def probability(text: pa.Array) -> pa.Array:
-        return pa.array(model.probability(features(text, model.vectors, index, cfg)), pa.float64())
+        return pa.array(model.probability(features(text, model.vectors, cfg)), pa.float64())
 
     return (docs.withColumn("score", probability(F.col(text_col)))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
