@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from farebox.session import ship_package
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Most bytes of an Arrow batch to a Python worker: bounds what a task holds of
+#: long texts on either side, whatever the number of rows.
+BATCH_BYTES = 8 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)          # odd multiplier of the rolling hash
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -27,7 +30,11 @@ _SHIPPED: set[str] = set()
 
 def ready(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per
-    application (the zip goes through the shared checkpoint folder)."""
+    application (the zip goes through the shared checkpoint folder), and keep
+    Arrow batches small."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(size, "")) != str(BATCH_BYTES):
+        spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         ship_package(spark)
