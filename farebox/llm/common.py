@@ -33,7 +33,7 @@ def ready(spark: SparkSession) -> None:
     application (the zip goes through the shared checkpoint folder), and keep
     Arrow batches small."""
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(spark.conf.get(size, "")) != str(BATCH_BYTES):
+    if spark.conf.get(size) != str(BATCH_BYTES):
         spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
