@@ -67,19 +67,36 @@ def refusals(verdicts: DataFrame) -> DataFrame:
 GOLD_TABLE_PATTERN = re.compile(r"\bgold\.dataset\b", re.IGNORECASE)
 
 
-def run_guarded_sql(spark: SparkSession, sql: str, gold: DataFrame,
-                    max_rows: int = 1000) -> DataFrame:
+# Functions that reach outside the rows (fixed values).
+OUTSIDE = re.compile(r"\b(?:java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
+# A file as a table: format.`path`.
+PATH_TABLE = re.compile(r"\w\s*\.\s*`[^`]*[/:][^`]*`")
+
+
+def _relations(df: DataFrame) -> set[str]:
+    """The relations a frame reads, without the numbers that name its columns."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return {re.sub(r"#\d+L?", "", leaves.apply(i).toString()).strip() for i in range(leaves.size())}
+
+
+def run_guarded_sql(spark: SparkSession, sql: str, gold: DataFrame) -> DataFrame:
     """Q2: guard one statement, then run it on the gold rows only.
 
-    The table name is bound to the ``gold`` DataFrame (no catalog table or
-    global view is touched); the result is capped at ``max_rows``.
+    The table name is bound to the ``gold`` DataFrame. A statement whose
+    analysed plan reads any other relation (a catalog table, a file by its
+    path) or that calls into the JVM is refused. The result is whole.
     """
     verdict = guard_sql(spark.createDataFrame([(sql,)], "sql string")).first()
     if not verdict["is_valid"]:
         raise PermissionError(f"statement rejected: {verdict['reason']}")
     text = verdict["sanitized_sql"].rstrip().rstrip(";")
     bound = GOLD_TABLE_PATTERN.sub("{gold}", text.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(bound, gold=gold).limit(max_rows)
+    if OUTSIDE.search(text) or PATH_TABLE.search(text):
+        raise PermissionError("statement rejected: reaches outside gold.dataset")
+    out = spark.sql(bound, gold=gold)
+    if not _relations(out) - {"OneRowRelation"} <= _relations(gold):
+        raise PermissionError("statement rejected: reads more than gold.dataset")
+    return out
 
 
 def query_records(df: DataFrame) -> DataFrame:

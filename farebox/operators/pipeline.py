@@ -117,7 +117,7 @@ class Pipeline:
                 else:
                     rows = self.to_gold(batch_id)
             except Exception as e:  # noqa: BLE001 - any failure fails the step
-                self.record(batch_id, step, "Failed", 0, str(e)[:2000])
+                self.record(batch_id, step, "Failed", 0, str(e))
                 return False
             self.record(batch_id, step, "Success", rows)
         if self.after_gold is not None:

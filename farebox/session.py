@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The cluster's ``spark.checkpoint.dir`` wins; a folder of our own is set only
-    when none is configured (local tests).
+    when none is configured and the master is local (tests). Elsewhere it raises:
+    a machine-local folder is not seen by the other machines.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -72,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not configured:
         configured = os.path.join("/tmp", "farebox-checkpoints")
     sc.setCheckpointDir(configured)

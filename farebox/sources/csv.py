@@ -9,8 +9,6 @@ from farebox import schemas as sch
 
 # Case-insensitive ``.csv`` extension (S3).
 CSV_GLOB = "*.[cC][sS][vV]"
-# Upload size cap of the front end (S3).
-MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 
 
 def _reader(spark: SparkSession):
@@ -41,23 +39,16 @@ def clean_csv_rows(df: DataFrame, extra: list[Column] | None = None) -> DataFram
     return df.select(*cols, *(extra or []))
 
 
-def csv_scan(spark: SparkSession, path: str, max_bytes: int | None = None,
-             with_file: bool = False) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
     """S1 + S3: 17 text columns by position (header names ignored), RFC 4180
     quoting with doubled quotes, blank lines skipped, empty field -> ''.
 
-    Only non-empty ``.csv`` files (any case) are read. The upload size cap of
-    the front end (``MAX_UPLOAD_BYTES``) applies only when passed as
-    ``max_bytes``: the server side takes files of any size, and a silent skip
-    would lose rows. ``with_file`` keeps the file path and block start, which
+    Only non-empty ``.csv`` files (any case) are read, of any size: a silent
+    skip would lose rows. ``with_file`` keeps the file path and block start, which
     fix the load order together with the row's position.
     """
     df = _reader(spark).csv(path)
-    size = F.col("_metadata.file_size")
-    keep = size > 0
-    if max_bytes is not None:
-        keep = keep & (size <= max_bytes)
-    df = df.where(keep)
+    df = df.where(F.col("_metadata.file_size") > 0)
     extra = []
     if with_file:
         extra = [F.col("_metadata.file_path").alias("_file"),
@@ -78,14 +69,13 @@ def csv_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Da
                                F.col("_metadata.file_block_start").alias("_block")])
 
 
-def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None,
-                 sampling_ratio: float = 1.0) -> DataFrame:
+def eda_csv_scan(spark: SparkSession, path: str, na_texts: list[str] | None = None) -> DataFrame:
     """Header CSV (``.csv`` files only) with inferred types; the reader's
-    NA texts become NULL. Type inference reads the input once more: on large
-    inputs pass a ``sampling_ratio`` below 1 (or give a schema and use S1)."""
+    NA texts become NULL. Type inference reads the whole input once more: on large
+    inputs give a schema and use S1."""
     from farebox.operators.profile import PANDAS_NA_TEXTS
     df = (spark.read.option("header", True).option("inferSchema", True)
-          .option("samplingRatio", sampling_ratio).option("pathGlobFilter", CSV_GLOB)
+          .option("pathGlobFilter", CSV_GLOB)
           # Only full date-times may become timestamps: a bare clock time
           # would otherwise be read as today's date at that time.
           .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")

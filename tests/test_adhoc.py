@@ -68,3 +68,14 @@ def test_guard_refuses_null_and_blank(spark):
     df = spark.createDataFrame([(None,), ("   ",), ("```sql```",)], "sql string")
     got = [(r["is_valid"], r["reason"]) for r in Q.guard_sql(df).collect()]
     assert got == [(False, "not_select")] * 3
+
+
+def test_run_is_whole_and_confined_to_gold(spark, sf):
+    gold = X.ride_gold(spark, sf)
+    many = gold.crossJoin(spark.range(40)).drop("id")
+    assert Q.run_guarded_sql(spark, "SELECT * FROM gold.dataset LIMIT 3000", many).count() == 3000
+    for sql in ("SELECT java_method('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
+                f"SELECT * FROM parquet.`{sf}/region.parquet` LIMIT 1",
+                f"SELECT count(*) AS n FROM gold.dataset, parquet.`{sf}/region.parquet` LIMIT 1"):
+        with pytest.raises(PermissionError):
+            Q.run_guarded_sql(spark, sql, gold)

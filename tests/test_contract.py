@@ -15,7 +15,8 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 df = mod.entry(spark)
 rows = df.collect()
 q = mod.queries(); o = mod.oracle_sql()
-assert set(q) == set(o) and len(q) >= 100
+assert set(o) <= set(q) and len(o) >= 100
+assert all(k.startswith('op') or k == 'pipeline' for k in set(q) - set(o))
 cos = q["cosine_topk"](spark, "/root/testdata/sf0.001").collect()
 print("OK", len(rows), df.columns, len(cos))
 """
