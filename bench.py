@@ -123,11 +123,11 @@ def main() -> None:
     # Median of the timed runs per query (one run is noisy at this size).
     timings = {name: round(sorted(run(make) for _ in range(repeats))[repeats // 2], 4)
                for name, make in queries.items()}
-    # Rows read / removed / aggregated by the segment report on both layouts
+    # Rows the segment report's scans read on both layouts, from scan metrics
     # (the figures the source's captured plans give).
-    layouts = {r["layout"]: {k: r[k] for k in ("rows_read", "rows_removed", "rows_aggregated",
-                                               "groups_out")}
-               for r in LO.plan_report(gold, clustered).collect()}
+    layouts = {r["layout"]: {k: r[k] for k in ("rows_total", "rows_read", "files_read",
+                                               "rows_aggregated", "groups_out")}
+               for r in LO.plan_report({"plain": gold, "clustered": clustered}).collect()}
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds",

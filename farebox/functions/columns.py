@@ -46,6 +46,7 @@ def parse_number(c: ColumnOrName) -> Column:
         body.rlike(r"[dDfF]$")            # Java-style float suffixes are not numbers
         | body.rlike(r"\..*,")            # a comma after the decimal point
         | body.rlike(r"^[+-]?,")          # a leading group separator
+        | body.rlike(r"(?i)[+-]?(inf|infinity|nan)")   # words, not numbers
     )
     cleaned = F.regexp_replace(body, ",", "")
     return (F.when(is_nullish(c) | bad, F.lit(None).cast("double"))
@@ -65,17 +66,25 @@ def parse_date(c: ColumnOrName, layouts: Sequence[str] = DEFAULT_DATE_LAYOUTS) -
 
 TIME_PATTERN = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?\s*$"
 
+# Hours 1 to 12 with AM or PM: (hour, rest of the clock, half of the day).
+HALF_DAY_PATTERN = r"^\s*(0?[1-9]|1[0-2])(:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\s*([AaPp][Mm])\s*$"
+
 
 def combine_timestamp(date: ColumnOrName, time: ColumnOrName) -> Column:
-    """P5: date + text time -> zone-less timestamp.
+    """P5: date + text time (24 hours, or 12 with AM / PM) -> zone-less timestamp.
 
     NULL time or NULL date gives NULL; a time text that is not a clock time
     (including the empty text) fails the whole job, as the source's cast does.
     """
     date, time = _c(date), _c(time)
-    ts = F.concat(date.cast("string"), F.lit(" "), F.trim(time)).cast("timestamp_ntz")
+    half = F.upper(F.regexp_extract(time, HALF_DAY_PATTERN, 3))
+    hour = F.regexp_extract(time, HALF_DAY_PATTERN, 1).try_cast("int")
+    clock = F.when(half != "", F.concat(
+        F.lpad((hour % 12 + F.when(half == "PM", 12).otherwise(0)).cast("string"), 2, "0"),
+        F.regexp_extract(time, HALF_DAY_PATTERN, 2))).otherwise(F.trim(time))
+    ts = F.concat(date.cast("string"), F.lit(" "), clock).cast("timestamp_ntz")
     return (F.when(time.isNull(), F.lit(None).cast("timestamp_ntz"))
-            .when(~time.rlike(TIME_PATTERN),
+            .when(~(time.rlike(TIME_PATTERN) | time.rlike(HALF_DAY_PATTERN)),
                   F.raise_error(F.concat(F.lit("invalid input syntax for type time: "),
                                          time)).cast("timestamp_ntz"))
             .when(date.isNull(), F.lit(None).cast("timestamp_ntz"))
@@ -146,37 +155,6 @@ def round_half_up(c: ColumnOrName, places: int = 2) -> Column:
     return F.round(_c(c).cast("decimal(38,10)"), places).cast("double")
 
 
-# Fixed-point unit of the exact sums: thousandths, exact for money (cents),
-# ratings and distances; long range leaves totals up to 9.2e15.
-FIXED_POINT_SCALE = 1000
-# Beyond this magnitude a value is summed as a double (no fixed-point overflow).
-FIXED_POINT_MAX = 9e12
-
-
-def fixed_point(c: ColumnOrName, scale: int = FIXED_POINT_SCALE) -> Column:
-    """``c`` in integer units of 1/scale, half away from zero (double
-    arithmetic and a truncating cast: as fast as a plain sum)."""
-    c = _c(c)
-    return (c * F.lit(float(scale)) + F.when(c >= 0, F.lit(0.5)).otherwise(F.lit(-0.5))).cast("long")
-
-
-def exact_sum(c: ColumnOrName, scale: int = FIXED_POINT_SCALE) -> Column:
-    """SUM as a fixed-point long: the same result for any partitioning and
-    summation order (a double sum is not). NaN, infinities and huge values
-    go through a double side-sum, so they propagate as in SQL; NULL with no
-    values."""
-    c = _c(c)
-    finite = ~F.isnan(c) & (F.abs(c) < F.lit(FIXED_POINT_MAX))
-    fixed = F.sum(F.when(finite, fixed_point(c, scale))).cast("double") / F.lit(float(scale))
-    rest = F.sum(F.when(~finite, c))
-    return F.when(F.count(c) > 0, F.coalesce(fixed, F.lit(0.0)) + F.coalesce(rest, F.lit(0.0)))
-
-
-def exact_avg(c: ColumnOrName, scale: int = FIXED_POINT_SCALE) -> Column:
-    """AVG from the exact sum (NULLs ignored; NULL with no values)."""
-    return exact_sum(c, scale) / F.count(_c(c))
-
-
 def pct_half_up(num: ColumnOrName, den: ColumnOrName, places: int = 2) -> Column:
     """num / den * 100 in exact decimal arithmetic, rounded half up; double."""
     num, den = _c(num), _c(den)

@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 
 from farebox.functions import columns as C
 from farebox.functions import filters as FL
-from farebox.session import bounded_rows
+from farebox.session import broadcast_if_small
 
 DEFAULT_PAGE_SIZE = 20
-# Id lists up to this many rows are broadcast to the semi-join; larger ones
-# are shuffled on the key.
-BROADCAST_IDS_MAX = 1_000_000
 
 
 def _check_page(page: int, size: int) -> None:
@@ -34,11 +31,8 @@ def newest_first(ts: str = "ride_timestamp", key: str = "booking_id") -> list[Co
 
 
 def id_semi_join(df: DataFrame, ids: DataFrame, key: str = "booking_id") -> DataFrame:
-    """Keep rows whose key is in ``ids`` (broadcast when bounded)."""
-    ids = ids.select(key)
-    if bounded_rows(ids, BROADCAST_IDS_MAX):
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi")
+    """Keep rows whose key is in ``ids`` (broadcast when small)."""
+    return df.join(broadcast_if_small(ids.select(key)), key, "left_semi")
 
 
 def page_rows(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:

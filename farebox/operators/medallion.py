@@ -8,13 +8,13 @@ bronze's exact load order, a one-row-per-split aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox import schemas as sch
 from farebox.functions import columns as C
 from farebox.functions import filters as FL
-from farebox.session import bounded_rows, cut_lineage
+from farebox.session import broadcast_if_small, cut_lineage, fits_broadcast
 
 
 class QualityError(RuntimeError):
@@ -38,8 +38,6 @@ def parse_text_columns() -> list[Column]:
 
 # Bits for the position inside one file (16 TiB), below the file's rank.
 FILE_POSITION_BITS = 44
-# Splits (or files) of one batch up to this many are broadcast; beyond, joined.
-BROADCAST_SPLITS_MAX = 1_000_000
 
 
 def with_load_order(raw: DataFrame) -> DataFrame:
@@ -50,17 +48,17 @@ def with_load_order(raw: DataFrame) -> DataFrame:
     file order. The position is the split's start byte plus the row's index
     within its split: strictly increasing through a file, since a row takes at
     least one byte. Split starts and file ranks are one row per split / file,
-    broadcast when bounded. Deterministic under task retries.
+    broadcast when small. Deterministic under task retries.
     """
+    from farebox.operators.profile import global_row_number
     d = raw.withColumn("_mono", F.monotonically_increasing_id())
     # One row per split, computed once (one pass over the batch) and kept in
     # the shared checkpoint folder; the size check and the join reuse it.
     splits = cut_lineage(d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first")))
     files = splits.select("_file").distinct()
-    # Rank files by path on the (few) distinct paths.
-    ranks = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
-    if bounded_rows(splits, BROADCAST_SPLITS_MAX):
-        splits, ranks = F.broadcast(splits), F.broadcast(ranks)
+    # Rank the distinct paths by a distributed row number (range partitions).
+    ranks = global_row_number(files, [F.asc("_file")], "_rank")
+    splits, ranks = broadcast_if_small(splits), broadcast_if_small(ranks)
     pos = F.col("_block") + (F.col("_mono") - F.col("_first"))
     order = F.shiftleft(F.col("_rank").cast("long"), FILE_POSITION_BITS) + pos
     # Left joins plus a guard: a row whose split was not seen by the first
@@ -184,18 +182,13 @@ def gold_from_silver(silver: DataFrame) -> DataFrame:
         .select(*sch.GOLD_COLUMNS)
 
 
-# Largest key set of one batch that is broadcast to probe gold; beyond it the
-# probe is a shuffled semi-join on the key.
-BROADCAST_KEYS_MAX = 2_000_000
-
-
 def to_gold(silver_batch: DataFrame, gold: DataFrame | None, batch_id: str) -> DataFrame:
     """G3 for one batch: clean, first row wins within the batch, then insert
     only keys absent from the gold rows of *other* batches (this batch's rows
     are replaced, as the source deletes them first).
 
-    Gold is probed with the batch's distinct keys: broadcast when their number
-    is bounded, so the large gold side is filtered in place and never shuffled.
+    Gold is probed with the batch's distinct keys: broadcast when they are
+    small, so the large gold side is filtered in place and never shuffled.
     """
     cleaned = silver_batch.select(F.col("_id"), *gold_columns())
     batch = first_wins(cleaned, "booking_id", ["_id"], keep=sch.GOLD_COLUMNS[1:])
@@ -203,9 +196,9 @@ def to_gold(silver_batch: DataFrame, gold: DataFrame | None, batch_id: str) -> D
         return batch.select(*sch.GOLD_COLUMNS)
     others = gold.where(F.col("_batch_id") != F.lit(batch_id)).select("booking_id")
     keys = batch.select("booking_id")
-    # The batch has no more keys than rows: bound the rows (a limit pushed
-    # into the scan, cheap) rather than the aggregated key set.
-    if bounded_rows(silver_batch, BROADCAST_KEYS_MAX):
+    # The batch has no more keys than rows: measure the key column of the rows
+    # (a scan of one column) rather than the aggregated key set.
+    if fits_broadcast(silver_batch.select("booking_id")):
         taken = others.join(F.broadcast(keys), "booking_id", "left_semi")
         return batch.join(F.broadcast(taken), "booking_id", "left_anti").select(*sch.GOLD_COLUMNS)
     taken = others.join(keys, "booking_id", "left_semi")

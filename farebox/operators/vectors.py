@@ -5,10 +5,10 @@
   real model plugs in as an iterator ``pandas_udf`` that loads it once per
   worker. Texts are embedded once per *distinct* text, then joined back.
 * Sync is two anti-joins (orphans, missing) and one guard aggregate.
-* Exact top-k: the bounded query set is broadcast; each index partition
-  scores its rows against all queries in numpy and emits only its own top-k
-  per query, so no query x index pair ever leaves the task; a small final
-  ranking picks the global top-k from the per-partition candidates.
+* Exact top-k: the queries are taken in blocks of a fixed size, each
+  broadcast; each index partition scores its rows against a block in numpy and
+  emits only its own top-k per query, so no query x index pair ever leaves the
+  task; a final ranking picks the global top-k from these candidates.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import types as T
 from farebox import schemas as sch
 from farebox.functions import columns as C
 from farebox.functions import filters as FL
-from farebox.session import bounded_rows, cut_lineage
+from farebox.session import broadcast_if_small, cut_lineage
 
 DEFAULT_DIMS = 384
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-# Query sets up to this size are broadcast to every index partition.
-MAX_BROADCAST_QUERIES = 10_000
+# Queries of one block (broadcast), and index rows scored against it at a time:
+# a score matrix of at most 32 MB.
+QUERY_BLOCK = 4096
+SCORE_ROWS = 1024
 
 
 # --- V1: embedding -------------------------------------------------------------
@@ -95,16 +97,14 @@ def pandas_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
 
 def embed_distinct(df: DataFrame, text_col: str, embedder: Callable[[Column], Column] | None = None,
                    out_col: str = "embedding") -> DataFrame:
-    """Embed each distinct text once and join the vectors back. The distinct
-    texts are few (a closed set of reasons); the join broadcasts them only
-    when their number is bounded."""
+    """Embed each distinct text once and join the vectors back (broadcast only
+    when their measured size is small)."""
     embedder = embedder or hashed_embedding
-    # The distinct texts once (a partial aggregate over one column), kept in
-    # the shared checkpoint folder: the size check and the join reuse them.
-    texts = cut_lineage(df.select(text_col).distinct())
-    vecs = texts.select(text_col, embedder(F.col(text_col)).alias(out_col))
-    if bounded_rows(texts, 100_000):
-        vecs = F.broadcast(vecs)
+    # The distinct texts (a partial aggregate over one column) and their vectors
+    # once, kept in the shared checkpoint folder for the size check and the join.
+    texts = df.select(text_col).distinct()
+    vecs = broadcast_if_small(cut_lineage(
+        texts.select(text_col, embedder(F.col(text_col)).alias(out_col))))
     return df.join(vecs, df[text_col].eqNullSafe(vecs[text_col]), "left").drop(vecs[text_col])
 
 
@@ -143,12 +143,14 @@ def sync_plan(source: DataFrame, index: DataFrame) -> DataFrame:
     return dels.unionByName(ins)
 
 
-def delete_guard(source: DataFrame, index: DataFrame) -> DataFrame:
-    """V3: one row: index size, deletes planned, source size, and whether the
-    deletes apply. Deletes that would empty a non-empty index while the source
+def delete_guard(source: DataFrame, index: DataFrame,
+                 orphans: DataFrame | None = None) -> DataFrame:
+    """V3: one row: index size, deletes planned (``orphans``, where already
+    known), source size, and whether the deletes apply. Deletes that would empty a non-empty index while the source
     is not empty are skipped (inserts still run)."""
+    orphans = orphans if orphans is not None else orphan_ids(index, source)
     tagged = (index_ids(index).select(F.lit("i").alias("t"))
-              .unionByName(orphan_ids(index, source).select(F.lit("d").alias("t")))
+              .unionByName(orphans.select(F.lit("d").alias("t")))
               .unionByName(source.select(F.lit("s").alias("t"))))
     row = tagged.agg(F.count_if(F.col("t") == "i").alias("index_count"),
                      F.count_if(F.col("t") == "d").alias("delete_count"),
@@ -172,11 +174,13 @@ def apply_sync(source: DataFrame, index: DataFrame,
     vector skips the point until the next sync) and upsert them. Returns
     the new index, written to the shared checkpoint folder unless
     ``persist`` is off (as a vector store keeps its points)."""
-    guard = delete_guard(source, index).first()
+    # Each anti-join runs once: the guard and the result share its rows.
+    orphans = cut_lineage(orphan_ids(index, source))
+    missing = cut_lineage(missing_ids(source, index))
     kept = index
-    if guard["apply_deletes"]:
-        kept = index.join(orphan_ids(index, source), "id", "left_anti")
-    new = embed_distinct(missing_ids(source, index), "reason", embedder)
+    if delete_guard(source, index, orphans).first()["apply_deletes"]:
+        kept = index.join(broadcast_if_small(orphans), "id", "left_anti")
+    new = embed_distinct(missing, "reason", embedder)
     new = new.where(F.col("embedding").isNotNull())
     out = upsert(kept, new)
     return cut_lineage(out) if persist else out
@@ -184,68 +188,80 @@ def apply_sync(source: DataFrame, index: DataFrame,
 
 # --- V5, V6: search ----------------------------------------------------------------
 
-def unit_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
-    """Unit-normalise once (cosine = dot of unit vectors)."""
-    norm = F.sqrt(F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn(col, F.transform(F.col(col), lambda x: x / norm))
+TOPK_SCHEMA = "query_id long, id string, score double"
 
 
-TOPK_SCHEMA = "query_id long, id string, score double"
+def _unit_rows(vectors) -> np.ndarray:
+    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 5,
-                query_id: str = "query_id", query_col: str = "query") -> DataFrame:
-    """V5: exact k nearest index points by cosine for every query; ties by id.
+def _top_rows(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best (score, then id) of every query in ``q``."""
+    order = np.lexsort((ids, -scores, q))
+    first = np.concatenate(([0], np.nonzero(np.diff(q[order]))[0] + 1)) if len(order) else []
+    starts = np.zeros(len(order), dtype=np.int64)
+    starts[first] = first
+    place = np.arange(len(order)) - np.maximum.accumulate(starts)
+    return order[place < k]
 
-    (query_id, id, score). The query set must be bounded (checked): it is
-    broadcast, and each index partition returns at most k candidates per
-    query; the global top-k is taken from those candidates only.
-    """
+
+def _block_topk(index: DataFrame, rows: list, k: int) -> DataFrame:
+    """Each index partition's k best rows for every query of one block."""
     spark = index.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).alias("q"))
-    if not bounded_rows(q, MAX_BROADCAST_QUERIES):
-        raise ValueError(f"more than {MAX_BROADCAST_QUERIES} queries: search in batches")
-    rows = q.collect()
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    qmat = np.array([np.asarray(r["q"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
-    if len(rows):
-        qn = np.linalg.norm(qmat, axis=1, keepdims=True)
-        qmat = np.divide(qmat, qn, out=np.zeros_like(qmat), where=qn > 0)
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    bq = spark.sparkContext.broadcast((
+        np.array([r["qid"] for r in rows], dtype=np.int64), _unit_rows([r["q"] for r in rows])))
 
     def partial_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids_, qm = bq.value
-        best: list[pd.DataFrame] = []
+        qids, qm = bq.value
+        q, ids, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for pdf in batches:
-            if pdf.empty or len(qids_) == 0:
-                continue
-            m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-            scores = qm @ m.T                          # queries x batch rows
-            ids = pdf["id"].to_numpy()
-            n = scores.shape[1]
-            # k-th largest score per query in linear time; every row at or
-            # above it is a candidate (ties included, so the order stays exact).
-            kth = (np.partition(scores, n - k, axis=1)[:, n - k] if n > k
-                   else np.full(len(qids_), -np.inf))
-            for qi in range(len(qids_)):
-                cand = np.nonzero(scores[qi] >= kth[qi])[0]
-                order = cand[np.lexsort((ids[cand], -scores[qi][cand]))][:k]
-                best.append(pd.DataFrame({"query_id": qids_[qi], "id": ids[order],
-                                          "score": scores[qi][order]}))
-            # Keep the running candidates small: re-cut to k per query.
-            if len(best) > 4 * len(qids_):
-                cat = pd.concat(best)
-                best = [cat.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                        .groupby("query_id", sort=False).head(k)]
-        if best:
-            cat = pd.concat(best)
-            yield (cat.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                   .groupby("query_id", sort=False).head(k))
-
-    cands = index.select("id", "embedding").where(F.col("embedding").isNotNull()) \
+            for at in range(0, len(pdf), SCORE_ROWS):
+                part = pdf.iloc[at:at + SCORE_ROWS]
+                s = qm @ _unit_rows(part["embedding"]).T          # queries x rows
+                # Rows at or above a query's k-th best of this piece are its
+                # candidates (ties included, so the order stays exact).
+                n = s.shape[1]
+                kth = (np.partition(s, n - k, axis=1)[:, n - k:n - k + 1] if n > k
+                       else np.full((len(qids), 1), -np.inf))
+                qi, col = np.nonzero(s >= kth)
+                q = np.concatenate((q, qi))
+                ids = np.concatenate((ids, part["id"].to_numpy(object)[col]))
+                scores = np.concatenate((scores, s[qi, col]))
+                best = _top_rows(q, ids, scores, k)
+                q, ids, scores = q[best], ids[best], scores[best]
+        if len(q):
+            yield pd.DataFrame({"query_id": qids[q], "id": ids, "score": scores})
+
+    return index.select("id", "embedding").where(
+        F.col("id").isNotNull() & F.col("embedding").isNotNull()) \
         .mapInPandas(partial_topk, TOPK_SCHEMA)
+
+
+def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 5,
+                query_id: str = "query_id", query_col: str = "query",
+                block: int = QUERY_BLOCK) -> DataFrame:
+    """V5: exact k nearest index points by cosine for every query; ties by id.
+
+    (query_id, id, score, rank). Any number of queries, taken in blocks of at
+    most ``block``: a block is broadcast and the index scanned for it, and each
+    index partition returns at most k candidates per query; the global top-k is
+    taken from those candidates only. Rows with a NULL id or vector are left out.
+    """
+    from farebox.operators.profile import global_row_number
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).alias("q")) \
+        .where(F.col("q").isNotNull())
+    numbered = cut_lineage(global_row_number(q, [F.asc("qid")], "n")
+                           .withColumn("block", F.expr(f"(n - 1) div {int(block)}")))
+    last = numbered.agg(F.max("block")).first()[0]
+    if last is None:
+        return index.sparkSession.createDataFrame([], TOPK_SCHEMA + ", rank long")
+    cands = None
+    for b in range(last + 1):
+        rows = numbered.where(F.col("block") == b).collect()     # at most ``block`` rows
+        part = _block_topk(index, rows, k)
+        cands = part if cands is None else cands.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -264,8 +280,11 @@ def semantic_rides(gold: DataFrame, index: DataFrame, text: str, k: int = 5,
                    page: int = 1, size: int = 20, embedder=None, **filters) -> DataFrame:
     """V6: the top-k points of the whole index first, then their rides
     under the filters, newest first (not by score); may give fewer than k
-    rows, and no hit gives an empty page."""
+    rows, and no hit gives an empty page. A blank text is no search: the plain
+    page."""
     from farebox.operators import lookup as L
+    if not (text or "").strip():
+        return L.rides_page(gold, page=page, size=size, **filters)
     hits = search_text(index, text, k, embedder).join(
         index.select("id", "booking_id"), "id").select("booking_id")
     # At most k rows, used by the page and by its total: search the index

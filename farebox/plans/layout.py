@@ -24,6 +24,8 @@ CLUSTER_SORT = ("vehicle_type", "booking_value")
 # Row-group size for the clustered files: small enough that min/max ranges
 # of the sort columns stay narrow (rows per group = bytes / row width).
 ROW_GROUP_BYTES = 8 * 1024 * 1024
+# Rows of a page: the column index lets a scan skip pages within a row group.
+PAGE_ROWS = 1000
 
 
 def write_clustered(gold: DataFrame, path: str, files_per_status: int | None = None) -> str:
@@ -45,6 +47,7 @@ def write_clustered(gold: DataFrame, path: str, files_per_status: int | None = N
                                          *[F.col(c) for c in CLUSTER_SORT], salt)
                  .sortWithinPartitions(CLUSTER_PARTITION, *CLUSTER_SORT))
     (clustered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
+     .option("parquet.page.row.count.limit", PAGE_ROWS)
      .partitionBy(CLUSTER_PARTITION).parquet(path))
     return path
 
@@ -74,22 +77,38 @@ def explain_text(df: DataFrame, mode: str = "formatted") -> str:
     return buf.getvalue()
 
 
-def plan_report(plain: DataFrame, clustered: DataFrame) -> DataFrame:
-    """L2: for the segment report on both layouts: rows read after partition
-    pruning, rows removed by the remaining filters, rows aggregated and
-    groups out. One aggregate pass per layout."""
-    def measure(df: DataFrame, layout: str, pruned: bool) -> DataFrame:
-        status_ok = F.col("booking_status") == F.lit(R.SEGMENT_STATUS)
-        lo, hi = R.SEGMENT_DISTANCE
-        passing = (status_ok & F.col("vehicle_type").isin(list(R.SEGMENT_VEHICLES))
-                   & (F.col("booking_value") > R.SEGMENT_MIN_VALUE)
-                   & F.col("ride_distance").between(lo, hi))
-        src = df.where(status_ok) if pruned else df
-        groups = src.where(passing).select("vehicle_type", "payment_method").distinct() \
-            .select(F.count(F.lit(1))).scalar()
-        return src.agg(
-            F.count(F.lit(1)).alias("rows_read"),
-            F.count_if(~passing).alias("rows_removed"),
-            F.count_if(passing).alias("rows_aggregated"),
-        ).select(F.lit(layout).alias("layout"), "*", groups.alias("groups_out"))
-    return measure(plain, "plain", False).unionByName(measure(clustered, "clustered", True))
+def _scans(plan) -> list:
+    """The Parquet scans of an executed plan, through adaptive stages."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _scans(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _scans(plan.plan())
+    if name == "FileSourceScanExec":
+        return [plan]
+    kids = plan.children()
+    return [s for i in range(kids.size()) for s in _scans(kids.apply(i))]
+
+
+def scan_rows(df: DataFrame) -> tuple[int, int]:
+    """Runs ``df`` and returns (rows, files) its scans really read, from the
+    scan nodes' own metrics: after partition pruning and after the row groups
+    and pages whose min/max statistics exclude the filters were skipped."""
+    df.collect()
+    read = [{k: s.metrics().apply(k).value() for k in ("numOutputRows", "numFiles")}
+            for s in _scans(df._jdf.queryExecution().executedPlan())]
+    return sum(r["numOutputRows"] for r in read), sum(r["numFiles"] for r in read)
+
+
+def plan_report(layouts: dict[str, DataFrame]) -> DataFrame:
+    """L2: the segment report run on each stored layout: rows and files its
+    scan read (measured), rows of the layout, rows aggregated, groups out."""
+    rows = []
+    for name, df in layouts.items():
+        read, files = scan_rows(R.segment_report(df))
+        groups = R.segment_report(df)
+        total = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("total_rides").alias("r")).first()
+        rows.append((name, df.count(), read, files, int(total["r"] or 0), total["g"]))
+    spark = next(iter(layouts.values())).sparkSession
+    return spark.createDataFrame(rows, "layout string, rows_total long, rows_read long, "
+                                 "files_read long, rows_aggregated long, groups_out long")

@@ -7,6 +7,8 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every job relies on. Shuffle partitions is sized per run by the
 # caller (about 128 MB per partition at the target scale; 8 for local tests).
@@ -116,14 +118,33 @@ def ship_package(spark: SparkSession) -> str:
     return target
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+# Largest side, in bytes of its values, that is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-    Reads at most ``max_rows + 1`` rows, so the check costs the same whatever
-    the size of ``df``. Used before every broadcast whose size is not fixed by
-    construction.
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the values of ``df`` take at most ``max_bytes``.
+
+    One partial aggregate over all of ``df``: each task sends a single number,
+    so no rows are gathered. Used before every broadcast whose size is not
+    fixed by construction; beyond it the join is shuffled on its key.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    row = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            row = row + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            row = row + F.when(c.isNotNull(), F.size(c)).otherwise(0) * 8 + 16
+        else:
+            row = row + 16
+    total = df.agg(F.sum(row.cast("long"))).first()[0]
+    return (total or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its measured size allows it."""
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

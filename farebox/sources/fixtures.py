@@ -24,7 +24,7 @@ SELECT x.event_id AS _id, concat('batch-', CAST(x.event_id % 3 AS STRING)) AS _b
  CASE WHEN x.event_id % 211 = 0 THEN 'null' WHEN x.event_id % 223 = 0 THEN NULL
       ELSE concat(x.pad, '"CNR', lpad(CAST(x.n AS STRING),9,'0'), '"', x.pad) END AS booking_id,
  concat(x.pad, x.st) AS booking_status, concat('"CID', lpad(CAST(x.user_id AS STRING),7,'0'), '"') AS customer_id,
- CASE x.user_id % 7 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Go Mini' WHEN 2 THEN 'Go Sedan' WHEN 3 THEN 'Bike' WHEN 4 THEN 'Premier Sedan' WHEN 5 THEN 'eBike' ELSE 'XL' END AS vehicle_type,
+ CASE x.user_id % 7 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Go Mini' WHEN 2 THEN 'Go Sedan' WHEN 3 THEN 'Bike' WHEN 4 THEN 'Premier Sedan' WHEN 5 THEN 'eBike' ELSE 'Uber XL' END AS vehicle_type,
  x.st = 'Cancelled by Customer' AS cancelled_by_customer,
  CASE WHEN x.st <> 'Cancelled by Customer' THEN 'null' WHEN x.event_id % 5 = 0 THEN 'Wrong Address' WHEN x.event_id % 5 = 1 THEN 'Change of plans' WHEN x.event_id % 5 = 2 THEN 'Driver is not moving towards pickup location' WHEN x.event_id % 5 = 3 THEN 'Driver asked to cancel' ELSE 'AC is not working' END AS reason_customer,
  x.st = 'Cancelled by Driver' AS cancelled_by_driver,
@@ -35,7 +35,7 @@ SELECT x.event_id AS _id, concat('batch-', CAST(x.event_id % 3 AS STRING)) AS _b
  CASE WHEN x.st IN ('Completed','Incomplete') THEN CAST(x.k AS DOUBLE) / CAST(2 AS DOUBLE) END AS ride_distance,
  CASE WHEN x.st = 'Completed' THEN CAST(30 + x.event_id % 21 AS DOUBLE) / CAST(10 AS DOUBLE) END AS driver_ratings,
  CASE WHEN x.st = 'Completed' THEN CAST(50 - x.event_id % 19 AS DOUBLE) / CAST(10 AS DOUBLE) END AS customer_rating,
- CASE WHEN x.st NOT IN ('Completed','Incomplete') THEN 'null' WHEN x.event_id % 5 = 0 THEN ' UPI ' WHEN x.event_id % 5 = 1 THEN 'Cash' WHEN x.event_id % 5 = 2 THEN 'Wallet' WHEN x.event_id % 5 = 3 THEN 'Credit Card' ELSE 'Debit Card' END AS payment_method
+ CASE WHEN x.st NOT IN ('Completed','Incomplete') THEN 'null' WHEN x.event_id % 5 = 0 THEN ' UPI ' WHEN x.event_id % 5 = 1 THEN 'Cash' WHEN x.event_id % 5 = 2 THEN 'Uber Wallet' WHEN x.event_id % 5 = 3 THEN 'Credit Card' ELSE 'Debit Card' END AS payment_method
 FROM (SELECT e.*, CAST(regexp_extract(e.props,'([0-9]+)',1) AS INT) AS k,
   CASE WHEN e.event_id % 50 = 49 THEN e.event_id - 1 WHEN e.event_id % 60 = 33 THEN e.event_id - 3 ELSE e.event_id END AS n,
   CASE WHEN e.event_id % 17 = 0 THEN '  ' ELSE '' END AS pad,
@@ -143,22 +143,37 @@ def key_digits(c: str = "booking_id"):
 
 
 def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change set over gold: by key digits, mod 101 = 0 delete, mod 97 = 0
-    update (to Cancelled by Driver / 'Other Issue'), mod 89 = 0 insert of a copy
-    under a new key; seq = digits."""
+    """Change set over gold, by the key's digits (the first that divides them):
+
+    * 101: delete; 97: update (to Cancelled by Driver / 'Other Issue');
+    * 89: insert of a copy under the key 'NEW-' + key;
+    * 83: delete, then insert under the same key with 1 more value;
+    * 79: insert under 'NEW-' + key, then update of it;
+    * 73: update, then delete.
+
+    seq = 3 x digits, plus 1 for the second operation of a key.
+    """
     g = ride_gold(spark, sf_dir).withColumn("_d", key_digits())
-    dels = g.where(F.col("_d") % 101 == 0).select(
-        F.col("_d").alias("seq"), F.lit("delete").alias("op"), "booking_id")
-    upd = g.where((F.col("_d") % 97 == 0) & (F.col("_d") % 101 != 0)).select(
-        F.col("_d").alias("seq"), F.lit("update").alias("op"), "booking_id",
-        F.lit("Cancelled by Driver").alias("booking_status"),
-        F.lit("Other Issue").alias("unified_cancellation_reason"))
-    ins = g.where((F.col("_d") % 89 == 0) & (F.col("_d") % 97 != 0) & (F.col("_d") % 101 != 0)).select(
-        F.col("_d").alias("seq"), F.lit("insert").alias("op"),
-        F.concat(F.lit("NEW-"), F.col("booking_id")).alias("booking_id"),
-        "ride_timestamp", "customer_id", "vehicle_type", "booking_value",
-        "ride_distance", "driver_ratings", "customer_rating", "payment_method")
-    return dels.unionByName(upd, allowMissingColumns=True).unionByName(ins, allowMissingColumns=True)
+    kind = F.lit(None).cast("string")
+    for mod, name in ((73, "update delete"), (79, "insert update"), (83, "delete insert"),
+                      (89, "insert"), (97, "update"), (101, "delete")):
+        kind = F.when(F.col("_d") % mod == 0, F.lit(name)).otherwise(kind)
+    ops = g.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
+        "*", F.posexplode(F.split("kind", " ")).alias("_n", "op"))
+    is_insert, is_update = F.col("op") == "insert", F.col("op") == "update"
+    renamed = F.col("kind").isin("insert", "insert update")
+    value = F.when(F.col("kind") == "delete insert", F.col("booking_value") + 1) \
+        .otherwise(F.col("booking_value"))
+    inserted = ["ride_timestamp", "customer_id", "vehicle_type", "ride_distance",
+                "driver_ratings", "customer_rating", "payment_method"]
+    return ops.select(
+        (F.col("_d") * 3 + F.col("_n")).alias("seq"), "op",
+        F.when(renamed, F.concat(F.lit("NEW-"), "booking_id")).otherwise(F.col("booking_id"))
+         .alias("booking_id"),
+        F.when(is_update, F.lit("Cancelled by Driver")).alias("booking_status"),
+        F.when(is_update, F.lit("Other Issue")).alias("unified_cancellation_reason"),
+        F.when(is_insert, value).alias("booking_value"),
+        *[F.when(is_insert, F.col(c)).alias(c) for c in inserted])
 
 
 # A statement log for the SQL guard: every conversation turn as it stands,
@@ -198,27 +213,35 @@ def _put_file(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+# Rows of one CSV file of the drop folder, about.
+CSV_ROWS_PER_FILE = 1_000_000
+
+
 def ride_csv_folder(spark: SparkSession, sf_dir: str, base: str | None = None) -> tuple[str, list[str]]:
-    """Write the raw ride text as a drop folder: one CSV per batch in load
-    order, plus an empty ``.CSV`` and a ``.txt`` file that the source must
+    """Write the raw ride text as a drop folder: several CSV files per batch,
+    rows in load order over their names, plus an empty ``.CSV`` and a ``.txt`` file that the source must
     skip. Returns (folder, batch ids in name order)."""
     from farebox.session import work_path
     from farebox.sources.csv import write_csv
     base = base or work_path(spark, "ride-csv")
     raw = ride_raw_text(spark, sf_dir)
-    # The batch ids: three by construction of the fixture.
-    batches = [r[0] for r in raw.select("_batch_id").distinct().orderBy("_batch_id").collect()]
+    # The batches and their sizes: three by construction of the fixture.
+    sizes = raw.groupBy("_batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy("_batch_id").collect()
+    batches = [r["_batch_id"] for r in sizes]
     jvm = spark.sparkContext._jvm
-    for i, b in enumerate(batches):
-        rows = raw.where(F.col("_batch_id") == b).orderBy("_id").drop("_id", "_batch_id").coalesce(1)
+    for i, (b, n) in enumerate(sizes):
+        rows = (raw.where(F.col("_batch_id") == b)
+                .repartitionByRange(2 + n // CSV_ROWS_PER_FILE, "_id").sortWithinPartitions("_id")
+                .drop("_id", "_batch_id"))
         write_csv(rows, f"{base}/{b}")
         _put_file(spark, f"{base}/{b}/empty.CSV", "")
         _put_file(spark, f"{base}/{b}/notes.txt", "not,a,ride\n1,2,3\n")
         # Arrival order = batch order (a file stream takes files by time).
         folder = jvm.org.apache.hadoop.fs.Path(f"{base}/{b}")
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for st in fs.listStatus(folder):
-            fs.setTimes(st.getPath(), 1_700_000_000_000 + i * 60_000, -1)
+        paths = sorted((st.getPath() for st in fs.listStatus(folder)), key=lambda p: p.getName())
+        for k, path in enumerate(paths):
+            fs.setTimes(path, 1_700_000_000_000 + i * 60_000_000 + k * 1_000, -1)
     return base, batches
 
 

@@ -65,42 +65,45 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFrame,
-                           batch_col: str = BATCH_COL) -> list[str | None]:
+                           batch_col: str = BATCH_COL) -> DataFrame:
     """M4 on a batch-partitioned gold table, rewriting only the partitions
     that hold a changed key (plus the no-batch partition new rides go to):
     the work is proportional to the touched batches, not to all of gold.
 
     Each rewritten partition is swapped at commit (dynamic overwrite); one
-    left empty by deletes is removed, as a batch replacement does. Returns
-    the batch ids rewritten.
+    left empty by deletes is removed, as a batch replacement does. Applying
+    the same changes again gives the same table. Returns the batch ids
+    rewritten (one column; NULL is the no-batch partition).
     """
     from farebox.operators import changes as CH
-    from farebox.session import bounded_rows, cut_lineage
+    from farebox.session import broadcast_if_small, cut_lineage
     gold = spark.read.parquet(gold_path)
+    gold = gold.withColumn(batch_col, F.col(batch_col).cast("string"))
     keys = changes.select("booking_id").distinct()
-    if bounded_rows(changes, CH.BROADCAST_CHANGES_MAX):
-        keys = F.broadcast(keys)
-    # The touched batches: one row per batch, kept so both uses agree.
-    touched = cut_lineage(gold.join(keys, "booking_id", "left_semi").select(batch_col).distinct())
-    batches = [r[0] for r in touched.collect()]            # bounded by the number of batches
-    has_inserts = not changes.where(F.col("op") == "insert").isEmpty()
-    if has_inserts:                                        # new rides go to the no-batch partition
-        batches.append(None)
-    batches = sorted(set(batches), key=lambda b: (b is None, b or ""))
-    part = gold.where(F.col(batch_col).isin([b for b in batches if b is not None])
-                      | (F.col(batch_col).isNull() if None in batches else F.lit(False)))
-    out = cut_lineage(CH.apply_changes(part.select(*gold.columns), changes))
+    # The touched batches: one row per batch, kept so all uses agree.
+    touched = gold.join(broadcast_if_small(keys), "booking_id", "left_semi") \
+        .select(batch_col).distinct()
+    if not changes.where(F.col("op") == "insert").isEmpty():   # new rides have no batch
+        touched = touched.unionByName(spark.range(1).select(
+            F.lit(None).cast("string").alias(batch_col))).distinct()
+    touched = cut_lineage(touched)
+    # A semi-join on the partition column prunes the other folders at run time.
+    part = gold.where(F.col(batch_col).isNotNull()).join(
+        broadcast_if_small(touched), batch_col, "left_semi").select(*gold.columns)
+    if not touched.where(F.col(batch_col).isNull()).isEmpty():
+        part = part.unionByName(gold.where(F.col(batch_col).isNull()))
+    out = cut_lineage(CH.apply_changes(part, changes))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(batch_col).parquet(gold_path))
     # Partitions that lost all their rows: dynamic overwrite keeps them, remove.
-    left = {r[0] for r in out.select(batch_col).distinct().collect()}
-    for b in batches:
-        if b not in left:
-            fs, p = _fs_path(spark, _partition_dir(gold_path, batch_col,
-                                                   NULL_PARTITION if b is None else b))
-            if fs.exists(p):
-                fs.delete(p, True)
-    return batches
+    left = out.select(F.col(batch_col).alias("_left")).distinct()
+    empty = touched.join(left, F.col(batch_col).eqNullSafe(F.col("_left")), "left_anti")
+    for r in empty.toLocalIterator():
+        fs, p = _fs_path(spark, _partition_dir(gold_path, batch_col,
+                                               NULL_PARTITION if r[0] is None else r[0]))
+        if fs.exists(p):
+            fs.delete(p, True)
+    return touched
 
 
 def write_versioned(df: DataFrame, base: str, version: int) -> str:
@@ -112,14 +115,19 @@ def write_versioned(df: DataFrame, base: str, version: int) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    """Newest committed version folder under ``base`` (has _SUCCESS)."""
+def versions(spark: SparkSession, base: str) -> list[tuple[int, bool]]:
+    """The version folders under ``base``, oldest first: (number, committed).
+    A folder without _SUCCESS is what a crashed write left behind."""
     fs, p = _fs_path(spark, base)
     if not fs.exists(p):
-        return None
-    versions = sorted(str(s.getPath().getName()) for s in fs.listStatus(p)
-                      if str(s.getPath().getName()).startswith("v="))
-    for v in reversed(versions):
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{v}/_SUCCESS")):
-            return f"{base.rstrip('/')}/{v}"
-    return None
+        return []
+    names = sorted(str(s.getPath().getName()) for s in fs.listStatus(p))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [(int(n[2:]), bool(fs.exists(path(f"{base.rstrip('/')}/{n}/_SUCCESS"))))
+            for n in names if n.startswith("v=")]
+
+
+def latest_version(spark: SparkSession, base: str) -> str | None:
+    """Newest committed version folder under ``base`` (has _SUCCESS)."""
+    done = [n for n, committed in versions(spark, base) if committed]
+    return f"{base.rstrip('/')}/v={done[-1]:08d}" if done else None

@@ -12,12 +12,11 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farebox import schemas as sch
-from farebox.functions import columns as C
 from farebox.operators import pipeline as PL
 from farebox.operators import vectors as V
 from farebox.session import work_path
@@ -26,8 +25,15 @@ from farebox.sources import layers as LY
 
 log = logging.getLogger(__name__)
 
-# The batch id is the folder (or file stem) the CSV arrived under.
-BATCH_FROM_PATH = r"/([^/]+)/[^/]*$"
+
+
+def batch_of(path: Column) -> Column:
+    """The batch id of an uploaded file: folder, file stem and a hash of the
+    whole path, so every file is a batch of its own and a replay of it gets the
+    same id. Only characters that are safe in a folder name."""
+    name = F.regexp_extract(path, r"([^/]*/?[^/]+?)(?:\.[^./]*)?$", 1)
+    return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-"), F.lit("-"),
+                    F.substring(F.md5(path), 1, 12))
 
 
 def _trigger(writer, available_now: bool, interval: str | None):
@@ -44,18 +50,18 @@ def stream_ingest(spark: SparkSession, drop_folder: str, pipeline: PL.Pipeline,
     """Every arriving CSV becomes one batch through bronze, silver, gold.
 
     One file per micro-batch by default (more per trigger run one after the
-    other, in folder-name order); the batch id comes from the file's folder,
-    so a replayed micro-batch overwrites the same partitions (exactly-once
-    effect). Empty micro-batches (empty files) are skipped.
+    other, in path order). The batch id comes from the file's whole path
+    (``batch_of``): files of one folder never replace each other, and a
+    replayed micro-batch overwrites the same partitions (exactly-once effect).
+    Empty micro-batches (empty files) are skipped.
     """
     rows = CSV.csv_stream(spark, drop_folder, files_per_trigger)
 
     def run_batch(df: DataFrame, epoch_id: int) -> None:
-        files = df.select(F.regexp_extract("_file", BATCH_FROM_PATH, 1).alias("b")).distinct()
+        files = df.select("_file", batch_of(F.col("_file")).alias("b")).distinct()
         # At most files_per_trigger values: bounded.
-        for r in files.orderBy("b").collect():
-            raw = df.where(F.regexp_extract("_file", BATCH_FROM_PATH, 1) == r["b"])
-            pipeline.run(r["b"], raw=raw)
+        for r in sorted(files.collect()):
+            pipeline.run(r["b"], raw=df.where(F.col("_file") == F.lit(r["_file"])))
 
     w = rows.writeStream.foreachBatch(run_batch).option(
         "checkpointLocation", checkpoint or work_path(spark, "ingest-checkpoint"))
@@ -82,33 +88,41 @@ class VersionedTable:
         return self.spark.read.parquet(path)
 
     def next_version(self) -> int:
-        path = LY.latest_version(self.spark, self.base)
-        return 0 if path is None else int(path.rsplit("=", 1)[1]) + 1
+        """One past the newest folder, committed or not: a folder that a
+        crashed write left behind never blocks the next one."""
+        known = LY.versions(self.spark, self.base)
+        return known[-1][0] + 1 if known else 0
 
     def write(self, df: DataFrame) -> str:
         cols = self.schema.fieldNames() if self.schema is not None else df.columns
         return LY.write_versioned(df.select(*cols), self.base, self.next_version())
 
     def prune(self, keep: int = 2) -> int:
-        """Delete all but the newest ``keep`` versions (readers of an older
-        version must be done); returns how many were removed."""
+        """Delete all but the newest ``keep`` committed versions, and what
+        crashed writes left below the newest one (readers of an older version
+        must be done); returns how many folders were removed."""
+        known = LY.versions(self.spark, self.base)
+        done = [n for n, committed in known if committed]
+        stay = set(done[-keep:]) if keep > 0 else set()
+        old = [n for n, _ in known if n not in stay and done and n <= done[-1]]
         jvm = self.spark.sparkContext._jvm
         base = jvm.org.apache.hadoop.fs.Path(self.base)
         fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return 0
-        versions = sorted(str(s.getPath().getName()) for s in fs.listStatus(base)
-                          if str(s.getPath().getName()).startswith("v="))
-        old = versions[:-keep] if keep > 0 else versions
-        for v in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base.rstrip('/')}/{v}"), True)
+        for n in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base.rstrip('/')}/v={n:08d}"), True)
         return len(old)
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> str:
-        """Rows replace the rows of the same keys; others are kept."""
+        """Rows replace the rows of the same keys (NULL equals NULL); others
+        are kept."""
         cur = self.current()
-        kept = cur.join(rows.select(*keys), keys, "left_anti") if cur.columns else cur
-        return self.write(kept.unionByName(rows) if cur.columns else rows)
+        if not cur.columns:
+            return self.write(rows)
+        k = rows.select(*[F.col(c).alias(f"_key_{c}") for c in keys])
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+        return self.write(cur.join(k, same, "left_anti").unionByName(rows))
 
 
 class VectorIndex(VersionedTable):
@@ -127,47 +141,53 @@ def sync_once(spark: SparkSession, gold_path: str, index: VectorIndex, embedder=
 def stream_vector_sync(spark: SparkSession, gold_path: str, index: VectorIndex,
                        checkpoint: str | None = None, interval: str = "2 minutes",
                        available_now: bool = False, embedder=None) -> StreamingQuery:
-    """A sync on every trigger that saw new gold files (every 2 minutes
-    by default); a failing sync is logged and the stream goes on."""
-    changes = spark.readStream.schema(spark.read.parquet(gold_path).schema).parquet(gold_path)
+    """A sync on every tick of the clock (every 2 minutes by default), with
+    or without new gold files, so rides removed from gold leave the index too.
+    A failing sync is logged, the stream goes on, and the next tick retries.
+    With ``available_now`` one tick runs."""
+    # One row per trigger, whatever the gold folder did.
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
     def run(df: DataFrame, epoch_id: int) -> None:
         try:
             sync_once(spark, gold_path, index, embedder)
+            index.prune()
         except Exception:  # noqa: BLE001 - the loop survives a failed sync
             log.exception("vector sync failed in epoch %s", epoch_id)
 
-    w = changes.select(F.lit(1).alias("tick")).writeStream.foreachBatch(run).option(
+    w = ticks.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint or work_path(spark, "sync-checkpoint"))
     return _trigger(w, available_now, interval if not available_now else None).start()
 
 
-def utc_instant(ntz_col: str) -> F.Column:
-    """A zone-less timestamp read as UTC, independent of the session zone
-    (a watermark needs a zoned timestamp)."""
+def utc_instant(ntz_col: str) -> Column:
+    """A zone-less timestamp read as UTC, independent of the session zone."""
     c = F.col(ntz_col)
     return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
                             F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
 
 
-def dashboard_stream(spark: SparkSession, gold_path: str, window: str = "1 hour",
-                     watermark: str | None = None) -> DataFrame:
-    """Live KPIs per (hour window, vehicle) over new gold files.
+def window_start(ntz_col: str, seconds: int) -> Column:
+    """Start of the fixed window a ride time falls in; NULL for a NULL time (a
+    window aggregate would drop such rides)."""
+    t = F.unix_seconds(utc_instant(ntz_col))
+    return F.timestamp_seconds(t - F.pmod(t, F.lit(seconds)))
+
 
-    The dashboard counts every ride however late it arrives, so there is no
-    watermark by default: the state is one row per (hour, vehicle), small and
-    bounded by time range x vehicle types. Give ``watermark`` to drop the
-    state of old windows when late rides may be ignored. Gold files that a
-    batch rerun rewrites are new files to the stream; recompute with A5 after
-    a rerun."""
+def dashboard_stream(spark: SparkSession, gold_path: str, seconds: int = 3600) -> DataFrame:
+    """Live KPIs per (window of ``seconds``, vehicle) over new gold files.
+
+    The dashboard counts every ride however late it arrives and with or
+    without a ride time (a NULL window), so its totals equal A1 and there is no
+    watermark: the state is one row per (hour, vehicle), bounded by time range
+    x vehicle types. Gold files that a batch rerun rewrites are new files to
+    the stream; recompute with A5 after a rerun."""
     src = spark.readStream.schema(spark.read.parquet(gold_path).schema).parquet(gold_path)
-    ev = src.withColumn("event_time", utc_instant("ride_timestamp"))
-    if watermark:
-        ev = ev.withWatermark("event_time", watermark)
-    return ev.groupBy(F.window("event_time", window), "vehicle_type").agg(
+    return src.groupBy(window_start("ride_timestamp", seconds).alias("window_start"),
+                       "vehicle_type").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("booking_status") == sch.STATUS_COMPLETED).alias("completed"),
-        C.exact_sum("booking_value").alias("revenue"))
+        F.sum("booking_value").alias("revenue"))
 
 
 DASHBOARD_SCHEMA = "window_start timestamp, window_end timestamp, vehicle_type string, " \
@@ -175,24 +195,17 @@ DASHBOARD_SCHEMA = "window_start timestamp, window_end timestamp, vehicle_type s
 
 
 CONTRIB_SCHEMA = ("_batch_id string, window_start timestamp, vehicle_type string, "
-                  "total bigint, completed bigint, revenue_units bigint, revenue_rest double, "
-                  "revenue_n bigint")
-
-
-def batch_contributions(gold_batch: DataFrame, window: str = "1 hour") -> DataFrame:
-    """One batch's share of the dashboard: counts and the fixed-point revenue
-    (an integer, so shares add up exactly) per (hour window, vehicle)."""
-    v = F.col("booking_value")
-    finite = ~F.isnan(v) & (F.abs(v) < F.lit(C.FIXED_POINT_MAX))
-    return (gold_batch.withColumn("event_time", utc_instant("ride_timestamp"))
-            .where(F.col("event_time").isNotNull())
-            .groupBy("_batch_id", F.window("event_time", window).start.alias("window_start"),
-                     "vehicle_type")
+                  "total bigint, completed bigint, revenue double")
+
+
+def batch_contributions(gold_batch: DataFrame, seconds: int = 3600) -> DataFrame:
+    """One batch's share of the dashboard: counts and revenue per (window,
+    vehicle), rides without a time included."""
+    return (gold_batch.groupBy("_batch_id", window_start("ride_timestamp", seconds)
+                               .alias("window_start"), "vehicle_type")
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(F.col("booking_status") == sch.STATUS_COMPLETED).alias("completed"),
-                 F.coalesce(F.sum(F.when(finite, C.fixed_point(v))), F.lit(0)).alias("revenue_units"),
-                 F.coalesce(F.sum(F.when(~finite, v)), F.lit(0.0)).alias("revenue_rest"),
-                 F.count(v).alias("revenue_n")))
+                 F.sum("booking_value").alias("revenue")))
 
 
 def refresh_batch(spark: SparkSession, gold_path: str, batch_id: str,
@@ -208,31 +221,25 @@ def refresh_batch(spark: SparkSession, gold_path: str, batch_id: str,
 
 
 def dashboard_from_contributions(contributions: DataFrame) -> DataFrame:
-    """The dashboard table: the batches' shares summed per (window, vehicle);
-    revenue exact (integer units)."""
-    s = contributions.groupBy("window_start", "vehicle_type").agg(
+    """The dashboard table: the batches' shares summed per (window, vehicle)."""
+    return contributions.groupBy("window_start", "vehicle_type").agg(
         F.sum("total").alias("total"), F.sum("completed").alias("completed"),
-        F.sum("revenue_units").alias("units"), F.sum("revenue_rest").alias("rest"),
-        F.sum("revenue_n").alias("n"))
-    revenue = F.when(F.col("n") > 0, F.col("units").cast("double") / F.lit(float(C.FIXED_POINT_SCALE))
-                     + F.col("rest"))
-    return s.select("window_start", "vehicle_type", "total", "completed", revenue.alias("revenue"))
+        F.sum("revenue").alias("revenue"))
 
 
-def stream_changes(spark: SparkSession, changes_path: str, gold: VersionedTable,
+def stream_changes(spark: SparkSession, changes_path: str, gold_path: str,
                    schema, checkpoint: str | None = None, available_now: bool = False,
                    interval: str | None = None) -> StreamingQuery:
     """M4 as a stream: change files arriving in ``changes_path`` are applied
-    to the gold table one micro-batch at a time (last change per key wins
-    within a micro-batch; across micro-batches, arrival order, as API calls
-    arrive). Each micro-batch writes one new gold version, so readers never
-    see a half-applied change set and a replayed epoch writes the same rows."""
-    from farebox.operators import changes as CH
+    to the batch-partitioned gold table one micro-batch at a time (sequence
+    order within a micro-batch; across micro-batches, arrival order, as API
+    calls arrive). Only the partitions a micro-batch touches are rewritten,
+    and applying one twice changes nothing, so a replayed epoch is harmless."""
     src = spark.readStream.schema(schema).parquet(changes_path)
 
     def run(df: DataFrame, epoch_id: int) -> None:
         if not df.isEmpty():
-            gold.write(CH.apply_changes(gold.current(), df))
+            LY.apply_changes_in_place(spark, gold_path, df)
 
     w = src.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint or work_path(spark, "changes-checkpoint"))
@@ -241,18 +248,19 @@ def stream_changes(spark: SparkSession, changes_path: str, gold: VersionedTable,
 
 def dashboard_refresh(spark: SparkSession, gold_path: str, table: VersionedTable,
                       checkpoint: str | None = None, available_now: bool = False,
-                      interval: str = "5 seconds") -> StreamingQuery:
+                      interval: str = "5 seconds", seconds: int = 3600) -> StreamingQuery:
     """T3 with a table sink: update mode emits only the windows a micro-batch
-    changed, and they are upserted by (window, vehicle) into ``table``; the
-    watermark lets Spark drop the state of windows that can no longer change.
+    changed, and they are upserted by (window, vehicle) into ``table`` (small:
+    one row per hour and vehicle), of which the two newest versions stay.
     Polls every 5 seconds by default, as the dashboard does."""
-    agg = dashboard_stream(spark, gold_path).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "vehicle_type", "total", "completed", "revenue")
+    agg = dashboard_stream(spark, gold_path, seconds).select(
+        "window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(seconds)))
+        .alias("window_end"), "vehicle_type", "total", "completed", "revenue")
 
     def run(df: DataFrame, epoch_id: int) -> None:
         if not df.isEmpty():
             table.upsert(df, ["window_start", "vehicle_type"])
+            table.prune()
 
     w = agg.writeStream.outputMode("update").foreachBatch(run).option(
         "checkpointLocation", checkpoint or work_path(spark, "dashboard-checkpoint"))

@@ -86,15 +86,58 @@ def test_short_csv_row_fails_the_scan(spark, tmp_path):
     assert CSV.csv_scan(spark, str(ok)).count() == 1
 
 
-def test_last_change_per_key_wins(spark):
-    gold = spark.createDataFrame([("K1", "Completed", "Not Cancelled")],
-                                 "booking_id string, booking_status string, unified_cancellation_reason string")
-    ch = spark.createDataFrame([(1, "update", "K1", "Incomplete", "Other Issue"),
-                                (2, "update", "K1", "Cancelled by Driver", None)],
-                               "seq long, op string, booking_id string, booking_status string, "
-                               "unified_cancellation_reason string")
-    out = CH.update_status(gold, CH.last_change(ch).select("booking_id", "booking_status",
-                                                          "unified_cancellation_reason"))
+CHANGES = ("seq long, op string, booking_id string, booking_status string, "
+           "unified_cancellation_reason string, booking_value double, ride_distance double")
+
+
+def _gold_rows(spark, *keys):
+    from farebox.schemas import GOLD_COLUMNS, GOLD_SCHEMA
+    base = dict.fromkeys(GOLD_COLUMNS)
+    base.update(_batch_id="b", booking_status="Completed",
+                unified_cancellation_reason="Not Cancelled", booking_value=10.0, ride_distance=2.0)
+    return spark.createDataFrame([tuple({**base, "booking_id": k}[c] for c in GOLD_COLUMNS)
+                                  for k in keys], GOLD_SCHEMA)
+
+
+def test_changes_of_one_key_apply_in_sequence(spark):
+    gold = _gold_rows(spark, *[f"K{i}" for i in range(1, 10)])
+    up = ("Incomplete", "Other Issue", None, None)
+    ch = spark.createDataFrame([
+        (1, "delete", "K1", None, None, None, None), (2, "insert", "K1", None, None, 99.0, 3.0),
+        (3, "insert", "K20", None, None, 7.0, 2.0), (4, "update", "K20", *up),
+        (5, "update", "K2", *up), (6, "update", "K2", "Cancelled by Driver", None, None, None),
+        (7, "update", "K3", *up), (8, "delete", "K3", None, None, None, None),
+        (9, "insert", "K4", None, None, 1.0, 1.0),                      # the key exists: skipped
+        (10, "update", "K5", *up), (11, "delete", "K5", None, None, None, None),
+        (12, "insert", "K5", None, None, 5.0, 0.0),                     # the update came before
+        (13, "insert", "K21", None, None, 1.0, 1.0), (14, "delete", "K21", None, None, None, None),
+        (15, "update", "K22", *up), (16, "insert", "K22", None, None, 4.0, 1.0),
+        (17, "insert", "K22", None, None, 8.0, 1.0),                    # a second insert: skipped
+        (18, "delete", "K6", None, None, None, None), (18, "insert", "K6", None, None, 6.0, 1.0),
+        (19, "update", "K30", *up), (20, "noise", "K7", *up), (21, None, "K8", *up)], CHANGES)
+    want = {"K1": ("Completed", "Not Cancelled", 99.0), "K20": ("Incomplete", "Other Issue", 7.0),
+            "K2": ("Cancelled by Driver", None, 10.0), "K4": ("Completed", "Not Cancelled", 10.0),
+            "K5": ("Completed", "Not Cancelled", 5.0), "K22": ("Completed", "Not Cancelled", 4.0),
+            "K6": ("Completed", "Not Cancelled", 6.0), "K7": ("Completed", "Not Cancelled", 10.0),
+            "K8": ("Completed", "Not Cancelled", 10.0), "K9": ("Completed", "Not Cancelled", 10.0)}
+
+    def shown(df):
+        rows_ = df.select("booking_id", "booking_status", "unified_cancellation_reason",
+                          "booking_value").collect()
+        assert len(rows_) == len({r[0] for r in rows_})
+        return {r[0]: tuple(r[1:]) for r in rows_}
+
+    once = CH.apply_changes(gold, ch)
+    assert shown(once) == want
+    assert shown(CH.apply_changes(once, ch)) == want                    # a replay changes nothing
+    assert shown(CH.apply_changes(gold, ch.limit(0))) == shown(gold)
+
+
+def test_status_updates_deletes_and_matches(spark):
+    gold = _gold_rows(spark, "K1")
+    up = spark.createDataFrame([("K1", "Cancelled by Driver", None)], "booking_id string, "
+                               "booking_status string, unified_cancellation_reason string")
+    out = CH.update_status(gold, up).select("booking_id", "booking_status", "unified_cancellation_reason")
     assert rows(out) == [("K1", "Cancelled by Driver", None)]
     dele = spark.createDataFrame([(3, "delete", "K1")], "seq long, op string, booking_id string")
     assert CH.delete_rides(gold, dele).count() == 0
@@ -102,6 +145,24 @@ def test_last_change_per_key_wins(spark):
     assert rows(m) == [("K1", True), ("K9", False)]
 
 
+def test_new_ride_keys_are_unique(spark, monkeypatch):
+    new = spark.range(400).select(
+        F.lit(None).cast("timestamp_ntz").alias("ride_timestamp"), F.lit("c").alias("customer_id"),
+        F.lit("Bike").alias("vehicle_type"), F.lit(5.0).alias("booking_value"),
+        F.lit(1.0).alias("ride_distance"), F.lit(4.0).alias("driver_ratings"),
+        F.lit(4.0).alias("customer_rating"), F.lit("Cash").alias("payment_method"),
+        F.lit("same").alias("seed"))
+    with pytest.raises(CH.QualityError, match="duplicate key"):
+        CH.add_rides(new, key_seed="seed")
+    # Short keys clash at once; redrawing the clashing ones makes them unique.
+    short = lambda seed=None, prefix="BOK-": F.substring(F.uuid(), 1, 4)
+    monkeypatch.setattr(CH.C, "generate_key", short)
+    gold = spark.range(2000).select(F.lower(F.lpad(F.hex("id"), 4, "0")).alias("booking_id"))
+    keys = [r[0] for r in CH.add_rides(new, gold=gold).select("booking_id").collect()]
+    assert len(keys) == len(set(keys)) == 400
+    assert not set(keys) & {r[0] for r in gold.collect()}
+
+
 def test_sync_twice_has_an_empty_plan(spark, sf):
     src, idx = X.vector_sync_fixture(spark, sf)
     new = V.apply_sync(src, idx)
@@ -210,7 +271,7 @@ def test_apply_changes_in_place_rewrites_only_touched_batches(spark, sf):
     local = path.replace("file:", "")
     before = {d: os.listdir(f"{local}/{d}") for d in os.listdir(local) if d.startswith("_batch_id=")}
     touched = LY.apply_changes_in_place(spark, path, only_b1)
-    assert touched == ["batch-1"]
+    assert [r[0] for r in touched.collect()] == ["batch-1"]
     after = {d: os.listdir(f"{local}/{d}") for d in os.listdir(local) if d.startswith("_batch_id=")}
     assert after["_batch_id=batch-0"] == before["_batch_id=batch-0"]      # untouched files
     assert after["_batch_id=batch-1"] != before["_batch_id=batch-1"]

@@ -14,9 +14,12 @@ def test_tune_for_input_sizes_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_bounded_rows_reads_at_most_n_plus_one(spark):
-    df = spark.range(1000)
-    assert S.bounded_rows(df, 1000) and not S.bounded_rows(df, 999)
+def test_fits_broadcast_measures_values_without_gathering_rows(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(1000).select(F.repeat(F.lit("x"), 100).alias("t"), F.array(F.col("id")).alias("a"))
+    size = 1000 * (16 + 100 + 16 + 8 + 16)
+    assert S.fits_broadcast(df, size) and not S.fits_broadcast(df, size - 1)
+    assert S.fits_broadcast(df.limit(0), 0)
 
 
 def test_work_paths_live_under_the_checkpoint_folder(spark):

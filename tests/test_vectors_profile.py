@@ -60,6 +60,42 @@ def test_kde_matches_direct_sum(spark):
     for r in out:
         want = np.exp(-0.5 * ((r["x"] - vals) / bw) ** 2).sum() / (len(vals) * bw * np.sqrt(2 * np.pi))
         assert abs(r["density"] - want) < 1e-12
+        assert abs(r["count"] - want * len(vals) * (10.0 - 1.0) / 40) < 1e-12
+    assert (out[0]["x"], out[-1]["x"]) == (1.0, 10.0)
+    assert P.kde_curve(df.where("v = 1"), "v").count() == 0
+
+
+def test_topk_takes_queries_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-2, 3, (300, 4)).astype(float)                # many ties and zero vectors
+    index = spark.createDataFrame([(f"p{i:03d}", [float(x) for x in v]) for i, v in enumerate(m)],
+                                  "id string, embedding array<double>").repartition(5)
+    q = rng.integers(-2, 3, (23, 4)).astype(float)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)],
+                                    "query_id long, query array<double>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"])
+           for r in V.cosine_topk(index, queries, 4, block=5).collect()}
+    assert len(got) == 23 * 4
+
+    def unit(a):
+        n = np.linalg.norm(a, axis=1, keepdims=True)
+        return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
+
+    scores = unit(q) @ unit(m).T
+    for i in range(23):
+        best = sorted(-np.round(scores[i], 12))[:4]
+        assert np.allclose([-got[i, k][1] for k in range(1, 5)], best)
+    assert V.cosine_topk(index, queries.limit(0), 4).count() == 0
+
+
+def test_blank_search_text_gives_the_plain_page(spark, sf):
+    from farebox.operators import lookup as L
+    from farebox.sources import fixtures as X
+    g = X.ride_gold(spark, sf)
+    _, index = X.vector_sync_fixture(spark, sf)
+    for text in ("   ", "", None):
+        page = V.semantic_rides(g, index, text, size=7).collect()
+        assert page == L.rides_page(g, size=7).collect() and page[0]["total_count"] == g.count()
 
 
 def _toy_model_factory():
