@@ -72,7 +72,8 @@ def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFra
 
     Each rewritten partition is swapped at commit (dynamic overwrite); one
     left empty by deletes is removed, as a batch replacement does. Applying
-    the same changes again gives the same table. Returns the batch ids
+    the same changes again gives the same table, except where an update came
+    before the first insert of a missing key: it then finds the row. Returns the batch ids
     rewritten (one column; NULL is the no-batch partition).
     """
     from farebox.operators import changes as CH

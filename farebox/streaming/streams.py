@@ -234,7 +234,8 @@ def stream_changes(spark: SparkSession, changes_path: str, gold_path: str,
     to the batch-partitioned gold table one micro-batch at a time (sequence
     order within a micro-batch; across micro-batches, arrival order, as API
     calls arrive). Only the partitions a micro-batch touches are rewritten,
-    and applying one twice changes nothing, so a replayed epoch is harmless."""
+    and a replayed epoch leaves the same rows, except where an update came
+    before the first insert of a missing key (see apply_changes_in_place)."""
     src = spark.readStream.schema(schema).parquet(changes_path)
 
     def run(df: DataFrame, epoch_id: int) -> None:
