@@ -210,8 +210,8 @@ def test_hot_key_dedup_and_changes(spark, sf):
                          F.lit("HOT").alias("booking_id"), F.col("booking_status"),
                          F.concat(F.lit("r"), F.col("_id").cast("string"))
                          .alias("unified_cancellation_reason"))
-    last = CH.last_change(changes).collect()
-    assert len(last) == 1 and last[0]["seq"] == hot.agg(F.max("_id")).first()[0]
+    last = CH.net_changes(changes).collect()
+    assert len(last) == 1 and last[0]["_u"]["seq"] == hot.agg(F.max("_id")).first()[0]
 
 
 def test_clean_first_picks_reason_by_trimmed_status(spark, sf):
