@@ -10,14 +10,18 @@ lead too; what is left of a text in these directions is its latent vector.
 
 Search: overlapping windows of all documents are projected and compared with all
 items by cosine (the length of the window's own TF-IDF vector counts, not only
-that of its projection). A candidate is verified on
+that of its projection). A fixed number of items shares a set of directions, so
+that the latent share of an item does not fall as they grow in number. Where a text repeats some words in a row of an item (its seeds),
+it is a candidate whatever its cosine, so exact copies are all found, however
+many and however long the items are. A candidate is verified on
 words: the longest common subsequence of the item with the text around the
 window, and the answer (the item's own answer, or else its last sentence), which
 must be there too when the subsequence alone doesn't settle it. So paraphrases
 that drop, add or replace words are found, chance likeness is not.
 
-Items are a query set: they go to the tasks in blocks of ``block`` items, with a
-pass over the documents for each block, whatever their number.
+Items are a query set: the driver reads them in blocks of ``block`` items, and
+they go to the tasks in groups of about ``parts`` sets of directions, with a pass
+over the documents for each group, whatever their number.
 
 Nulls: NULL or empty texts and items match nothing; NULL ids are carried along.
 Repeated rows are reported each. Without items or documents the result is empty.
@@ -50,12 +54,15 @@ class Config:
     common: int = 8             # of them, leading ones that all texts share and that are taken out
     extra: int = 8              # further columns of the test matrix
     rank: int = 64              # latent dimensions, with those of the items
+    vectors: int = 200          # items that share these dimensions at most
+    run: int = 8                # words in a row that make a candidate
     weight: float = 16.0        # energy of the items to that of the corpus
     cosine: float = 0.13        # least cosine of a candidate
     lcs: float = 0.62           # common subsequence that settles it
     lcs_answer: float = 0.55    # ... that does if the answer is there too
     answer: float = 0.8
-    block: int = 5_000          # items compared in one pass
+    block: int = 5_000          # items read at once
+    parts: int = 8              # sets of directions compared in one pass
     rows: int = 256             # terms per shuffled record
     seed: int = 9
 
@@ -217,26 +224,100 @@ def read_items(rows: list) -> list[Item]:
 
 
 @dataclass
-class Index:
-    """Latent vectors of terms and items; ``table`` rows are idf times direction."""
+class Part:
+    """Latent vectors of terms and of some items; ``table`` rows are idf times
+    direction. The items are consecutive from ``item`` on, whose first vectors
+    are at ``first``."""
+
+    table: np.ndarray
+    latent: np.ndarray
+    item: int
+    first: np.ndarray
+
 
+@dataclass
+class Seeds:
+    """Hashes of ``n`` words in a row, ascending, and their items; ``maybe``: the
+    low bits of the hashes."""
+
+    n: int
+    hashes: np.ndarray
+    items: np.ndarray
+    maybe: np.ndarray
+
+    def hits(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions in some texts where a seed starts, and the seeds' items."""
+        s, off = C.shingles(h, of, self.n)
+        on = np.flatnonzero(self.maybe[(s & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        lo, hi = (np.searchsorted(self.hashes, s[on], side) for side in ("left", "right"))
+        on, lo, n = on[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        d = np.searchsorted(off, on, "right") - 1
+        which = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return np.repeat(of[d] + on - off[d], n), self.items[which]
+
+
+@dataclass
+class Index:
     cfg: Config
     idf: np.ndarray
-    table: np.ndarray
     items: list[Item]
-    latent: np.ndarray
+    parts: list[Part]
+    seeds: list[Seeds]
+
+
+def groups(items: list[Item], cfg: Config) -> Iterator[list[Item]]:
+    """The items by passes over the documents: a pass is full with ``parts`` times
+    ``vectors`` items."""
+    some, n = [], 0
+    for i in items:
+        if n >= cfg.parts * cfg.vectors:
+            yield some
+            some, n = [], 0
+        some.append(i)
+        n += 1
+    if some:
+        yield some
+
+
+def build_seeds(items: list[Item], cfg: Config) -> list[Seeds]:
+    """The runs of words of each item that the fewest items share; an item of
+    less than ``run`` words is a run."""
+    size = np.array([len(i.words) for i in items])
+    out = []
+    for n in np.unique(np.minimum(size, cfg.run)).tolist():
+        some = np.flatnonzero(np.minimum(size, cfg.run) == n)
+        words = np.array([w for k in some for w in items[k].words], np.uint64)
+        s, of = C.shingles(words, np.append(0, np.cumsum(size[some])), n)
+        owner = np.repeat(some, np.diff(of))
+        order = np.lexsort((owner, s))
+        s, owner = s[order], owner[order]
+        fresh = np.append(True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1]))
+        s, owner = s[fresh], owner[fresh]
+        _, which, times = np.unique(s, return_inverse=True, return_counts=True)
+        least = np.full(len(items), len(items))
+        np.minimum.at(least, owner, times[which])
+        keep = times[which] == least[owner]
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(s[keep] & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+        out.append(Seeds(n, s[keep], owner[keep], maybe))
+    return out
 
 
 def build_index(items: list[Item], idf: np.ndarray, factor: np.ndarray, cfg: Config) -> Index:
-    tf = np.zeros((cfg.terms, len(items)))
-    for k, i in enumerate(items):
-        np.add.at(tf[:, k], np.array([w % cfg.terms for w in i.words], np.int64), 1)
-    a = tf * idf[:, None]
-    a /= np.linalg.norm(a, axis=0)
-    v = directions(factor, a, cfg)
-    z = v.T @ a
-    return Index(cfg, idf.astype(np.float32), (v * idf[:, None]).astype(np.float32), items,
-                 (z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)).astype(np.float32))
+    passages = [(k, i.words) for k, i in enumerate(items)]
+    parts = []
+    for chosen in np.array_split(np.arange(len(passages)), -(-len(passages) // cfg.vectors)):
+        tf = np.zeros((cfg.terms, len(chosen)))
+        for j, p in enumerate(chosen):
+            np.add.at(tf[:, j], np.array([w % cfg.terms for w in passages[p][1]], np.int64), 1)
+        a = tf * idf[:, None]
+        a /= np.linalg.norm(a, axis=0)
+        v = directions(factor, a, cfg)
+        z = v.T @ a
+        of = np.array([passages[p][0] for p in chosen])
+        parts.append(Part((v * idf[:, None]).astype(np.float32), (z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)).astype(np.float32),
+                          int(of[0]), np.flatnonzero(np.append(True, of[1:] != of[:-1]))))
+    return Index(cfg, idf.astype(np.float32), items, parts, build_seeds(items, cfg))
 
 
 def search(h: np.ndarray, of: np.ndarray, index: Index) -> list[tuple[int, int, float, float, float]]:
@@ -246,38 +327,48 @@ def search(h: np.ndarray, of: np.ndarray, index: Index) -> list[tuple[int, int,
         return []
     term = (h % np.uint64(cfg.terms)).astype(np.int64)
     start, doc = C.cut(of, cfg.half)
-    z = C.piece_sums(index.table, term, start, cfg.half)
     square = np.add.reduceat(index.idf[term] ** 2, start)
     on = np.flatnonzero(doc[1:] == doc[:-1])          # a window is a piece and the next of its text
-    z[on] += z[on + 1]
     square[on] += square[on + 1]
     end = np.append(start[1:], len(h))
     end[on] = end[on + 1]
-    cos = (z / np.sqrt(square)[:, None]) @ index.latent
-    near = np.flatnonzero(cos.max(axis=1) >= cfg.cosine)
-    if len(near):
+    at, of_item = (np.concatenate(x) for x in zip(*(s.hits(h, of) for s in index.seeds), strict=True))
+    seeded = np.unique((np.searchsorted(start, at, "right") - 1) * len(index.items) + of_item)
+    window, of_item = seeded // len(index.items), seeded % len(index.items)
+    found: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for part in index.parts:
+        z = C.piece_sums(part.table, term, start, cfg.half)
+        z[on] += z[on + 1]
+        cos = (z / np.sqrt(square)[:, None]) @ part.latent
+        own = (of_item >= part.item) & (of_item < part.item + len(part.first))
+        likely = cos.max(axis=1) >= cfg.cosine
+        likely[window[own]] = True
+        near = np.flatnonzero(likely)
+        if not len(near):
+            continue
         # near windows once more, a repeated word counting as the root of its number
         size = end[near] - start[near]
         of2 = np.cumsum(size) - size
         at = np.arange(size.sum()) + np.repeat(start[near] - of2, size)
         both, tf = np.unique(np.repeat(np.arange(len(near)), size) * cfg.terms + term[at], return_counts=True)
         first = np.searchsorted(both // cfg.terms, np.arange(len(near)))
-        damped = np.add.reduceat(index.table[both % cfg.terms] * np.sqrt(tf)[:, None].astype(np.float32), first, axis=0)
-        cos = (damped / np.sqrt(square[near])[:, None]) @ index.latent
-    found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for w, k in zip(*np.nonzero(cos >= cfg.cosine), strict=True) if len(near) else ():
-        d, item = int(doc[near[w]]), index.items[k]
-        old = found.get((d, int(k)), (0.0, 0.0, 0.0))
-        if old[1] == 1.0:
-            continue
-        a, b, side = int(start[near[w]]), int(end[near[w]]), len(item.words)
-        around = h[max(int(of[d]), a - side):min(int(of[d + 1]), b + side)].tolist()
-        lcs = common_length(item.words, around) / side
-        if lcs < cfg.lcs_answer:
-            continue
-        answer = common_length(item.answer, around) / len(item.answer) if item.answer else 0.0
-        if lcs >= cfg.lcs or answer >= cfg.answer:
-            found[d, int(k)] = max(old, (min(1.0, float(cos[w, k])), lcs, answer), key=lambda x: x[1:])
+        damped = np.add.reduceat(part.table[both % cfg.terms] * np.sqrt(tf)[:, None].astype(np.float32), first, axis=0)
+        cos = np.maximum.reduceat((damped / np.sqrt(square[near])[:, None]) @ part.latent, part.first, axis=1)
+        take = cos >= cfg.cosine
+        take[np.searchsorted(near, window[own]), of_item[own] - part.item] = True
+        for w, k in zip(*np.nonzero(take), strict=True):
+            d, key = int(doc[near[w]]), part.item + int(k)
+            item, old = index.items[key], found.get((d, key), (0.0, 0.0, 0.0))
+            if old[1] == 1.0:
+                continue
+            a, b, side = int(start[near[w]]), int(end[near[w]]), len(item.words)
+            around = h[max(int(of[d]), a - side):min(int(of[d + 1]), b + side)].tolist()
+            lcs = common_length(item.words, around) / side
+            if lcs < cfg.lcs_answer:
+                continue
+            answer = common_length(item.answer, around) / len(item.answer) if item.answer else 0.0
+            if lcs >= cfg.lcs or answer >= cfg.answer:
+                found[d, key] = max(old, (min(1.0, float(cos[w, k])), lcs, answer), key=lambda x: x[1:])
     return [(d, index.items[k].id, *v) for (d, k), v in sorted(found.items())]
 
 
@@ -308,18 +399,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), id_co
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()      # about cfg.block items
         known = read_items(sorted(part, key=lambda r: (r["id"] is None, r["id"] or 0, r["text"] or "")))
-        index = build_index(known, idf, factor, cfg) if known else None
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index | None = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                col, got = batch.column("text"), []
-                ids = batch.column("id").to_pylist()
-                for lo, hi in C.slices(col, C.SLICE_BYTES // 2) if index else ():
-                    got += [(ids[lo + d], *rest) for d, *rest in search(*words_of(col.slice(lo, hi - lo)), index)]
-                cols = list(zip(*got, strict=True)) if got else [()] * 5
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)],
-                                      names=["doc_id", "item_id", "cosine", "lcs", "answer"])
-
-        one = rows.mapInArrow(run, SCHEMA)
-        out = one if out is None else out.union(one)
-    return out
+        for some in groups(known, cfg):
+            index = build_index(some, idf, factor, cfg)
+
+            def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    col, got = batch.column("text"), []
+                    ids = batch.column("id").to_pylist()
+                    for lo, hi in C.slices(col, C.SLICE_BYTES // 2):
+                        got += [(ids[lo + d], *rest) for d, *rest in search(*words_of(col.slice(lo, hi - lo)), index)]
+                    cols = list(zip(*got, strict=True)) if got else [()] * 5
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)],
+                                          names=["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+            one = rows.mapInArrow(run, SCHEMA)
+            out = one if out is None else out.union(one)
+    return spark.createDataFrame([], SCHEMA) if out is None else out

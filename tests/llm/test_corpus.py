@@ -341,6 +341,37 @@ def test_decontamination(spark, docs, odd, none):
     assert decontam.matches(odd, bench).count() == 0
 
 
+def copies(spark, number, sizes, held):
+    """``number`` items of the given sizes from the texts, and the texts with
+    verbatim copies of every ``held``-th, each between other words."""
+    rnd = random.Random(11)
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = re.findall(r"[^\W_]+", " ".join(t for _, t in sorted(texts(corpus).items())))
+    cut = lambda n: [plain[a:a + n] for a in [rnd.randrange(len(plain) - n)]][0]
+    items = [(i, " ".join(cut(rnd.choice(sizes)))) for i in range(number)]
+    docs = [(100_000 + i, " ".join([*cut(90 + i % 16), text, *cut(90)])) for i, text in items[::held]]
+    return spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("number,sizes,held", [(5_000, range(20, 61), 25)])
+def test_every_exact_copy(spark, number, sizes, held):
+    items, rows = copies(spark, number, sizes, held)
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.matches(rows, items).collect()}
+    want = [(100_000 + i, i) for i in range(0, number, held)]
+    assert [p for p in want if got.get(p) != 1.0] == []
+
+
+def test_seeds():
+    cfg = decontam.Config()
+    items = [decontam.Item(n, [7] * 10 + list(range(1000 * n, 1000 * n + n)), []) for n in (1, 5, 60, 700)]
+    items.append(decontam.Item(0, [3, 4], []))
+    assert [i for g in decontam.groups(items * 500, cfg) for i in g] == items * 500
+    seeds = decontam.build_seeds(items, cfg)
+    text = np.array([9, *items[2].words, 9, 3, 4], np.uint64)
+    hits = [s.hits(text, np.array([0, len(text)])) for s in seeds]
+    assert {int(k) for _, k in hits for k in k} == {2, 4}   # not by the run that all share
+
+
 # --- 10: sharding -----------------------------------------------------------
 
 @pytest.mark.parametrize("law", sharding.LAWS)
