@@ -10,8 +10,10 @@ lead too; what is left of a text in these directions is its latent vector.
 
 Search: overlapping windows of all documents are projected and compared with all
 items by cosine (the length of the window's own TF-IDF vector counts, not only
-that of its projection). A fixed number of items shares a set of directions, so
-that the latent share of an item does not fall as they grow in number. Where a text repeats some words in a row of an item (its seeds),
+that of its projection). A long item is cut into passages with a vector each, as
+a window holds only a part of it. A fixed number of passages shares a set of
+directions, so that the latent share of a passage does not fall as the items
+grow in number. Where a text repeats some words in a row of an item (its seeds),
 it is a candidate whatever its cosine, so exact copies are all found, however
 many and however long the items are. A candidate is verified on
 words: the longest common subsequence of the item with the text around the
@@ -54,7 +56,8 @@ class Config:
     common: int = 8             # of them, leading ones that all texts share and that are taken out
     extra: int = 8              # further columns of the test matrix
     rank: int = 64              # latent dimensions, with those of the items
-    vectors: int = 200          # items that share these dimensions at most
+    vectors: int = 200          # item passages that share these dimensions at most
+    item_passage: int = 64      # words of an item's passage at most
     run: int = 8                # words in a row that make a candidate
     weight: float = 16.0        # energy of the items to that of the corpus
     cosine: float = 0.13        # least cosine of a candidate
@@ -225,9 +228,9 @@ def read_items(rows: list) -> list[Item]:
 
 @dataclass
 class Part:
-    """Latent vectors of terms and of some items; ``table`` rows are idf times
-    direction. The items are consecutive from ``item`` on, whose first vectors
-    are at ``first``."""
+    """Latent vectors of terms and of some passages; ``table`` rows are idf times
+    direction. The passages are of consecutive items from ``item`` on, whose
+    first ones are at ``first``."""
 
     table: np.ndarray
     latent: np.ndarray
@@ -265,16 +268,23 @@ class Index:
     seeds: list[Seeds]
 
 
+def item_passages(item: Item, cfg: Config) -> list[list[int]]:
+    """The item's words cut into equal passages of at most ``item_passage``."""
+    n = len(item.words)
+    cuts = np.linspace(0, n, -(-n // cfg.item_passage) + 1).astype(int).tolist()
+    return [item.words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def groups(items: list[Item], cfg: Config) -> Iterator[list[Item]]:
     """The items by passes over the documents: a pass is full with ``parts`` times
-    ``vectors`` items."""
+    ``vectors`` passages."""
     some, n = [], 0
     for i in items:
         if n >= cfg.parts * cfg.vectors:
             yield some
             some, n = [], 0
         some.append(i)
-        n += 1
+        n += -(-len(i.words) // cfg.item_passage)
     if some:
         yield some
 
@@ -304,7 +314,7 @@ def build_seeds(items: list[Item], cfg: Config) -> list[Seeds]:
 
 
 def build_index(items: list[Item], idf: np.ndarray, factor: np.ndarray, cfg: Config) -> Index:
-    passages = [(k, i.words) for k, i in enumerate(items)]
+    passages = [(k, words) for k, i in enumerate(items) for words in item_passages(i, cfg)]
     parts = []
     for chosen in np.array_split(np.arange(len(passages)), -(-len(passages) // cfg.vectors)):
         tf = np.zeros((cfg.terms, len(chosen)))

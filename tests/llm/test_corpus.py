@@ -353,7 +353,7 @@ def copies(spark, number, sizes, held):
     return spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("number,sizes,held", [(5_000, range(20, 61), 25)])
+@pytest.mark.parametrize("number,sizes,held", [(5_000, range(20, 61), 25), (200, [120, 300, 600], 1)])
 def test_every_exact_copy(spark, number, sizes, held):
     items, rows = copies(spark, number, sizes, held)
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.matches(rows, items).collect()}
@@ -361,10 +361,20 @@ def test_every_exact_copy(spark, number, sizes, held):
     assert [p for p in want if got.get(p) != 1.0] == []
 
 
-def test_seeds():
+def test_long_items_with_words_left_out(spark):
+    # every sixth word is missing, so no seed is whole
+    items, rows = copies(spark, 200, [300, 600, 900], 1)
+    rows = rows.select("doc_id", F.array_join(F.expr("filter(split(text, ' '), (x, i) -> i % 6 != 5)"), " ").alias("text"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(rows, items).collect()}
+    assert [i for i in range(200) if (100_000 + i, i) not in got] == []
+
+
+def test_passages_and_seeds():
     cfg = decontam.Config()
     items = [decontam.Item(n, [7] * 10 + list(range(1000 * n, 1000 * n + n)), []) for n in (1, 5, 60, 700)]
     items.append(decontam.Item(0, [3, 4], []))
+    assert all(sum(decontam.item_passages(i, cfg), []) == i.words for i in items)
+    assert max(len(p) for i in items for p in decontam.item_passages(i, cfg)) <= cfg.item_passage
     assert [i for g in decontam.groups(items * 500, cfg) for i in g] == items * 500
     seeds = decontam.build_seeds(items, cfg)
     text = np.array([9, *items[2].words, 9, 3, 4], np.uint64)
