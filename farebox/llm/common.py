@@ -63,6 +63,8 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, learn: Column
                    cap: int, seed: int) -> DataFrame:
     """About ``cap`` labelled ids at most, chosen by a hash of the id: up to
     about half of them of either label, so that a rare one is not drowned.
+    ``_share`` is the share of a row's label that is drawn: weighted by its
+    inverse, the sample stands for all labelled rows.
 
     One row per id (the largest label if an id repeats); rows with a NULL id or
     label are left out. The size is bounded by ``cap`` (documented by each
@@ -75,7 +77,7 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, learn: Column
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("_y") == y, F.lit(min(1.0, cap / 2 / n))).otherwise(share)
-    return clean.filter(unit_hash("_id", seed) < share)
+    return clean.withColumn("_share", share).filter(unit_hash("_id", seed) < F.col("_share"))
 
 
 # --- Arrow text -------------------------------------------------------------

@@ -171,18 +171,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30).astype(float)))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, model: Model) -> Model:
+def fit_network(x: np.ndarray, y: np.ndarray, model: Model, weight: np.ndarray | None = None) -> Model:
     """Two tanh/logistic layers by Adam; the temperature is the one that gives
-    the least log loss on a fifth of the sample kept out of training."""
+    the least log loss on a fifth of the sample kept out of training. ``weight``:
+    for how many labelled rows each row stands (1 by default)."""
     cfg = model.cfg
+    weight = np.ones(len(y)) if weight is None else weight
     if len(set(y.tolist())) < 2:
-        model.constant = float((y.sum() + 1) / (len(y) + 2))
+        model.constant = float(((weight * y).sum() + 1) / (weight.sum() + 2))
         return model
     rng = np.random.default_rng(cfg.seed)
     order = rng.permutation(len(y))
     keep = order[: max(2, len(y) // 5)] if len(y) >= 20 else order
     fit = order[len(keep):] if len(y) >= 20 else order
     model.mean, model.std = x[fit].mean(0), x[fit].std(0) + 1e-3
+    weight = weight / weight[fit].mean()
     z = (x - model.mean) / model.std
     w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], cfg.hidden)), np.zeros(cfg.hidden),
          rng.normal(0, 1 / np.sqrt(cfg.hidden), cfg.hidden), np.zeros(1)]
@@ -194,7 +197,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, model: Model) -> Model:
         for at in range(0, len(mixed), size):
             i = mixed[at:at + size]
             a = np.tanh(z[i] @ w[0] + w[1])
-            g = (1 / (1 + np.exp(-np.clip(a @ w[2] + w[3], -30, 30))) - y[i]) / len(i)
+            g = weight[i] * (1 / (1 + np.exp(-np.clip(a @ w[2] + w[3], -30, 30))) - y[i]) / len(i)
             da = np.outer(g, w[2]) * (1 - a * a)
             grads = [z[i].T @ da + 1e-4 * w[0], da.sum(0), a.T @ g + 1e-4 * w[2], g.sum(keepdims=True)]
             step += 1
@@ -205,7 +208,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, model: Model) -> Model:
     model.layers = [p.astype(np.float32) for p in w]
     logit = np.clip(model.logits(x[keep]).astype(float), -60, 60)
     tried = np.geomspace(0.25, 8, 61)
-    loss = [np.mean(np.logaddexp(0, logit / t) - y[keep] * logit / t) for t in tried]
+    loss = [np.mean(weight[keep] * (np.logaddexp(0, logit / t) - y[keep] * logit / t)) for t in tried]
     model.temperature = float(tried[int(np.argmin(loss))])
     return model
 
@@ -213,7 +216,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, model: Model) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "quality", cfg: Config = Config()) -> Model:
     """Word vectors over all of ``docs``; the network on at most about
-    ``cfg.sample`` of the labelled rows that ``learn`` (over ``_id``) allows."""
+    ``cfg.sample`` of the labelled rows that ``learn`` (over ``_id``) allows, each
+    weighted by the inverse of its label's share in the sample."""
     model = Model(cfg, context_vectors(docs, text_col, cfg))
     chosen = C.bounded_labels(labels, id_col, label_col, learn, cfg.sample, cfg.seed)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -223,19 +227,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("_text"), vectors, cfg)
-            yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"),
+            yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"), batch.column("_share"),
                                    pa.array([r.tobytes() for r in x], pa.binary())],
-                                  names=["_id", "_y", "x"])
+                                  names=["_id", "_y", "_share", "x"])
 
     # one row per learned document: bounded by cfg.sample
-    rows = texts.select(F.col("_id").cast("long"), "_y", "_text").mapInArrow(
-        run, "_id long, _y int, x binary").collect()
+    rows = texts.select(F.col("_id").cast("long"), "_y", "_share", "_text").mapInArrow(
+        run, "_id long, _y int, _share double, x binary").collect()
     rows.sort(key=lambda r: (r["_id"], r["x"]))
     if not rows:
         model.constant = 0.5
         return model
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1)
-    return fit_network(x, np.array([r["_y"] for r in rows], float), model)
+    return fit_network(x, np.array([r["_y"] for r in rows], float), model, 1 / np.array([r["_share"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

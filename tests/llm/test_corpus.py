@@ -127,6 +127,16 @@ def test_classifiers_odd(spark, docs, labels, odd, none, module, col):
     assert {r["score"] for r in module.score(odd, empty).collect()} == {0.5}
 
 
+def test_quality_does_not_depend_on_the_sample(spark):
+    # labels that texts don't tell: a calibrated score is the share of good rows
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = some.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < 86).cast("int").alias("quality"))
+    share = lab.agg(F.avg("quality")).first()[0]
+    for sample in (10_000, 240):             # the small one takes all bad rows and an eighth of the others
+        got = quality.score(some, quality.fit(some, lab, F.lit(True), cfg=quality.Config(sample=sample)))
+        assert abs(got.agg(F.avg("score")).first()[0] - share) < 0.12, sample
+
+
 def test_factors_learn_pairs():
     # toxic only where both terms meet: no additive weights separate it
     rng = np.random.default_rng(0)
