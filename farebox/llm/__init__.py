@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and their queries.
+"""Training-data operators: the thirteen corpus operators and their queries.
 
 Nothing else in the library imports this subpackage; general helpers
 (``farebox.session``) are imported from the library.

@@ -333,8 +333,8 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
 class Keeper:
     """Writes a step's rows as Parquet into the shared folder and reads them back."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.count = spark, work_path(spark, "near-dup"), 0
+    def __init__(self, spark: SparkSession, name: str = "near-dup") -> None:
+        self.spark, self.base, self.count = spark, work_path(spark, name), 0
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
