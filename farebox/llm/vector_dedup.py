@@ -65,6 +65,7 @@ class Config:
     bits: int = 128             # of a sign sketch
     miss: float = 5.0           # standard deviations of differing bits that are allowed
     block: int = 256            # members of a ball compared at a time
+    salts: int = 32             # ways in which the rows of a cell meet its centre
     seed: int = 11
 
     def pivots(self, vectors: int) -> int:
@@ -206,7 +207,10 @@ def _balls(described: DataFrame, cfg: Config, dim: int) -> DataFrame:
             yield pa.record_batch([batch.column("cid"), pa.array(angle), E.lists(E.units(c))], names=["cid", "angle", "centre"])
 
     def to_centre(df: DataFrame, centres: DataFrame) -> DataFrame:
-        return df.join(centres, "cell").select("cid", "u", "centre").mapInArrow(angles, "cid long, angle double, centre array<double>")
+        # a hot cell is met by ``salts`` copies of its centre
+        spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+        return (df.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(cfg.salts)).cast("int")).join(spread, ["cell", "salt"])
+                .select("cid", "u", "centre").mapInArrow(angles, "cid long, angle double, centre array<double>"))
 
     crowded = described.select("cid", "cell", "u")
     near = to_centre(crowded, means(crowded)).filter(F.col("angle") <= theta).select("cid")
