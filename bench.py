@@ -125,9 +125,7 @@ def main() -> None:
                for name, make in queries.items()}
     # Rows the segment report's scans read on both layouts, from scan metrics
     # (the figures the source's captured plans give).
-    layouts = {r["layout"]: {k: r[k] for k in ("rows_total", "rows_read", "files_read",
-                                               "rows_aggregated", "groups_out")}
-               for r in LO.plan_report({"plain": gold, "clustered": clustered}).collect()}
+    layouts = LO.measured_scans({"plain": gold, "clustered": clustered})
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds",

@@ -94,13 +94,16 @@ def q_to_gold(spark, sf):
 
 # --- report and dashboard -------------------------------------------------
 
-@register("segment_report", O.with_layers(f"""
+_SEGMENT_BODY = f"""
 SELECT vehicle_type, payment_method, count(*) AS total_rides, {_avg('booking_value')} AS avg_value,
        {_sum('ride_distance')} AS total_distance
 FROM gold
 WHERE booking_status = 'Completed' AND vehicle_type IN ('Uber XL', 'Premier Sedan', 'Go Sedan')
   AND booking_value > 300 AND ride_distance BETWEEN 5 AND 50
-GROUP BY vehicle_type, payment_method ORDER BY total_distance DESC NULLS FIRST"""))
+GROUP BY vehicle_type, payment_method ORDER BY total_distance DESC NULLS FIRST"""
+
+
+@register("segment_report", O.with_layers(_SEGMENT_BODY))
 def q_segment_report(spark, sf):
     return rounded(R.segment_report(gold(spark, sf)), avg_value=AVG_PLACES, total_distance=SUM_PLACES)
 
@@ -439,11 +442,13 @@ def q_guard_sql(spark, sf):
     return Q.guard_sql(X.statement_log(spark, sf))
 
 
-@register("q_refused", f"""SELECT stmt_id, reason, '{Q.REFUSAL_TEXT}' AS message FROM ({_guard_oracle()}) g
-WHERE NOT is_valid""")
+@register("q_refused", f"""SELECT stmt_id, reason,
+  CASE WHEN reason = 'not_select' THEN '{Q.NOT_SELECT_TEXT}'
+       ELSE '{Q.FORBIDDEN_TEXT}' || substr(reason, length('forbidden:') + 1) END AS message
+FROM ({_guard_oracle()}) g WHERE NOT is_valid""")
 def q_q_refused(spark, sf):
     """Q3 refusals: every statement of the log the guard refuses (writes,
-    WITH, forbidden words, non-SQL text), with the refusal message."""
+    WITH, forbidden words, non-SQL text), with the message of its cause."""
     return Q.refusals(Q.guard_sql(X.statement_log(spark, sf)))
 
 
@@ -1094,7 +1099,7 @@ def q_vector_table_sink(spark, sf):
 
 
 @register("cosine_topk", """
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
  ix AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  s AS (SELECT q.query_id, ix.id,
          list_inner_product(q.qv, ix.v) / (sqrt(list_inner_product(q.qv, q.qv)) * sqrt(list_inner_product(ix.v, ix.v))) AS score
@@ -1183,6 +1188,7 @@ def q_stream_dashboard(spark, sf):
 
 _SEGMENT_SQL = ORACLES["segment_report"]
 
+
 @register("clustered_gold", _SEGMENT_SQL)
 def q_clustered_gold(spark, sf):
     path = LO.write_clustered(gold(spark, sf), work_path(spark, "gold-clustered"))
@@ -1190,10 +1196,10 @@ def q_clustered_gold(spark, sf):
                    avg_value=AVG_PLACES, total_distance=SUM_PLACES)
 
 
-@register("plan_report")
+@register("plan_report", O.with_layers(f"""
+SELECT layout, (SELECT count(*) FROM gold) AS rows_total, CAST(sum(total_rides) AS BIGINT) AS rows_aggregated, count(*) AS groups_out
+FROM (VALUES ('plain'), ('clustered')) l(layout), ({_SEGMENT_BODY}) r GROUP BY layout"""))
 def q_plan_report(spark, sf):
-    """Measured scans of the segment report on both layouts (no SQL twin: the
-    figures are Spark's scan metrics)."""
     plain = work_path(spark, "gold-plain")
     gold(spark, sf).write.parquet(plain)
     g = spark.read.parquet(plain)
@@ -1236,10 +1242,10 @@ def q_insert_if_absent(spark, sf):
     return M.to_gold(silver.where(F.col("_batch_id") == "batch-2"), g01, "batch-2")
 
 
-@register("first_wins_dedup", O.with_layers("SELECT * FROM b2", extra=_FIRST))
+@register("first_wins_dedup", O.with_layers("SELECT * FROM gold"))
 def q_first_wins_dedup(spark, sf):
-    silver = X.ride_silver(spark, sf).where(F.col("_batch_id") == "batch-2")
-    return M.to_gold(silver, None, "batch-2")
+    """W2 over all batches: the first loaded row of every key."""
+    return M.gold_from_silver(X.ride_silver(spark, sf))
 
 
 @register("stream_changes", _cs_sql(_APPLIED))

@@ -101,14 +101,26 @@ def scan_rows(df: DataFrame) -> tuple[int, int]:
 
 
 def plan_report(layouts: dict[str, DataFrame]) -> DataFrame:
-    """L2: the segment report run on each stored layout: rows and files its
-    scan read (measured), rows of the layout, rows aggregated, groups out."""
-    rows = []
+    """L2: the segment report over each stored layout: rows of the layout,
+    rows aggregated and groups out, one row per layout. What the scans read of
+    the files is measured by ``measured_scans``."""
+    parts = []
     for name, df in layouts.items():
-        read, files = scan_rows(R.segment_report(df))
-        groups = R.segment_report(df)
-        total = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("total_rides").alias("r")).first()
-        rows.append((name, df.count(), read, files, int(total["r"] or 0), total["g"]))
-    spark = next(iter(layouts.values())).sparkSession
-    return spark.createDataFrame(rows, "layout string, rows_total long, rows_read long, "
-                                 "files_read long, rows_aggregated long, groups_out long")
+        parts += [df.agg(F.lit(name).alias("layout"), F.count(F.lit(1)).alias("rows_total"),
+                         F.lit(0).cast("long").alias("rows_aggregated"), F.lit(0).cast("long").alias("groups_out")),
+                  R.segment_report(df).agg(F.lit(name), F.lit(0).cast("long"), F.coalesce(F.sum("total_rides"), F.lit(0)),
+                                           F.count(F.lit(1)))]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.union(part)
+    return both.groupBy("layout").agg(*[F.sum(c).alias(c) for c in ("rows_total", "rows_aggregated", "groups_out")])
+
+
+def measured_scans(layouts: dict[str, DataFrame]) -> dict[str, dict[str, int]]:
+    """The plan report with the rows and files that each layout's scan really
+    read (for the bench: it reads Spark's scan metrics off the executed plan)."""
+    out = {r["layout"]: r.asDict() for r in plan_report(layouts).collect()}
+    for name, df in layouts.items():
+        out[name]["rows_read"], out[name]["files_read"] = scan_rows(R.segment_report(df))
+        del out[name]["layout"]
+    return out

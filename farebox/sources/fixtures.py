@@ -128,13 +128,14 @@ def embedding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("vec_id").cast("string").alias("booking_id"))
 
 
-QUERY_VECTOR_MAX_ID = 5
+#: Every vector whose id this divides is a query.
+QUERY_VECTOR_STEP = 50
 
 
 def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: the points with vec_id < 5 (a fixed-size query set)."""
+    """Query vectors: the points whose vec_id is divisible by 50."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < QUERY_VECTOR_MAX_ID).select(
+    return e.where(F.col("vec_id") % QUERY_VECTOR_STEP == 0).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 

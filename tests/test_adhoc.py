@@ -70,12 +70,57 @@ def test_guard_refuses_null_and_blank(spark):
     assert got == [(False, "not_select")] * 3
 
 
-def test_run_is_whole_and_confined_to_gold(spark, sf):
+def test_run_is_whole(spark, sf):
     gold = X.ride_gold(spark, sf)
     many = gold.crossJoin(spark.range(40)).drop("id")
     assert Q.run_guarded_sql(spark, "SELECT * FROM gold.dataset LIMIT 3000", many).count() == 3000
-    for sql in ("SELECT java_method('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
-                f"SELECT * FROM parquet.`{sf}/region.parquet` LIMIT 1",
-                f"SELECT count(*) AS n FROM gold.dataset, parquet.`{sf}/region.parquet` LIMIT 1"):
-        with pytest.raises(PermissionError):
-            Q.run_guarded_sql(spark, sql, gold)
+
+
+OUTSIDE = [
+    "SELECT java_method('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
+    "SELECT `java_method`('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
+    "SELECT java_method/**/('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
+    "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'os.name') AS x FROM gold.dataset LIMIT 1",
+    "SELECT (SELECT max(secret) FROM other) AS x, booking_id FROM gold.dataset LIMIT 1",
+    "SELECT * FROM gold.dataset WHERE EXISTS (SELECT 1 FROM other) LIMIT 1",
+    "SELECT * FROM gold.dataset WHERE booking_id IN (SELECT secret FROM other) LIMIT 1",
+    "SELECT * FROM gold.dataset g JOIN LATERAL (SELECT secret FROM other) o LIMIT 1",
+    "SELECT * FROM gold.dataset, saved.other LIMIT 1",
+    "SELECT * FROM IDENTIFIER('other') LIMIT 1",
+    "SELECT IDENTIFIER('java_method')('a', 'b') AS x FROM gold.dataset LIMIT 1",
+    "SELECT * FROM range(5) LIMIT 1",
+    "SELECT * FROM `gold, dataset` LIMIT 1",
+    "SELECT explode(array(1)) AS x FROM gold.dataset LIMIT 1",
+    "SELECT * FROM gold.dataset LATERAL VIEW explode(array(1)) t AS x LIMIT 1",
+    "SELECT TRANSFORM(booking_id) USING 'cat' AS x FROM gold.dataset LIMIT 1",
+    "SELECT secret_udf(booking_id) AS x FROM gold.dataset LIMIT 1",
+    "SELECT 1 AS x FROM gold.dataset; SELECT 2 AS x LIMIT 1",
+    "SELECT input_file_name() AS x FROM gold.dataset LIMIT 1",
+]
+
+
+@pytest.mark.parametrize("sql", OUTSIDE)
+def test_run_is_confined_to_gold(spark, sf, sql):
+    spark.range(3).selectExpr("id AS secret").createOrReplaceTempView("other")
+    spark.udf.register("secret_udf", lambda x: x)
+    with pytest.raises(PermissionError):
+        Q.run_guarded_sql(spark, sql, X.ride_gold(spark, sf))
+    with pytest.raises(PermissionError):
+        Q.run_guarded_sql(spark, f"SELECT * FROM parquet.`{sf}/region.parquet` LIMIT 1", X.ride_gold(spark, sf))
+
+
+def test_names_in_text_stay_text(spark):
+    gold = spark.createDataFrame([("gold.dataset", 1), ("{x}", 2), ("it's", 3)], "payment_method string, n int")
+    for sql, want in [
+            ("SELECT n FROM gold.dataset WHERE payment_method = 'gold.dataset'", [1]),
+            ("SELECT n FROM gold.dataset -- of gold.dataset\n WHERE payment_method = '{x}'", [2]),
+            ("SELECT n FROM `gold`.`DATASET` /* gold.dataset */ WHERE payment_method = 'it\\'s'", [3]),
+            ("SELECT n FROM GOLD . dataset g WHERE n > (SELECT avg(n) FROM gold.dataset)", [3]),
+            ("SELECT n AS `gold.dataset` FROM gold.dataset WHERE n = 1", [1])]:
+        assert [r[0] for r in Q.run_guarded_sql(spark, sql, gold).collect()] == want
+
+
+def test_refusal_text_by_cause(spark):
+    df = spark.createDataFrame([("a", "hello"), ("b", "SELECT 1; drop table x"), ("c", "SELECT 1")], "stmt_id string, sql string")
+    got = {r["stmt_id"]: r["message"] for r in Q.refusals(Q.guard_sql(df)).collect()}
+    assert got == {"a": Q.NOT_SELECT_TEXT, "b": Q.FORBIDDEN_TEXT + "DROP"}
