@@ -924,6 +924,21 @@ def q_csv_scan(spark, sf):
     return CSV.csv_scan(spark, f"{base}/*")
 
 
+_BROKEN = """CASE WHEN _id % 3 = 0 THEN concat('said "', coalesce(driver_reason, ''), '",', chr(10), chr(10), ' then', chr(13), chr(10), 'left')
+ WHEN _id % 3 = 1 THEN concat(chr(10), customer_id, chr(13), 'x') ELSE driver_reason END"""
+
+
+@register("csv_line_breaks", _pipe_sql(
+    "SELECT " + ", ".join(f"coalesce({_BROKEN}, '') AS driver_reason" if c == "driver_reason" else f"coalesce({c}, '') AS {c}"
+                          for c in M.sch.CSV_COLUMNS) + " FROM raw"))
+def q_csv_line_breaks(spark, sf):
+    """S1 on a folder whose quoted fields hold line breaks of all kinds."""
+    path = work_path(spark, "csv-breaks")
+    raw = X.ride_raw_text(spark, sf).withColumn("driver_reason", F.expr(_BROKEN))
+    CSV.write_csv(raw.select(*M.sch.CSV_COLUMNS), path)
+    return CSV.csv_scan(spark, path)
+
+
 @register("csv_source_filter", _pipe_sql("SELECT _batch_id AS batch_folder, count(*) AS rows FROM raw GROUP BY 1"))
 def q_csv_source_filter(spark, sf):
     base, _ = _folder(spark, sf)

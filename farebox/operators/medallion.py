@@ -48,9 +48,15 @@ def with_load_order(raw: DataFrame) -> DataFrame:
     file order. The position is the split's start byte plus the row's index
     within its split: strictly increasing through a file, since a row takes at
     least one byte. Split starts and file ranks are one row per split / file,
-    broadcast when small. Deterministic under task retries.
+    broadcast when small. Deterministic under task retries. A scan that put
+    records together gives each one's line in its split as ``_row``.
     """
     from farebox.operators.profile import global_row_number
+    if "_row" in raw.columns:
+        files = cut_lineage(raw.select("_file").distinct())
+        ranks = broadcast_if_small(global_row_number(files, [F.asc("_file")], "_rank"))
+        order = F.shiftleft(F.col("_rank").cast("long"), FILE_POSITION_BITS) + F.col("_block") + F.col("_row")
+        return raw.join(ranks, "_file").withColumn("_id", order).drop("_row", "_rank")
     d = raw.withColumn("_mono", F.monotonically_increasing_id())
     # One row per split, computed once (one pass over the batch) and kept in
     # the shared checkpoint folder; the size check and the join reuse it.

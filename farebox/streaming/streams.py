@@ -53,6 +53,7 @@ def stream_ingest(spark: SparkSession, drop_folder: str, pipeline: PL.Pipeline,
     other, in path order). The batch id comes from the file's whole path
     (``batch_of``): files of one folder never replace each other, and a
     replayed micro-batch overwrites the same partitions (exactly-once effect).
+    Each file goes through the batch scan, so quoted line breaks hold here too.
     Empty micro-batches (empty files) are skipped.
     """
     rows = CSV.csv_stream(spark, drop_folder, files_per_trigger)
@@ -61,7 +62,7 @@ def stream_ingest(spark: SparkSession, drop_folder: str, pipeline: PL.Pipeline,
         files = df.select("_file", batch_of(F.col("_file")).alias("b")).distinct()
         # At most files_per_trigger values: bounded.
         for r in sorted(files.collect()):
-            pipeline.run(r["b"], raw=df.where(F.col("_file") == F.lit(r["_file"])))
+            pipeline.run(r["b"], CSV.literal_path(r["_file"]))
 
     w = rows.writeStream.foreachBatch(run_batch).option(
         "checkpointLocation", checkpoint or work_path(spark, "ingest-checkpoint"))
