@@ -132,15 +132,21 @@ def missing_ids(source: DataFrame, index: DataFrame) -> DataFrame:
     return source.join(index_ids(index), "id", "left_anti")
 
 
-def sync_plan(source: DataFrame, index: DataFrame) -> DataFrame:
+def sync_plan(source: DataFrame, index: DataFrame, refresh_changed: bool = False) -> DataFrame:
     """V2: (id, booking_id, reason, action) with action delete / insert.
-    A changed reason under an indexed id is not re-embedded (kept stale)."""
+    A changed reason under an indexed id is not re-embedded (kept stale) unless
+    ``refresh_changed``: then it is an update."""
     dels = orphan_ids(index, source).select(
         "id", F.lit(None).cast("string").alias("booking_id"),
         F.lit(None).cast("string").alias("reason"), F.lit("delete").alias("action"))
     ins = missing_ids(source, index).select("id", "booking_id", "reason",
                                             F.lit("insert").alias("action"))
-    return dels.unionByName(ins)
+    plan = dels.unionByName(ins)
+    if refresh_changed:
+        held = index.select("id", F.col("reason").alias("_held"))
+        changed = source.join(held, "id").where(~F.col("reason").eqNullSafe(F.col("_held")))
+        plan = plan.unionByName(changed.select("id", "booking_id", "reason", F.lit("update").alias("action")).distinct())
+    return plan
 
 
 def delete_guard(source: DataFrame, index: DataFrame,
@@ -161,10 +167,13 @@ def delete_guard(source: DataFrame, index: DataFrame,
 
 
 def upsert(index: DataFrame, points: DataFrame) -> DataFrame:
-    """Points replace index rows of the same id, others are added."""
-    pts = points.select(*sch.VECTOR_SCHEMA.fieldNames())
-    return index.select(*sch.VECTOR_SCHEMA.fieldNames()).join(
-        pts.select("id"), "id", "left_anti").unionByName(pts)
+    """Points replace index rows of the same id, others are added. Of
+    points that repeat an id the one with the largest (booking_id, reason,
+    embedding) stays."""
+    cols = sch.VECTOR_SCHEMA.fieldNames()
+    rest = ["booking_id", "reason", "embedding"]
+    pts = points.groupBy("id").agg(F.max(F.struct(*rest)).alias("p")).select("id", *[F.col(f"p.{c}").alias(c) for c in rest])
+    return index.select(*cols).join(pts.select("id"), "id", "left_anti").unionByName(pts.select(*cols))
 
 
 def apply_sync(source: DataFrame, index: DataFrame,

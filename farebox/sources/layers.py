@@ -64,18 +64,28 @@ def append_rows(df: DataFrame, path: str) -> None:
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
-def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFrame,
-                           batch_col: str = BATCH_COL) -> DataFrame:
-    """M4 on a batch-partitioned gold table, rewriting only the partitions
-    that hold a changed key (plus the no-batch partition new rides go to):
-    the work is proportional to the touched batches, not to all of gold.
+def replace_partitions(rows: DataFrame, touched: DataFrame, path: str, col: str) -> None:
+    """Replace the partitions ``touched`` (one column, NULL for the partition
+    without a value) of a table by ``rows``, which hold all that is to be in
+    them; both must not depend on the table any more. Each is swapped at commit
+    (dynamic overwrite); one left without rows is removed."""
+    spark = rows.sparkSession
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path))
+    left = rows.select(F.col(col).alias("_left")).distinct()
+    empty = touched.join(left, touched[col].eqNullSafe(F.col("_left")), "left_anti")
+    for r in empty.toLocalIterator():
+        remove_path(spark, _partition_dir(path, col, NULL_PARTITION if r[0] is None else r[0]))
 
-    Each rewritten partition is swapped at commit (dynamic overwrite); one
-    left empty by deletes is removed, as a batch replacement does. Applying
-    the same changes again gives the same table, except where an update came
-    before the first insert of a missing key: it then finds the row. Returns the batch ids
-    rewritten (one column; NULL is the no-batch partition).
-    """
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def _changed_partitions(spark: SparkSession, gold_path: str, changes: DataFrame,
+                        batch_col: str) -> tuple[DataFrame, DataFrame]:
+    """(touched batches, all their rows after the changes)."""
     from farebox.operators import changes as CH
     from farebox.session import broadcast_if_small, cut_lineage
     gold = spark.read.parquet(gold_path)
@@ -93,42 +103,50 @@ def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFra
         broadcast_if_small(touched), batch_col, "left_semi").select(*gold.columns)
     if not touched.where(F.col(batch_col).isNull()).isEmpty():
         part = part.unionByName(gold.where(F.col(batch_col).isNull()))
-    out = cut_lineage(CH.apply_changes(part, changes))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(batch_col).parquet(gold_path))
-    # Partitions that lost all their rows: dynamic overwrite keeps them, remove.
-    left = out.select(F.col(batch_col).alias("_left")).distinct()
-    empty = touched.join(left, F.col(batch_col).eqNullSafe(F.col("_left")), "left_anti")
-    for r in empty.toLocalIterator():
-        fs, p = _fs_path(spark, _partition_dir(gold_path, batch_col,
-                                               NULL_PARTITION if r[0] is None else r[0]))
-        if fs.exists(p):
-            fs.delete(p, True)
-    return touched
+    return touched, CH.apply_changes(part, changes)
 
 
-def write_versioned(df: DataFrame, base: str, version: int) -> str:
-    """Write a whole-table rewrite (a change set over gold) to a new version
-    folder; readers switch by reading the newest complete version, so none
-    sees a half-written table."""
-    path = f"{base.rstrip('/')}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def apply_changes_in_place(spark: SparkSession, gold_path: str, changes: DataFrame,
+                           batch_col: str = BATCH_COL) -> DataFrame:
+    """M4 on a batch-partitioned gold table, rewriting only the partitions
+    that hold a changed key (plus the no-batch partition new rides go to):
+    the work is proportional to the touched batches, not to all of gold.
+    Returns the batch ids rewritten (one column; NULL is the no-batch partition).
 
+    A change set is one call: given again it is applied again (an update that
+    came before the first insert of its key then finds the row). Where a call
+    may be repeated, use ``apply_changes_once``.
+    """
+    from farebox.session import cut_lineage
+    touched, rows = _changed_partitions(spark, gold_path, changes, batch_col)
+    replace_partitions(cut_lineage(rows), touched, gold_path, batch_col)
+    return touched
 
-def versions(spark: SparkSession, base: str) -> list[tuple[int, bool]]:
-    """The version folders under ``base``, oldest first: (number, committed).
-    A folder without _SUCCESS is what a crashed write left behind."""
-    fs, p = _fs_path(spark, base)
-    if not fs.exists(p):
-        return []
-    names = sorted(str(s.getPath().getName()) for s in fs.listStatus(p))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return [(int(n[2:]), bool(fs.exists(path(f"{base.rstrip('/')}/{n}/_SUCCESS"))))
-            for n in names if n.startswith("v=")]
 
+def apply_changes_once(spark: SparkSession, gold_path: str, changes: DataFrame, ledger: str, epoch: int,
+                       batch_col: str = BATCH_COL) -> bool:
+    """M4 for a numbered change set that may be sent again: exactly once.
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    """Newest committed version folder under ``base`` (has _SUCCESS)."""
-    done = [n for n, committed in versions(spark, base) if committed]
-    return f"{base.rstrip('/')}/v={done[-1]:08d}" if done else None
+    The rewritten partitions are first written whole under
+    ``ledger``/epoch=n; their commit decides the epoch's result, and gold isn't
+    touched before it. Then they are swapped into gold, and the epoch is marked
+    done. A repeat of a done epoch does nothing; one after a crash swaps the
+    rows that were decided, whatever part of gold had been swapped; one after a
+    crash before the commit starts from a gold that is as it was. The rows of a
+    done epoch are removed, the mark stays. One writer at a time. False if the
+    epoch was done before.
+    """
+    base = f"{ledger.rstrip('/')}/epoch={epoch:012d}"
+    done, staged, names = f"{base}/done", f"{base}/rows", f"{base}/touched"
+    if path_exists(spark, done):
+        return False
+    if not path_exists(spark, f"{staged}/_SUCCESS"):
+        touched, rows = _changed_partitions(spark, gold_path, changes, batch_col)
+        touched.write.mode("overwrite").parquet(names)
+        rows.write.option("partitionOverwriteMode", "static").mode("overwrite").parquet(staged)
+    replace_partitions(spark.read.parquet(staged), spark.read.parquet(names), gold_path, batch_col)
+    fs, p = _fs_path(spark, done)
+    fs.create(p, True).close()
+    remove_path(spark, staged)
+    remove_path(spark, names)
+    return True

@@ -33,32 +33,54 @@ def test_dashboard_stream_totals_equal_batch(spark, sf):
     assert out.groupBy().sum("total").first()[0] == g.count()
 
 
-def test_dashboard_stream_keeps_rides_without_a_time(spark, sf):
+def shown(df):
     from pyspark.sql import functions as F
-    gold_path = work_path(spark, "dash-null")
-    g = X.ride_gold(spark, sf).where("vehicle_type = 'Bike'")
-    no_time = g.withColumn("ride_timestamp", F.lit(None).cast("timestamp_ntz"))
-    g.write.parquet(gold_path)
-    no_time.limit(3).write.mode("append").parquet(gold_path)
-    table = ST.VersionedTable(spark, work_path(spark, "dash-null-table"), ST.DASHBOARD_SCHEMA)
-    ckpt = work_path(spark, "dash-null-ckpt")
-    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
-    no_time.limit(2).write.mode("append").parquet(gold_path)
-    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
-    null = table.current().where("window_start IS NULL").collect()
-    assert [r["total"] for r in null] == [5]               # replaced, not added beside
-    assert table.current().groupBy().sum("total").first()[0] == g.count() + 5
-
-
-def test_a_crashed_write_does_not_block_the_table(spark):
-    import os
-    t = ST.VersionedTable(spark, work_path(spark, "crash"), "k long")
-    t.write(spark.range(1).withColumnRenamed("id", "k"))
-    os.makedirs(t.base.replace("file:", "") + "/v=00000001")          # no _SUCCESS
-    assert t.current().count() == 1
-    t.write(spark.range(5).withColumnRenamed("id", "k"))
-    assert t.current().count() == 5 and t.next_version() == 3
-    assert t.prune(keep=1) == 2 and t.current().count() == 5
+    return sorted(map(repr, df.withColumn("revenue", F.round("revenue", 4))
+                      .select("window_start", "vehicle_type", "total", "completed", "revenue").collect()))
+
+
+def fresh(g):
+    from pyspark.sql import functions as F
+    return g.groupBy(ST.window_start("ride_timestamp", 3600).alias("window_start"), "vehicle_type").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("booking_status") == "Completed").alias("completed"),
+        F.sum("booking_value").alias("revenue"))
+
+
+def test_dashboard_takes_old_shares_back(spark, sf):
+    """New batches, a rerun with other rows, rides without a time, a batch
+    that is gone: always what a fresh aggregate gives, and only what changed is
+    counted again."""
+    from pyspark.sql import functions as F
+    from farebox.sources import layers as LY
+    path, shares = work_path(spark, "dash-gold"), work_path(spark, "dash-shares")
+    g = X.ride_gold(spark, sf)
+    batch = {b: g.where(F.col("_batch_id") == b) for b in ("batch-0", "batch-1", "batch-2")}
+    for b in ("batch-0", "batch-1"):
+        LY.batch_replace(batch[b], path, b)
+    assert ST.refresh_dashboard(spark, path, shares) == 2
+    assert ST.refresh_dashboard(spark, path, shares) == 0
+    no_time = batch["batch-1"].limit(7).withColumn("ride_timestamp", F.lit(None).cast("timestamp_ntz"))
+    LY.batch_replace(no_time, path, "batch-1")                      # a rerun with fewer rows
+    LY.batch_replace(batch["batch-2"], path, "batch-2")
+    assert ST.refresh_dashboard(spark, path, shares) == 2
+    now = spark.read.parquet(path)
+    assert shown(ST.dashboard_table(spark, shares)) == shown(fresh(now))
+    assert ST.dashboard_table(spark, shares).where("window_start IS NULL").groupBy().sum("total").first()[0] == 7
+    LY.batch_replace(batch["batch-0"].limit(0), path, "batch-0")    # an empty rerun
+    batch["batch-1"].withColumn("_batch_id", F.lit(None).cast("string")).write.mode("overwrite").partitionBy("_batch_id").parquet(path)
+    ST.stream_dashboard(spark, path, shares, available_now=True).awaitTermination()
+    assert shown(ST.dashboard_table(spark, shares)) == shown(fresh(spark.read.parquet(path)))
+    assert ST.refresh_dashboard(spark, path, shares) == 0
+
+
+def test_dashboard_over_gold_without_batch_folders(spark, sf):
+    path, shares = work_path(spark, "dash-flat"), work_path(spark, "dash-flat-shares")
+    g = X.ride_gold(spark, sf)
+    g.write.parquet(path)
+    ST.refresh_dashboard(spark, path, shares)
+    g.limit(5).write.mode("append").parquet(path)
+    assert ST.refresh_dashboard(spark, path, shares) == 1
+    assert shown(ST.dashboard_table(spark, shares)) == shown(fresh(spark.read.parquet(path)))
 
 
 def test_batch_ids_tell_files_apart(spark):
@@ -70,30 +92,6 @@ def test_batch_ids_tell_files_apart(spark):
     assert ids[0].startswith("up-x-") and ids[3].startswith("my-20up-x.v2-")
 
 
-def test_dashboard_refresh_upserts_changed_windows_incrementally(spark, sf):
-    from pyspark.sql import functions as F
-    gold_path = work_path(spark, "dash-inc-gold")
-    g = X.ride_gold(spark, sf)
-    first, later = g.where(F.col("_batch_id") != "batch-2"), g.where(F.col("_batch_id") == "batch-2")
-    first.write.parquet(gold_path)
-    table = ST.VersionedTable(spark, work_path(spark, "dash-inc"), ST.DASHBOARD_SCHEMA)
-    ckpt = work_path(spark, "dash-inc-ckpt")
-    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
-    v1 = table.next_version()
-    later.write.mode("append").parquet(gold_path)
-    ST.dashboard_refresh(spark, gold_path, table, checkpoint=ckpt, available_now=True).awaitTermination()
-    assert table.next_version() == v1 + 1           # one more micro-batch, one new version
-    got = sorted((r["window_start"].timestamp(), r["vehicle_type"], r["total"], r["revenue"])
-                 for r in table.current().collect())
-    want = (g.withColumn("ws", F.window(ST.utc_instant("ride_timestamp"), "1 hour").start)
-            .groupBy("ws", "vehicle_type").agg(F.count(F.lit(1)).alias("total"),
-                                               F.sum("booking_value").alias("revenue")))
-    want = sorted((r["ws"].timestamp(), r["vehicle_type"], r["total"], r["revenue"])
-                  for r in want.collect())
-    assert [x[:3] for x in got] == [x[:3] for x in want]
-    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want))
-
-
 def test_vector_sync_stream_survives_a_failing_sync(spark, sf):
     from pyspark.sql import functions as F
     gold_path = work_path(spark, "sync-fail-gold")
@@ -136,30 +134,109 @@ def test_change_stream_equals_batch_apply(spark, sf):
     assert got == want
 
 
-def test_batch_contributions_survive_a_rerun(spark, sf):
-    """Dashboard by batch contributions: a rerun replaces its batch's share,
-    so the result equals a fresh aggregate over gold (no double counting)."""
-    from pyspark.sql import functions as F
+def test_dashboard_follows_pipeline_reruns(spark, sf):
     base, batches = X.ride_csv_folder(spark, sf)
-    contrib = ST.VersionedTable(spark, work_path(spark, "contrib"), ST.CONTRIB_SCHEMA)
-    pipe = PL.Pipeline(spark, work_path(spark, "contrib-layers"))
-    pipe.after_gold = lambda b: ST.refresh_batch(spark, pipe.gold_path, b, contrib)
-    for b in batches:
+    shares = work_path(spark, "pipe-shares")
+    pipe = PL.Pipeline(spark, work_path(spark, "pipe-layers"))
+    pipe.after_gold = lambda b: ST.refresh_dashboard(spark, pipe.gold_path, shares)
+    for b in [*batches, batches[0]]:                                # and a rerun
         assert pipe.run(b, f"{base}/{b}")
-    assert pipe.run(batches[0], f"{base}/{batches[0]}")          # a rerun
-    def shown(df):
-        return sorted(map(repr, df.withColumn("revenue", F.round("revenue", 4)).collect()))
-
-    got = ST.dashboard_from_contributions(contrib.current())
-    fresh = ST.dashboard_from_contributions(ST.batch_contributions(pipe.gold()))
-    assert shown(got) == shown(fresh)
-    total = got.groupBy().sum("total").first()[0]
-    assert total == pipe.gold().count()
-
-
-def test_versioned_table_prune_keeps_newest(spark):
-    t = ST.VersionedTable(spark, work_path(spark, "prune"), "k long, v string")
-    for i in range(4):
-        t.write(spark.createDataFrame([(i, f"v{i}")], "k long, v string"))
-    assert t.prune(keep=2) == 2
-    assert t.current().collect()[0]["k"] == 3 and t.next_version() == 4
+    assert shown(ST.dashboard_table(spark, shares)) == shown(fresh(pipe.gold()))
+
+
+def _files(path):
+    import os
+    top = path.replace("file:", "")
+    return {d: sorted(os.listdir(f"{top}/{d}")) for d in os.listdir(top) if "=" in d}
+
+
+def test_vector_sync_rewrites_only_touched_buckets(spark, sf):
+    from pyspark.sql import functions as F
+    gold_path = work_path(spark, "bucket-gold")
+    g = X.ride_gold(spark, sf)
+    g.write.parquet(gold_path)
+    index = ST.VectorIndex(spark, work_path(spark, "bucket-index"), buckets=16)
+    assert ST.sync_once(spark, gold_path, index) > 0                # from nothing
+    ids = index.current().orderBy("id").select("id").collect()
+    assert {r[0] for r in ids} == {r[0] for r in ST.V.sync_source(g).select("id").collect()}
+    before = _files(index.base)
+    assert ST.sync_once(spark, gold_path, index) == 0               # an empty plan writes nothing
+    assert _files(index.base) == before
+    gone = ids[0][0]
+    index_rows = index.current()
+    extra = index_rows.where(F.col("id") == gone).withColumn("id", F.lit("00000000-0000-0000-0000-00000000000f"))
+    both = index_rows.drop("bucket").unionByName(extra.drop("bucket")).collect()
+    index.write(spark.createDataFrame(both, ST.sch.VECTOR_SCHEMA))
+    before = _files(index.base)
+    assert ST.sync_once(spark, gold_path, index) == 1               # one orphan, one bucket
+    after = _files(index.base)
+    assert sum(before.get(d) != after.get(d) for d in before) == 1
+    assert index.current().count() == len(ids)
+    # a changed reason stays unless asked for
+    g.withColumn("unified_cancellation_reason", F.when(F.col("unified_cancellation_reason") == "Driver asked to cancel", F.lit("Other Issue"))
+                 .otherwise(F.col("unified_cancellation_reason"))).write.mode("overwrite").parquet(gold_path)
+    stale = index.current().where("reason = 'Driver asked to cancel'").count()
+    assert stale and ST.sync_once(spark, gold_path, index) == 0
+    assert ST.sync_once(spark, gold_path, index, refresh_changed=True) > 0
+    now = index.current()
+    assert now.where("reason = 'Driver asked to cancel'").count() == 0 and now.count() == len(ids)
+    assert now.where("reason = 'Other Issue'").select("embedding").distinct().count() == 1      # embedded anew
+    assert ST.sync_once(spark, gold_path, index, refresh_changed=True) == 0
+
+
+def test_upsert_takes_one_point_of_an_id(spark):
+    from farebox.operators import vectors as V
+    index = spark.createDataFrame([("a", [1.0], "old", "1"), ("b", [2.0], "old", "2")], ST.sch.VECTOR_SCHEMA)
+    points = spark.createDataFrame([("a", [3.0], "x", "1"), ("a", [4.0], "y", "1"), ("c", [5.0], "z", "3"), ("c", [5.0], "z", "3")], ST.sch.VECTOR_SCHEMA)
+    got = sorted((r["id"], r["reason"], r["embedding"]) for r in V.upsert(index, points).collect())
+    assert got == [("a", "y", [4.0]), ("b", "old", [2.0]), ("c", "z", [5.0])]
+
+
+def _gold_and_changes(spark, path):
+    from tests.test_invariants import CHANGES, _gold_rows
+    _gold_rows(spark, "K1", "K2").write.partitionBy("_batch_id").parquet(path)
+    up = ("Incomplete", "Other Issue", None, None)
+    # the update of K9 comes before its first insert: applied again it would find the row
+    return spark.createDataFrame([(1, "update", "K9", *up), (2, "insert", "K9", None, None, 5.0, 1.0),
+                                  (3, "update", "K1", *up), (4, "delete", "K2", None, None, None, None)], CHANGES)
+
+
+def _state(spark, path):
+    return sorted((r["booking_id"], r["booking_status"], r["booking_value"]) for r in spark.read.parquet(path).collect())
+
+
+def test_changes_are_applied_exactly_once(spark, monkeypatch):
+    import pytest
+    from farebox.sources import layers as LY
+    plain = work_path(spark, "once-plain")
+    changes = _gold_and_changes(spark, plain)
+    LY.apply_changes_in_place(spark, plain, changes)
+    want = _state(spark, plain)
+    LY.apply_changes_in_place(spark, plain, changes)
+    assert _state(spark, plain) != want                             # the case that needs a ledger
+    whole = LY.replace_partitions
+    write = LY._changed_partitions
+
+    def crash_before_commit(*a):
+        write(*a)
+        raise RuntimeError("lost")
+
+    def crash_before_swap(*a):
+        raise RuntimeError("lost")
+
+    def crash_after_swap(*a):
+        whole(*a)
+        raise RuntimeError("lost")
+
+    for i, (name, crash) in enumerate((("_changed_partitions", crash_before_commit), ("replace_partitions", crash_before_swap),
+                                       ("replace_partitions", crash_after_swap))):
+        path, ledger = work_path(spark, f"once-{i}"), work_path(spark, f"ledger-{i}")
+        changes = _gold_and_changes(spark, path)
+        with monkeypatch.context() as m:
+            m.setattr(LY, name, crash)
+            with pytest.raises(RuntimeError):
+                LY.apply_changes_once(spark, path, changes, ledger, 7)
+        assert LY.apply_changes_once(spark, path, changes, ledger, 7) is True
+        assert _state(spark, path) == want
+        assert LY.apply_changes_once(spark, path, changes, ledger, 7) is False
+        assert _state(spark, path) == want
