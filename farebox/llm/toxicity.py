@@ -36,6 +36,8 @@ class Config:
     sample: int = 10_000        # bound on labelled rows that the machine is fitted on
     epochs: int = 8
     rate: float = 0.1
+    least_docs: int = 2         # sampled documents that hold a term, for it to count
+    most_weight: float = 8.0    # of a row of the rarer label
     l1: float = 2e-4
     l2: float = 1e-4
     seed: int = 8
@@ -88,23 +90,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.forward(idx, of)[0].astype(float), -30, 30)))
 
 
-def fit_machine(idx: np.ndarray, of: np.ndarray, y: np.ndarray, cfg: Config) -> Model:
-    """Proximal Adagrad over mini-batches of the sampled documents; terms in a
-    single sampled document are left out, as they can't generalise."""
+def fit_machine(idx: np.ndarray, of: np.ndarray, y: np.ndarray, cfg: Config, stands_for: np.ndarray | None = None) -> Model:
+    """Proximal Adagrad over mini-batches of the sampled documents; terms in
+    fewer than ``least_docs`` sampled documents are left out, as they can't
+    generalise. ``stands_for``: for how many labelled rows each row stands (1 by
+    default), so that a balanced draw doesn't move the scores."""
     model = Model(cfg)
+    stands_for = np.ones(len(y)) if stands_for is None else stands_for
+    rate = float((stands_for * y).sum() / max(stands_for.sum(), 1e-9))     # of the label among all labelled rows
     if len(set(y.tolist())) < 2:
-        model.constant = float((y.sum() + 1) / (len(y) + 2))
+        model.constant = float(((stands_for * y).sum() + 1) / (stands_for.sum() + 2))
         return model
     rng = np.random.default_rng(cfg.seed)
-    often = np.bincount(idx, minlength=cfg.terms) >= (2 if len(y) > 50 else 1)
+    often = np.bincount(idx, minlength=cfg.terms) >= cfg.least_docs
     keep = often[idx]
     of = np.concatenate([[0], np.cumsum(C.segment_sum(keep.astype(np.int64), of))])
     idx = idx[keep]
     model.w = np.zeros(cfg.terms, np.float32)
     model.v = np.where(often[:, None], rng.normal(0, 0.05, (cfg.terms, cfg.factors)), 0).astype(np.float32)
     gw, gv = np.full(cfg.terms, 1e-3, np.float32), np.full((cfg.terms, cfg.factors), 1e-2, np.float32)
-    model.bias, gb = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), 1.0
-    weight = np.where(y == 1, min(8.0, 0.5 / max(y.mean(), 1e-3)), 0.5 / max(1 - y.mean(), 1e-3))
+    model.bias, gb = float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), 1.0
+    weight = np.where(y == 1, min(cfg.most_weight, 0.5 / max(rate, 1e-3)), 0.5 / max(1 - rate, 1e-3))
+    weight = weight * stands_for / stands_for.mean()
     size = max(8, min(64, len(y) // 20))
     for _ in range(cfg.epochs):
         mixed = rng.permutation(len(y))
@@ -135,7 +142,8 @@ def fit_machine(idx: np.ndarray, of: np.ndarray, y: np.ndarray, cfg: Config) ->
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", cfg: Config = Config()) -> Model:
     """Fits on at most about ``cfg.sample`` of the labelled rows that ``learn``
-    (over ``_id``) allows; each is one bounded term set."""
+    (over ``_id``) allows; each is one term set, weighted by the
+    inverse of its label's share in the sample."""
     C.ready(docs.sparkSession)
     chosen = C.bounded_labels(labels, id_col, label_col, learn, cfg.sample, cfg.seed)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -144,18 +152,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idx, of = term_sets(batch.column("_text"), cfg)
-            yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"),
+            yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"), batch.column("_share"),
                                    pa.array([idx[a:b].tobytes() for a, b in zip(of, of[1:], strict=False)], pa.binary())],
-                                  names=["_id", "_y", "x"])
+                                  names=["_id", "_y", "_share", "x"])
 
-    rows = texts.select(F.col("_id").cast("long"), "_y", "_text").mapInArrow(
-        run, "_id long, _y int, x binary").collect()   # bounded by cfg.sample
+    rows = texts.select(F.col("_id").cast("long"), "_y", "_share", "_text").mapInArrow(
+        run, "_id long, _y int, _share double, x binary").collect()   # bounded by cfg.sample
     rows.sort(key=lambda r: (r["_id"], r["x"]))
     if not rows:
         return Model(cfg, constant=0.5)
     idx = np.frombuffer(b"".join(r["x"] for r in rows), np.int32)
     of = np.concatenate([[0], np.cumsum([len(r["x"]) // 4 for r in rows])])
-    return fit_machine(idx, of, np.array([r["_y"] for r in rows], float), cfg)
+    return fit_machine(idx, of, np.array([r["_y"] for r in rows], float), cfg, 1 / np.array([r["_share"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
