@@ -34,7 +34,6 @@ class Config:
     hidden: int = 16            # state size per direction
     docs_per_language: int = 600  # bound on documents per language that are learned from
     windows_per_doc: int = 4    # windows drawn from each, anywhere in the text
-    languages: int = 200        # bound on labels, most frequent first
     batch: int = 192
     epochs: int = 7
     rate: float = 0.01
@@ -186,15 +185,14 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     C.ready(docs.sparkSession)
     known = (docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
              .filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull()).filter(learn))
-    counts = (known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang")
-              .limit(cfg.languages).collect())
+    counts = known.groupBy("_lang").count().collect()      # one row per language
     if not counts:
         return None
     labels = sorted(r["_lang"] for r in counts)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("_lang") == r["_lang"], F.lit(min(1.0, cfg.docs_per_language / r["count"]))).otherwise(share)
-    chosen = known.filter((C.unit_hash("_id", cfg.seed) < share) & F.col("_text").rlike(r"\p{L}"))
+    shares = docs.sparkSession.createDataFrame(
+        [(r["_lang"], min(1.0, cfg.docs_per_language / r["count"])) for r in counts], "_lang string, _share double")
+    chosen = (known.join(F.broadcast(shares), "_lang")
+              .filter((C.unit_hash("_id", cfg.seed) < F.col("_share")) & F.col("_text").rlike(r"\p{L}")))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
