@@ -1,7 +1,8 @@
 """HTML to leaf blocks: a small forgiving reader for the block labeller.
 
 Comments, declarations, and what stands in elements that are never text
-(script, style, form controls and the like) are dropped. Block elements end a
+(script, style, form controls and the like) are dropped; what stands in for a
+script, an object or a film is a block of its own that the labeller judges. Block elements end a
 block; inline markup and line breaks don't, a ``br`` is white space. Character
 references are decoded. A block has the words of its tag path: element names,
 and words of class, id and role of the elements it is in.
@@ -15,11 +16,11 @@ from dataclasses import dataclass
 
 #: Elements that end a block (fixed values).
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre "
-    "section summary table tbody td tfoot th thead tr ul".split())
+    "address article aside audio blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav noscript object ol optgroup option "
+    "p pre section summary table tbody td tfoot th thead tr ul video".split())
 #: Elements whose content is never text of the page (fixed values).
-SILENT = frozenset("audio canvas datalist embed iframe math noscript object script select style svg template textarea title video".split())
+SILENT = frozenset("datalist embed iframe script select style svg template textarea title".split())
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes first, if it is the innermost open block (fixed values).
@@ -42,7 +43,7 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
     words = [tag]
     for _, a, b, c in _ATTR.findall(attrs):
         words += [f"{w.lower()}" for w in _WORDS.findall(a or b or c)]
-    return tuple(words[:24])
+    return tuple(words)
 
 
 def blocks(page: str | None) -> list[Block]:
