@@ -17,10 +17,13 @@ joined with a row per bucket (a join Spark can split), components are found by
 min-label rounds with pointer jumping, and every round's result is a written
 table in the shared folder. Nothing is collected but counts.
 
+A row is known by its id and a hash of its text, so rows that share an id but not
+their text are documents of their own: each is linked by its own text.
+
 Nulls: a NULL or empty text, or one without words, has no shingles and is linked
-with nothing; a NULL id gets the component of its text and is kept. Repeated
-rows are listed each. An empty table gives an empty result. Only the id and text
-columns are read.
+with nothing; a NULL id gets the component of its text (NULL if no id is reached)
+and is kept. Repeated rows are listed each. An empty table gives an empty result.
+Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -116,8 +119,25 @@ def agreeing(x: str, y: str) -> Column:
     return total
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                       F.col(text_col).alias("text"))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, n_ids: int, reps: DataFrame, cfg: Config) -> DataFrame:
+    """doc_id (a class's number) and text of the classes ``ids``, from the row
+    that stands for each."""
+    wanted = reps.join(ids.select(F.col("doc_id").alias("rep")), "rep").select(
+        F.col("rep").alias("class"), F.col("of.doc_id").alias("id"), F.col("of.text_hash").alias("hash"))
+    few = F.broadcast(wanted) if n_ids <= cfg.broadcast_ids else wanted
+    # rows that repeat id and text are one
+    return (docs.join(few, docs["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+            .groupBy(F.col("class").alias("doc_id")).agg(F.max("text").alias("text")))
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, cfg: Config) -> DataFrame:
-    """doc_id, the hash pair of the word sequence, n_shingles and signature."""
+    """doc_id and text_hash of each row, the hash of its word sequence, n_shingles
+    and signature."""
     C.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +146,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: Config) -> DataFrame:
             for lo, hi, shingle, of, seq in sets(col, cfg.words):
                 sig = signatures(shingle, of, cfg)
                 yield pa.record_batch([
-                    batch.column("doc_id").slice(lo, hi - lo), pa.array(seq.view(np.int64)),
+                    batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(seq.view(np.int64)),
                     pa.array(np.diff(of).astype(np.int64)),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                     *[pa.array(c) for c in np.ascontiguousarray(packed(sig).T)]],
-                    names=["doc_id", "seq", "n_shingles", "sig", *PACKED])
+                    names=["doc_id", "text_hash", "seq", "n_shingles", "sig", *PACKED])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, seq long, n_shingles long, sig binary, " + ", ".join(f"{p} long" for p in PACKED)))
+    return (keyed_texts(docs, id_col, text_col)
+            .mapInArrow(run, "doc_id long, text_hash long, seq long, n_shingles long, sig binary, " + ", ".join(f"{p} long" for p in PACKED)))
 
 
 # --- verification -----------------------------------------------------------
@@ -178,12 +198,9 @@ def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, n_ids: int, cfg: Config) -> DataFrame:
-    """The pairs whose full shingle sets link. ``ids``: the documents in pairs."""
+def confirm(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+    """The pairs whose full shingle sets link. ``texts``: of the classes in pairs."""
     C.ready(pairs.sparkSession)
-    few = F.broadcast(ids) if n_ids <= cfg.broadcast_ids else ids
-    # one text per id, should an id repeat
-    texts = docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -206,11 +223,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, n_ids: int, cfg:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shingle_rows(docs: DataFrame, ids: DataFrame, n_ids: int, cfg: Config) -> DataFrame:
-    """(rep, shingle) of the documents ``ids``."""
-    C.ready(docs.sparkSession)
-    few = F.broadcast(ids) if n_ids <= cfg.broadcast_ids else ids
-    texts = docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+def shingle_rows(texts: DataFrame, cfg: Config) -> DataFrame:
+    """(rep, shingle) of the classes of ``texts``."""
+    C.ready(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,18 +258,21 @@ def components(links: DataFrame, keep) -> DataFrame:
 
 def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of
-    every document."""
+    every document; then its text_hash, and stays: whether its id and text are
+    the first of its component, which leaves one text of each."""
     spark = docs.sparkSession
     keep = Keeper(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = keyed_texts(docs, id_col, text_col)
     signed = keep(sign(docs, id_col, text_col, cfg), "signed")
     # a class: equal word sequences (64-bit hash, set size and signature agree)
     same = ["seq", "n_shingles"]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")       # ids before NULL
+    # a class has a number, fixed in the written table, and a row that stands for it
     reps = keep(signed.filter(F.col("n_shingles") > 0).groupBy(*same, F.md5("sig").alias("sm"))
-                .agg(F.min("doc_id").alias("rep")), "classes")
-    sigs = keep(signed.select("doc_id", "n_shingles", "sig", *PACKED)
-                .join(reps.select(F.col("rep").alias("doc_id")).filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
-                .groupBy(F.col("doc_id").alias("rep")).agg(*[F.first(c).alias(c) for c in ("n_shingles", "sig", *PACKED)]), "sigs")
+                .agg(F.min(row).alias("of"), *[F.first(c).alias(c) for c in ("sig", *PACKED)])
+                .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    sigs = reps.select("rep", "n_shingles", "sig", *PACKED)
+    reps = reps.select(*same, "sm", "of", "rep")
     width = 2 * cfg.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)),
                         lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
@@ -267,7 +285,7 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     def verified(pairs: DataFrame) -> DataFrame:
         left = keep(likely(pairs, sigs, cfg), "likely")
         ids = keep(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        return keep(confirm(left, texts, ids, ids.count(), cfg), "links")
+        return keep(confirm(left, texts_of(texts, ids, ids.count(), reps, cfg), cfg), "links")
 
     def labelled(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
         return (rows.join(labels.select(F.col("id").alias(col), F.col("label").alias(name)), col, "left")
@@ -295,7 +313,7 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         # other pair the rare shingles of u are outside v, and a link needs
         # (100 + p) * rare(u) <= 100 * |u| - p * |v|, and the same for v.
         ids = keep(apart.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-        rows = keep(shingle_rows(texts, ids, ids.count(), cfg), "shingles")
+        rows = keep(shingle_rows(texts_of(texts, ids, ids.count(), reps, cfg), cfg), "shingles")
         rare = keep(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= cfg.rare), "shingle"), "rare")
         alone = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
         shared = rare.filter("n > 1").select("shingle", "rep")
@@ -321,13 +339,17 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         found = verified(third)
         if not found.isEmpty():
             labels = components(links.union(found), keep)
-    named = (reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-             .select(*same, "sm", F.coalesce("label", "rep").alias("component")))
-    rows = signed.select("doc_id", *same, F.md5("sig").alias("sm"))
+    named = keep(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+                 .select(*same, "sm", "of", F.coalesce("label", "rep").alias("label")), "named")
+    firsts = keep(named.groupBy("label").agg(F.min("of").alias("first")), "firsts")
+    named = named.join(firsts, "label").select(*same, "sm", "first")
+    rows = signed.select("doc_id", "text_hash", *same, F.md5("sig").alias("sm"))
+    worded = F.col("n_shingles") > 0
     return (rows.join(named, [*same, "sm"], "left")
-            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+            .withColumn("component_id", F.when(worded, F.col("first.doc_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash",
+                    (~worded | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("stays")))
 
 
 class Keeper:

@@ -56,7 +56,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Config(words=4))
+    return neardup.cluster(table(spark, sf_dir, "documents"), neardup.Config(words=4)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
