@@ -8,9 +8,10 @@ their input. A stage's result is written as Parquet into the shared folder and
 read again as the next one's documents.
 
 Nulls: a NULL text is scored like an empty one, has no language and goes with
-the second stage; a NULL id is never learned from and stays if its text does. Of
-rows that repeat an id one stays after the third stage. An empty table passes
-through all stages as an empty table.
+the second stage; a NULL id is never learned from and stays if its text does. Rows
+are dropped by id and text: one that shares its id with another is judged by its
+own text, and of rows that repeat both, one stays after the third stage. An empty
+table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from farebox.llm import decontam, language, neardup, packing, quality
 from farebox.llm.queries import table, tokenizer_path
 from farebox.session import cut_lineage, work_path
 
-#: Least mean probability of a document's language.
-LEAST_LANGUAGE = 0.3
+#: Least mean probability of a document's language, as a multiple of an even
+#: guess among the languages learned, and at most a half.
+LEAST_LANGUAGE = 1.2
 #: Ids of dropped documents sent to every task at most (8 bytes each); beyond
 #: this they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -35,11 +37,16 @@ def _wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in ``ids`` (one column, doc_id)."""
-    ids = cut_lineage(ids.filter("doc_id IS NOT NULL").distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(few, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as one column, and a key of each: a hash of its id and text."""
+    return docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` but those whose key is in ``keys`` (one column, key)."""
+    keys = cut_lineage(keys.distinct())
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return _keyed(docs).join(few, "key", "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +57,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.fit(docs, ~C.in_fold("_id", 5, 0))
     found = language.predict(_wrapped(docs), net)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
+    least = min(0.5, LEAST_LANGUAGE / max(1, len(net.labels))) if net else 0.0
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = neardup.cluster(docs, neardup.Config(words=5))
-    out = _without(docs, groups.filter(~F.col("kept")).select("doc_id"))
-    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return out if repeats.isEmpty() else out.filter("doc_id IS NULL").unionByName(
-        out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    groups = neardup.cluster(docs, neardup.Config(words=5)).select(
+        F.xxhash64("doc_id", "text_hash").alias("key"), "n_shingles", "stays")
+    groups = cut_lineage(groups)
+    out = _without(docs, groups.filter(~F.col("stays")).select("key"))
+    repeats = cut_lineage(groups.filter(F.col("stays") & (F.col("n_shingles") > 0)).groupBy("key").count().filter("count > 1").select("key"))
+    n = repeats.count()
+    if n:
+        few = F.broadcast(repeats) if n <= BROADCAST_IDS else repeats
+        once = out.join(few, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        out = out.join(few, "key", "left_anti").unionByName(once)
+    return out.select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"))
+    found = decontam.matches(_keyed(docs).select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")),
+                             table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select(F.col("doc_id").alias("key"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
