@@ -30,6 +30,7 @@ from farebox.operators import medallion as M
 from farebox.operators import pipeline as PL
 from farebox.operators import profile as P
 from farebox.operators import report as R
+from farebox.operators import cells as CL
 from farebox.operators import vectors as V
 from farebox.plans import layout as LO
 from farebox.session import work_path
@@ -1127,6 +1128,17 @@ def q_cosine_topk(spark, sf):
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("cosine_topk_cells", """
+SELECT count(*) AS queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS neighbours, true AS recall_reached
+FROM embeddings WHERE vec_id % 50 = 0""")
+def q_cosine_topk_cells(spark, sf):
+    """V5 over the index in cells, held against the exact search: 0.9 of the
+    neighbours at least."""
+    idx = X.embedding_index(spark, sf)
+    cells = CL.build(idx, work_path(spark, "vector-cells"))
+    return CL.recall_report(cells, idx, X.embedding_queries(spark, sf))
+
+
 _SEARCH_TEXT = "driver asked me to cancel the ride"
 
 
