@@ -5,7 +5,7 @@ text) and by a piece vocabulary (B, which puts that space in front itself). Byte
 offsets where both have a token that starts with a space are shared ends of what
 stands before them: these anchors split a text into windows of token ids. A
 window's groups depend on its id tuples only, so a worker aligns each pair of
-tuples once and looks it up afterwards, by a hash and then by the ids themselves;
+tuples once (all new ones of a slice together) and looks it up afterwards, by a hash and then by the ids themselves;
 the table of windows has a fixed size and starts anew when it is full.
 
 A group ends where both an A and a B token end, so its last A and last B token are
@@ -160,19 +160,9 @@ class Pieces(Encoder):
         return self.whole([raw[a:b].decode("utf-8") for a, b in zip(start.tolist(), end.tolist(), strict=True)])
 
 
-def groups(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The ids between common ends of two rows of tokens over the same bytes."""
-    out, i, j, x, y = [], 0, 0, 0, 0
-    while x < len(a):
-        if ends_a[x] == ends_b[y]:
-            x, y = x + 1, y + 1
-            out.append((a[i:x], b[j:y]))
-            i, j = x, y
-        elif ends_a[x] < ends_b[y]:
-            x += 1
-        else:
-            y += 1
-    return out
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of several ranges in a row."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Windows(Encoder):
@@ -181,19 +171,39 @@ class Windows(Encoder):
 
     def __init__(self, a: Entries, b: Entries, slots: int = 1 << 20) -> None:
         self.a, self.b, self.slots = a, b, slots
+        self.decimals = Entries([b"%d" % i for i in range(max(len(a.of), len(b.of)))])
         self.reset()
 
     def reset(self) -> None:
         super().reset()
         self.texts: list[bytes] = []
-        self.codes: list[np.ndarray] = []
         self.links = np.zeros(0, np.int64)
         self.link_of = np.zeros(1, np.int64)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[bytes, np.ndarray]:
-        parts = groups(a, b, np.cumsum(self.a.size[a]).tolist(), np.cumsum(self.b.size[b]).tolist())
-        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in parts)
-        return text.encode(), np.array([x[-1] * len(self.b.of) + y[-1] for x, y in parts], np.int64)
+    def align(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of several windows in a row (``na`` and ``nb`` ids each): the groups
+        as text, all links and how many each window has."""
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)            # windows end together, so groups stay within
+        last_a, last_b = np.searchsorted(end_a, both), np.searchsorted(end_b, both)
+        links = a[last_a].astype(np.int64) * len(self.b.of) + b[last_b]
+        # a group's A ids stand before its B ids; what follows an id tells where its group ends
+        before = lambda last: np.concatenate([[0], last[:-1] + 1])
+        size_a, size_b = last_a + 1 - before(last_a), last_b + 1 - before(last_b)
+        token = np.empty(len(a) + len(b), np.int64)
+        at_a, at_b = np.arange(len(a)) + np.repeat(before(last_b), size_a), np.arange(len(b)) + np.repeat(last_a + 1, size_b)
+        token[at_a], token[at_b] = a, b
+        mark = np.full(len(token), ord(","), np.uint8)
+        mark[at_a[last_a]], mark[at_b[last_b]] = ord("|"), ord(";")
+        size = self.decimals.size[token] + 1
+        stop = np.cumsum(size)
+        out = np.empty(int(stop[-1]), np.uint8)
+        out[ranges(stop - size, size - 1)] = self.decimals.joined(token)
+        out[stop - 1] = mark
+        raw, cut = out.tobytes(), np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(na + nb)])].tolist()
+        texts = [raw[x:y - 1] for x, y in zip(cut, cut[1:], strict=False)]
+        windows = np.searchsorted(last_a, np.concatenate([[0], np.cumsum(na)]))
+        return texts, links, np.diff(windows)
 
     def look_up(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
         """Entries of the windows between consecutive token offsets ``at_a``, ``at_b``."""
@@ -216,20 +226,14 @@ class Windows(Encoder):
                 self.reset()
                 continue
             if len(new):
-                for lo, n, m in zip(done[new].tolist(), na[new].tolist(), nb[new].tolist(), strict=True):
-                    ids = key[lo:lo + n + m].tolist()
-                    text, codes = self.align(ids[:n], ids[n:])
-                    self.texts.append(text)
-                    self.codes.append(codes)
-                take = np.repeat(done[new] - (np.cumsum(size[new]) - size[new]), size[new]) + np.arange(int(size[new].sum()))
-                self.add(h[new], key[take], size[new])
-                self.links = np.concatenate([self.links, *self.codes])
-                self.link_of = np.concatenate([self.link_of, self.link_of[-1] + np.cumsum([len(c) for c in self.codes])])
-                self.codes = []
+                texts, links, counts = self.align(a[ranges(at_a[new], na[new])], b[ranges(at_b[new], nb[new])], na[new], nb[new])
+                self.texts += texts
+                self.add(h[new], key[ranges(done[new], size[new])], size[new])
+                self.links = np.concatenate([self.links, links])
+                self.link_of = np.concatenate([self.link_of, self.link_of[-1] + np.cumsum(counts)])
             entry = self.find(h)
             same = self.size[entry] == size
-            held = self.pool[np.repeat(self.start[entry[same]] - (np.cumsum(size[same]) - size[same]), size[same])
-                             + np.arange(int(size[same].sum()))]
+            held = self.pool[ranges(self.start[entry[same]], size[same])]
             other = np.flatnonzero(~same)
             wrong = held != key[np.repeat(same, size)]
             if wrong.any():
@@ -269,7 +273,7 @@ class Aligner:
         entry = self.windows.look_up(a, b, at_a, at_b)
         first = np.searchsorted(anchor, of)
         lo, n = self.windows.link_of[entry], np.diff(self.windows.link_of)[entry]
-        links = self.windows.links[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        links = self.windows.links[ranges(lo, n)]
         link_of = np.concatenate([[0], np.cumsum(n)])[first]
         held, listed = self.windows.texts, entry.tolist()
         joined = [b";".join([held[e] for e in listed[x:y]]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
