@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from farebox.operators import vectors as V
 from farebox.operators.profile import global_row_number
-from farebox.session import cut_lineage
+from farebox.session import cut_lineage, share_package
 
 MOST_CELLS = 4096
 SAMPLE_ROWS = 20_000
@@ -64,6 +64,7 @@ def build(index: DataFrame, path: str, cells: int | None = None, recall: float =
     """Cluster, store and tune an index of (id, embedding, ...). ``cells``: the
     square root of the points by default, ``MOST_CELLS`` at most."""
     spark = index.sparkSession
+    share_package(spark)
     points = index.where(F.col("id").isNotNull() & F.col("embedding").isNotNull())
     n = points.count()
     cells = max(1, min(MOST_CELLS, cells or round(n ** 0.5), n))
@@ -118,6 +119,7 @@ def _block(cells: CellIndex, qids: np.ndarray, vectors: np.ndarray, k: int) -> D
     probed = cells.nearest(vectors)[:, :cells.probes]
     reads = np.zeros((len(vectors), len(cells.centres)), bool)
     np.put_along_axis(reads, probed, True, axis=1)
+    share_package(cells.spark)
     sent = cells.spark.sparkContext.broadcast((qids, vectors, reads))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from farebox import schemas as sch
 from farebox.functions import columns as C
 from farebox.functions import filters as FL
-from farebox.session import broadcast_if_small, cut_lineage
+from farebox.session import broadcast_if_small, cut_lineage, share_package
 
 DEFAULT_DIMS = 384
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -219,6 +219,7 @@ def _top_rows(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
 def _block_topk(index: DataFrame, rows: list, k: int) -> DataFrame:
     """Each index partition's k best rows for every query of one block."""
     spark = index.sparkSession
+    share_package(spark)
     bq = spark.sparkContext.broadcast((
         np.array([r["qid"] for r in rows], dtype=np.int64), _unit_rows([r["q"] for r in rows])))
 

@@ -118,6 +118,18 @@ def ship_package(spark: SparkSession) -> str:
     return target
 
 
+_SHARED: set[str] = set()
+
+
+def share_package(spark: SparkSession) -> None:
+    """``ship_package`` once per application, for functions that Python workers
+    import from this package."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHARED:
+        ship_package(spark)
+        _SHARED.add(app)
+
+
 # Largest side, in bytes of its values, that is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
