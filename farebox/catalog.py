@@ -27,13 +27,17 @@ from farebox.operators import corpus as K
 from farebox.operators import dashboard as D
 from farebox.operators import lookup as L
 from farebox.operators import medallion as M
+from farebox.operators import pages as PG
 from farebox.operators import pipeline as PL
 from farebox.operators import profile as P
 from farebox.operators import report as R
+from farebox.operators import sketches as SK
+from farebox.operators import snapshots as SN
 from farebox.operators import cells as CL
 from farebox.operators import vectors as V
 from farebox.plans import layout as LO
 from farebox.session import work_path
+from farebox.sources import compaction as CO
 from farebox.sources import csv as CSV
 from farebox.sources import fixtures as X
 from farebox.sources import layers as LY
@@ -125,6 +129,19 @@ def q_cancellation_counts(spark, sf):
     return D.cancellation_counts(gold(spark, sf))
 
 
+_LABELS = {"lab": f"SELECT * FROM (VALUES {LB.labels_sql_values()}) t(kind, status, code, label)"}
+
+
+@register("reason_short_label", O.with_layers("""
+SELECT c.reason AS reason, c.count AS count, coalesce(l.label, c.reason) AS reason_label
+FROM (SELECT unified_cancellation_reason AS reason, count(*) AS count FROM gold
+      WHERE unified_cancellation_reason <> 'Not Cancelled' GROUP BY 1) c
+LEFT JOIN lab l ON l.kind = 'reason_short' AND l.code = c.reason""", extra=_LABELS))
+def q_reason_short_label(spark, sf):
+    """A2's chart with the short labels of P17."""
+    return LB.short_reasons(D.cancellation_counts(gold(spark, sf)))
+
+
 @register("vehicle_performance", O.with_layers(f"""
 SELECT vehicle_type, count(*) AS total_rides, {_avg2('customer_rating')} AS avg_rating
 FROM gold GROUP BY vehicle_type"""))
@@ -241,6 +258,29 @@ def q_distinct_count(spark, sf):
     return P.distinct_count(eda(spark, sf))
 
 
+@register("distinct_sketch", _eda_sql("""
+SELECT coalesce(_batch_id, 'all') AS scope, count(DISTINCT booking_id) AS exact_count, true AS within_error
+FROM eda GROUP BY GROUPING SETS ((_batch_id), ())"""))
+def q_distinct_sketch(spark, sf):
+    """A13 from sketches stored per batch and over their union, held against
+    the exact counts; batch-1 is stored twice, as a rerun does."""
+    df = eda(spark, sf)
+    path = work_path(spark, "key-sketches")
+    SK.batch_sketches(df, "booking_id").write.partitionBy("_batch_id").parquet(path)
+    SK.store_sketch(df, path, "batch-1", "booking_id")
+    stored = spark.read.parquet(path)
+    est = stored.select(F.col("_batch_id").alias("scope"), F.hll_sketch_estimate("sketch").alias("estimate")) \
+        .unionByName(SK.distinct_estimate(stored).select(F.lit("all").alias("scope"),
+                                                         F.col("distinct_count").alias("estimate")))
+    exact = df.groupBy("_batch_id").agg(F.count_distinct("booking_id").alias("exact_count")) \
+        .select(F.col("_batch_id").alias("scope"), "exact_count") \
+        .unionByName(P.distinct_count(df).select(F.lit("all").alias("scope"), F.col("distinct_count").alias("exact_count")))
+    bound = 3 * SK.relative_error()
+    return exact.join(est, "scope").select(
+        "scope", "exact_count", (F.abs(F.col("estimate") - F.col("exact_count"))
+                                 <= F.col("exact_count") * bound + 1).alias("within_error"))
+
+
 def _long_union(cols, src="eda", cast="VARCHAR"):
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS {cast}) AS value FROM {src}"
                               for c in cols)
@@ -323,6 +363,18 @@ def q_rides_page(spark, sf):
     return L.rides_page(gold(spark, sf), status="Completed", page=2, size=20)
 
 
+@register("rides_page_deep", O.with_layers(f"""
+SELECT {", ".join(C.GOLD_API_NAMES)}, (SELECT count(*) FROM gold WHERE booking_status = 'Completed') AS total_count
+FROM (SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS rn FROM gold WHERE booking_status = 'Completed')
+WHERE rn > 20 * (SELECT count(*) // 40 FROM gold WHERE booking_status = 'Completed')
+  AND rn <= 20 * (SELECT count(*) // 40 + 1 FROM gold WHERE booking_status = 'Completed')"""))
+def q_rides_page_deep(spark, sf):
+    """O1 from the stored order: the page in the middle of all completed rides."""
+    path = PG.write_paged(gold(spark, sf), work_path(spark, "gold-paged"))
+    _, _, total = PG.page_ranges(spark, path, status="Completed")
+    return PG.deep_page(spark, path, status="Completed", page=total // 40 + 1, size=20)
+
+
 @register("project_rename", O.with_layers(f"SELECT {_GOLD_API} FROM gold"))
 def q_project_rename(spark, sf):
     return gold(spark, sf).select(*C.project_rename(C.GOLD_API_NAMES))
@@ -500,6 +552,23 @@ def q_step_status(spark, sf):
     return status_view(spark, sf)
 
 
+@register("step_status_compacted", _status_sql("SELECT * FROM sv"))
+def q_step_status_compacted(spark, sf):
+    """M5 over step events that arrived in many small files and were compacted."""
+    path = work_path(spark, "step-events")
+    X.step_events(spark, sf).repartition(48).write.parquet(path)
+    CO.compact(spark, path, M.sch.STEP_EVENT_SCHEMA, max_files=8)
+    return CH.step_status(spark.read.schema(M.sch.STEP_EVENT_SCHEMA).parquet(path))
+
+
+@register("run_status_label", _status_sql("""
+SELECT sv.*, coalesce(l.label, sv.status) AS status_label FROM sv
+LEFT JOIN (SELECT * FROM (VALUES """ + LB.labels_sql_values() + """) t(kind, st, code, label)) l
+  ON l.kind = 'run_status' AND l.code = sv.status"""))
+def q_run_status_label(spark, sf):
+    return LB.label_runs(status_view(spark, sf))
+
+
 @register("latest_status", _status_sql("SELECT batch_id, step, status FROM sv"))
 def q_latest_status(spark, sf):
     return CH.latest_status(X.step_events(spark, sf))
@@ -616,15 +685,27 @@ def q_apply_changes(spark, sf):
     return CH.apply_changes(gold(spark, sf), _cs(spark, sf))
 
 
-@register("snapshot_diff", O.with_layers("""
+_DIFF = """
 SELECT booking_id, 'deleted' AS change FROM kinds WHERE kind IN ('delete', 'update delete')
 UNION ALL SELECT booking_id, 'changed' FROM kinds WHERE kind IN ('update', 'delete insert')
-UNION ALL SELECT 'NEW-' || booking_id, 'inserted' FROM kinds WHERE kind IN ('insert', 'insert update')""", extra=_CS))
+UNION ALL SELECT 'NEW-' || booking_id, 'inserted' FROM kinds WHERE kind IN ('insert', 'insert update')"""
+
+
+@register("snapshot_diff", O.with_layers(_DIFF, extra=_CS))
 def q_snapshot_diff(spark, sf):
     g = gold(spark, sf)
     return CH.snapshot_diff(g, CH.apply_changes(g, _cs(spark, sf)), "booking_id")
 
 
+@register("snapshot_diff_buckets", O.with_layers(_DIFF, extra=_CS))
+def q_snapshot_diff_buckets(spark, sf):
+    """T4 of two stored snapshots, by the buckets that differ."""
+    g = gold(spark, sf)
+    before = SN.write_snapshot(g, work_path(spark, "snapshot-before"), "booking_id", 32)
+    after = SN.write_snapshot(CH.apply_changes(g, _cs(spark, sf)), work_path(spark, "snapshot-after"), "booking_id", 32)
+    return SN.diff_snapshots(spark, before, after, "booking_id")
+
+
 # --- scalar functions (P) over the layers ------------------------------------------
 
 
@@ -797,7 +878,7 @@ LEFT JOIN lab s ON s.kind = 'status' AND s.code = g.booking_status
 LEFT JOIN lab v ON v.kind = 'vehicle' AND v.code = g.vehicle_type
 LEFT JOIN lab p ON p.kind = 'payment' AND p.code = coalesce(g.payment_method, '')
 LEFT JOIN lab r ON r.kind = 'reason' AND r.code = g.unified_cancellation_reason AND r.status = g.booking_status""",
-    extra={"lab": f"SELECT * FROM (VALUES {LB.labels_sql_values()}) t(kind, status, code, label)"}))
+    extra=_LABELS))
 def q_code_label(spark, sf):
     return LB.label_rides(gold(spark, sf))
 

@@ -129,6 +129,17 @@ def label_rides(gold: DataFrame) -> DataFrame:
                           .otherwise(F.col("reason_label")))
 
 
+def short_reasons(counts: DataFrame, reason: str = "reason") -> DataFrame:
+    """P17 for charts of reasons: the short label of each as ``reason_label``;
+    an unknown reason keeps its own text."""
+    return with_label(counts, label_table(counts.sparkSession), "reason_short", reason, "reason_label")
+
+
+def label_runs(status_view: DataFrame) -> DataFrame:
+    """P17 over pipeline runs: the label of a run's status as ``status_label``."""
+    return with_label(status_view, label_table(status_view.sparkSession), "run_status", "status", "status_label")
+
+
 def labels_sql_values() -> str:
     """The label rows as a SQL VALUES list (for oracles)."""
     def q(x):

@@ -2,7 +2,8 @@
 
 A page is ``orderBy(...).offset(o).limit(n)``, which Spark plans as a
 ``TakeOrderedAndProject``: each task keeps only its best ``o + n`` rows, so
-there is no global sort. Deep pages use the keyset variant instead.
+there is no global sort. Deep pages use the keyset variant, or the stored order of
+``pages``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from farebox.session import broadcast_if_small
 DEFAULT_PAGE_SIZE = 20
 
 
-def _check_page(page: int, size: int) -> None:
+def check_page(page: int, size: int) -> None:
     if page < 1 or size < 1:
         raise ValueError("page and size must be at least 1")
 
@@ -36,7 +37,7 @@ def id_semi_join(df: DataFrame, ids: DataFrame, key: str = "booking_id") -> Data
 
 
 def page_rows(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    _check_page(page, size)
+    check_page(page, size)
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

@@ -20,6 +20,7 @@ from farebox import schemas as sch
 from farebox.functions import filters as FL
 from farebox.operators import changes as CH
 from farebox.operators import medallion as M
+from farebox.sources import compaction as CO
 from farebox.sources import csv as CSV
 from farebox.sources import layers as LY
 
@@ -64,12 +65,16 @@ class Pipeline:
     # -- status events --------------------------------------------------------
 
     def record(self, batch_id: str, step: str, status: str, rows: int | None = None,
-               error: str | None = None) -> None:
-        """M5: one step event (a single metadata row), stamped with the
-        driver's UTC clock as the source stamps its status rows."""
+               error: str | None = None, then: str | None = None) -> None:
+        """M5: a step event, stamped with the driver's UTC clock as the source
+        stamps its status rows, and with ``then`` the start of the next step in
+        the same write: two metadata rows at most."""
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        ev = self.spark.createDataFrame(
-            [(time.time_ns(), batch_id, step, status, now, rows, error)], sch.STEP_EVENT_SCHEMA)
+        seq = time.time_ns()
+        events = [(seq, batch_id, step, status, now, rows, error)]
+        if then is not None:
+            events.append((seq + 1, batch_id, then, "Processing", now, None, None))
+        ev = self.spark.createDataFrame(events, sch.STEP_EVENT_SCHEMA).coalesce(1)
         LY.append_rows(ev, self.events_path)
 
     def events(self) -> DataFrame:
@@ -78,6 +83,17 @@ class Pipeline:
     def status(self) -> DataFrame:
         return CH.step_status(self.events())
 
+    def compact_events(self, max_files: int = CO.MAX_SMALL_FILES) -> int:
+        """M5: the small event files as one, once there are more than
+        ``max_files``. The status view takes first times and latest events, so
+        a repeated event leaves it the same. A failure is logged only: the next
+        run tries again."""
+        try:
+            return CO.compact(self.spark, self.events_path, sch.STEP_EVENT_SCHEMA, max_files)
+        except Exception:  # noqa: BLE001 - the batch itself succeeded
+            log.exception("step events not compacted")
+            return 0
+
     # -- steps ------------------------------------------------------------------
 
     def to_bronze(self, batch_id: str, csv_path: str | None = None,
@@ -107,8 +123,8 @@ class Pipeline:
         """The steps from ``start`` on, each only after the previous one
         succeeded; every failure is recorded and stops the run."""
         steps = self.STEPS[self.STEPS.index(start):]
-        for step in steps:
-            self.record(batch_id, step, "Processing")
+        self.record(batch_id, start, "Processing")
+        for step, then in zip(steps, (*steps[1:], None)):
             try:
                 if step == "Bronze":
                     rows = self.to_bronze(batch_id, csv_path, raw)
@@ -119,7 +135,8 @@ class Pipeline:
             except Exception as e:  # noqa: BLE001 - any failure fails the step
                 self.record(batch_id, step, "Failed", 0, str(e))
                 return False
-            self.record(batch_id, step, "Success", rows)
+            self.record(batch_id, step, "Success", rows, then=then)
+        self.compact_events()
         if self.after_gold is not None:
             try:
                 self.after_gold(batch_id)
