@@ -33,6 +33,7 @@ from farebox.operators import profile as P
 from farebox.operators import report as R
 from farebox.operators import sketches as SK
 from farebox.operators import snapshots as SN
+from farebox.operators import summaries as SU
 from farebox.operators import cells as CL
 from farebox.operators import vectors as V
 from farebox.plans import layout as LO
@@ -318,18 +319,43 @@ def q_numeric_describe(spark, sf):
     return rounded(P.numeric_describe(eda(spark, sf)), mean=AVG_PLACES)
 
 
-@register("histogram", _eda_sql("""
+@register("describe_stored", _eda_sql(f"""
+SELECT column_name, count(value) AS count, {_avg('value')} AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min,
+       quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+       quantile_cont(value, 0.75) AS p75, max(value) AS max
+FROM lv WHERE value IS NOT NULL GROUP BY column_name""", lv=_long_union(P.NUMERIC_COLUMNS, cast="DOUBLE")))
+def q_describe_stored(spark, sf):
+    """A15 from summaries stored per batch and one pass over the rows."""
+    df = eda(spark, sf)
+    path = work_path(spark, "summaries")
+    SU.batch_summaries(df).write.partitionBy("_batch_id").parquet(path)
+    return rounded(SU.stored_describe(df, spark.read.parquet(path)), mean=AVG_PLACES, std=6)
+
+
+_HISTOGRAM = """
 SELECT b.bin AS bin, mm.lo + b.bin * ((mm.hi - mm.lo) / 40.0) AS lower,
        CASE WHEN b.bin = 39 THEN mm.hi ELSE mm.lo + (b.bin + 1) * ((mm.hi - mm.lo) / 40.0) END AS upper,
        coalesce(c.count, 0) AS count
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(40)) b CROSS JOIN mm
 LEFT JOIN (SELECT CAST(least(floor((booking_value - (SELECT lo FROM mm)) * 40.0 / ((SELECT hi FROM mm) - (SELECT lo FROM mm))), 39) AS INTEGER) AS bin,
-                  count(*) AS count FROM eda WHERE booking_value IS NOT NULL GROUP BY 1) c ON c.bin = b.bin""",
-    mm="SELECT min(booking_value) AS lo, max(booking_value) AS hi FROM eda WHERE booking_value IS NOT NULL"))
+                  count(*) AS count FROM eda WHERE booking_value IS NOT NULL GROUP BY 1) c ON c.bin = b.bin"""
+_ENDS = "SELECT min(booking_value) AS lo, max(booking_value) AS hi FROM eda WHERE booking_value IS NOT NULL"
+
+
+@register("histogram", _eda_sql(_HISTOGRAM, mm=_ENDS))
 def q_histogram(spark, sf):
     return P.histogram(eda(spark, sf), "booking_value", 40)
 
 
+@register("histogram_stored", _eda_sql(_HISTOGRAM, mm=_ENDS))
+def q_histogram_stored(spark, sf):
+    """A17 with bounds from summaries stored per batch."""
+    df = eda(spark, sf)
+    path = work_path(spark, "summaries")
+    SU.batch_summaries(df, ["booking_value"]).write.partitionBy("_batch_id").parquet(path)
+    return SU.stored_histogram(df, spark.read.parquet(path), "booking_value", 40)
+
+
 @register("kde_curve", _eda_sql("""
 SELECT CAST(g.range AS INTEGER) AS point, st.mn + g.range * ((st.mx - st.mn) / 199.0) AS x,
        avg(exp(-pow(st.mn + g.range * ((st.mx - st.mn) / 199.0) - e.booking_value, 2) / (2 * pow(st.bw, 2)))

@@ -144,9 +144,23 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     running count inside each partition. No step holds a whole column.
     Result: (column, prob, value).
     """
-    spark = df.sparkSession
     vals = _long_values_num(df, cols).where(F.col("v").isNotNull())
     counts = vals.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    return quantiles_of_counts(counts, probs, partitions).select(
+        "column_name", "prob", interpolated().alias("value"))
+
+
+def interpolated() -> Column:
+    """The quantile between its two neighbours, by ``quantiles_of_counts``."""
+    frac = F.col("pos") - F.floor("pos")
+    return F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * frac
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float] = QUARTILES,
+                        partitions: int | None = None) -> DataFrame:
+    """The values at the two ranks around each quantile, from rows (column_name,
+    v, cnt): column_name, prob, pos, lo_v, hi_v."""
+    spark = counts.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(n_parts, "column_name", "v").withColumn(
         "pid", F.spark_partition_id())
@@ -179,12 +193,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
                  & (F.col("t.rank") >= F.col("c.start"))
                  & (F.col("t.rank") < F.col("c.start") + F.col("c.cnt"))) \
         .select(F.col("t.column_name").alias("column_name"), "prob", "pos", "side", "v")
-    pivot = hit.groupBy("column_name", "prob", "pos").agg(
+    return hit.groupBy("column_name", "prob", "pos").agg(
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo_v"),
         F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi_v"))
-    frac = F.col("pos") - F.floor("pos")
-    return pivot.select("column_name", "prob",
-                        (F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * frac).alias("value"))
 
 
 def _long_values_num(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -233,10 +244,12 @@ def _bounds(df: DataFrame, col: str) -> tuple[Column, Column]:
     return lo, hi
 
 
-def histogram(df: DataFrame, col: str = "booking_value", bins: int = 40) -> DataFrame:
+def histogram(df: DataFrame, col: str = "booking_value", bins: int = 40,
+              bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """Equal-width bins over [min, max], nulls dropped, the max in the
-    last bin; empty bins included. (bin, lower, upper, count)."""
-    lo, hi = _bounds(df, col)
+    last bin; empty bins included. (bin, lower, upper, count). ``bounds``, where
+    they are known, save a pass."""
+    lo, hi = bounds or _bounds(df, col)
     v = F.col(col).cast("double")
     idx = F.least(F.floor((v - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1)).cast("int")
     counts = df.where(v.isNotNull()).groupBy(idx.alias("bin")).agg(
