@@ -18,8 +18,12 @@ it is a candidate whatever its cosine, so exact copies are all found, however
 many and however long the items are. A candidate is verified on
 words: the longest common subsequence of the item with the text around the
 window, and the answer (the item's own answer, or else its last sentence), which
-must be there too when the subsequence alone doesn't settle it. So paraphrases
-that drop, add or replace words are found, chance likeness is not.
+must be there too when the subsequence alone doesn't settle it. A shorter
+subsequence settles it if it is a paraphrase's: at least eight words, over half of
+the item by the words' IDF weight, and spread over both halves of the item, which
+neither frequent words met by chance nor a passage that the item shares in part
+come to. So paraphrases that drop, add or replace words are found, chance likeness
+is not.
 
 Items are a query set: the driver reads them in blocks of ``block`` items, and
 they go to the tasks in groups of about ``parts`` sets of directions, with a pass
@@ -64,6 +68,10 @@ class Config:
     lcs: float = 0.62           # common subsequence that settles it
     lcs_answer: float = 0.55    # ... that does if the answer is there too
     answer: float = 0.8
+    paraphrase: float = 0.5     # common subsequence of a paraphrase, in words
+    paraphrase_idf: float = 0.55    # ... in the words' IDF weight
+    each_half: float = 0.4      # ... in the IDF weight of each half of the item
+    least_words: int = 8        # ... and in number
     block: int = 5_000          # items read at once
     parts: int = 8              # sets of directions compared in one pass
     rows: int = 256             # terms per shuffled record
@@ -204,6 +212,27 @@ def common_length(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def common_weight(a: list[int], b: list[int], weight: np.ndarray) -> float:
+    """Largest weight of a common subsequence, ``weight`` being that of the words
+    of ``a``, as a share of all of it; a word of ``a`` per step."""
+    words, best = np.array(b, np.uint64), np.zeros(len(b) + 1)
+    for x, w in zip(a, weight.astype(float), strict=True):
+        step = best.copy()
+        step[1:] = np.where(words == np.uint64(x), np.maximum(best[1:], best[:-1] + w), best[1:])
+        best = np.maximum.accumulate(step)
+    return float(best[-1] / max(weight.sum(), 1e-12))
+
+
+def paraphrased(item: list[int], lcs: float, around: list[int], idf: np.ndarray, cfg: Config) -> bool:
+    """Whether a common subsequence of ``lcs`` is that of a paraphrase."""
+    n, mid = len(item), len(item) // 2
+    if lcs < cfg.paraphrase or round(lcs * n) < cfg.least_words:
+        return False
+    weight = idf[(np.array(item, np.uint64) % np.uint64(cfg.terms)).astype(np.int64)]
+    return (all(common_weight(item[part], around, weight[part]) >= cfg.each_half for part in (slice(0, mid), slice(mid, n)))
+            and common_weight(item, around, weight) >= cfg.paraphrase_idf)
+
+
 @dataclass
 class Item:
     id: int
@@ -374,10 +403,11 @@ def search(h: np.ndarray, of: np.ndarray, index: Index) -> list[tuple[int, int,
             a, b, side = int(start[near[w]]), int(end[near[w]]), len(item.words)
             around = h[max(int(of[d]), a - side):min(int(of[d + 1]), b + side)].tolist()
             lcs = common_length(item.words, around) / side
-            if lcs < cfg.lcs_answer:
+            if lcs < min(cfg.lcs_answer, cfg.paraphrase):
                 continue
             answer = common_length(item.answer, around) / len(item.answer) if item.answer else 0.0
-            if lcs >= cfg.lcs or answer >= cfg.answer:
+            if (lcs >= cfg.lcs or (lcs >= cfg.lcs_answer and answer >= cfg.answer)
+                    or paraphrased(item.words, lcs, around, index.idf, cfg)):
                 found[d, key] = max(old, (min(1.0, float(cos[w, k])), lcs, answer), key=lambda x: x[1:])
     return [(d, index.items[k].id, *v) for (d, k), v in sorted(found.items())]
 

@@ -147,9 +147,15 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(size)])
 
 
-def encode_column(col: pa.Array, path: str):
-    """For each bounded range of rows of ``col``: the rows, ids and offsets."""
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def encode_column(col: pa.Array, path: str):
+    """For each bounded range of rows of ``col``: the rows, ids and offsets."""
+    one = encoder(path)
     for lo, hi in C.slices(col):
-        yield lo, hi, *_ENCODERS[path].encode(*C.utf8(col.slice(lo, hi - lo)))
+        yield lo, hi, *one.encode(*C.utf8(col.slice(lo, hi - lo)))

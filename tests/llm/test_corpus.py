@@ -189,6 +189,27 @@ def test_packing_limits():
         assert sum(p[1] for p in parts) <= 100 and len(parts) <= 4 and sum(p[2] for p in parts) <= 40
 
 
+def test_packing_limits_of_the_query(spark, docs):
+    # every limit binds: texts of words alone, of one token, and of marks
+    more = [(90_000 + i, "word " * 700) for i in range(40)] + [(91_000 + i, "a") for i in range(400)] + [(92_000 + i, "! ? . " * 60) for i in range(20)]
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    for rows, least in ((docs.select("doc_id", "text"), 0.99), (spark.createDataFrame(more, "doc_id long, text string").coalesce(1), 0.97)):
+        ids = brute_ids(rows, "byte_bpe_50k.json", 0)
+        vocabulary = encoding.encoder(path).tokenizer
+        bears = lambda i: re.search(r"[^\W_]|[^\x00-\x7f]", vocabulary.decode([i], skip_special_tokens=False)) is not None
+        known = {i: bears(int(i)) for i in np.unique(np.concatenate(list(ids.values())))}
+        seqs = collections.defaultdict(list)
+        for r in packing.pack(rows, path).collect():
+            one = ids[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+            end = r["start"] + r["length"] == r["doc_tokens"]
+            assert r["loss_tokens"] == sum(known[i] for i in (one[:-1] if end else one)) + end
+            seqs[r["sequence_id"]].append((r["length"], r["loss_tokens"]))
+        tokens, loss, parts = ([f(x) for x in seqs.values()] for f in (lambda x: sum(p[0] for p in x), lambda x: sum(p[1] for p in x), len))
+        assert max(tokens) <= 1024 and max(loss) <= 1016 and max(parts) <= 64
+        assert sum(tokens) >= least * 1024 * (len(tokens) - 1)
+    assert max(loss) == 1016 and max(parts) == 64 and max(tokens) == 1024
+
+
 def test_orc(spark, docs, odd, none):
     ids = brute_ids(docs, "word_bpe_49k.json", 1)
     at = 0
@@ -379,6 +400,40 @@ def test_long_items_with_words_left_out(spark):
     assert [i for i in range(200) if (100_000 + i, i) not in got] == []
 
 
+def test_common_weight():
+    rnd = random.Random(6)
+    for _ in range(200):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(1, 12))] for _ in range(2))
+        w = np.array([rnd.random() for _ in a])
+        d = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = max(d[i][j + 1], d[i + 1][j], d[i][j] + w[i] if x == y else 0)
+        assert abs(decontam.common_weight(a, b, w) - d[-1][-1] / w.sum()) < 1e-9
+
+
+@pytest.mark.parametrize("seeds", [True, False])
+def test_paraphrases_with_three_words_in_ten_replaced(spark, seeds):
+    items, rows = copies(spark, 200, range(20, 61), 1)
+    text = {r["item_id"]: r["text"] for r in items.collect()}
+    plain = [w for t in text.values() for w in t.split()]
+    rnd = random.Random(21)
+    changed, part = [], []
+    for r in rows.collect():
+        item = text[r["doc_id"] - 100_000]
+        w = item.split()
+        changed.append((r["doc_id"], r["text"].replace(item, " ".join(rnd.choice(plain) if rnd.random() < 0.3 else x for x in w))))
+        # the first half of the item only, and words of the corpus instead of the second
+        part.append((r["doc_id"] + 100_000, r["text"].replace(item, " ".join([*w[:len(w) // 2], *rnd.sample(plain, len(w) - len(w) // 2)]))))
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.lit(-1).cast("long").alias("doc_id"), "text")
+    docs = spark.createDataFrame(changed + part, "doc_id long, text string").union(corpus)
+    cfg = decontam.Config() if seeds else decontam.Config(run=1_000)       # a seed is then a whole item
+    found = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.matches(docs, items, cfg).collect()}
+    assert sum((100_000 + i, i) in found for i in text) >= 0.9 * len(text)
+    # half an item is no paraphrase; where frequent words by chance make up a subsequence that settles it, it is found
+    assert [i for i in text if found.get((200_000 + i, i), 1.0) < cfg.lcs] == []
+
+
 def test_passages_and_seeds():
     cfg = decontam.Config()
     items = [decontam.Item(n, [7] * 10 + list(range(1000 * n, 1000 * n + n)), []) for n in (1, 5, 60, 700)]
