@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.session import ship_package
+from farebox.session import cut_lineage, ship_package
 
 SLICE_BYTES = 1 << 19
 #: Most bytes of an Arrow batch to a Python worker: bounds what a task holds of
@@ -80,6 +80,32 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, learn: Column
     return clean.withColumn("_share", share).filter(unit_hash("_id", seed) < F.col("_share"))
 
 
+def bounded_rows(rows: DataFrame, id_col: str, text_col: str, most: int, most_bytes: int, seed: int) -> DataFrame:
+    """Of a sample drawn by id, about ``most`` rows and ``most_bytes`` of text at most.
+
+    An id (or NULL) may hold any share of the corpus, so each gives an even part of
+    ``most``, drawn by a hash of its texts; ids with fewer rows keep them all. Rows
+    alike in all columns come once. The ids are a bounded sample, so their sizes
+    may be broadcast.
+    """
+    ids = cut_lineage(rows.groupBy(F.col(id_col).alias("_of")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).alias("_size")))
+    n = ids.count()
+    share = F.least(F.lit(1.0), F.lit(max(1.0, most / max(n, 1))) / F.col("_n"))
+    size = ids.agg(F.sum(F.col("_size") * share)).first()[0] or 0
+    ids = ids.select("_of", (share * min(1.0, most_bytes / max(size, 1))).alias("_kept"))
+    drawn = rows.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_of")))
+    return drawn.filter(unit_hash(F.xxhash64(id_col, text_col), seed) < F.col("_kept")).drop("_of", "_kept").distinct()
+
+
+def merged_tasks(docs: DataFrame, text_col: str, task_bytes: int = 1 << 30) -> int:
+    """In how many tasks a model of a fixed size is added up over all texts: some
+    per core, as each sends it whole, and so many that none reads much over
+    ``task_bytes`` of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
+
+
 # --- Arrow text -------------------------------------------------------------
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,12 +36,14 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +90,13 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -> tuple[np.ndarray, int]:
     """The sum over all tasks of a (terms, width) float matrix and of a count.
 
-    Tasks are merged so their number follows the cluster, not the input; records
-    of a row block are added up as a stream.
+    Records of a row block are added up as a stream, in two levels: first those of
+    every ``part``-th task, then their sums.
     """
     C.ready(docs.sparkSession)
     schema = "block int, n long, sums binary"
+    tasks = C.merged_tasks(docs, text_col)
+    level, blocks = math.isqrt(tasks), cfg.terms // cfg.rows
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((cfg.terms, width), np.float32 if width > 1 else np.float64), 0
@@ -104,12 +108,13 @@ def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -
                     n += per_task(total, h, of)
         by = total.astype(np.float64 if width == 1 else np.float32).reshape(cfg.terms // cfg.rows, -1)
         used = np.flatnonzero(by.any(axis=1))
+        task = TaskContext.get()
+        part = task.partitionId() % level if task else 0
         yield pa.record_batch([pa.array(np.append(used, -1), pa.int32()), pa.array([0] * len(used) + [n], pa.int64()),
-                               pa.array([by[i].tobytes() for i in used] + [b""], pa.binary())], names=["block", "n", "sums"])
+                               pa.array([by[i].tobytes() for i in used] + [b""], pa.binary()),
+                               pa.array([part] * (len(used) + 1), pa.int32())], names=["block", "n", "sums", "part"])
 
-    kind = np.float64 if width == 1 else np.float32
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
         for batch in batches:
@@ -120,10 +125,13 @@ def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()),
                                pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "n", "sums"])
 
-    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    rows = (docs.select(text_col).coalesce(tasks).mapInArrow(partial, schema)
-            .repartition(cfg.terms // cfg.rows, "block").mapInArrow(merge, schema).collect())   # the model's size
-    out, n = np.zeros((cfg.terms // cfg.rows, cfg.rows * width)), 0
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merge(batches, np.float64 if width == 1 else np.float32)
+
+    rows = (docs.select(text_col).coalesce(tasks).mapInArrow(partial, schema + ", part int")
+            .repartition(min(tasks, blocks * level), "block", "part").mapInArrow(first, schema)
+            .repartition(blocks, "block").mapInArrow(merge, schema).collect())   # the model's size
+    out, n = np.zeros((blocks, cfg.rows * width)), 0
     for r in rows:
         if r["block"] < 0:
             n += r["n"]

@@ -46,7 +46,8 @@ class Config:
     word_rows: int = 4096       # hashed words
     word_dims: int = 8
     hidden: int = 20
-    pages: int = 300            # bound on sampled pages
+    pages: int = 300            # bound on sampled page ids; twice as many pages
+    sample_bytes: int = 1 << 26 # bound on their html
     composed: int = 700         # pages composed for training
     epochs: int = 6
     batch: int = 24
@@ -282,10 +283,11 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", cfg:
     """Learns from at most about ``cfg.pages`` pages, chosen by a hash of the id,
     and ``cfg.composed`` pages composed from their texts."""
     total = pages.count()
-    sample = (pages.filter(F.col(html_col).isNotNull())
-              .filter(C.unit_hash(id_col, cfg.seed) < min(1.0, cfg.pages / max(total, 1)))
+    rank = F.when(F.col(id_col).isNull(), C.unit_hash(html_col, cfg.seed)).otherwise(C.unit_hash(id_col, cfg.seed))
+    sample = (pages.filter(F.col(html_col).isNotNull()).filter(rank < min(1.0, cfg.pages / max(total, 1)))
               .select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")))
-    rows = sorted(sample.collect(), key=lambda r: (r["id"] or "", r["html"]))     # bounded by cfg.pages
+    sample = C.bounded_rows(sample, "id", "html", 2 * cfg.pages, cfg.sample_bytes, cfg.seed)
+    rows = sorted(sample.collect(), key=lambda r: (r["id"] or "", r["html"]))     # bounded by cfg.pages and cfg.sample_bytes
     real = [p for r in rows if (p := blocks(r["html"]))]
     texts = [b.text for p in real for b in p] or ["It was a plain day.", "Read on", "Two words here, and more of them."]
     rng = np.random.default_rng(cfg.seed)

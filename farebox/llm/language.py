@@ -33,6 +33,7 @@ class Config:
     window: int = 96            # bytes read together
     hidden: int = 16            # state size per direction
     docs_per_language: int = 600  # bound on documents per language that are learned from
+    sample_bytes: int = 1 << 24 # bound on their text
     windows_per_doc: int = 4    # windows drawn from each, anywhere in the text
     batch: int = 192
     epochs: int = 7
@@ -193,6 +194,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         [(r["_lang"], min(1.0, cfg.docs_per_language / r["count"])) for r in counts], "_lang string, _share double")
     chosen = (known.join(F.broadcast(shares), "_lang")
               .filter((C.unit_hash("_id", cfg.seed) < F.col("_share")) & F.col("_text").rlike(r"\p{L}")))
+    chosen = C.bounded_rows(chosen.select("_id", "_lang", "_text"), "_id", "_text",
+                            2 * cfg.docs_per_language * len(labels), cfg.sample_bytes * len(labels), cfg.seed)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from farebox.llm import common as C
 from farebox.session import work_path
+from farebox.sources.layers import remove_path
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,7 @@ class Config:
     miss: float = 1e-7          # posterior chance at which a pair is dropped
     broadcast_ids: int = 1_000_000  # ids sent to every task at most (8 bytes each)
     rare: int = 8               # a shingle of at most so many documents is rare
+    strays: int = 1_024         # strays of a bucket that meet its members in one task
     seed: int = 6
 
     @property
@@ -328,8 +330,13 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
                      .filter(F.col("room") * 100 >= p * p * F.col("n")), "spare")
         # and their packed signatures must agree as often as pruning asks for
         agree = least_matches(cfg.hashes, t + (1 - t) / 16, cfg.miss) + 256 - cfg.hashes
-        u, v = spare.filter("label != main").alias("u"), spare.filter("rep != head").alias("v")
-        third = (u.join(v, "bucket")
+        # a bucket's strays go to its members in groups of about cfg.strays, a group to a key
+        many = (spare.filter("label != main").groupBy("bucket").agg(F.count(F.lit(1)).alias("strays"))
+                .select("bucket", F.ceil(F.col("strays") / cfg.strays).cast("int").alias("groups")))
+        u = spare.filter("label != main").join(many, "bucket").withColumn("group", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
+        v = spare.filter("rep != head").join(many, "bucket").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        u, v = u.alias("u"), v.alias("v")
+        third = (u.join(v, ["bucket", "group"])
                  .filter((F.col("u.label") != F.col("v.label")) & (F.col("u.room") >= p * F.col("v.n")) & (F.col("v.room") >= p * F.col("u.n"))
                          & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree)
                          & ~F.arrays_overlap("u.before", "v.before"))
@@ -342,6 +349,7 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     named = keep(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
                  .select(*same, "sm", "of", F.coalesce("label", "rep").alias("label")), "named")
     firsts = keep(named.groupBy("label").agg(F.min("of").alias("first")), "firsts")
+    keep.clear("signed", "named", "firsts")
     named = named.join(firsts, "label").select(*same, "sm", "first")
     rows = signed.select("doc_id", "text_hash", *same, F.md5("sig").alias("sm"))
     worded = F.col("n_shingles") > 0
@@ -356,10 +364,18 @@ class Keeper:
     """Writes a step's rows as Parquet into the shared folder and reads them back."""
 
     def __init__(self, spark: SparkSession, name: str = "near-dup") -> None:
-        self.spark, self.base, self.count = spark, work_path(spark, name), 0
+        self.spark, self.base, self.written = spark, work_path(spark, name), []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:03d}-{name}"
+        path = f"{self.base}/{len(self.written) + 1:03d}-{name}"
         df.write.parquet(path)
+        self.written.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *last: str) -> None:
+        """Remove what was written, but the last table of each of these names:
+        those that the result is still read from."""
+        kept = {name: path for name, path in self.written if name in last}
+        for _, path in self.written:
+            if path not in kept.values():
+                remove_path(self.spark, path)

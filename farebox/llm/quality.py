@@ -17,11 +17,13 @@ output's name, which then replaces them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ class Config:
     nonzero: int = 4            # entries of an index vector
     window: int = 2
     hidden: int = 24
-    sample: int = 10_000        # bound on labelled rows that the network is fitted on
+    sample: int = 10_000        # bound on labelled ids that the network is fitted on; twice as many rows
+    sample_bytes: int = 1 << 28 # bound on their text
     epochs: int = 120
     seed: int = 7
     block: int = 128            # vocabulary rows per shuffled record
@@ -56,9 +59,12 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
     """Context vectors of all hashed words over all texts, shape (rows, dims).
 
     Each task adds up its own texts and sends ``rows / block`` records; the
-    records of a block are summed as a stream, never gathered.
+    records of a block are summed as a stream, never gathered, in two levels: first
+    those of every ``width``-th task, then their sums.
     """
     C.ready(docs.sparkSession)
+    tasks = C.merged_tasks(docs, text_col)
+    width = math.isqrt(tasks)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, sign = index_vectors(cfg)
@@ -76,7 +82,8 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
                     for to, of in ((a, b), (b, a)):
                         total += np.bincount(((to * cfg.dims)[:, None] + pos[of]).ravel(),
                                              sign[of].ravel(), cfg.rows * cfg.dims)
-        yield from _blocks(total.astype(np.int64), cfg)
+        task = TaskContext.get()
+        yield from _blocks(total.astype(np.int64), cfg, task.partitionId() % width if task else 0)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -90,10 +97,10 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
                                   names=["block", "sums"])
 
     schema = "block int, sums binary"
-    # merged tasks, so the records' number follows the cluster, not the input
-    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = (docs.select(text_col).coalesce(tasks).mapInArrow(partial, schema)
-             .repartition(cfg.rows // cfg.block, "block").mapInArrow(merge, schema))
+    blocks = cfg.rows // cfg.block
+    parts = (docs.select(text_col).coalesce(tasks).mapInArrow(partial, "block int, sums binary, part int")
+             .repartition(min(tasks, blocks * width), "block", "part").mapInArrow(merge, schema)
+             .repartition(blocks, "block").mapInArrow(merge, schema))
     total = np.zeros((cfg.rows // cfg.block, cfg.block * cfg.dims), np.int64)
     for r in parts.collect():               # a fixed number of rows: the model
         total[r["block"]] += np.frombuffer(r["sums"], np.int64)
@@ -101,12 +108,13 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
 
 
-def _blocks(total: np.ndarray, cfg: Config) -> Iterator[pa.RecordBatch]:
+def _blocks(total: np.ndarray, cfg: Config, part: int) -> Iterator[pa.RecordBatch]:
     by = total.reshape(-1, cfg.block * cfg.dims)
     used = np.flatnonzero(by.any(axis=1))
     yield pa.record_batch([pa.array(used, pa.int32()),
-                           pa.array([by[i].tobytes() for i in used], pa.binary())],
-                          names=["block", "sums"])
+                           pa.array([by[i].tobytes() for i in used], pa.binary()),
+                           pa.array([part] * len(used), pa.int32())],
+                          names=["block", "sums", "part"])
 
 
 def n_features(cfg: Config) -> int:
@@ -222,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     chosen = C.bounded_labels(labels, id_col, label_col, learn, cfg.sample, cfg.seed)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
              .join(F.broadcast(chosen), "_id"))
+    texts = C.bounded_rows(texts, "_id", "_text", 2 * cfg.sample, cfg.sample_bytes, cfg.seed)
     vectors = model.vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

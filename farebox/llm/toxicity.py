@@ -33,7 +33,8 @@ class Config:
     terms: int = 1 << 17        # hashed terms
     factors: int = 4
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)  # bytes; the term of a longer word's beginning
-    sample: int = 10_000        # bound on labelled rows that the machine is fitted on
+    sample: int = 10_000        # bound on labelled ids that the machine is fitted on; twice as many rows
+    sample_bytes: int = 1 << 26 # bound on their text, so on the term sets that the driver reads
     epochs: int = 8
     rate: float = 0.1
     least_docs: int = 2         # sampled documents that hold a term, for it to count
@@ -148,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     chosen = C.bounded_labels(labels, id_col, label_col, learn, cfg.sample, cfg.seed)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
              .join(F.broadcast(chosen), "_id"))
+    texts = C.bounded_rows(texts, "_id", "_text", 2 * cfg.sample, cfg.sample_bytes, cfg.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

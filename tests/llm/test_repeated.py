@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farebox.llm import html_blocks, language, neardup, toxicity
+from farebox.llm import common as C
+from farebox.llm import decontam, html_blocks, language, neardup, quality, toxicity
+from farebox.sources.layers import path_exists
 
 
 def prose(seed, n=120):
@@ -79,3 +81,63 @@ def test_no_text_is_dropped_by_its_element():
     assert texts("<p>a<script>b</script><style>c</style></p>") == ["a"]
     path = html_blocks.blocks(f"<div class='{' '.join('c' * (i % 5 + 2) for i in range(40))} comments'>x</div>")[0].path
     assert path[-1] == "comments" and len(path) == 42
+
+
+def test_a_hot_id_gives_an_even_part_of_a_sample(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_000, F.lit(7)).when(F.col("id") < 2_500, None).otherwise(F.col("id")).alias("_id"),
+                                     F.concat(F.lit("text "), F.col("id").cast("string")).alias("_text"), F.lit(1).alias("_y"))
+    rows = rows.union(rows.filter("_id > 2900"))
+    got = C.bounded_rows(rows, "_id", "_text", 1_004, 1 << 30, 3).groupBy("_id").count().collect()
+    of = {r["_id"]: r["count"] for r in got}
+    assert all(of[i] == 1 for i in range(2_500, 3_000)) and of.get(7, 0) + of.get(None, 0) <= 20
+    few = C.bounded_rows(rows.filter("_id > 100"), "_id", "_text", 1_000, 4_500, 3)
+    assert 300 <= few.count() <= 700 - 200
+    assert C.bounded_rows(rows.limit(0), "_id", "_text", 10, 10, 3).isEmpty()
+
+
+def test_two_levels_of_sums(spark):
+    texts = [f"one two w{i} three w{i % 7} four" for i in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    cfg = quality.Config(rows=256, dims=8, block=32)
+    one, many = (quality.context_vectors(docs.repartition(n), "text", cfg) for n in (1, 40))
+    assert np.array_equal(one, many) and np.abs(one).sum() > 0
+    c = decontam.Config(passage=4)
+    (df, n), (df40, n40) = (decontam.document_frequency(docs.repartition(k), "text", c) for k in (1, 40))
+    assert n == n40 == 600 and np.array_equal(df, df40)
+
+
+def test_many_strays_meet_in_groups(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):                       # pages of one template, each with words of its own; pairs of them alike
+        own = [f"p{i // 2}x{j}" for j in range(60)]
+        own[int(rng.integers(60))] = f"q{i}"
+        docs.append((i, " ".join(base + own)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = None
+    for strays in (1, 8, 1_024):
+        got = sorted(map(tuple, neardup.cluster(rows, neardup.Config(strays=strays)).select("doc_id", "component_id").collect()))
+        assert want is None or got == want
+        want = got
+    of = dict(want)
+    assert all(of[i] == of[i + 1] for i in range(0, 60, 2))
+
+
+def test_work_tables_are_removed(spark):
+    rows = spark.createDataFrame([(i, prose(i % 3)) for i in range(9)], "doc_id long, text string")
+    seen = []
+
+    class Watched(neardup.Keeper):
+        def __init__(self, *a):
+            super().__init__(*a)
+            seen.append(self)
+
+    old, neardup.Keeper = neardup.Keeper, Watched
+    try:
+        got = neardup.cluster(rows)
+    finally:
+        neardup.Keeper = old
+    left = [name for name, path in seen[0].written if path_exists(spark, path)]
+    assert sorted(left) == ["firsts", "named", "signed"]
+    assert sorted({r["component_id"] for r in got.collect()}) == [0, 1, 2]
