@@ -25,6 +25,7 @@ from farebox.operators import adhoc as Q
 from farebox.operators import changes as CH
 from farebox.operators import corpus as K
 from farebox.operators import dashboard as D
+from farebox.operators import key_filters as KF
 from farebox.operators import lookup as L
 from farebox.operators import medallion as M
 from farebox.operators import pages as PG
@@ -1371,14 +1372,30 @@ _FIRST = {"s01": "SELECT * FROM silver WHERE _batch_id IN ('batch-0', 'batch-1')
           "g01": _G01, "b2": _B2}
 
 
-@register("insert_if_absent", O.with_layers(
-    "SELECT * FROM b2 WHERE booking_id NOT IN (SELECT booking_id FROM g01)", extra=_FIRST))
+_ABSENT = O.with_layers(
+    "SELECT * FROM b2 WHERE booking_id NOT IN (SELECT booking_id FROM g01)", extra=_FIRST)
+
+
+@register("insert_if_absent", _ABSENT)
 def q_insert_if_absent(spark, sf):
     silver = X.ride_silver(spark, sf)
     g01 = M.gold_from_silver(silver.where(F.col("_batch_id").isin("batch-0", "batch-1")))
     return M.to_gold(silver.where(F.col("_batch_id") == "batch-2"), g01, "batch-2")
 
 
+@register("insert_if_absent_filtered", _ABSENT)
+def q_insert_if_absent_filtered(spark, sf):
+    """J2 into stored gold, reading the keys of the batches that their key
+    filters do not exclude."""
+    silver = X.ride_silver(spark, sf)
+    path, filters = work_path(spark, "filtered-gold"), work_path(spark, "key-filters")
+    M.gold_from_silver(silver.where(F.col("_batch_id").isin("batch-0", "batch-1"))) \
+        .write.partitionBy("_batch_id").parquet(path)
+    KF.key_filters(spark.read.parquet(path)).write.partitionBy("_batch_id").parquet(filters)
+    return KF.to_gold(silver.where(F.col("_batch_id") == "batch-2"), spark.read.parquet(path),
+                      LY.batch_names(spark, path), KF.read_filters(spark, filters), "batch-2")
+
+
 @register("first_wins_dedup", O.with_layers("SELECT * FROM gold"))
 def q_first_wins_dedup(spark, sf):
     """W2 over all batches: the first loaded row of every key."""

@@ -38,13 +38,6 @@ REFUSALS = {
     "Drop the table": "SELECT 'ERROR: Only SELECT queries allowed' LIMIT 1;",
     "Hello how are you?": "SELECT 'ERROR: Only data queries allowed' LIMIT 1;",
 }
-UI_QUESTIONS = [
-    "Show me the latest 10 completed rides",
-    "What is the total revenue from all rides?",
-    "Average customer rating for Go Mini vehicles",
-    "Top 5 cancellation reasons by customers",
-    "How many rides were paid by UPI?",
-]
 # --- end of fixed values ---
 
 

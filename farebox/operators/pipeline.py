@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from farebox import schemas as sch
 from farebox.functions import filters as FL
 from farebox.operators import changes as CH
+from farebox.operators import key_filters as KF
 from farebox.operators import medallion as M
 from farebox.sources import compaction as CO
 from farebox.sources import csv as CSV
@@ -45,6 +46,9 @@ class Pipeline:
     # Called with the batch id after its gold step succeeded (e.g. to refresh
     # the dashboard's per-batch contributions); its failure is logged only.
     after_gold: Callable[[str], None] | None = None
+    # Keep key filters beside gold, so that a batch reads only the keys of the
+    # batches that may hold one of its own.
+    key_filters: bool = False
 
     @property
     def bronze_path(self) -> str:
@@ -58,6 +62,10 @@ class Pipeline:
     def gold_path(self) -> str:
         return f"{self.root}/gold"
 
+    @property
+    def filters_path(self) -> str:
+        return f"{self.root}/gold_key_filters"
+
     @property
     def events_path(self) -> str:
         return f"{self.root}/step_events"
@@ -113,8 +121,16 @@ class Pipeline:
         s = LY.layer_scan(self.spark, self.silver_path, batch_id)
         gold = (LY.layer_scan(self.spark, self.gold_path)
                 if LY.path_exists(self.spark, self.gold_path) else None)
-        g = rating_guarded(M.to_gold(s, gold, batch_id))
-        return LY.batch_replace(g, self.gold_path, batch_id)
+        if not self.key_filters:
+            return LY.batch_replace(rating_guarded(M.to_gold(s, gold, batch_id)), self.gold_path, batch_id)
+        g = rating_guarded(KF.to_gold(s, gold, LY.batch_names(self.spark, self.gold_path),
+                                     KF.read_filters(self.spark, self.filters_path), batch_id))
+        # without filters the batch is always read, also if the run ends in between
+        KF.drop_filters(self.spark, self.filters_path, batch_id)
+        rows = LY.batch_replace(g, self.gold_path, batch_id)
+        if rows:
+            KF.store_filters(LY.layer_scan(self.spark, self.gold_path, batch_id), self.filters_path, batch_id)
+        return rows
 
     STEPS = ("Bronze", "Silver", "Gold")
 

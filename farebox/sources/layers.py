@@ -3,6 +3,8 @@ batch replacement."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def _partition_dir(path: str, batch_col: str, batch_id: str) -> str:
     return f"{path.rstrip('/')}/{batch_col}={batch_id}"
 
 
+def batch_names(spark: SparkSession, path: str, batch_col: str = BATCH_COL) -> list[str]:
+    """The batches of a layer, from the names of its folders; no file is opened.
+    The partition without a batch is none."""
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    names = [unquote(n.partition("=")[2]) for n in names if n.startswith(f"{batch_col}=")]
+    return sorted(n for n in names if n != NULL_PARTITION)
+
+
 def batch_replace(df: DataFrame, path: str, batch_id: str, batch_col: str = BATCH_COL) -> int:
     """Replace one batch of a layer, idempotently; returns rows written.
 
