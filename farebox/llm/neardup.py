@@ -8,9 +8,11 @@ signatures are read batch by batch, and the pair is dropped as soon as the
 posterior chance of a similarity at the threshold falls below the miss
 probability; survivors are verified exactly on the full shingle sets. Links form
 components. Members of a bucket that are still in different components are then
-compared too, if their rare shingles and packed signatures allow a link; so a link is lost only where every band misses it, or the pruning
-does: at the defaults a pair at similarity 0.8 is missed with a chance under
-4e-6, plus 1e-7 by pruning.
+compared too, if their rare shingles and packed signatures allow a link: on their
+shingle sets within the bucket's join, which makes no rows but links and leaves
+one of them for each two components. So a link is lost only where every band
+misses it, or the pruning does: at the defaults a pair at similarity 0.8 is missed
+with a chance under 4e-6, plus 1e-7 by pruning.
 
 At scale: band rows are aggregated before they are shuffled, hot buckets are
 joined with a row per bucket (a join Spark can split), components are found by
@@ -316,17 +318,18 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         # (100 + p) * rare(u) <= 100 * |u| - p * |v|, and the same for v.
         ids = keep(apart.select(F.col("rep").alias("doc_id")).distinct(), "ids")
         rows = keep(shingle_rows(texts_of(texts, ids, ids.count(), reps, cfg), cfg), "shingles")
-        rare = keep(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= cfg.rare), "shingle"), "rare")
-        alone = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-        shared = rare.filter("n > 1").select("shingle", "rep")
+        counted = keep(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle"), "counted")
+        is_rare = F.col("n") <= cfg.rare
+        parts = counted.groupBy("rep").agg(F.count_if(is_rare).alias("alone"), F.collect_list(F.when(~is_rare, F.col("shingle"))).alias("common"))
+        shared = counted.filter(is_rare & (F.col("n") > 1)).select("shingle", "rep")
         shared = (shared.select("shingle", F.col("rep").alias("a")).join(shared.select("shingle", F.col("rep").alias("b")), "shingle")
                   .filter("a < b").select("a", "b"))
         p, t = cfg.percent, cfg.percent / 100
         # a pair is compared in the first bucket that it shares
-        spare = keep(apart.join(sigs.withColumn("bands", bands).drop("sig"), "rep").join(alone, "rep", "left")
-                     .select("bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED,
+        spare = keep(apart.join(sigs.withColumn("bands", bands).drop("sig"), "rep").join(parts, "rep")
+                     .select("bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED, "common",
                              F.slice("bands", F.lit(1), F.col("band")).alias("before"),
-                             (100 * F.col("n_shingles") - (100 + p) * F.coalesce("alone", F.lit(0))).alias("room"))
+                             (100 * F.col("n_shingles") - (100 + p) * F.col("alone")).alias("room"))
                      .filter(F.col("room") * 100 >= p * p * F.col("n")), "spare")
         # and their packed signatures must agree as often as pruning asks for
         agree = least_matches(cfg.hashes, t + (1 - t) / 16, cfg.miss) + 256 - cfg.hashes
@@ -336,14 +339,20 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
         u = spare.filter("label != main").join(many, "bucket").withColumn("group", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
         v = spare.filter("rep != head").join(many, "bucket").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         u, v = u.alias("u"), v.alias("v")
-        third = (u.join(v, ["bucket", "group"])
-                 .filter((F.col("u.label") != F.col("v.label")) & (F.col("u.room") >= p * F.col("v.n")) & (F.col("v.room") >= p * F.col("u.n"))
-                         & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree)
-                         & ~F.arrays_overlap("u.before", "v.before"))
-                 .select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")))
-        third = third.union(labelled(labelled(shared, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")).distinct()
+        # and then the sets themselves: the rest of a pair not listed by a rare
+        # shingle holds all that it shares, so the join makes links only, and of
+        # those between two components one is enough
+        sharing = F.size(F.array_intersect("u.common", "v.common"))
+        direct = (u.join(v, ["bucket", "group"])
+                  .filter((F.col("u.label") != F.col("v.label")) & (F.col("u.room") >= p * F.col("v.n")) & (F.col("v.room") >= p * F.col("u.n"))
+                          & ((F.col("u.rep") < F.col("v.rep")) | (F.col("v.label") == F.col("v.main"))) & (agreeing("u", "v") >= agree)
+                          & ~F.arrays_overlap("u.before", "v.before") & ((100 + p) * sharing >= p * (F.col("u.n") + F.col("v.n"))))
+                  .groupBy(F.least("u.label", "v.label").alias("la"), F.greatest("u.label", "v.label").alias("lb"))
+                  .agg(F.min(F.struct(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"))).alias("one")).select("one.a", "one.b"))
+        direct = keep(direct, "links")
+        third = labelled(labelled(shared, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b").distinct()
         third = keep(third.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
-        found = verified(third)
+        found = direct.union(verified(third))
         if not found.isEmpty():
             labels = components(links.union(found), keep)
     named = keep(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")

@@ -141,3 +141,45 @@ def test_work_tables_are_removed(spark):
     left = [name for name, path in seen[0].written if path_exists(spark, path)]
     assert sorted(left) == ["firsts", "named", "signed"]
     assert sorted({r["component_id"] for r in got.collect()}) == [0, 1, 2]
+
+
+def test_strays_of_a_large_group_make_no_row_a_pair(spark):
+    """Pages of one text, each with words of its own, most pairs just below the
+    threshold: the compared pairs aren't written, the components are those of all pairs."""
+    rng = np.random.default_rng(9)
+    base, sets, rows = [f"w{i}" for i in range(100)], [], []
+    for i in range(240):
+        words = list(base)
+        for at in rng.choice(100, 2, replace=False):
+            words[at] = f"v{i}x{at}"
+        sets.append({tuple(words[j:j + 4]) for j in range(97)})
+        rows.append((i, " ".join(words)))
+    of = list(range(240))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in range(240):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = root(i), root(j)
+                of[max(x, y)] = min(x, y)
+    counts = []
+
+    class Watched(neardup.Keeper):
+        def __call__(self, df, name):
+            out = super().__call__(df, name)
+            counts.append((name, out.count()))
+            return out
+
+    old, neardup.Keeper = neardup.Keeper, Watched
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in neardup.cluster(
+            spark.createDataFrame(rows, "doc_id long, text string"), neardup.Config(words=4)).collect()}
+    finally:
+        neardup.Keeper = old
+    assert got == {i: root(i) for i in range(240)}
+    assert any(name == "spare" and n > 0 for name, n in counts)
+    assert [n for name, n in counts if name == "pairs"][-1] < 240
