@@ -80,9 +80,12 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 2048):      # the library's results are many times their ids
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + 2048], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entries of the hashes; -1 for those not yet met."""
@@ -154,8 +157,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_column(col: pa.Array, path: str):
-    """For each bounded range of rows of ``col``: the rows, ids and offsets."""
+def encode_column(col: pa.Array, path: str, limit: int = C.SLICE_BYTES):
+    """For each range of rows of ``col`` of about ``limit`` bytes: the rows, ids and offsets."""
     one = encoder(path)
-    for lo, hi in C.slices(col):
+    for lo, hi in C.slices(col, limit):
         yield lo, hi, *one.encode(*C.utf8(col.slice(lo, hi - lo)))

@@ -52,6 +52,9 @@ class Limits:
     waiting: int = 2048         # examples a task keeps waiting at most, about
 
 
+#: Text encoded at a time, and an eighth of the ids given out at a time: what a
+#: task holds beside the waiting examples and the table of units.
+PIECE_BYTES = 1 << 17
 _BEARING: dict[str, np.ndarray] = {}
 _LEARNED = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
@@ -199,7 +202,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         def examples() -> Iterator[tuple[object, np.ndarray, int | np.ndarray]]:
             for batch in batches:
                 keys, losses = batch.column("id").to_pylist(), batch.column("loss").to_pylist()
-                for lo, hi, ids, of in encoding.encode_column(batch.column("text"), tokenizer):
+                pa.default_memory_pool().release_unused()
+                for lo, hi, ids, of in encoding.encode_column(batch.column("text"), tokenizer, PIECE_BYTES):
                     for i in range(lo, hi):
                         one = np.append(ids[of[i - lo]:of[i - lo + 1]], np.uint32(end_id)).astype(np.uint32)
                         if losses[i] is None:
@@ -216,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         for p in pack_ids(examples(), limits, first):
             out.append(p)
             size += len(p[-1])
-            if size > 8 * C.SLICE_BYTES:
+            if size > 8 * PIECE_BYTES:
                 yield _batch(out)
                 out, size = [], 0
         yield _batch(out)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
-from farebox.llm import decontam, html_blocks, language, neardup, quality, toxicity
+from farebox.llm import decontam, encoding, html_blocks, language, neardup, quality, toxicity
 from farebox.sources.layers import path_exists
 
 
@@ -183,3 +183,22 @@ def test_strays_of_a_large_group_make_no_row_a_pair(spark):
     assert got == {i: root(i) for i in range(240)}
     assert any(name == "spare" and n > 0 for name, n in counts)
     assert [n for name, n in counts if name == "pairs"][-1] < 240
+
+
+def test_new_units_reach_the_library_in_bounded_calls():
+    from farebox.llm.queries import tokenizer_path
+    one = encoding.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [f" word{i}" for i in range(5_000)] + [""]
+    want = [e.ids for e in one.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    calls, real = [], one.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, part, **more):
+            calls.append(len(part))
+            return real.encode_batch_fast(part, **more)
+
+    one.tokenizer = Counted()
+    ids, size = one.whole(texts)
+    assert max(calls) <= 2048 and sum(calls) == len(texts)
+    assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in one.whole([])] == [0, 0]
