@@ -727,9 +727,9 @@ def q_snapshot_diff(spark, sf):
 @register("snapshot_diff_buckets", O.with_layers(_DIFF, extra=_CS))
 def q_snapshot_diff_buckets(spark, sf):
     """T4 of two stored snapshots, by the buckets that differ."""
-    g = gold(spark, sf)
+    g = X.stored_gold(spark, sf)
     before = SN.write_snapshot(g, work_path(spark, "snapshot-before"), "booking_id", 32)
-    after = SN.write_snapshot(CH.apply_changes(g, _cs(spark, sf)), work_path(spark, "snapshot-after"), "booking_id", 32)
+    after = SN.write_snapshot(CH.apply_changes(g, X.change_set(spark, sf, g)), work_path(spark, "snapshot-after"), "booking_id", 32)
     return SN.diff_snapshots(spark, before, after, "booking_id")
 
 
@@ -1271,9 +1271,9 @@ FROM hit ORDER BY {_NEWEST} LIMIT 20""", extra={
     "top": "SELECT booking_id FROM sc ORDER BY score DESC, id LIMIT 5",
     "hit": "SELECT * FROM gold WHERE booking_id IN (SELECT booking_id FROM top)"}))
 def q_semantic_rides(spark, sf):
-    src, idx = _sync(spark, sf)
-    index = V.apply_sync(src, idx)
-    return V.semantic_rides(gold(spark, sf), index, _SEARCH_TEXT)
+    g = X.stored_gold(spark, sf)
+    index = V.apply_sync(*X.vector_sync_fixture(spark, sf, g))
+    return V.semantic_rides(g, index, _SEARCH_TEXT)
 
 
 # --- streams --------------------------------------------------------------------
@@ -1293,9 +1293,9 @@ def q_stream_ingest(spark, sf):
 SELECT id, reason, booking_id, true AS has_vector FROM idx WHERE id NOT IN (SELECT id FROM orph)
 UNION ALL SELECT id, reason, booking_id, true FROM miss"""))
 def q_stream_vector_sync(spark, sf):
-    src, idx = _sync(spark, sf)
     gold_path = work_path(spark, "gold")
     gold(spark, sf).write.parquet(gold_path)
+    _, idx = X.vector_sync_fixture(spark, sf, spark.read.parquet(gold_path))
     index = ST.VectorIndex(spark, work_path(spark, "index"))
     index.write(idx)
     ST.stream_vector_sync(spark, gold_path, index, available_now=True).awaitTermination()

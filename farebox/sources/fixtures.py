@@ -61,6 +61,15 @@ def ride_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medallion.gold_from_silver(ride_silver(spark, sf_dir))
 
 
+def stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ride_gold`` written once and read from there, for what reads it more
+    than once: each read would derive it from the events anew."""
+    from farebox.session import work_path
+    path = work_path(spark, "ride-gold")
+    ride_gold(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # Raw CSV text of the ride fixture, with the quirks of hand-made files:
 # flags as 1 / 0 / 1.0 / ' 1' / '' / NULL, numbers with blanks, thousands
 # commas, exponents, junk and Java float suffixes, dates in two layouts and
@@ -143,8 +152,9 @@ def key_digits(c: str = "booking_id"):
     return F.regexp_extract(F.col(c), r"(\d+)", 1).cast("long")
 
 
-def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change set over gold, by the key's digits (the first that divides them):
+def change_set(spark: SparkSession, sf_dir: str, gold: DataFrame | None = None) -> DataFrame:
+    """Change set over gold (``gold``, where already stored), by the key's digits
+    (the first that divides them):
 
     * 101: delete; 97: update (to Cancelled by Driver / 'Other Issue');
     * 89: insert of a copy under the key 'NEW-' + key;
@@ -154,7 +164,7 @@ def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     seq = 3 x digits, plus 1 for the second operation of a key.
     """
-    g = ride_gold(spark, sf_dir).withColumn("_d", key_digits())
+    g = (gold if gold is not None else ride_gold(spark, sf_dir)).withColumn("_d", key_digits())
     kind = F.lit(None).cast("string")
     for mod, name in ((73, "update delete"), (79, "insert update"), (83, "delete insert"),
                       (89, "insert"), (97, "update"), (101, "delete")):
@@ -246,8 +256,9 @@ def ride_csv_folder(spark: SparkSession, sf_dir: str, base: str | None = None) -
     return base, batches
 
 
-def vector_sync_fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(source, index) for the vector sync, both derived from gold.
+def vector_sync_fixture(spark: SparkSession, sf_dir: str, gold: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source, index) for the vector sync, both derived from gold (``gold``,
+    where already stored).
 
     source = cancelled rides; index = cancelled rides whose key digits mod 5
     are not 0 (the rest are missing), rides that are not cancelled and whose
@@ -256,7 +267,7 @@ def vector_sync_fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     """
     from farebox.functions import columns as C
     from farebox.operators import vectors as V
-    g = ride_gold(spark, sf_dir).withColumn("_d", key_digits())
+    g = (gold if gold is not None else ride_gold(spark, sf_dir)).withColumn("_d", key_digits())
     source = V.sync_source(g)
     reason = F.col("unified_cancellation_reason")
     point = [F.col("id"), F.col("embedding"), reason.alias("reason"), F.col("booking_id")]
