@@ -25,6 +25,34 @@ def test_ingest_stream_equals_batch_and_restart_adds_nothing(spark, sf):
     assert pipe.events().count() == events
 
 
+def test_ingest_names_a_batch_once_a_file(spark, monkeypatch):
+    """The batch id comes from the path, so it's made for files, not for rows."""
+    from pyspark.sql import functions as F
+    from farebox import schemas as sch
+    from farebox.sources import csv as CSV
+    folder = work_path(spark, "many-rows")
+    rows = spark.range(400).select((F.col("id") % 2).alias("part"), *[F.col("id").cast("string").alias(c) for c in sch.CSV_COLUMNS])
+    CSV.write_csv(rows, folder, partition_by="part")
+    calls, of = spark.sparkContext.accumulator(0), ST.batch_of
+
+    def counted(path):
+        def one(p):
+            calls.add(1)
+            return p
+        return of(F.udf(one, "string")(path))
+
+    class Runs:
+        seen = []
+
+        def run(self, batch, path):
+            self.seen.append((batch, path))
+
+    monkeypatch.setattr(ST, "batch_of", counted)
+    ST.stream_ingest(spark, f"{folder}/*", Runs(), available_now=True).awaitTermination()
+    assert len(Runs.seen) == len(set(Runs.seen)) == 2 == calls.value
+    assert all(b.startswith("part-") and p.endswith(".csv") for b, p in Runs.seen)
+
+
 def test_dashboard_stream_totals_equal_batch(spark, sf):
     gold_path = work_path(spark, "dash-gold")
     g = X.ride_gold(spark, sf)
