@@ -8,7 +8,9 @@ bounded number of bytes, so a task's memory does not follow the batch size, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,37 @@ def ready(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+# --- what a Python worker keeps -----------------------------------------------
+
+#: Called to let go of what an operator keeps from task to task, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+_WORKER_OF = [""]
+
+
+def begin(operator: str) -> None:
+    """To be called as a task of ``operator`` begins, or at each of its batches. A
+    Python worker serves all operators of an application in turn: what others keep
+    is let go, and free memory goes back to the system."""
+    if _WORKER_OF[0] == operator:
+        return
+    first, _WORKER_OF[0] = not _WORKER_OF[0], operator
+    for name, clear in KEPT.items():
+        if name != operator:
+            clear()
+    if not first:
+        trim()
+
+
+def trim() -> None:
+    """Free memory of Python, Arrow and the C library goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass
+
+
 # --- folds and samples ------------------------------------------------------
 
 def id_crc(col: str | Column) -> Column:

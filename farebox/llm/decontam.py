@@ -99,6 +99,7 @@ def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -
     level, blocks = math.isqrt(tasks), cfg.terms // cfg.rows
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("decontamination")
         total, n = np.zeros((cfg.terms, width), np.float32 if width > 1 else np.float64), 0
         for batch in batches:
             col = batch.column(0)
@@ -115,6 +116,7 @@ def _summed(docs: DataFrame, text_col: str, per_task, width: int, cfg: Config) -
                                pa.array([part] * (len(used) + 1), pa.int32())], names=["block", "n", "sums", "part"])
 
     def merge(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[pa.RecordBatch]:
+        C.begin("decontamination")
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
         for batch in batches:
@@ -451,6 +453,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), id_co
             index = build_index(some, idf, factor, cfg)
 
             def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+                C.begin("decontamination")
                 for batch in batches:
                     col, got = batch.column("text"), []
                     ids = batch.column("id").to_pylist()

@@ -198,6 +198,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                             2 * cfg.docs_per_language * len(labels), cfg.sample_bytes * len(labels), cfg.seed)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("language")
         for batch in batches:
             for lo, hi in C.slices(batch.column("_text")):
                 part = batch.slice(lo, hi - lo)
@@ -234,6 +235,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", cfg: C
 
     @F.arrow_udf("struct<lang:string, score:double>")
     def label(text: pa.Array) -> pa.Array:
+        C.begin("language")
         p = classify(text, net, cfg)
         best = p.argmax(axis=1)
         return pa.StructArray.from_arrays(

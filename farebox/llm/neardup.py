@@ -145,6 +145,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: Config) -> DataFrame:
     C.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("near_duplicates")
         for batch in batches:
             col = batch.column("text")
             for lo, hi, shingle, of, seq in sets(col, cfg.words):
@@ -187,6 +188,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
     both = both.filter((100 * F.least("na", "nb") >= cfg.percent * F.greatest("na", "nb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("near_duplicates")
         steps = fewest(cfg)
         for batch in batches:
             for lo in range(0, len(batch), 4096):
@@ -209,6 +211,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("near_duplicates")
         for batch in batches:
             linked = np.zeros(len(batch), bool)
             for lo, hi in C.slices(batch.column("ta"), C.SLICE_BYTES // 2):
@@ -232,6 +235,7 @@ def shingle_rows(texts: DataFrame, cfg: Config) -> DataFrame:
     C.ready(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("near_duplicates")
         for batch in batches:
             rep = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, shingle, of, _ in sets(batch.column("text"), cfg.words):

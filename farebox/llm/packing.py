@@ -197,6 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), loss.alias("loss"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("encoding")
         bears = bearing(tokenizer)
 
         def examples() -> Iterator[tuple[object, np.ndarray, int | np.ndarray]]:

@@ -67,6 +67,7 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
     width = math.isqrt(tasks)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("quality")
         pos, sign = index_vectors(cfg)
         total = np.zeros(cfg.rows * cfg.dims)
         for batch in batches:
@@ -86,6 +87,7 @@ def context_vectors(docs: DataFrame, text_col: str, cfg: Config) -> np.ndarray:
         yield from _blocks(total.astype(np.int64), cfg, task.partitionId() % width if task else 0)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("quality")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -234,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     vectors = model.vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("quality")
         for batch in batches:
             x = features(batch.column("_text"), vectors, cfg)
             yield pa.record_batch([batch.column("_id").cast(pa.int64()), batch.column("_y"), batch.column("_share"),
@@ -258,6 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def probability(text: pa.Array) -> pa.Array:
+        C.begin("quality")
         return pa.array(model.probability(features(text, model.vectors, cfg)), pa.float64())
 
     return (docs.withColumn("score", probability(F.col(text_col)))

@@ -202,3 +202,41 @@ def test_new_units_reach_the_library_in_bounded_calls():
     assert max(calls) <= 2048 and sum(calls) == len(texts)
     assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert [len(x) for x in one.whole([])] == [0, 0]
+
+
+def test_a_worker_lets_go_of_what_other_operators_keep(monkeypatch):
+    from farebox.llm.queries import tokenizer_path
+    monkeypatch.setattr(C, "_WORKER_OF", [""])
+    trims = []
+    monkeypatch.setattr(C, "trim", lambda: trims.append(1))
+    C.begin("encoding")
+    one = encoding.encoder(tokenizer_path("byte_bpe_50k.json"))
+    C.begin("encoding")
+    assert encoding.encoder(tokenizer_path("byte_bpe_50k.json")) is one and not trims      # kept from task to task
+    C.begin("decontamination")
+    assert not encoding._ENCODERS and len(trims) == 1
+    C.begin("decontamination")
+    assert len(trims) == 1
+
+
+@pytest.mark.parametrize("operator", ["decontamination", "quality", "near_duplicates", "encoding"])
+def test_tasks_of_the_pipeline_say_whose_they_are(spark, operator):
+    """Each names itself at its start, in the worker, where an encoder may be left."""
+    docs = spark.createDataFrame([(i, prose(i)) for i in range(6)], "doc_id long, text string")
+    from farebox.llm import packing
+    from farebox.llm.queries import tokenizer_path
+    made = {"decontamination": lambda: decontam.matches(docs, docs.selectExpr("doc_id AS item_id", "text")),
+            "quality": lambda: quality.score(docs, quality.Model(quality.Config(), np.zeros((8192, 64), np.float32), 0.5)).select("doc_id", "score"),
+            "near_duplicates": lambda: neardup.sign(docs, "doc_id", "text", neardup.Config()),
+            "encoding": lambda: packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))}[operator]()
+    # the worker that runs this after it tells what it served last
+
+    def served(batches):
+        import pyarrow as pa
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([C._WORKER_OF[0]])], names=["of"])
+
+    made.collect()
+    rows = spark.range(0, 64, 1, 64).mapInArrow(served, "of string").collect()
+    assert operator in {r["of"] for r in rows}
