@@ -22,7 +22,7 @@ from farebox.session import cut_lineage, ship_package
 SLICE_BYTES = 1 << 19
 #: Most bytes of an Arrow batch to a Python worker: bounds what a task holds of
 #: long texts on either side, whatever the number of rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)          # odd multiplier of the rolling hash
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,6 +67,12 @@ def begin(operator: str) -> None:
 def trim() -> None:
     """Free memory of Python, Arrow and the C library goes back to the system."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow and the C library goes back to the system; cheap enough
+    to be called at each batch."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -6,8 +6,8 @@ letters, digits and marks meet, and around a line break between non-spaces. The
 units between such cuts are encoded by the library once per worker and looked up
 by a 64-bit hash afterwards; whatever stands between cuts that can't be told this
 way (other scripts, apostrophes, runs of white space) is one longer unit, so the
-ids are always those of the whole text. The table of units has a fixed size and
-starts anew when it is full. The vocabulary file is a parameter and stays where
+ids are always those of the whole text. The table of units has a fixed size, is
+touched only as far as it is filled, and starts anew when it is full. The vocabulary file is a parameter and stays where
 it is. Strings of special tokens in a text are ordinary text; NULL is empty.
 """
 
@@ -68,16 +68,20 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.kind = np.uint16 if top < 1 << 16 else np.uint32
         self.slots = slots
+        self.at = np.empty(slots, np.int32)               # slot -> entry
+        self.keys = np.empty(slots, np.uint64)            # entry -> hash
+        self.start = np.empty(slots + 1, np.uint32)       # entry -> ids in the pool, up to the next one's
+        self.pool = np.empty(0, self.kind)
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.at = np.full(self.slots, -1, np.int32)       # slot -> entry
-        self.start = np.zeros(1 << 16, np.int64)          # entry -> ids in the pool
-        self.size = np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.entries = self.used = 0
+        self.at.fill(-1)
+        if len(self.pool) != 8 * self.slots:              # new, or grown by a very long text
+            self.pool = np.empty(8 * self.slots, self.kind)
+        self.start[0] = self.entries = self.used = 0
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -92,21 +96,20 @@ class Encoder:
         """Entries of the hashes; -1 for those not yet met."""
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         entry = self.at[slot]
-        todo = np.flatnonzero((entry >= 0) & (self.keys[slot] != h))
+        todo = np.flatnonzero((entry >= 0) & (self.keys[entry] != h))
         while len(todo):
             slot[todo] = (slot[todo] + 1) & (self.slots - 1)
             entry[todo] = self.at[slot[todo]]
-            todo = todo[(entry[todo] >= 0) & (self.keys[slot[todo]] != h[todo])]
+            todo = todo[(entry[todo] >= 0) & (self.keys[entry[todo]] != h[todo])]
         return entry
 
     def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         n, first = len(h), self.entries
-        while first + n > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.start[first:first + n] = self.used + np.cumsum(size) - size
-        self.size[first:first + n] = size
+        if self.used + len(ids) > len(self.pool):
+            old, self.pool = self.pool, np.empty(self.used + len(ids), self.kind)
+            self.pool[:self.used] = old[:self.used]
+        self.keys[first:first + n] = h
+        self.start[first + 1:first + n + 1] = self.used + np.cumsum(size)
         self.pool[self.used:self.used + len(ids)] = ids
         self.entries, self.used = first + n, self.used + len(ids)
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
@@ -114,7 +117,6 @@ class Encoder:
         while len(todo):       # of several that want a free slot, one gets it
             free = todo[self.at[slot[todo]] < 0]
             self.at[slot[free]] = first + free
-            self.keys[slot[free]] = h[free]
             todo = todo[self.at[slot[todo]] != first + todo]
             slot[todo] = (slot[todo] + 1) & (self.slots - 1)
 
@@ -138,12 +140,13 @@ class Encoder:
                 return self.encode(data, offsets) if len(keys) < self.slots // 2 else self._each(data, offsets)
             self.add(keys, *self.whole(texts))
             entry[new] = self.find(h[new])
-        size = self.size[entry].astype(np.int64)
+        at = self.start[entry].astype(np.int64)
+        size = self.start[entry + 1] - at
         done = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=done[1:])
-        idx = np.repeat(self.start[entry] - done[:-1], size)
+        idx = np.repeat(at - done[:-1], size)
         idx += np.arange(len(idx))
-        return self.pool[idx], done[of]
+        return self.pool[idx].astype(np.uint32), done[of]
 
     def _each(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()

@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         def examples() -> Iterator[tuple[object, np.ndarray, int | np.ndarray]]:
             for batch in batches:
                 keys, losses = batch.column("id").to_pylist(), batch.column("loss").to_pylist()
-                pa.default_memory_pool().release_unused()
+                C.give_back()
                 for lo, hi, ids, of in encoding.encode_column(batch.column("text"), tokenizer, PIECE_BYTES):
                     for i in range(lo, hi):
                         one = np.append(ids[of[i - lo]:of[i - lo + 1]], np.uint32(end_id)).astype(np.uint32)

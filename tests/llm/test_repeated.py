@@ -240,3 +240,64 @@ def test_tasks_of_the_pipeline_say_whose_they_are(spark, operator):
     made.collect()
     rows = spark.range(0, 64, 1, 64).mapInArrow(served, "of string").collect()
     assert operator in {r["of"] for r in rows}
+
+
+def test_the_table_of_units_takes_little_more_than_its_units():
+    """Anonymous memory of a worker: 400,000 units, their ids and the slots."""
+    import subprocess
+    import sys
+    code = """
+import random, re
+import numpy as np
+import pyarrow as pa
+from farebox.llm import common as C
+from farebox.llm import encoding
+from farebox.llm.queries import tokenizer_path
+def held():
+    C.trim()
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+one, chance = encoding.Encoder(tokenizer_path("byte_bpe_50k.json")), random.Random(1)
+one.encode(*C.utf8(pa.array([" a b"])))
+before = held() - one.at.nbytes / (1 << 20)
+for _ in range(100):
+    one.encode(*C.utf8(pa.array([" ".join("".join(chance.choices("abcdefghij", k=8)) for _ in range(4000))])))
+assert one.entries > 380_000, one.entries
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert float(out.stdout) < 30, out.stdout       # 37 with wider and doubled arrays
+
+
+def test_ids_beyond_16_bits_and_texts_beyond_the_table(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    import pyarrow as pa
+    def word(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+
+    made = Tokenizer(models.WordLevel({word(i): i for i in range(70_000)}, unk_token=word(0)))
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Whitespace()])
+    made.save(str(tmp_path / "wide.json"))
+    wide = encoding.Encoder(str(tmp_path / "wide.json"))
+    ids, of = wide.encode(*C.utf8(pa.array([f"{word(69_999)} {word(1)}", None, f" {word(65_536)}"])))
+    assert ids.dtype == np.uint32 and ids.tolist() == [69_999, 1, 65_536] and of.tolist() == [0, 2, 2, 3]
+
+    from farebox.llm.queries import tokenizer_path
+    small = encoding.Encoder(tokenizer_path("byte_bpe_50k.json"), slots=16)
+    texts = ["'" * 5_000 + "x1'" * 400, "a b", "'y" * 900 + " a", "a b"]     # the first is one long unit
+    for text in texts:
+        want = small.tokenizer.encode(text, add_special_tokens=False).ids
+        assert small.encode(*C.utf8(pa.array([text])))[0].tolist() == want
+    assert len(small.pool) == 8 * small.slots
+
+
+def test_arrow_batches_to_a_worker_stay_small(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    C.ready(spark)
+    long = spark.range(0, 1200, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 12_000_000 and max(got) < 3 << 20
