@@ -151,7 +151,7 @@ class Pieces(Encoder):
         if len(new):
             self.add(h[new], *self._texts(data, start[new], end[new]))
         entry = self.find(h)
-        size = self.size[entry].astype(np.int64)
+        size = self.sizes(entry)
         done = np.concatenate([[0], np.cumsum(size)])
         return self.pool[np.repeat(self.start[entry] - done[:-1], size) + np.arange(done[-1])], done[of]
 
@@ -232,7 +232,7 @@ class Windows(Encoder):
                 self.links = np.concatenate([self.links, links])
                 self.link_of = np.concatenate([self.link_of, self.link_of[-1] + np.cumsum(counts)])
             entry = self.find(h)
-            same = self.size[entry] == size
+            same = self.sizes(entry) == size
             held = self.pool[ranges(self.start[entry[same]], size[same])]
             other = np.flatnonzero(~same)
             wrong = held != key[np.repeat(same, size)]

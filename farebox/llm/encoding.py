@@ -63,6 +63,10 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """A worker's encoder of one vocabulary file."""
 
+    kind: type = np.uint32                                # of ids in the pool
+    at = np.empty(0, np.int32)
+    pool = np.empty(0, np.uint32)
+
     def __init__(self, path: str, slots: int = 1 << 21) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
@@ -71,13 +75,13 @@ class Encoder:
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.kind = np.uint16 if top < 1 << 16 else np.uint32
         self.slots = slots
-        self.at = np.empty(slots, np.int32)               # slot -> entry
-        self.keys = np.empty(slots, np.uint64)            # entry -> hash
-        self.start = np.empty(slots + 1, np.uint32)       # entry -> ids in the pool, up to the next one's
-        self.pool = np.empty(0, self.kind)
         self.reset()
 
     def reset(self) -> None:
+        if len(self.at) != self.slots:
+            self.at = np.empty(self.slots, np.int32)      # slot -> entry
+            self.keys = np.empty(self.slots, np.uint64)   # entry -> hash
+            self.start = np.empty(self.slots + 1, np.uint32)      # entry -> ids in the pool, up to the next one's
         self.at.fill(-1)
         if len(self.pool) != 8 * self.slots:              # new, or grown by a very long text
             self.pool = np.empty(8 * self.slots, self.kind)
@@ -92,6 +96,10 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def sizes(self, entry: np.ndarray) -> np.ndarray:
+        """How many ids the entries have."""
+        return self.start[entry + 1].astype(np.int64) - self.start[entry]
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entries of the hashes; -1 for those not yet met."""
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
@@ -106,7 +114,7 @@ class Encoder:
     def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         n, first = len(h), self.entries
         if self.used + len(ids) > len(self.pool):
-            old, self.pool = self.pool, np.empty(self.used + len(ids), self.kind)
+            old, self.pool = self.pool, np.empty(max(self.used + len(ids), 2 * len(self.pool)), self.kind)
             self.pool[:self.used] = old[:self.used]
         self.keys[first:first + n] = h
         self.start[first + 1:first + n + 1] = self.used + np.cumsum(size)
@@ -140,11 +148,10 @@ class Encoder:
                 return self.encode(data, offsets) if len(keys) < self.slots // 2 else self._each(data, offsets)
             self.add(keys, *self.whole(texts))
             entry[new] = self.find(h[new])
-        at = self.start[entry].astype(np.int64)
-        size = self.start[entry + 1] - at
+        size = self.sizes(entry)
         done = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=done[1:])
-        idx = np.repeat(at - done[:-1], size)
+        idx = np.repeat(self.start[entry] - done[:-1], size)
         idx += np.arange(len(idx))
         return self.pool[idx].astype(np.uint32), done[of]
 
