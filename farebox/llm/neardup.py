@@ -17,7 +17,8 @@ with a chance under 4e-6, plus 1e-7 by pruning.
 At scale: band rows are aggregated before they are shuffled, hot buckets are
 joined with a row per bucket (a join Spark can split), components are found by
 min-label rounds with pointer jumping, and every round's result is a written
-table in the shared folder. Nothing is collected but counts.
+table in the shared folder, by as many tasks as its input takes. Nothing is
+collected but counts.
 
 A row is known by its id and a hash of its text, so rows that share an id but not
 their text are documents of their own: each is linked by its own text.
@@ -180,8 +181,9 @@ def fewest(cfg: Config) -> list[tuple[int, int]]:
             for n in [*range(cfg.batch, cfg.hashes, cfg.batch), cfg.hashes]]
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
-    """The pairs (a, b) that their set sizes and signatures leave possible."""
+def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config, size: int) -> DataFrame:
+    """The pairs (a, b) that their set sizes and signatures leave possible.
+    ``size``: bytes of the signatures compared, about."""
     C.ready(pairs.sparkSession)
     side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n_shingles").alias("n" + x), F.col("sig").alias("s" + x))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
@@ -201,11 +203,12 @@ def likely(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
                     alive, matches, before = alive[stay], matches[stay], n
                 yield part.select(["a", "b"]).take(pa.array(alive))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return sized(both.select("a", "b", "sa", "sb"), size).mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
-    """The pairs whose full shingle sets link. ``texts``: of the classes in pairs."""
+def confirm(pairs: DataFrame, texts: DataFrame, cfg: Config, size: int) -> DataFrame:
+    """The pairs whose full shingle sets link. ``texts``: of the classes in pairs;
+    ``size``: bytes of all pairs' texts, about."""
     C.ready(pairs.sparkSession)
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -227,7 +230,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
                 linked[lo:hi] = (100 * common >= cfg.percent * union) & (common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return sized(both.select("a", "b", "ta", "tb"), size).mapInArrow(run, "a long, b long")
 
 
 def shingle_rows(texts: DataFrame, cfg: Config) -> DataFrame:
@@ -250,13 +253,14 @@ def shingle_rows(texts: DataFrame, cfg: Config) -> DataFrame:
 def components(links: DataFrame, keep) -> DataFrame:
     """id and label (smallest id reachable) of every id in ``links`` (a, b)."""
     both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    size = 32 * both.count()
+    labels = keep(sized(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), size), "labels")
     while True:
         near = (both.join(labels.select(F.col("id").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m")))
-        lower = keep(labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old")), "labels")
+        lower = keep(sized(labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old")), size), "labels")
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = keep(lower.join(jump, "label").select("id", F.least("label", "up").alias("label"), "old"), "labels")
+        new = keep(sized(lower.join(jump, "label").select("id", F.least("label", "up").alias("label"), "old"), size), "labels")
         if new.filter("label != old").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", "label")
@@ -272,12 +276,15 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     keep = Keeper(spark)
     texts = keyed_texts(docs, id_col, text_col)
     signed = keep(sign(docs, id_col, text_col, cfg), "signed")
+    n, words = signed.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    # bytes, about: of all signatures, of all band rows, of a text (or a set in memory)
+    sig_bytes, band_bytes, text_bytes = n * (2 * cfg.hashes + 256), n * cfg.bands * 32, 8 * (words or 0) // max(n, 1) + 64
     # a class: equal word sequences (64-bit hash, set size and signature agree)
     same = ["seq", "n_shingles"]
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")       # ids before NULL
     # a class has a number, fixed in the written table, and a row that stands for it
-    reps = keep(signed.filter(F.col("n_shingles") > 0).groupBy(*same, F.md5("sig").alias("sm"))
-                .agg(F.min(row).alias("of"), *[F.first(c).alias(c) for c in ("sig", *PACKED)])
+    reps = keep(sized(signed.filter(F.col("n_shingles") > 0).groupBy(*same, F.md5("sig").alias("sm"))
+                      .agg(F.min(row).alias("of"), *[F.first(c).alias(c) for c in ("sig", *PACKED)]), sig_bytes)
                 .withColumn("rep", F.monotonically_increasing_id()), "classes")
     sigs = reps.select("rep", "n_shingles", "sig", *PACKED)
     reps = reps.select(*same, "sm", "of", "rep")
@@ -285,44 +292,48 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     bands = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)),
                         lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
     banded = sigs.select("rep", F.posexplode(bands).alias("band", "bucket"))
-    met = keep(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head"))
-               .filter(F.col("size") > 1), "buckets")
-    members = keep(banded.join(met, "bucket"), "members")
+    met = keep(sized(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head"))
+                     .filter(F.col("size") > 1), band_bytes), "buckets")
+    members = keep(sized(banded.join(met, "bucket"), band_bytes), "members")
     stars = members.filter("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b"), "bucket")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = keep(likely(pairs, sigs, cfg), "likely")
-        ids = keep(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        return keep(confirm(left, texts_of(texts, ids, ids.count(), reps, cfg), cfg), "links")
+        left = keep(likely(pairs, sigs, cfg, sig_bytes + pairs.count() * 4 * cfg.hashes), "likely")
+        n_left = left.count()
+        ids = keep(sized(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 32 * n_left), "ids")
+        return keep(confirm(left, texts_of(texts, ids, ids.count(), reps, cfg), cfg, 2 * n_left * text_bytes), "links")
 
     def labelled(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
         return (rows.join(labels.select(F.col("id").alias(col), F.col("label").alias(name)), col, "left")
                 .withColumn(name, F.coalesce(name, col)))
 
     # every member with the smallest head it meets
-    first = keep(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    first = keep(sized(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), band_bytes), "pairs")
     links = verified(first)
     labels = components(links, keep)
     # the other heads it meets, where not yet in one component
     others = labelled(labelled(stars.groupBy("a", "b").agg(F.lit(1)).select("a", "b"), labels, "a", "la"), labels, "b", "lb")
-    second = keep(others.filter("la != lb").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    second = keep(sized(others.filter("la != lb").select("a", "b").join(first, ["a", "b"], "left_anti"), band_bytes), "pairs")
     found = verified(second)
     if not found.isEmpty():
         links = links.union(found)
         labels = components(links, keep)
     # members of one bucket still apart: those outside its main component with all others
-    marked = keep(labelled(members.filter("size > 2"), labels, "rep", "label"), "marked")
+    marked = keep(sized(labelled(members.filter("size > 2"), labels, "rep", "label"), band_bytes), "marked")
     main = (marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
             .filter("parts > 1").select("bucket", F.col("main.label").alias("main")))
-    apart = keep(marked.join(main, "bucket"), "apart")
-    if not apart.isEmpty():
+    apart = keep(sized(marked.join(main, "bucket"), band_bytes), "apart")
+    n_apart = apart.count()
+    if n_apart:
         # Pairs that share a rare shingle are listed by it, a few for each. In any
         # other pair the rare shingles of u are outside v, and a link needs
         # (100 + p) * rare(u) <= 100 * |u| - p * |v|, and the same for v.
-        ids = keep(apart.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-        rows = keep(shingle_rows(texts_of(texts, ids, ids.count(), reps, cfg), cfg), "shingles")
-        counted = keep(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle"), "counted")
+        ids = keep(sized(apart.select(F.col("rep").alias("doc_id")).distinct(), 16 * n_apart), "ids")
+        n_ids = ids.count()
+        rows = keep(shingle_rows(sized(texts_of(texts, ids, n_ids, reps, cfg), n_ids * text_bytes), cfg), "shingles")
+        n_rows = rows.count()
+        counted = keep(sized(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle"), 32 * n_rows), "counted")
         is_rare = F.col("n") <= cfg.rare
         parts = counted.groupBy("rep").agg(F.count_if(is_rare).alias("alone"), F.collect_list(F.when(~is_rare, F.col("shingle"))).alias("common"))
         shared = counted.filter(is_rare & (F.col("n") > 1)).select("shingle", "rep")
@@ -330,11 +341,11 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
                   .filter("a < b").select("a", "b"))
         p, t = cfg.percent, cfg.percent / 100
         # a pair is compared in the first bucket that it shares
-        spare = keep(apart.join(sigs.withColumn("bands", bands).drop("sig"), "rep").join(parts, "rep")
-                     .select("bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED, "common",
-                             F.slice("bands", F.lit(1), F.col("band")).alias("before"),
-                             (100 * F.col("n_shingles") - (100 + p) * F.col("alone")).alias("room"))
-                     .filter(F.col("room") * 100 >= p * p * F.col("n")), "spare")
+        spare = apart.join(sigs.withColumn("bands", bands).drop("sig"), "rep").join(parts, "rep").select(
+            "bucket", "rep", "label", "main", "head", F.col("n_shingles").alias("n"), *PACKED, "common",
+            F.slice("bands", F.lit(1), F.col("band")).alias("before"),
+            (100 * F.col("n_shingles") - (100 + p) * F.col("alone")).alias("room"))
+        spare = keep(sized(spare.filter(F.col("room") * 100 >= p * p * F.col("n")), n_apart * (text_bytes + 16 * cfg.bands + 256)), "spare")
         # and their packed signatures must agree as often as pruning asks for
         agree = least_matches(cfg.hashes, t + (1 - t) / 16, cfg.miss) + 256 - cfg.hashes
         # a bucket's strays go to its members in groups of about cfg.strays, a group to a key
@@ -353,26 +364,37 @@ def cluster(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
                           & ~F.arrays_overlap("u.before", "v.before") & ((100 + p) * sharing >= p * (F.col("u.n") + F.col("v.n"))))
                   .groupBy(F.least("u.label", "v.label").alias("la"), F.greatest("u.label", "v.label").alias("lb"))
                   .agg(F.min(F.struct(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"))).alias("one")).select("one.a", "one.b"))
-        direct = keep(direct, "links")
+        direct = keep(sized(direct, 64 * n_apart), "links")
         third = labelled(labelled(shared, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b").distinct()
-        third = keep(third.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
+        third = keep(sized(third.join(first.union(second), ["a", "b"], "left_anti"), 16 * cfg.rare * n_rows), "pairs")
         found = direct.union(verified(third))
         if not found.isEmpty():
             labels = components(links.union(found), keep)
-    named = keep(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-                 .select(*same, "sm", "of", F.coalesce("label", "rep").alias("label")), "named")
-    firsts = keep(named.groupBy("label").agg(F.min("of").alias("first")), "firsts")
+    named = keep(sized(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+                       .select(*same, "sm", "of", F.coalesce("label", "rep").alias("label")), sig_bytes), "named")
+    firsts = keep(sized(named.groupBy("label").agg(F.min("of").alias("first")), sig_bytes), "firsts")
     keep.clear("signed", "named", "firsts")
     named = named.join(firsts, "label").select(*same, "sm", "first")
     rows = signed.select("doc_id", "text_hash", *same, F.md5("sig").alias("sm"))
     worded = F.col("n_shingles") > 0
-    return (rows.join(named, [*same, "sm"], "left")
+    return (sized(rows.join(named, [*same, "sm"], "left"), n * 128)
             .withColumn("component_id", F.when(worded, F.col("first.doc_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash",
                     (~worded | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("stays")))
 
 
+#: Bytes that a task of a step takes in, about.
+TASK_BYTES = 16 << 20
+
+
+def sized(step: DataFrame, size: int) -> DataFrame:
+    """``step``, whose last tasks are as many as ``size`` bytes of input take, some
+    per core at least: a round on few rows isn't dealt to all shuffle partitions.
+    Goes before a Python step, which otherwise starts anew for each of them."""
+    return step.coalesce(max(4 * step.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 class Keeper:
     """Writes a step's rows as Parquet into the shared folder and reads them back."""
 

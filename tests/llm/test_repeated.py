@@ -1,8 +1,11 @@
 """Rows that share an id, shifted samples, many languages and elements of all
 kinds: no row or text is lost, no score moves with the size of the sample."""
 
+import re
+
 import numpy as np
 import pytest
+import test_corpus
 from pyspark.sql import functions as F
 
 from farebox.llm import common as C
@@ -185,6 +188,38 @@ def test_strays_of_a_large_group_make_no_row_a_pair(spark):
     assert [n for name, n in counts if name == "pairs"][-1] < 240
 
 
+def test_steps_on_few_rows_are_not_dealt_to_all_partitions(spark):
+    """With 211 shuffle partitions that nothing merges, a step's table has some files
+    per core, and Python starts that often."""
+    rows = [(i, prose(i % 5) + f" own{i // 2} words{i} here{i % 7}") for i in range(60)]
+    most = 4 * spark.sparkContext.defaultParallelism
+    files, python = [], []
+
+    class Watched(neardup.Keeper):
+        def __call__(self, df, name):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            if "MapInArrow" in plan and name != "signed":
+                python.append(re.search(rf"MapInArrow[^\n]*\n[ :]*\+- Repartition {most}, false", plan))
+            out = super().__call__(df, name)
+            files.append(len(out.inputFiles()))
+            return out
+
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    old, neardup.Keeper = neardup.Keeper, Watched
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Config(words=4))
+        assert got.rdd.getNumPartitions() <= most
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == test_corpus.brute_components(rows, 4)[0]
+    finally:
+        neardup.Keeper = old
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert python and all(python) and max(files) <= most
+
+
 def test_new_units_reach_the_library_in_bounded_calls():
     from farebox.llm.queries import tokenizer_path
     one = encoding.Encoder(tokenizer_path("byte_bpe_50k.json"))
